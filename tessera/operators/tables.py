@@ -103,46 +103,50 @@ def compact_vectors(vectors: DataFrame, live_chunks: DataFrame, key: str = "vect
 
 def corpus_stats(documents: DataFrame, chunks: DataFrame, vectors: DataFrame,
                  key: str = "vector_index_id") -> DataFrame:
-    """One statistics row from three one-row aggregates (no driver round trips).
+    """One statistics row from a single aggregate over the three tables, tagged and unioned
+    (partial counts map-side, no joins of one-row frames, no driver round trips).
 
     ``vector_count`` includes tombstones as the reference does; ``live``/``stale`` split it.
     """
-    d = documents.agg(F.count("*").alias("document_count"))
-    c = chunks.agg(F.count("*").alias("chunk_count"))
-    live = vectors.join(chunks.select(key).withColumn("_live", F.lit(1)), key, "left")
-    v = live.agg(F.count("*").alias("vector_count"),
-                 F.count("_live").alias("live_vector_count"),
-                 F.max(F.size("embedding")).cast("long").alias("index_dimension"))
-    # Each side is exactly one row, so these joins are one-row by one-row.
-    return (d.join(c, how="inner", on=F.lit(True)).join(v, how="inner", on=F.lit(True))
-            .select("document_count", "chunk_count", "vector_count", "live_vector_count",
-                    (F.col("vector_count") - F.col("live_vector_count")).alias("stale_vector_count"),
-                    "index_dimension"))
-
-
-def assign_dense_ids(df: DataFrame, start_from: DataFrame | int, id_col: str = "vector_index_id",
-                     start_col: str = "vector_index_id") -> DataFrame:
-    """Dense ids ``max(existing) + 1 + i`` without a single-partition window.
+    none_i = F.lit(None).cast("int")
+    d = documents.select(F.lit("d").alias("_t"), none_i.alias("_live"), none_i.alias("_dim"))
+    c = chunks.select(F.lit("c").alias("_t"), none_i.alias("_live"), none_i.alias("_dim"))
+    v = (vectors.join(chunks.select(key).distinct().withColumn("_l", F.lit(1)), key, "left")
+         .select(F.lit("v").alias("_t"), F.col("_l").cast("int").alias("_live"),
+                 F.size("embedding").alias("_dim")))
+    agg = d.unionByName(c).unionByName(v).agg(
+        F.count_if(F.col("_t") == "d").alias("document_count"),
+        F.count_if(F.col("_t") == "c").alias("chunk_count"),
+        F.count_if(F.col("_t") == "v").alias("vector_count"),
+        F.count("_live").alias("live_vector_count"),
+        F.max("_dim").cast("long").alias("index_dimension"))
+    return agg.select("document_count", "chunk_count", "vector_count", "live_vector_count",
+                      (F.col("vector_count") - F.col("live_vector_count")).alias("stale_vector_count"),
+                      "index_dimension")
+
+
+def assign_dense_ids(df: DataFrame, existing: DataFrame | None = None, id_col: str = "vector_index_id") -> DataFrame:
+    """Dense ids ``max(existing) + 1 + i`` without a single-partition window over the data.
 
     Partition-local positions come from ``monotonically_increasing_id`` (partition id in the
     upper bits); per-partition counts (one row per partition) give offsets via a window over
-    that tiny table.  The input is checkpointed first so both passes see the same partitions.
+    that tiny table, which is broadcast back.  The input is checkpointed first so that both
+    passes see the same partitions and rows even if an executor is lost and tasks rerun.
     """
     staged = (df.withColumn("_pid", F.spark_partition_id())
               .withColumn("_mono", F.monotonically_increasing_id())
               .checkpoint(eager=True))
-    counts = staged.groupBy("_pid").agg(F.count("*").alias("_n"))
+    counts = staged.groupBy("_pid").agg(F.count("*").alias("_n"), F.lit(None).cast("long").alias("_base"))
+    if existing is not None:
+        base = existing.agg(F.lit(-1).alias("_pid"), F.lit(0).cast("long").alias("_n"),
+                            F.coalesce(F.max(id_col) + 1, F.lit(0)).cast("long").alias("_base"))
+        counts = counts.unionByName(base)
+    # One row per partition (plus the base row): bounded by the partition count.
+    w_all = Window.orderBy("_pid").rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
+    w_prev = Window.orderBy("_pid").rowsBetween(Window.unboundedPreceding, -1)
     offsets = counts.select(
-        "_pid", (F.sum("_n").over(Window.orderBy("_pid").rowsBetween(Window.unboundedPreceding, -1)))
-        .alias("_off"))
-    if isinstance(start_from, int):
-        base = F.lit(start_from)
-        with_base = staged
-    else:
-        mx = start_from.agg(F.coalesce(F.max(start_col) + 1, F.lit(0)).alias("_base"))
-        with_base = staged.join(F.broadcast(mx), how="inner", on=F.lit(True))
-        base = F.col("_base")
+        "_pid", (F.coalesce(F.max("_base").over(w_all), F.lit(0))
+                 + F.coalesce(F.sum("_n").over(w_prev), F.lit(0))).alias("_off"))
     local = F.col("_mono") - F.shiftleft(F.col("_pid").cast("long"), 33)
-    out = with_base.join(F.broadcast(offsets), "_pid", "inner")
-    return out.withColumn(id_col, base + F.coalesce("_off", F.lit(0)) + local).drop(
-        "_pid", "_mono", "_off", "_base")
+    out = staged.join(F.broadcast(offsets.where(F.col("_pid") >= 0)), "_pid", "inner")
+    return out.withColumn(id_col, (F.col("_off") + local).cast("long")).drop("_pid", "_mono", "_off")
