@@ -13,7 +13,8 @@ Block top-k
   layout of a blocked matrix product) and scored there, emitting only per-block top k.
 
 Scores are float64 inner products of the L2-normalised query with the stored (already
-normalised) float32 vector; ranks break score ties by ascending vector id.
+normalised) float32 vector, rounded to 10 decimals so that equal vectors tie exactly; ranks
+break score ties by ascending vector id.
 """
 
 from __future__ import annotations
@@ -32,6 +33,7 @@ DEFAULT_QUERY_BLOCK = 1024
 DEFAULT_VECTOR_BLOCK = 8192
 
 KNN_SCHEMA = "query_id long, vector_index_id long, score double"
+SCORE_DECIMALS = 10
 
 
 def l2_normalize(col) -> Column:
@@ -98,7 +100,8 @@ def _score_blocks(q_ids, q_mat, batches, k: int):
     for v_ids, v_mat in batches:
         if len(v_ids) == 0:
             continue
-        s = q_mat @ v_mat.T
+        # Rounded to 1e-10 so equal vectors tie exactly whatever the summation order.
+        s = np.round(q_mat @ v_mat.T, SCORE_DECIMALS)
         qi, ci = _batch_candidates(s, k)
         acc_q.append(qi)
         acc_i.append(v_ids[ci])

@@ -1 +1,282 @@
-"""q_nlp queries."""
+"""Text-model queries with the deterministic default backends: summaries, answers, entities,
+batch summaries, analysis, text resolution and retrieval QA."""
+
+from __future__ import annotations
+
+from pyspark.sql import functions as F
+
+from tessera.functions.text import WS_CLASS
+from tessera.operators import chunking, embed as E, knn as K, nlp
+from tessera.plans import fixtures as fx
+from tessera.plans.catalog import register
+from tessera.plans.fixtures import WORDS_SQL, _fmt, sql_with
+from tessera.plans.q_tables import hash_sql
+
+WS = WS_CLASS
+DOC_TEXT_SQL = """
+doc_text AS (SELECT document_id, string_agg(content, ' ' ORDER BY chunk_index) AS text, count(*) AS chunk_count
+             FROM stored_chunks GROUP BY document_id)"""
+
+
+def sentences_sql(prefix: str, src: str, key: str, text: str) -> str:
+    """``{prefix}sent(k, pos, sentence, start_position, end_position)`` over ``src``."""
+    b = f"([.!?]{WS}+|\\n{WS}*)"
+    return f"""
+{prefix}pieces AS (SELECT {key} AS k, string_split(regexp_replace({text}, '{b}', '\\1' || chr(1), 'g'), chr(1)) AS ps
+            FROM {src}),
+{prefix}pz AS (SELECT k, CAST(i AS INTEGER) AS pos, ps[i + 1] AS piece
+        FROM (SELECT k, ps, unnest(range(len(ps))) AS i FROM {prefix}pieces)),
+{prefix}s0 AS (SELECT k, pos, piece,
+               coalesce(sum(length(piece)) OVER (PARTITION BY k ORDER BY pos
+                        ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS off
+        FROM {prefix}pz),
+{prefix}sent AS (SELECT k, pos, sentence, start_position,
+                 CAST(start_position + length(sentence) AS INTEGER) AS end_position
+          FROM (SELECT k, pos, regexp_replace(piece, '^{WS}+|{WS}+$', '', 'g') AS sentence,
+                       CAST(off + length(piece) - length(regexp_replace(piece, '^{WS}+', '')) AS INTEGER)
+                         AS start_position
+                FROM {prefix}s0)
+          WHERE sentence <> '')"""
+
+
+def summary_sql(prefix: str, src: str, key: str, text: str, max_len: int, min_len: int) -> str:
+    """``{prefix}summ(k, summary, original_length, summary_length, compression_ratio)``."""
+    w = _fmt(WORDS_SQL, t="lower(sentence)")
+    return sentences_sql(prefix, src, key, text) + f""",
+{prefix}toks AS (SELECT k, pos, unnest({w}) AS tok FROM {prefix}sent),
+{prefix}freq AS (SELECT k, tok, count(*) AS f FROM {prefix}toks GROUP BY ALL),
+{prefix}score AS (SELECT t.k, t.pos, CAST(sum(f.f) AS DOUBLE) / count(*) AS score
+           FROM {prefix}toks t JOIN {prefix}freq f ON f.k = t.k AND f.tok = t.tok GROUP BY ALL),
+{prefix}ranked AS (SELECT s.k, s.pos, s.sentence, len({_fmt(WORDS_SQL, t="s.sentence")}) AS nw, sc.score,
+                   row_number() OVER (PARTITION BY s.k ORDER BY sc.score DESC, s.pos) AS rk,
+                   sum(len({_fmt(WORDS_SQL, t="s.sentence")})) OVER (PARTITION BY s.k ORDER BY sc.score DESC, s.pos
+                        ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS cum
+            FROM {prefix}sent s JOIN {prefix}score sc ON sc.k = s.k AND sc.pos = s.pos),
+{prefix}kept AS (SELECT k, string_agg(sentence, ' ' ORDER BY pos) AS summary, sum(nw) AS summary_length
+          FROM {prefix}ranked WHERE rk = 1 OR cum <= {max_len} OR cum - nw < {min_len} GROUP BY k),
+{prefix}summ AS (SELECT x.k, coalesce(kp.summary, '') AS summary, x.original_length,
+                 CAST(coalesce(kp.summary_length, 0) AS BIGINT) AS summary_length,
+                 CASE WHEN x.original_length > 0
+                      THEN CAST(coalesce(kp.summary_length, 0) AS DOUBLE) / x.original_length ELSE 0.0 END
+                   AS compression_ratio
+          FROM (SELECT {key} AS k, CAST(len({_fmt(WORDS_SQL, t=text)}) AS BIGINT) AS original_length FROM {src}) x
+          LEFT JOIN {prefix}kept kp ON kp.k = x.k)"""
+
+
+def answer_sql(prefix: str, src: str, key: str, question: str, context: str) -> str:
+    """``{prefix}ans(k, answer, confidence, start_position, end_position)``."""
+    return sentences_sql(prefix, src, key, context) + f""",
+{prefix}terms AS (SELECT {key} AS k, list_distinct({_fmt(WORDS_SQL, t=f"lower({question})")}) AS terms FROM {src}),
+{prefix}m AS (SELECT s.*, len(list_intersect(t.terms, {_fmt(WORDS_SQL, t="lower(s.sentence)")})) AS matched
+       FROM {prefix}sent s JOIN {prefix}terms t ON t.k = s.k),
+{prefix}best AS (SELECT * FROM {prefix}m WHERE matched > 0
+          QUALIFY row_number() OVER (PARTITION BY k ORDER BY matched DESC, pos) = 1),
+{prefix}ans AS (SELECT t.k, coalesce(b.sentence, '') AS answer,
+                CASE WHEN b.matched IS NOT NULL THEN CAST(b.matched AS DOUBLE) / len(t.terms) ELSE 0.0 END
+                  AS confidence,
+                b.start_position, b.end_position
+         FROM {prefix}terms t LEFT JOIN {prefix}best b ON b.k = t.k)"""
+
+
+def _doc_text(spark, sf_dir):
+    return chunking.reassemble_text(fx.stored_chunks(spark, sf_dir))
+
+
+def _round_ratio(df, col="compression_ratio"):
+    return df.withColumn(col, F.round(col, 6))
+
+
+# ------------------------------------------------------------------------------ summaries
+
+@register("summarize_documents", sql_with("stored_chunks").rstrip() + "," + DOC_TEXT_SQL + "," +
+          summary_sql("", "doc_text", "document_id", "text", nlp.SUMMARY_MAX, nlp.SUMMARY_MIN) + """
+SELECT k AS document_id, summary, original_length, summary_length, round(compression_ratio, 6) AS compression_ratio
+FROM summ""")
+def summarize_documents(spark, sf_dir):
+    return _round_ratio(nlp.summarize(_doc_text(spark, sf_dir), "document_id", "text"))
+
+
+@register("summarize_chunks", sql_with("stored_chunks").rstrip() + "," +
+          summary_sql("", "stored_chunks", "chunk_id", "content", nlp.CHUNK_SUMMARY_MAX, nlp.CHUNK_SUMMARY_MIN) + """
+SELECT k AS chunk_id, summary, original_length, summary_length, round(compression_ratio, 6) AS compression_ratio
+FROM summ""")
+def summarize_chunks(spark, sf_dir):
+    s = nlp.summarize(fx.stored_chunks(spark, sf_dir), "chunk_id", "content",
+                      nlp.CHUNK_SUMMARY_MAX, nlp.CHUNK_SUMMARY_MIN)
+    return _round_ratio(s)
+
+
+_BATCH_SQL = sql_with("stored_chunks").rstrip() + "," + DOC_TEXT_SQL + "," + summary_sql(
+    "", "doc_text", "document_id", "text", nlp.SUMMARY_MAX, nlp.SUMMARY_MIN) + """,
+batch AS (SELECT l.doc_id AS pos, CAST(l.doc_id AS VARCHAR) AS document_id, s.summary,
+                 round(s.compression_ratio, 6) AS compression_ratio,
+                 CASE WHEN s.k IS NULL THEN '""" + nlp.NOT_FOUND + """' END AS error
+          FROM labels l LEFT JOIN summ s ON s.k = CAST(l.doc_id AS VARCHAR))
+"""
+
+
+def _batch(spark, sf_dir):
+    req = fx.labelled_ids(spark, sf_dir)
+    s = nlp.summarize(_doc_text(spark, sf_dir), "document_id", "text")
+    j = req.join(s.withColumn("_ok", F.lit(True)), "document_id", "left")
+    return j.select("pos", "document_id", "summary", F.round("compression_ratio", 6).alias("compression_ratio"),
+                    F.when(F.col("_ok").isNull(), F.lit(nlp.NOT_FOUND)).alias("error"))
+
+
+@register("batch_summarize", _BATCH_SQL + "SELECT * FROM batch")
+def batch_summarize(spark, sf_dir):
+    return _batch(spark, sf_dir)
+
+
+@register("batch_summarize_totals", _BATCH_SQL + """
+SELECT count(*) AS total_processed, count(*) FILTER (WHERE error IS NULL) AS successful FROM batch""")
+def batch_summarize_totals(spark, sf_dir):
+    b = _batch(spark, sf_dir)
+    return b.agg(F.count("*").alias("total_processed"), F.count_if(F.col("error").isNull()).alias("successful"))
+
+
+# ------------------------------------------------------------------------------ answers
+
+@register("answer_questions", sql_with("stored_chunks").rstrip() + "," + DOC_TEXT_SQL + """,
+qctx AS (SELECT b.item_id AS question_id, b.text AS question, d.text AS context
+         FROM benchmark b JOIN doc_text d ON d.document_id = CAST(b.item_id AS VARCHAR)),""" +
+          answer_sql("", "qctx", "question_id", "question", "context") + """
+SELECT b.item_id AS question_id, a.answer, round(a.confidence, 6) AS confidence, a.start_position, a.end_position,
+       CASE WHEN a.k IS NULL THEN '""" + nlp.NOT_FOUND + """' END AS error
+FROM benchmark b LEFT JOIN ans a ON a.k = b.item_id""")
+def answer_questions(spark, sf_dir):
+    q = fx.questions(spark, sf_dir)
+    ctx = q.join(_doc_text(spark, sf_dir).select("document_id", F.col("text").alias("context")), "document_id")
+    a = nlp.answer(ctx, "question_id", "question", "context")
+    j = q.select("question_id").join(a.withColumn("_ok", F.lit(True)), "question_id", "left")
+    return j.select("question_id", "answer", F.round("confidence", 6).alias("confidence"),
+                    "start_position", "end_position",
+                    F.when(F.col("_ok").isNull(), F.lit(nlp.NOT_FOUND)).alias("error"))
+
+
+# ------------------------------------------------------------------------------ entities
+
+def _sql_str(p: str) -> str:
+    return p.replace("'", "''")
+
+
+@register("entity_counts", sql_with("stored_chunks") + "\n UNION ALL ".join(
+    f"""SELECT '{label}' AS label, CAST(sum(len(regexp_extract_all(content, '{_sql_str(p)}'))) AS BIGINT) AS n_entities,
+       count(*) FILTER (WHERE len(regexp_extract_all(content, '{_sql_str(p)}')) > 0) AS n_texts
+FROM stored_chunks""" for label, p in nlp.ENTITY_RULES))
+def entity_counts(spark, sf_dir):
+    return nlp.entity_counts(fx.stored_chunks(spark, sf_dir), "content")
+
+
+@register("extract_entities")
+def extract_entities(spark, sf_dir):
+    return nlp.extract_entities(fx.doc(spark, sf_dir), "document_id", "text")
+
+
+@register("analyze_documents", sql_with("stored_chunks").rstrip() + "," + DOC_TEXT_SQL + "," +
+          summary_sql("", "doc_text", "document_id", "text", nlp.SUMMARY_MAX, nlp.SUMMARY_MIN) + """
+SELECT d.document_id, CAST(len(""" + _fmt(WORDS_SQL, t="d.text") + """) AS BIGINT) AS text_length,
+       d.chunk_count, s.summary, round(s.compression_ratio, 6) AS compression_ratio,
+       CAST(""" + " + ".join(f"len(regexp_extract_all(d.text, '{_sql_str(p)}'))" for _, p in nlp.ENTITY_RULES) +
+          """ AS BIGINT) AS entity_total
+FROM doc_text d JOIN summ s ON s.k = d.document_id""")
+def analyze_documents(spark, sf_dir):
+    dt = _doc_text(spark, sf_dir)
+    s = nlp.summarize(dt, "document_id", "text")
+    ent = sum(c for c in nlp.entity_count_columns("text"))
+    base = dt.select("document_id", F.size(E.words("text")).cast("long").alias("text_length"),
+                     F.col("chunk_count").cast("long"), ent.cast("long").alias("entity_total"))
+    return base.join(s.select("document_id", "summary", F.round("compression_ratio", 6).alias("compression_ratio")),
+                     "document_id").select("document_id", "text_length", "chunk_count", "summary",
+                                           "compression_ratio", "entity_total")
+
+
+@register("resolve_text", sql_with("stored_chunks").rstrip() + "," + DOC_TEXT_SQL + """,
+req AS (SELECT item_id AS request_id,
+               CASE item_id % 5 WHEN 0 THEN text WHEN 1 THEN '' WHEN 4 THEN text END AS text,
+               CASE item_id % 5 WHEN 1 THEN CAST(item_id AS VARCHAR)
+                                WHEN 2 THEN 'missing-' || CAST(item_id AS VARCHAR)
+                                WHEN 4 THEN CAST(item_id AS VARCHAR) END AS document_id
+        FROM benchmark)
+SELECT r.request_id,
+       CASE WHEN coalesce(r.text <> '', false) THEN 'text'
+            WHEN r.document_id IS NOT NULL AND r.document_id <> '' AND d.document_id IS NOT NULL THEN 'document'
+       END AS source,
+       CASE WHEN coalesce(r.text <> '', false) THEN r.text
+            WHEN r.document_id IS NOT NULL AND r.document_id <> '' THEN d.text END AS resolved_text,
+       CASE WHEN coalesce(r.text <> '', false) THEN NULL
+            WHEN r.document_id IS NOT NULL AND r.document_id <> '' AND d.document_id IS NULL THEN '""" + nlp.NOT_FOUND + """'
+            WHEN NOT (r.document_id IS NOT NULL AND r.document_id <> '') THEN '""" + nlp.NO_INPUT + """'
+       END AS error
+FROM req r LEFT JOIN doc_text d ON d.document_id = r.document_id""")
+def resolve_text(spark, sf_dir):
+    return nlp.resolve_text(fx.requests(spark, sf_dir), _doc_text(spark, sf_dir))
+
+
+# ------------------------------------------------------------------------------ retrieval QA
+
+def chunk_vector_id(document_id, chunk_index):
+    """Numeric vector id of a fixture chunk (document ids are numeric strings)."""
+    return (F.col(document_id).cast("long") * 100000 + F.col(chunk_index)).cast("long")
+
+
+def stored_vectors(spark, sf_dir):
+    ch = fx.stored_chunks(spark, sf_dir).withColumn("vector_index_id", chunk_vector_id("document_id", "chunk_index"))
+    return E.embed_chunks(ch)
+
+
+QA_SEARCH_SQL = sql_with("stored_chunks").rstrip() + "," + hash_sql("stored_chunks", prefix="c_") + "," + hash_sql(
+    "(SELECT CAST(item_id AS VARCHAR) AS chunk_id, CAST(item_id AS VARCHAR) AS document_id, text AS content "
+    "FROM benchmark)", prefix="q_") + """,
+qnorm AS (SELECT chunk_id, sqrt(sum(w * w)) AS qn FROM q_lf GROUP BY chunk_id),
+pairs AS (SELECT CAST(q.chunk_id AS BIGINT) AS query_id, c.chunk_id AS hit_chunk_id,
+                 round(sum(q.w / n.qn * c.w), 10) AS score
+          FROM q_lf q JOIN qnorm n ON n.chunk_id = q.chunk_id JOIN c_lf c ON c.bucket = q.bucket
+          GROUP BY ALL),
+cand AS (SELECT p.*, s.content, CAST(s.document_id AS BIGINT) * 100000 + s.chunk_index AS vid,
+                row_number() OVER (PARTITION BY p.query_id ORDER BY p.score DESC,
+                                   CAST(s.document_id AS BIGINT) * 100000 + s.chunk_index) AS cand_rank
+         FROM pairs p JOIN stored_chunks s ON s.chunk_id = p.hit_chunk_id
+         QUALIFY cand_rank <= """ + str(2 * fx.QA_LIMIT) + """),
+res AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY cand_rank) AS rank
+        FROM cand WHERE score >= """ + str(fx.QA_THRESHOLD) + """ QUALIFY rank <= """ + str(fx.QA_LIMIT) + """),
+ctx AS (SELECT query_id, string_agg(content, ' ' ORDER BY rank) AS context,
+               string_agg(hit_chunk_id, ',' ORDER BY rank) AS source_chunk_ids, count(*) AS n_sources
+        FROM res GROUP BY query_id),
+qctx AS (SELECT b.item_id AS question_id, b.text AS question, c.context
+         FROM benchmark b JOIN ctx c ON c.query_id = b.item_id),""" + answer_sql(
+    "", "qctx", "question_id", "question", "context") + """
+SELECT b.item_id AS question_id,
+       CASE WHEN c.query_id IS NULL THEN '""" + nlp.NO_CONTEXT_ANSWER + """' ELSE a.answer END AS answer,
+       CASE WHEN c.query_id IS NULL THEN 0.0 ELSE round(a.confidence, 6) END AS confidence,
+       coalesce(c.n_sources, 0) AS n_sources, coalesce(c.source_chunk_ids, '') AS source_chunk_ids
+FROM benchmark b LEFT JOIN ctx c ON c.query_id = b.item_id LEFT JOIN ans a ON a.k = b.item_id
+"""
+
+
+def qa_search_frame(spark, questions, vectors, limit=fx.QA_LIMIT, threshold=fx.QA_THRESHOLD):
+    """Retrieve context for every question, then answer from it; no hit -> fixed answer."""
+    emb = E.HashingEmbedder()
+    q = questions.select(F.col("question_id").alias("query_id"), "question",
+                         emb.column("question").alias("embedding"))
+    hits = K.semantic_search(q.select("query_id", "embedding"), vectors, vectors, limit=limit, threshold=threshold)
+    ctx = hits.groupBy("query_id").agg(
+        F.array_sort(F.collect_list(F.struct("rank", "content", "chunk_id"))).alias("_h"))
+    ctx = ctx.select("query_id",
+                     F.array_join(F.transform("_h", lambda x: x["content"]), " ").alias("context"),
+                     F.array_join(F.transform("_h", lambda x: x["chunk_id"]), ",").alias("source_chunk_ids"),
+                     F.size("_h").cast("long").alias("n_sources"))
+    qc = q.select("query_id", "question").join(ctx, "query_id", "inner")
+    a = nlp.answer(qc, "query_id", "question", "context")
+    j = q.select("query_id").join(ctx, "query_id", "left").join(a, "query_id", "left")
+    return j.select(
+        F.col("query_id").alias("question_id"),
+        F.when(F.col("context").isNull(), F.lit(nlp.NO_CONTEXT_ANSWER)).otherwise(F.col("answer")).alias("answer"),
+        F.when(F.col("context").isNull(), F.lit(0.0)).otherwise(F.round("confidence", 6)).alias("confidence"),
+        F.coalesce("n_sources", F.lit(0)).cast("long").alias("n_sources"),
+        F.coalesce("source_chunk_ids", F.lit("")).alias("source_chunk_ids"))
+
+
+@register("qa_search", QA_SEARCH_SQL)
+def qa_search(spark, sf_dir):
+    return qa_search_frame(spark, fx.questions(spark, sf_dir), stored_vectors(spark, sf_dir))

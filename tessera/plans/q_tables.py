@@ -66,20 +66,22 @@ def delete_status(spark, sf_dir):
 # ------------------------------------------------------------------------------ embeddings
 
 HASH_BUCKETS_SQL = """
-toks AS (SELECT chunk_id, document_id, unnest(""" + _fmt(WORDS_SQL, t="lower(content)") + """) AS w FROM {src}),
-bk AS (SELECT chunk_id, document_id,
+{p}toks AS (SELECT chunk_id, document_id, unnest(""" + _fmt(WORDS_SQL, t="lower(content)") + """) AS w FROM {src}),
+{p}bk AS (SELECT chunk_id, document_id,
               CAST(CAST(('0x' || substr(md5(w), 1, 8)) AS BIGINT) % {dim} AS INTEGER) AS bucket,
               count(*) AS n
-       FROM toks GROUP BY ALL),
-nrm AS (SELECT chunk_id, sqrt(sum(n * n)) AS nrm FROM bk GROUP BY chunk_id),
-lf AS (SELECT b.chunk_id, b.document_id, b.bucket,
+       FROM {p}toks GROUP BY ALL),
+{p}nrm AS (SELECT chunk_id, sqrt(sum(n * n)) AS nrm FROM {p}bk GROUP BY chunk_id),
+{p}lf AS (SELECT b.chunk_id, b.document_id, b.bucket,
               CAST(CAST(CAST(b.n AS DOUBLE) / r.nrm AS FLOAT) AS DOUBLE) AS w
-       FROM bk b JOIN nrm r ON r.chunk_id = b.chunk_id)
+       FROM {p}bk b JOIN {p}nrm r ON r.chunk_id = b.chunk_id)
 """
 
 
-def hash_sql(src: str, dim: int = E.DEFAULT_DIM) -> str:
-    return HASH_BUCKETS_SQL.replace("{src}", src).replace("{dim}", str(dim))
+def hash_sql(src: str, dim: int = E.DEFAULT_DIM, prefix: str = "") -> str:
+    """Hashing-embedder long form ``{prefix}lf(chunk_id, document_id, bucket, w)`` of a view
+    with ``chunk_id, document_id, content``."""
+    return HASH_BUCKETS_SQL.replace("{src}", src).replace("{dim}", str(dim)).replace("{p}", prefix)
 
 
 SUMMARY_SQL = """

@@ -24,12 +24,11 @@ qn AS (SELECT query_id,
 
 def _cand_sql(k: int, vec_view: str = "vec", q_view: str = "qn") -> str:
     return f"""
-cand AS (SELECT q.query_id, v.vector_index_id,
-                list_dot_product(q.e, CAST(v.embedding AS DOUBLE[])) AS score,
-                row_number() OVER (PARTITION BY q.query_id
-                                   ORDER BY list_dot_product(q.e, CAST(v.embedding AS DOUBLE[])) DESC,
-                                            v.vector_index_id) AS cand_rank
-         FROM {q_view} q, {vec_view} v
+cand AS (SELECT query_id, vector_index_id, score,
+                row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vector_index_id) AS cand_rank
+         FROM (SELECT q.query_id, v.vector_index_id,
+                      round(list_dot_product(q.e, CAST(v.embedding AS DOUBLE[])), 10) AS score
+               FROM {q_view} q, {vec_view} v)
          QUALIFY cand_rank <= {k})"""
 
 
