@@ -1 +1,124 @@
-"""q_ingest queries."""
+"""Ingest queries: extraction from upload bytes, the batch pipeline, its status table, and the
+same pipeline and a search-request stream run through Structured Streaming.
+
+Uploads are derived from the ``documents`` table by Spark (TXT bytes, DOCX archives, PDF
+bytes) and landed as parquet under the session's shared checkpoint folder."""
+
+from __future__ import annotations
+
+from pyspark.sql import functions as F
+
+from tessera.functions import text as T
+from tessera.plans import fixtures as fx
+from tessera.plans.catalog import register
+from tessera.plans.fixtures import sql_with
+from tessera.plans.ingest import ingest
+from tessera.plans.q_documents import DOC_COLS_SQL, doc_public
+from tessera.plans.q_nlp import hash_search_sql, stored_vectors
+from tessera.session import scratch_dir
+from tessera.sources import files
+from tessera.streaming import ingest as S
+
+WS = T.WS_CLASS
+
+
+def uploads(spark, sf_dir):
+    """Every upload of the fixture with derived bytes (``content``)."""
+    raw = fx.doc_raw(spark, sf_dir)
+    typed = raw.select("document_id", "filename", "file_size", "upload_timestamp", "text",
+                       F.when(T.validation_reason("file_size", "filename").isNull(),
+                              T.document_type("filename")).alias("document_type"))
+    return files.uploads_from_text(typed).drop("document_type")
+
+
+@register("extract_text", sql_with("doc_raw", "doc") + """
+SELECT document_id, document_type,
+       CASE WHEN document_type = 'pdf' THEN 'no_extractor' END AS error,
+       CASE WHEN document_type <> 'pdf' THEN CAST(length(t) AS INTEGER) END AS n_chars,
+       CASE WHEN document_type <> 'pdf' THEN md5(t) END AS text_md5
+FROM (SELECT document_id, document_type,
+             regexp_replace(regexp_replace(text, '\\r\\n?', chr(10), 'g'), '^""" + WS + "+|" + WS + """+$', '', 'g') AS t
+      FROM doc)""")
+def extract_text(spark, sf_dir):
+    up = uploads(spark, sf_dir)
+    acc = up.where(T.validation_reason("file_size", "filename").isNull()).withColumn(
+        "document_type", T.document_type("filename"))
+    ext = files.extract_text(acc.select("document_id", "document_type", "content"))
+    return ext.join(acc.select("document_id", "document_type"), "document_id").select(
+        "document_id", "document_type", "error", F.length("text").alias("n_chars"), F.md5("text").alias("text_md5"))
+
+
+INGESTED_DOCS_SQL = sql_with("doc_raw", "doc") + "SELECT " + DOC_COLS_SQL + " FROM doc WHERE document_type <> 'pdf'"
+
+
+@register("ingest_documents", INGESTED_DOCS_SQL)
+def ingest_documents(spark, sf_dir):
+    return doc_public(ingest(uploads(spark, sf_dir)).documents)
+
+
+@register("ingest_chunks", sql_with("stored_chunks") + """
+SELECT c.chunk_id, c.document_id, c.content, c.chunk_index, c.start_position, c.end_position
+FROM stored_chunks c JOIN doc d ON d.document_id = c.document_id WHERE d.document_type <> 'pdf'""")
+def ingest_chunks(spark, sf_dir):
+    v = ingest(uploads(spark, sf_dir)).vectors
+    return v.select("chunk_id", "document_id", "content", "chunk_index", "start_position", "end_position")
+
+
+STATUS_SQL = sql_with("doc_raw") + """
+SELECT document_id,
+       CASE WHEN r IS NOT NULL THEN 'rejected' WHEN t = 'pdf' THEN 'failed' ELSE 'completed' END AS status,
+       CASE WHEN r IS NOT NULL THEN r WHEN t = 'pdf' THEN 'no_extractor' END AS reason
+FROM (SELECT document_id, """ + fx._fmt(fx.REASON_SQL, s="file_size", f="filename") + """ AS r,
+             """ + fx._fmt(fx.TYPE_SQL, f="filename") + """ AS t FROM doc_raw)"""
+
+
+@register("ingest_status", STATUS_SQL)
+def ingest_status(spark, sf_dir):
+    return ingest(uploads(spark, sf_dir)).status
+
+
+def _land(spark, df, name, n_files=4):
+    root = scratch_dir(spark, name)
+    df.repartition(n_files).write.parquet(root)
+    return root
+
+
+@register("stream_ingest", INGESTED_DOCS_SQL)
+def stream_ingest(spark, sf_dir):
+    """Uploads land as several files; an available-now stream ingests them one file per
+    micro-batch; the documents log is read back merge-on-read."""
+    landing = _land(spark, uploads(spark, sf_dir), "landing")
+    out = scratch_dir(spark, "ingest-out")
+    S.stream_ingest(spark, landing, out, scratch_dir(spark, "ingest-ckpt"), max_files_per_trigger=1)
+    return doc_public(S.read_log(spark, f"{out}/documents", "document_id"))
+
+
+@register("stream_ingest_status", STATUS_SQL)
+def stream_ingest_status(spark, sf_dir):
+    landing = _land(spark, uploads(spark, sf_dir), "landing")
+    out = scratch_dir(spark, "ingest-out")
+    S.stream_ingest(spark, landing, out, scratch_dir(spark, "ingest-ckpt"), max_files_per_trigger=2)
+    return S.read_log(spark, f"{out}/status", "document_id")
+
+
+def conversation_queries(spark, sf_dir):
+    c = fx.read(spark, sf_dir, "conversations").where(F.col("role") == "user")
+    return c.select((F.col("conv_id") * 1000 + F.col("turn")).alias("query_id"), "text")
+
+
+@register("stream_search", sql_with("stored_chunks").rstrip() + hash_search_sql(
+    "(SELECT CAST(conv_id * 1000 + turn AS VARCHAR) AS chunk_id, text AS content FROM conversations "
+    "WHERE role = 'user')", fx.QA_LIMIT, fx.QA_THRESHOLD) + """
+SELECT query_id, rank, vid AS vector_index_id, hit_chunk_id AS chunk_id, round(score, 6) AS similarity_score
+FROM res""")
+def stream_search(spark, sf_dir):
+    """User turns of ``conversations`` arrive as a stream of search requests, answered per
+    micro-batch against the stored chunk vectors."""
+    reqs = _land(spark, conversation_queries(spark, sf_dir), "requests")
+    out = scratch_dir(spark, "search-out")
+    vectors = stored_vectors(spark, sf_dir).checkpoint()
+    S.stream_search(spark, reqs, vectors, out, scratch_dir(spark, "search-ckpt"),
+                    limit=fx.QA_LIMIT, threshold=fx.QA_THRESHOLD, max_files_per_trigger=2)
+    hits = spark.read.parquet(out)
+    return hits.select("query_id", F.col("rank").cast("long"), "vector_index_id", "chunk_id",
+                       F.round("similarity_score", 6).alias("similarity_score"))

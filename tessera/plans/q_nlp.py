@@ -225,9 +225,14 @@ def stored_vectors(spark, sf_dir):
     return E.embed_chunks(ch)
 
 
-QA_SEARCH_SQL = sql_with("stored_chunks").rstrip() + "," + hash_sql("stored_chunks", prefix="c_") + "," + hash_sql(
-    "(SELECT CAST(item_id AS VARCHAR) AS chunk_id, CAST(item_id AS VARCHAR) AS document_id, text AS content "
-    "FROM benchmark)", prefix="q_") + """,
+def hash_search_sql(query_src: str, limit: int, threshold: float) -> str:
+    """CTEs (continuing a ``WITH`` that defines ``stored_chunks``) for a search of hashed
+    query texts against hashed stored chunks: defines ``res(query_id, hit_chunk_id, score,
+    content, rank)``.  ``query_src`` has ``chunk_id`` (numeric query id as text) and
+    ``content`` (query text); pairs sharing no bucket score 0 and cannot pass a positive
+    threshold, so the sparse join is exact."""
+    return "," + hash_sql("stored_chunks", prefix="c_") + "," + hash_sql(
+        "(SELECT chunk_id, chunk_id AS document_id, content FROM " + query_src + ")", prefix="q_") + """,
 qnorm AS (SELECT chunk_id, sqrt(sum(w * w)) AS qn FROM q_lf GROUP BY chunk_id),
 pairs AS (SELECT CAST(q.chunk_id AS BIGINT) AS query_id, c.chunk_id AS hit_chunk_id,
                  round(sum(q.w / n.qn * c.w), 10) AS score
@@ -237,9 +242,14 @@ cand AS (SELECT p.*, s.content, CAST(s.document_id AS BIGINT) * 100000 + s.chunk
                 row_number() OVER (PARTITION BY p.query_id ORDER BY p.score DESC,
                                    CAST(s.document_id AS BIGINT) * 100000 + s.chunk_index) AS cand_rank
          FROM pairs p JOIN stored_chunks s ON s.chunk_id = p.hit_chunk_id
-         QUALIFY cand_rank <= """ + str(2 * fx.QA_LIMIT) + """),
+         QUALIFY cand_rank <= """ + str(2 * limit) + """),
 res AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY cand_rank) AS rank
-        FROM cand WHERE score >= """ + str(fx.QA_THRESHOLD) + """ QUALIFY rank <= """ + str(fx.QA_LIMIT) + """),
+        FROM cand WHERE score >= """ + str(threshold) + """ QUALIFY rank <= """ + str(limit) + """)"""
+
+
+QA_SEARCH_SQL = sql_with("stored_chunks").rstrip() + hash_search_sql(
+    "(SELECT CAST(item_id AS VARCHAR) AS chunk_id, text AS content FROM benchmark)",
+    fx.QA_LIMIT, fx.QA_THRESHOLD) + """,
 ctx AS (SELECT query_id, string_agg(content, ' ' ORDER BY rank) AS context,
                string_agg(hit_chunk_id, ',' ORDER BY rank) AS source_chunk_ids, count(*) AS n_sources
         FROM res GROUP BY query_id),
