@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from tessera.functions import text as T
 from tessera.operators.chunking import chunk_text
+from tessera.sources.tables import spread
 
 # Fixed fixture parameters (FIXTURES.md section 2).
 EXT_BY_MOD6 = [".pdf", ".DOCX", ".txt", ".doc", ".html", ""]
@@ -28,7 +29,7 @@ def read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 def doc_raw(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every document as an upload: id, file name, size, upload time, text."""
-    d = read(spark, sf_dir, "documents")
+    d = spread(read(spark, sf_dir, "documents"))
     m6 = F.pmod(F.col("doc_id"), F.lit(6))
     ext = F.element_at(F.array(*[F.lit(e) for e in EXT_BY_MOD6]), (m6 + 1).cast("int"))
     m50 = F.pmod(F.col("doc_id"), F.lit(50))

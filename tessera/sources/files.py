@@ -35,12 +35,18 @@ def land_uploads(uploads: DataFrame, root: str) -> str:
 
 
 def read_raw_files(spark: SparkSession, path: str, glob: str | None = None) -> DataFrame:
-    """``binaryFile`` source: ``path, modificationTime, length, content`` plus ``filename``."""
+    """``binaryFile`` source: ``path, modificationTime, length, content`` plus ``filename`` and
+    ``document_id`` taken from the path: a ``document_id=<id>`` folder when present, else the
+    file name without its extension (files are stored as ``<id><ext>``)."""
     r = spark.read.format("binaryFile").option("recursiveFileLookup", "true")
     if glob:
         r = r.option("pathGlobFilter", glob)
     df = r.load(path)
-    return df.withColumn("filename", F.regexp_extract("path", r"([^/]+)$", 1))
+    name = F.regexp_extract("path", r"([^/]+)$", 1)
+    folder_id = F.regexp_extract("path", r"/document_id=([^/]+)/", 1)
+    stem = F.regexp_extract(name, r"^(.+?)(\.[^.]*)?$", 1)
+    return df.withColumn("filename", name).withColumn(
+        "document_id", F.when(folder_id != "", folder_id).otherwise(stem))
 
 
 # ------------------------------------------------------------------------------ DOCX
