@@ -54,24 +54,30 @@ def _c(x) -> Column:
     return F.col(x) if isinstance(x, str) else x
 
 
-def sentences(df: DataFrame, key: str, text: str = "text") -> DataFrame:
-    """``key, pos, sentence, start_position, end_position`` (offsets in code points).
+def sentences(df: DataFrame, key: str, text: str = "text", *, carry: list[str] | None = None,
+              with_offsets: bool = True, keep_empty: bool = False) -> DataFrame:
+    """``key, pos, sentence[, start_position, end_position][, carry...]`` (code points).
 
     Expects ``df`` clustered by ``key`` (see ``by_key``); the running offset is a window sum
-    over the pieces of one text.
+    over the pieces of one text, which needs no further shuffle.  ``keep_empty`` keeps blank
+    pieces (``sentence = ''``) so every input row survives, which lets callers finish with a
+    single aggregate instead of joining back to their input.
     """
+    carry = list(carry or [])
     pieces = F.split(F.regexp_replace(_c(text), BOUNDARY, "$1" + MARK), MARK)
-    ex = df.select(key, F.posexplode(pieces).alias("pos", "piece"))
-    w = Window.partitionBy(key).orderBy("pos").rowsBetween(Window.unboundedPreceding, -1)
-    off = F.coalesce(F.sum(F.length("piece")).over(w), F.lit(0))
-    lead = F.length("piece") - F.length(F.regexp_replace("piece", f"^{WS_CLASS}+", ""))
+    explode = F.posexplode_outer if keep_empty else F.posexplode
+    ex = df.select(key, *carry, explode(pieces).alias("pos", "piece"))
     sent = F.regexp_replace("piece", f"^{WS_CLASS}+|{WS_CLASS}+$", "")
-    out = ex.select(key, "pos", sent.alias("sentence"), (off + lead).alias("start_position"))
-    return (out.where(F.col("sentence") != "")
-            .withColumn("end_position", F.col("start_position") + F.length("sentence"))
-            .select(key, F.col("pos").cast("int").alias("pos"), "sentence",
-                    F.col("start_position").cast("int").alias("start_position"),
-                    F.col("end_position").cast("int").alias("end_position")))
+    cols = [key, F.col("pos").cast("int").alias("pos"), sent.alias("sentence")]
+    if with_offsets:
+        w = Window.partitionBy(key).orderBy("pos").rowsBetween(Window.unboundedPreceding, -1)
+        off = F.coalesce(F.sum(F.length("piece")).over(w), F.lit(0))
+        lead = F.length("piece") - F.length(F.regexp_replace("piece", f"^{WS_CLASS}+", ""))
+        cols.append((off + lead).cast("int").alias("start_position"))
+    out = ex.select(*cols, *carry)
+    if with_offsets:
+        out = out.withColumn("end_position", (F.col("start_position") + F.length("sentence")).cast("int"))
+    return out if keep_empty else out.where(F.col("sentence") != "")
 
 
 def by_key(df: DataFrame, key: str) -> DataFrame:
@@ -81,50 +87,58 @@ def by_key(df: DataFrame, key: str) -> DataFrame:
 
 def summarize(docs: DataFrame, key: str = "document_id", text: str = "text",
               max_length: int = SUMMARY_MAX, min_length: int = SUMMARY_MIN) -> DataFrame:
-    """``key, summary, original_length, summary_length, compression_ratio`` for every row."""
+    """``key, summary, original_length, summary_length, compression_ratio`` for every row.
+
+    One linear plan on one ``key`` partitioning: sentences -> words (first word carries the
+    sentence) -> in-document word frequency (window on key, word) -> per-sentence score ->
+    rank and running word count (window on key) -> one aggregate per key.
+    """
     if max_length < 1 or min_length < 0:
         raise ValueError("max_length must be >= 1 and min_length >= 0")
     base = by_key(docs.select(key, text), key)
-    s = sentences(base, key, text)
-    toks = s.select(key, "pos", F.explode(words(F.lower("sentence"))).alias("tok"))
-    freq = toks.withColumn("f", F.count("*").over(Window.partitionBy(key, "tok")))
-    score = freq.groupBy(key, "pos").agg((F.sum("f").cast("double") / F.count("*")).alias("score"))
-    ranked = s.join(score, [key, "pos"], "inner").withColumn("nw", F.size(words("sentence")))
-    wr = Window.partitionBy(key).orderBy(F.col("score").desc(), F.col("pos").asc())
-    ranked = (ranked.withColumn("rk", F.row_number().over(wr))
+    s = sentences(base, key, text, with_offsets=False, keep_empty=True)
+    toks = s.select(key, "pos", "sentence", F.posexplode_outer(words(F.lower("sentence"))).alias("i", "tok"))
+    freq = toks.withColumn("f", F.when(F.col("tok").isNotNull(), F.count("tok").over(Window.partitionBy(key, "tok"))))
+    per = freq.groupBy(key, "pos").agg(
+        (F.sum("f").cast("double") / F.count("tok")).alias("score"),
+        F.count("tok").alias("nw"),
+        F.max(F.when(F.col("i") == 0, F.col("sentence"))).alias("sentence"))
+    wr = Window.partitionBy(key).orderBy(F.col("score").desc_nulls_last(), F.col("pos").asc())
+    ranked = (per.withColumn("rk", F.row_number().over(wr))
               .withColumn("cum", F.sum("nw").over(wr.rowsBetween(Window.unboundedPreceding, 0))))
-    kept = ranked.where((F.col("rk") == 1) | (F.col("cum") <= max_length) | ((F.col("cum") - F.col("nw")) < min_length))
-    summ = kept.groupBy(key).agg(
-        F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("pos", "sentence"))),
+    keep = (F.col("nw") > 0) & ((F.col("rk") == 1) | (F.col("cum") <= max_length)
+                                | ((F.col("cum") - F.col("nw")) < min_length))
+    agg = ranked.groupBy(key).agg(
+        F.array_join(F.transform(F.array_sort(F.collect_list(F.when(keep, F.struct("pos", "sentence")))),
                                  lambda x: x["sentence"]), " ").alias("summary"),
-        F.sum("nw").alias("summary_length"))
-    orig = base.select(key, F.size(words(text)).alias("original_length"))
-    j = orig.join(summ, key, "left")
-    sl = F.coalesce("summary_length", F.lit(0)).cast("long")
-    ol = F.col("original_length").cast("long")
-    return j.select(key, F.coalesce("summary", F.lit("")).alias("summary"), ol.alias("original_length"),
-                    sl.alias("summary_length"),
-                    F.when(ol > 0, sl.cast("double") / ol).otherwise(F.lit(0.0)).alias("compression_ratio"))
+        F.sum(F.when(keep, F.col("nw")).otherwise(F.lit(0))).cast("long").alias("summary_length"),
+        F.sum("nw").cast("long").alias("original_length"))
+    ol, sl = F.col("original_length"), F.col("summary_length")
+    return agg.select(key, "summary", "original_length", "summary_length",
+                      F.when(ol > 0, sl.cast("double") / ol).otherwise(F.lit(0.0)).alias("compression_ratio"))
 
 
 def answer(questions: DataFrame, key: str = "question_id", question: str = "question",
            context: str = "context") -> DataFrame:
-    """``key, answer, confidence, start_position, end_position`` (offsets into ``context``)."""
-    base = by_key(questions.select(key, question, context), key)
-    terms = base.select(key, F.array_distinct(words(F.lower(question))).alias("terms"))
-    s = sentences(base, key, context)
-    m = (s.join(terms, key, "inner")
-         .withColumn("matched", F.size(F.array_intersect("terms", words(F.lower("sentence")))))
-         .where(F.col("matched") > 0))
-    w = Window.partitionBy(key).orderBy(F.col("matched").desc(), F.col("pos").asc())
-    best = m.withColumn("_r", F.row_number().over(w)).where(F.col("_r") == 1)
-    j = terms.join(best.drop("terms"), key, "left")
-    return j.select(
+    """``key, answer, confidence, start_position, end_position`` (offsets into ``context``).
+
+    Sentences carry the question's distinct words; the best sentence per key is one ``max``
+    over ``struct(matched, -pos, ...)`` (most terms, then earliest), so no join or ranking
+    window is needed.
+    """
+    base = by_key(questions.select(key, F.array_distinct(words(F.lower(question))).alias("terms"), context), key)
+    s = sentences(base, key, context, carry=["terms"], keep_empty=True)
+    m = s.withColumn("matched", F.when(F.col("sentence") != "",
+                                       F.size(F.array_intersect("terms", words(F.lower("sentence"))))))
+    best = F.max(F.when(F.col("matched") > 0, F.struct(
+        F.col("matched"), (-F.col("pos")).alias("neg_pos"), "sentence", "start_position", "end_position")))
+    agg = m.groupBy(key).agg(best.alias("b"), F.max(F.size("terms")).alias("n_terms"))
+    return agg.select(
         key,
-        F.coalesce("sentence", F.lit("")).alias("answer"),
-        F.when(F.col("matched").isNotNull(), F.col("matched").cast("double") / F.size("terms"))
+        F.coalesce("b.sentence", F.lit("")).alias("answer"),
+        F.when(F.col("b").isNotNull(), F.col("b.matched").cast("double") / F.col("n_terms"))
         .otherwise(F.lit(0.0)).alias("confidence"),
-        "start_position", "end_position")
+        F.col("b.start_position").alias("start_position"), F.col("b.end_position").alias("end_position"))
 
 
 def entity_count_columns(text) -> list[Column]:
