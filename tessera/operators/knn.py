@@ -178,11 +178,14 @@ def _grid_knn(queries: DataFrame, n_queries: int, vectors: DataFrame, k: int, ve
 def knn(queries: DataFrame, vectors: DataFrame, k: int, *, query_id: str = "query_id",
         vec_id: str = "vector_index_id", emb: str = "embedding", strategy: str = "auto",
         max_broadcast_bytes: int = DEFAULT_QUERY_BROADCAST_BYTES,
-        query_block: int = DEFAULT_QUERY_BLOCK, vector_block: int = DEFAULT_VECTOR_BLOCK) -> DataFrame:
+        query_block: int = DEFAULT_QUERY_BLOCK, vector_block: int = DEFAULT_VECTOR_BLOCK,
+        vector_dim: int | None = None) -> DataFrame:
     """Top ``k`` stored vectors per query: ``query_id, vector_index_id, score, rank``.
 
     ``queries`` has a LONG ``query_id`` and an array ``embedding``; query vectors are
-    L2-normalised here, stored vectors are taken as stored.
+    L2-normalised here, stored vectors are taken as stored.  The query width is checked
+    against ``vector_dim`` (or the first stored vector) before any scoring job starts; pass
+    ``vector_dim`` when the vectors are computed on the fly so that no extra job runs.
     """
     if k < 1:
         raise ValueError("k must be >= 1")
@@ -191,9 +194,11 @@ def knn(queries: DataFrame, vectors: DataFrame, k: int, *, query_id: str = "quer
     if first_q is None:
         return _final_rank(q.sparkSession.createDataFrame([], KNN_SCHEMA), k)
     dim = int(first_q["d"])
-    first_v = vectors.select(F.size(emb).alias("d")).first()
-    if first_v is not None and int(first_v["d"]) != dim:
-        raise ValueError(f"query width {dim} differs from stored vector width {first_v['d']}")
+    if vector_dim is None:
+        first_v = vectors.select(F.size(emb).alias("d")).first()
+        vector_dim = int(first_v["d"]) if first_v is not None else dim
+    if vector_dim != dim:
+        raise ValueError(f"query width {dim} differs from stored vector width {vector_dim}")
     cap = max(1, max_broadcast_bytes // (8 * max(dim, 1)))
     if strategy in ("auto", "broadcast"):
         rows = q.limit(cap + 1).collect() if strategy == "auto" else q.collect()
@@ -224,7 +229,7 @@ def _filter_frame(spark, document_ids) -> DataFrame | None:
 
 def semantic_search(queries: DataFrame, vectors: DataFrame, chunks: DataFrame, *, limit: int = 10,
                     threshold: float = 0.5, document_ids=None, filter_mode: str = "post",
-                    live_first: bool = False, strategy: str = "auto") -> DataFrame:
+                    live_first: bool = False, strategy: str = "auto", vector_dim: int | None = None) -> DataFrame:
     """Reference order of operations per query: best ``2 * limit`` candidates -> keep
     ``score >= threshold`` -> drop vectors whose chunk is gone -> document filter -> first
     ``limit``.  ``filter_mode="pre"`` restricts vectors before scoring; ``live_first`` drops
@@ -250,7 +255,7 @@ def semantic_search(queries: DataFrame, vectors: DataFrame, chunks: DataFrame, *
         vecs = vecs.join(allowed.select("vector_index_id"), "vector_index_id", "left_semi")
     if live_first:
         vecs = vecs.join(meta.select("vector_index_id"), "vector_index_id", "left_semi")
-    cand = knn(queries, vecs, 2 * limit, strategy=strategy)
+    cand = knn(queries, vecs, 2 * limit, strategy=strategy, vector_dim=vector_dim)
     hits = cand.where(F.col("score") >= F.lit(threshold)).join(meta, "vector_index_id", "inner")
     if flt is not None and filter_mode == "post":
         keys = ["query_id", "document_id"] if "query_id" in flt.columns else ["document_id"]

@@ -269,7 +269,8 @@ def qa_search_frame(spark, questions, vectors, limit=fx.QA_LIMIT, threshold=fx.Q
     emb = E.HashingEmbedder()
     q = questions.select(F.col("question_id").alias("query_id"), "question",
                          emb.column("question").alias("embedding"))
-    hits = K.semantic_search(q.select("query_id", "embedding"), vectors, vectors, limit=limit, threshold=threshold)
+    hits = K.semantic_search(q.select("query_id", "embedding"), vectors, vectors, limit=limit,
+                              threshold=threshold, vector_dim=emb.dim)
     ctx = hits.groupBy("query_id").agg(
         F.array_sort(F.collect_list(F.struct("rank", "content", "chunk_id"))).alias("_h"))
     ctx = ctx.select("query_id",
