@@ -216,15 +216,17 @@ def knn(queries: DataFrame, vectors: DataFrame, k: int, *, query_id: str = "quer
 
 # ------------------------------------------------------------------------------- search chains
 
-def _filter_frame(spark, document_ids) -> DataFrame | None:
+def _filter_frame(spark, document_ids) -> tuple[DataFrame | None, bool]:
+    """(filter frame, bounded): a Python list is a request parameter already held by the
+    driver, so it may be broadcast; a DataFrame filter is left to the planner (AQE)."""
     if document_ids is None:
-        return None
+        return None, False
     if isinstance(document_ids, DataFrame):
-        return document_ids
+        return document_ids, False
     ids = list(document_ids)
     if not ids:
-        return None          # empty list means "no filter", as in the reference
-    return spark.createDataFrame([(str(i),) for i in ids], "document_id string")
+        return None, False   # empty list means "no filter", as in the reference
+    return spark.createDataFrame([(str(i),) for i in ids], "document_id string"), True
 
 
 def semantic_search(queries: DataFrame, vectors: DataFrame, chunks: DataFrame, *, limit: int = 10,
@@ -245,13 +247,14 @@ def semantic_search(queries: DataFrame, vectors: DataFrame, chunks: DataFrame, *
     if filter_mode not in ("post", "pre"):
         raise ValueError("filter_mode must be 'post' or 'pre'")
     spark = queries.sparkSession
-    flt = _filter_frame(spark, document_ids)
+    flt, bounded = _filter_frame(spark, document_ids)
     meta = chunks.select("vector_index_id", "chunk_id", "document_id", "content", "chunk_index")
     vecs = vectors.select("vector_index_id", "embedding")
     if flt is not None and filter_mode == "pre":
         if "query_id" in flt.columns:
             raise ValueError("per-query filters are supported in post mode only")
-        allowed = meta.join(F.broadcast(flt.select("document_id").distinct()), "document_id", "left_semi")
+        ids = flt.select("document_id").distinct()
+        allowed = meta.join(F.broadcast(ids) if bounded else ids, "document_id", "left_semi")
         vecs = vecs.join(allowed.select("vector_index_id"), "vector_index_id", "left_semi")
     if live_first:
         vecs = vecs.join(meta.select("vector_index_id"), "vector_index_id", "left_semi")

@@ -66,16 +66,23 @@ def orphan_chunks(chunks: DataFrame, documents: DataFrame) -> DataFrame:
     return chunks.join(documents.select("document_id"), "document_id", "left_anti").select("chunk_id", "document_id")
 
 
+def latest_per_key(df: DataFrame, keys: list[str], order_col: str) -> DataFrame:
+    """The row with the highest ``order_col`` per key, as an aggregate (``max_by``) so that a
+    hot key is reduced map-side instead of gathering all its rows in one task."""
+    rest = [c for c in df.columns if c not in keys]
+    packed = F.struct(*[F.col(c) for c in rest])
+    agg = df.groupBy(*keys).agg(F.max_by(packed, F.struct(F.col(order_col), packed)).alias("_r"))
+    return agg.select(*keys, *[F.col(f"_r.{c}").alias(c) for c in rest])
+
+
 def upsert(base: DataFrame, changes: DataFrame, key: str | list[str], order_col: str = "arrival") -> DataFrame:
     """``INSERT OR REPLACE`` by key: the last arrival per key wins, replaced keys leave the base.
 
-    The change batch is reduced to one row per key with a window on the key (one shuffle of
-    the batch only), then ``base ⟕anti changes ∪ latest``.
+    The change batch is reduced to one row per key (partial aggregation map-side), then
+    ``base anti-join changes`` united with the latest rows.
     """
     keys = [key] if isinstance(key, str) else list(key)
-    w = Window.partitionBy(*keys).orderBy(F.col(order_col).desc())
-    latest = (changes.withColumn("_rn", F.row_number().over(w)).where("_rn = 1")
-              .drop("_rn", order_col).select(*base.columns))
+    latest = latest_per_key(changes, keys, order_col).drop(order_col).select(*base.columns)
     kept = base.join(latest.select(*keys), keys, "left_anti")
     return kept.unionByName(latest)
 
