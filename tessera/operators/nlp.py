@@ -224,3 +224,29 @@ def resolve_text(requests: DataFrame, doc_text: DataFrame, key: str = "request_i
         F.when(has_text, F.col("text")).when(has_doc, F.col("_doc_text")).alias("resolved_text"),
         F.when(has_text, F.lit(None).cast("string")).when(has_doc & F.col("_d").isNull(), F.lit(NOT_FOUND))
         .when(~has_doc, F.lit(NO_INPUT)).alias("error"))
+
+
+# Batch task registry over a chunks table (MD-8): task name -> operator.  An unknown task
+# raises before any job starts.
+def _task_embeddings(chunks: DataFrame) -> DataFrame:
+    from tessera.operators import embed
+    return embed.embed_chunks(chunks)
+
+
+def _task_summarization(chunks: DataFrame) -> DataFrame:
+    return summarize(chunks, "chunk_id", "content", CHUNK_SUMMARY_MAX, CHUNK_SUMMARY_MIN)
+
+
+def _task_ner(chunks: DataFrame) -> DataFrame:
+    return extract_entities(chunks, "chunk_id", "content")
+
+
+BATCH_TASKS = {"embeddings": _task_embeddings, "summarization": _task_summarization, "ner": _task_ner}
+
+
+def batch_process_chunks(chunks: DataFrame, task: str = "embeddings") -> DataFrame:
+    try:
+        op = BATCH_TASKS[task]
+    except KeyError:
+        raise ValueError(f"Unsupported batch processing task: {task}") from None
+    return op(chunks)

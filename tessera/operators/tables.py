@@ -48,6 +48,20 @@ def list_documents(documents: DataFrame, limit: int = 50, offset: int = 0) -> Da
     return page.withColumn("page_position", F.row_number().over(Window.orderBy(*order)))
 
 
+def list_documents_after(documents: DataFrame, after_timestamp, after_id: str, limit: int = 50) -> DataFrame:
+    """Keyset page for deep paging: rows strictly after the cursor ``(timestamp, id)`` in
+    (newest first, id) order.  The cursor predicate is pushed to the scan and the page is a
+    ``TakeOrderedAndProject``; cost does not grow with the page number as OFFSET does."""
+    if limit < 1:
+        raise ValueError("limit must be >= 1")
+    ts, did = F.col("upload_timestamp"), F.col("document_id")
+    c_ts = F.lit(after_timestamp).cast("timestamp_ntz")
+    after = (ts < c_ts) | ((ts == c_ts) & (did > F.lit(after_id)))
+    order = [ts.desc(), did.asc()]
+    page = documents.where(after).orderBy(*order).limit(limit)
+    return page.withColumn("page_position", F.row_number().over(Window.orderBy(*order)))
+
+
 def document_chunks(requests: DataFrame, chunks: DataFrame) -> DataFrame:
     """Chunks of the requested documents (ids without chunks give no rows, the 404 case)."""
     return requests.join(chunks, "document_id", "inner").select(

@@ -56,6 +56,17 @@ def list_documents(spark, sf_dir):
     return doc_public(page, "page_position")
 
 
+@register("list_documents_keyset", sql_with("doc_raw", "doc") + """
+SELECT row_number() OVER (ORDER BY ts DESC, document_id) AS page_position, * EXCLUDE (ts)
+FROM (SELECT upload_timestamp AS ts, """ + DOC_COLS_SQL + """ FROM doc
+      WHERE upload_timestamp < TIMESTAMP '2024-01-01 02:00:00'
+         OR (upload_timestamp = TIMESTAMP '2024-01-01 02:00:00' AND document_id > '361')
+      ORDER BY ts DESC, document_id LIMIT 50)""")
+def list_documents_keyset(spark, sf_dir):
+    page = tables.list_documents_after(fx.doc(spark, sf_dir), "2024-01-01 02:00:00", "361", limit=50)
+    return doc_public(page, "page_position")
+
+
 @register("chunk_text", sql_with("chunks") + "SELECT * FROM chunks")
 def chunk_text(spark, sf_dir):
     return fx.chunks_all(spark, sf_dir)

@@ -35,7 +35,9 @@ def uploads(spark, sf_dir):
 SELECT document_id, document_type,
        CASE WHEN document_type = 'pdf' THEN 'no_extractor' END AS error,
        CASE WHEN document_type <> 'pdf' THEN CAST(length(t) AS INTEGER) END AS n_chars,
-       CASE WHEN document_type <> 'pdf' THEN md5(t) END AS text_md5
+       CASE WHEN document_type <> 'pdf' THEN md5(t) END AS text_md5,
+       CASE document_type WHEN 'pdf' THEN 'application/pdf' WHEN 'docx' THEN 'application/zip'
+            ELSE 'text/plain' END AS mime_type
 FROM (SELECT document_id, document_type,
              regexp_replace(regexp_replace(text, '\\r\\n?', chr(10), 'g'), '^""" + WS + "+|" + WS + """+$', '', 'g') AS t
       FROM doc)""")
@@ -44,8 +46,10 @@ def extract_text(spark, sf_dir):
     acc = up.where(T.validation_reason("file_size", "filename").isNull()).withColumn(
         "document_type", T.document_type("filename"))
     ext = files.extract_text(acc.select("document_id", "document_type", "content"))
-    return ext.join(acc.select("document_id", "document_type"), "document_id").select(
-        "document_id", "document_type", "error", F.length("text").alias("n_chars"), F.md5("text").alias("text_md5"))
+    meta = acc.select("document_id", "document_type", T.mime_from_magic("content").alias("mime_type"))
+    return ext.join(meta, "document_id").select(
+        "document_id", "document_type", "error", F.length("text").alias("n_chars"), F.md5("text").alias("text_md5"),
+        "mime_type")
 
 
 INGESTED_DOCS_SQL = sql_with("doc_raw", "doc") + "SELECT " + DOC_COLS_SQL + " FROM doc WHERE document_type <> 'pdf'"

@@ -54,3 +54,47 @@ def test_list_documents_offset_and_ties(spark):
     page = tables.list_documents(docs, limit=4, offset=2).orderBy("page_position").collect()
     # minutes: 9 -> 3; 6,7,8 -> 2; 3,4,5 -> 1; newest first, id breaks ties
     assert [r.document_id for r in page] == ["7", "8", "3", "4"]
+
+
+def test_reindex_writes_new_version(spark):
+    from tessera.operators import chunking
+    from tessera.plans.ingest import reindex
+    from tessera.session import scratch_dir
+    from tessera.sources import tables as io
+    docs = spark.createDataFrame([("a", "the cat sat on the mat"), ("b", "dogs bark")], "document_id string, text string")
+    ch = chunking.chunk_text(docs).withColumn("vector_index_id", F.lit(None).cast("long"))
+    root = scratch_dir(spark, "vectors")
+    assert io.read_versioned(spark, root, io.VECTORS_SCHEMA).count() == 0      # absent table reads empty
+    p1 = reindex(spark, root, docs, ch, document_ids=["a"])
+    assert p1.endswith("v=0")
+    v1 = io.read_versioned(spark, root, io.VECTORS_SCHEMA)
+    assert [r.document_id for r in v1.collect()] == ["a"]
+    p2 = reindex(spark, root, docs, ch)
+    assert p2.endswith("v=1")
+    v2 = io.read_versioned(spark, root, io.VECTORS_SCHEMA).collect()
+    assert sorted(r.document_id for r in v2) == ["a", "b"]
+    assert all(abs(sum(x * x for x in r.embedding) - 1) < 1e-5 for r in v2)
+
+
+def test_batch_task_registry(spark):
+    import pytest
+    from tessera.operators import nlp
+    ch = spark.createDataFrame([("c1", "Mail a@b.com now. Then stop.")], "chunk_id string, content string")
+    with pytest.raises(ValueError):
+        nlp.batch_process_chunks(ch, "translate")
+    assert nlp.batch_process_chunks(ch, "ner").first().label == "EMAIL"
+    assert nlp.batch_process_chunks(ch, "summarization").first().summary
+    assert len(nlp.batch_process_chunks(ch, "embeddings").first().embedding) == 384
+
+
+def test_keyset_page_follows_offset_page(spark):
+    import datetime as dt
+    t = dt.datetime(2024, 1, 1)
+    docs = spark.createDataFrame([(str(i), t + dt.timedelta(minutes=i // 3)) for i in range(30)],
+                                 "document_id string, upload_timestamp timestamp_ntz")
+    first = tables.list_documents(docs, limit=7).orderBy("page_position").collect()
+    last = first[-1]
+    nxt = tables.list_documents_after(docs, last.upload_timestamp, last.document_id, limit=7)
+    by_offset = tables.list_documents(docs, limit=7, offset=7)
+    assert [r.document_id for r in nxt.orderBy("page_position").collect()] == \
+        [r.document_id for r in by_offset.orderBy("page_position").collect()]
