@@ -81,4 +81,4 @@ def reassemble_text(chunks: DataFrame, dedup_overlap: bool = False) -> DataFrame
     agg = parts.groupBy("document_id").agg(F.array_sort(F.collect_list("p")).alias("_ps"))
     return agg.select("document_id",
                       F.array_join(F.transform("_ps", lambda x: x["content"]), " ").alias("text"),
-                      F.size("_ps").alias("chunk_count"))
+                      F.size("_ps").cast("long").alias("chunk_count"))

@@ -45,7 +45,7 @@ def list_documents(documents: DataFrame, limit: int = 50, offset: int = 0) -> Da
     order = [F.col("upload_timestamp").desc(), F.col("document_id").asc()]
     page = documents.orderBy(*order).offset(offset).limit(limit)
     # The page is at most ``limit`` rows, so numbering it in one partition is bounded.
-    return page.withColumn("page_position", F.row_number().over(Window.orderBy(*order)))
+    return page.withColumn("page_position", F.row_number().over(Window.orderBy(*order)).cast("long"))
 
 
 def list_documents_after(documents: DataFrame, after_timestamp, after_id: str, limit: int = 50) -> DataFrame:
@@ -59,7 +59,7 @@ def list_documents_after(documents: DataFrame, after_timestamp, after_id: str, l
     after = (ts < c_ts) | ((ts == c_ts) & (did > F.lit(after_id)))
     order = [ts.desc(), did.asc()]
     page = documents.where(after).orderBy(*order).limit(limit)
-    return page.withColumn("page_position", F.row_number().over(Window.orderBy(*order)))
+    return page.withColumn("page_position", F.row_number().over(Window.orderBy(*order)).cast("long"))
 
 
 def document_chunks(requests: DataFrame, chunks: DataFrame) -> DataFrame:
