@@ -201,8 +201,11 @@ def knn(queries: DataFrame, vectors: DataFrame, k: int, *, query_id: str = "quer
         raise ValueError(f"query width {dim} differs from stored vector width {vector_dim}")
     cap = max(1, max_broadcast_bytes // (8 * max(dim, 1)))
     if strategy in ("auto", "broadcast"):
-        rows = q.limit(cap + 1).collect() if strategy == "auto" else q.collect()
-        if len(rows) <= cap or strategy == "broadcast":
+        # Never more than cap + 1 rows reach the driver: the broadcast size is proven, not hoped.
+        rows = q.limit(cap + 1).collect()
+        if len(rows) > cap and strategy == "broadcast":
+            raise ValueError(f"more than {cap} queries of width {dim} exceed the broadcast bound; use 'grid'")
+        if len(rows) <= cap:
             q_ids = np.array([r["query_id"] for r in rows], dtype=np.int64)
             q_mat = _normalise_rows(_to_matrix(pd.Series([r[emb] for r in rows])))
             return _final_rank(_broadcast_knn(q_ids, q_mat, vectors, k, vec_id, emb), k)

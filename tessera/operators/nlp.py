@@ -212,6 +212,32 @@ class PandasTextModel:
         return df.select(F.col(key).alias("k"), F.col(text).alias("t")).mapInPandas(run, self.schema)
 
 
+def analyze(doc_text: DataFrame, *, include_summary: bool = True, include_entities: bool = True,
+            key: str = "document_id", text: str = "text") -> DataFrame:
+    """Per document: ``text_length`` (words of the rebuilt text, overlaps counted twice as in
+    the reference), ``chunk_count``, and optionally the summary and the entity list.
+
+    Entities are gathered per document (bounded by the document size) with one aggregate."""
+    out = doc_text.select(key, F.size(words(text)).cast("long").alias("text_length"),
+                          F.col("chunk_count").cast("long").alias("chunk_count"))
+    if include_summary:
+        s = summarize(doc_text, key, text)
+        out = out.join(s.select(key, F.struct(F.col("summary").alias("text"), "compression_ratio").alias("summary")),
+                       key, "left")
+    if include_entities:
+        ents = extract_entities(doc_text, key, text)
+        per = ents.groupBy(key).agg(F.collect_list(F.struct(
+            "start_position", F.col("text"), "label", "confidence")).alias("_e"))
+        per = per.select(key, F.struct(F.size("_e").cast("long").alias("total_count"), F.transform(
+            F.array_sort("_e"), lambda e: F.struct(e["text"].alias("text"), e["label"].alias("label"),
+                                                  e["confidence"].alias("confidence"))).alias("entities"))
+            .alias("entities"))
+        out = out.join(per, key, "left").withColumn("entities", F.coalesce("entities", F.struct(
+            F.lit(0).cast("long").alias("total_count"),
+            F.array().cast("array<struct<text:string,label:string,confidence:double>>").alias("entities"))))
+    return out
+
+
 def resolve_text(requests: DataFrame, doc_text: DataFrame, key: str = "request_id") -> DataFrame:
     """Text given, else the stored document text, else an error (400 / 404 cases)."""
     j = requests.join(doc_text.select(F.col("document_id").alias("_d"), F.col("text").alias("_doc_text")),

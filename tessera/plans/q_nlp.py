@@ -181,14 +181,42 @@ SELECT d.document_id, CAST(len(""" + _fmt(WORDS_SQL, t="d.text") + """) AS BIGIN
           """ AS BIGINT) AS entity_total
 FROM doc_text d JOIN summ s ON s.k = d.document_id""")
 def analyze_documents(spark, sf_dir):
-    dt = _doc_text(spark, sf_dir)
-    s = nlp.summarize(dt, "document_id", "text")
-    ent = sum(c for c in nlp.entity_count_columns("text"))
-    base = dt.select("document_id", F.size(E.words("text")).cast("long").alias("text_length"),
-                     F.col("chunk_count").cast("long"), ent.cast("long").alias("entity_total"))
-    return base.join(s.select("document_id", "summary", F.round("compression_ratio", 6).alias("compression_ratio")),
-                     "document_id").select("document_id", "text_length", "chunk_count", "summary",
-                                           "compression_ratio", "entity_total")
+    a = nlp.analyze(_doc_text(spark, sf_dir))
+    return a.select("document_id", "text_length", "chunk_count", F.col("summary.text").alias("summary"),
+                    F.round("summary.compression_ratio", 6).alias("compression_ratio"),
+                    F.col("entities.total_count").alias("entity_total"))
+
+
+@register("summarize_requests", sql_with("stored_chunks").rstrip() + "," + DOC_TEXT_SQL + """,
+req AS (SELECT item_id AS request_id,
+               CASE item_id % 5 WHEN 0 THEN text WHEN 1 THEN '' WHEN 4 THEN text END AS text,
+               CASE item_id % 5 WHEN 1 THEN CAST(item_id AS VARCHAR)
+                                WHEN 2 THEN 'missing-' || CAST(item_id AS VARCHAR)
+                                WHEN 4 THEN CAST(item_id AS VARCHAR) END AS document_id
+        FROM benchmark),
+resolved AS (
+  SELECT r.request_id,
+         CASE WHEN coalesce(r.text <> '', false) THEN r.text
+              WHEN r.document_id IS NOT NULL AND r.document_id <> '' THEN d.text END AS rtext,
+         CASE WHEN coalesce(r.text <> '', false) THEN NULL
+              WHEN r.document_id IS NOT NULL AND r.document_id <> '' AND d.document_id IS NULL THEN '""" +
+          nlp.NOT_FOUND + """'
+              WHEN NOT (r.document_id IS NOT NULL AND r.document_id <> '') THEN '""" + nlp.NO_INPUT + """'
+         END AS error
+  FROM req r LEFT JOIN doc_text d ON d.document_id = r.document_id),
+ok AS (SELECT request_id, rtext FROM resolved WHERE error IS NULL),""" + summary_sql(
+    "", "ok", "request_id", "rtext", nlp.SUMMARY_MAX, nlp.SUMMARY_MIN) + """
+SELECT r.request_id, s.summary, s.original_length, s.summary_length,
+       round(s.compression_ratio, 6) AS compression_ratio, r.error
+FROM resolved r LEFT JOIN summ s ON s.k = r.request_id""")
+def summarize_requests(spark, sf_dir):
+    """Summarise the given text, else the stored document's text, else report the error."""
+    r = nlp.resolve_text(fx.requests(spark, sf_dir), _doc_text(spark, sf_dir))
+    ok = r.where(F.col("error").isNull())
+    s = nlp.summarize(ok, "request_id", "resolved_text")
+    return r.select("request_id", "error").join(s, "request_id", "left").select(
+        "request_id", "summary", "original_length", "summary_length",
+        F.round("compression_ratio", 6).alias("compression_ratio"), "error")
 
 
 @register("resolve_text", sql_with("stored_chunks").rstrip() + "," + DOC_TEXT_SQL + """,
