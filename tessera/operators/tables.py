@@ -11,6 +11,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tessera.functions import text as T
+from tessera.session import ensure_checkpoint_dir
 
 DOCUMENT_COLUMNS = ["document_id", "filename", "file_size", "document_type", "upload_timestamp",
                     "processing_timestamp", "word_count", "page_count", "language"]
@@ -154,6 +155,7 @@ def assign_dense_ids(df: DataFrame, existing: DataFrame | None = None, id_col: s
     that tiny table, which is broadcast back.  The input is checkpointed first so that both
     passes see the same partitions and rows even if an executor is lost and tasks rerun.
     """
+    ensure_checkpoint_dir(df.sparkSession)
     staged = (df.withColumn("_pid", F.spark_partition_id())
               .withColumn("_mono", F.monotonically_increasing_id())
               .checkpoint(eager=True))

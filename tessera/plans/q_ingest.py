@@ -15,7 +15,7 @@ from tessera.plans.fixtures import sql_with
 from tessera.plans.ingest import ingest
 from tessera.plans.q_documents import DOC_COLS_SQL, doc_public
 from tessera.plans.q_nlp import hash_search_sql, stored_vectors
-from tessera.session import scratch_dir
+from tessera.session import ensure_checkpoint_dir, scratch_dir
 from tessera.sources import files
 from tessera.streaming import ingest as S
 
@@ -120,6 +120,7 @@ def stream_search(spark, sf_dir):
     micro-batch against the stored chunk vectors."""
     reqs = _land(spark, conversation_queries(spark, sf_dir), "requests")
     out = scratch_dir(spark, "search-out")
+    ensure_checkpoint_dir(spark)
     vectors = stored_vectors(spark, sf_dir).checkpoint()
     S.stream_search(spark, reqs, vectors, out, scratch_dir(spark, "search-ckpt"),
                     limit=fx.QA_LIMIT, threshold=fx.QA_THRESHOLD, max_files_per_trigger=2)
