@@ -91,7 +91,7 @@ def _land(spark, df, name, n_files=4):
 def stream_ingest(spark, sf_dir):
     """Uploads land as several files; an available-now stream ingests them one file per
     micro-batch; the documents log is read back merge-on-read."""
-    landing = _land(spark, uploads(spark, sf_dir), "landing")
+    landing = files.land_uploads(uploads(spark, sf_dir), scratch_dir(spark, "landing"), n_files=4)
     out = scratch_dir(spark, "ingest-out")
     S.stream_ingest(spark, landing, out, scratch_dir(spark, "ingest-ckpt"), max_files_per_trigger=1)
     return doc_public(S.read_log(spark, f"{out}/documents", "document_id"))
@@ -99,7 +99,7 @@ def stream_ingest(spark, sf_dir):
 
 @register("stream_ingest_status", STATUS_SQL)
 def stream_ingest_status(spark, sf_dir):
-    landing = _land(spark, uploads(spark, sf_dir), "landing")
+    landing = files.land_uploads(uploads(spark, sf_dir), scratch_dir(spark, "landing"), n_files=4)
     out = scratch_dir(spark, "ingest-out")
     S.stream_ingest(spark, landing, out, scratch_dir(spark, "ingest-ckpt"), max_files_per_trigger=2)
     return S.read_log(spark, f"{out}/status", "document_id")

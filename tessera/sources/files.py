@@ -27,13 +27,20 @@ EXTRACT_SCHEMA = "document_id string, text string, error string"
 W_NS = "{http://schemas.openxmlformats.org/wordprocessingml/2006/main}"
 
 
-def land_uploads(uploads: DataFrame, root: str) -> str:
+def land_uploads(uploads: DataFrame, root: str, n_files: int | None = None) -> str:
     """Append uploads to the landing table (SNK-1); returns the path."""
-    uploads.select("document_id", "filename", F.col("file_size").cast("int"), "upload_timestamp",
-                   "content").write.mode("append").parquet(root)
+    df = uploads.select("document_id", "filename", F.col("file_size").cast("int"), "upload_timestamp", "content")
+    (df.repartition(n_files) if n_files else df).write.mode("append").parquet(root)
     return root
 
 
+def uploads_from_files(raw: DataFrame) -> DataFrame:
+    """``binaryFile`` rows (see ``read_raw_files``) as uploads: size = ``length``, upload time =
+    file modification time (naive UTC)."""
+    return raw.select("document_id", "filename", F.col("length").cast("int").alias("file_size"),
+                      F.col("modificationTime").cast("timestamp_ntz").alias("upload_timestamp"), "content")
+
+
 def read_raw_files(spark: SparkSession, path: str, glob: str | None = None) -> DataFrame:
     """``binaryFile`` source: ``path, modificationTime, length, content`` plus ``filename`` and
     ``document_id`` taken from the path: a ``document_id=<id>`` folder when present, else the
@@ -41,7 +48,11 @@ def read_raw_files(spark: SparkSession, path: str, glob: str | None = None) -> D
     r = spark.read.format("binaryFile").option("recursiveFileLookup", "true")
     if glob:
         r = r.option("pathGlobFilter", glob)
-    df = r.load(path)
+    return with_path_ids(r.load(path))
+
+
+def with_path_ids(df: DataFrame) -> DataFrame:
+    """Add ``filename`` and ``document_id`` derived from a ``binaryFile`` ``path``."""
     name = F.regexp_extract("path", r"([^/]+)$", 1)
     folder_id = F.regexp_extract("path", r"/document_id=([^/]+)/", 1)
     stem = F.regexp_extract(name, r"^(.+?)(\.[^.]*)?$", 1)
