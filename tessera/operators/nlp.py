@@ -97,12 +97,16 @@ def summarize(docs: DataFrame, key: str = "document_id", text: str = "text",
         raise ValueError("max_length must be >= 1 and min_length >= 0")
     base = by_key(docs.select(key, text), key)
     s = sentences(base, key, text, with_offsets=False, keep_empty=True)
-    toks = s.select(key, "pos", "sentence", F.posexplode_outer(words(F.lower("sentence"))).alias("i", "tok"))
+    toks = (s.select(key, "pos", "sentence", F.posexplode_outer(words(F.lower("sentence"))).alias("i", "tok"))
+            # only the first word row keeps the sentence text, so sorts move small rows
+            .select(key, "pos", "tok", F.when(F.coalesce(F.col("i"), F.lit(0)) == 0, F.col("sentence"))
+                    .alias("sentence")))
     freq = toks.withColumn("f", F.when(F.col("tok").isNotNull(), F.count("tok").over(Window.partitionBy(key, "tok"))))
     per = freq.groupBy(key, "pos").agg(
         (F.sum("f").cast("double") / F.count("tok")).alias("score"),
         F.count("tok").alias("nw"),
-        F.max(F.when(F.col("i") == 0, F.col("sentence"))).alias("sentence"))
+        # collect_list (hash-based object aggregate) of the one non-null text, not a sort aggregate
+        F.element_at(F.collect_list("sentence"), 1).alias("sentence"))
     wr = Window.partitionBy(key).orderBy(F.col("score").desc_nulls_last(), F.col("pos").asc())
     ranked = (per.withColumn("rk", F.row_number().over(wr))
               .withColumn("cum", F.sum("nw").over(wr.rowsBetween(Window.unboundedPreceding, 0))))

@@ -67,9 +67,15 @@ def chunks_all(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chunk_text(doc_raw(spark, sf_dir))
 
 
+def accepted_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """``document_id, text`` of accepted uploads (no metadata columns to analyse or compute)."""
+    r = doc_raw(spark, sf_dir)
+    return r.where(T.validation_reason("file_size", "filename").isNull()).select("document_id", "text")
+
+
 def stored_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Chunks of stored (accepted) documents only: what ingest would have written."""
-    return chunk_text(doc(spark, sf_dir))
+    return chunk_text(accepted_text(spark, sf_dir))
 
 
 def vec(spark: SparkSession, sf_dir: str) -> DataFrame:
