@@ -108,3 +108,39 @@ def test_resolve_text_cases(spark):
     got = {r.request_id: (r.source, r.resolved_text, r.error) for r in nlp.resolve_text(req, docs).collect()}
     assert got == {1: ("text", "given", None), 2: ("document", "stored text", None),
                    3: (None, None, nlp.NOT_FOUND), 4: (None, None, nlp.NO_INPUT)}
+
+
+def test_pluggable_text_model(spark):
+    """A model backend is any ``texts -> outputs`` callable, built once per worker."""
+    def factory():
+        return lambda texts: [{"summary": " ".join(t.split()[:2]), "n": len(t.split())} for t in texts]
+    model = nlp.PandasTextModel(factory, "document_id string, summary string, n long", batch_size=2)
+    df = spark.createDataFrame([(k, t) for k, t in TEXTS], "document_id string, text string")
+    got = {r.document_id: (r.summary, r.n) for r in model.apply(df, "document_id", "text").collect()}
+    assert got["d2"] == ("One. Two", 6) and got["d3"] == ("", 0)
+
+
+def test_pluggable_embedder(spark):
+    import numpy as np
+    from tessera.operators import embed as E
+
+    def factory():
+        return lambda texts: np.array([[len(t), 1.0, 0.0] for t in texts])
+    emb = E.PandasEmbedder(factory, dim=3, batch_size=2)
+    df = spark.createDataFrame([("a", "abc"), ("b", ""), ("c", "abcdef")], "chunk_id string, content string")
+    got = {r.chunk_id: r.embedding for r in E.embed_chunks(df, emb).collect()}
+    assert np.allclose(got["a"], np.array([3, 1, 0]) / np.sqrt(10), atol=1e-6)
+    assert np.allclose(got["b"], [0, 1, 0])
+
+
+def test_hashing_embedder_matches_python(spark):
+    import hashlib
+    import numpy as np
+    from tessera.operators import embed as E
+    text = "The the cat  SAT\ton the mat. Über straße"
+    df = spark.createDataFrame([("x", text)], "chunk_id string, content string")
+    vec = np.asarray(E.embed_chunks(df).first().embedding, dtype=np.float64)
+    counts = np.zeros(384)
+    for w in text.lower().split():
+        counts[int(hashlib.md5(w.encode()).hexdigest()[:8], 16) % 384] += 1
+    assert np.allclose(vec, (counts / np.linalg.norm(counts)).astype(np.float32), atol=1e-7)
