@@ -60,14 +60,18 @@ def chunk_text(docs: DataFrame, text_col: str = "text", id_col: str = "document_
     )
 
 
-def reassemble_text(chunks: DataFrame, dedup_overlap: bool = False) -> DataFrame:
+def reassemble_text(chunks: DataFrame, dedup_overlap: bool = False, ids: DataFrame | None = None) -> DataFrame:
     """Document text rebuilt from its chunks in ``chunk_index`` order, joined by one space.
 
     Parity mode repeats the overlapping words, as the reference does.  ``dedup_overlap``
     drops from each chunk the words the previous chunk already covered (by word offsets), so
     the result is the original word sequence.  One shuffle on ``document_id``; one document's
-    chunks are bounded by the largest accepted file.
+    chunks are bounded by the largest accepted file.  ``ids`` limits the work to the documents
+    a request names.
     """
+    if ids is not None:
+        # Requested documents only: the semi-join runs before the per-document aggregate.
+        chunks = chunks.join(ids.select("document_id"), "document_id", "left_semi")
     if not dedup_overlap:
         part = F.col("content")
     else:

@@ -73,9 +73,13 @@ def accepted_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     return r.where(T.validation_reason("file_size", "filename").isNull()).select("document_id", "text")
 
 
-def stored_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Chunks of stored (accepted) documents only: what ingest would have written."""
-    return chunk_text(accepted_text(spark, sf_dir))
+def stored_chunks(spark: SparkSession, sf_dir: str, ids: DataFrame | None = None) -> DataFrame:
+    """Chunks of stored (accepted) documents only: what ingest would have written.  With
+    ``ids``, only the chunks of those documents (semi-join before chunking)."""
+    docs = accepted_text(spark, sf_dir)
+    if ids is not None:
+        docs = docs.join(ids.select("document_id"), "document_id", "left_semi")
+    return chunk_text(docs)
 
 
 def vec(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -77,7 +77,8 @@ SELECT l.pos, c.document_id, c.chunk_id, c.content, c.chunk_index, c.start_posit
 FROM (SELECT doc_id AS pos, CAST(doc_id AS VARCHAR) AS document_id FROM labels) l
 JOIN stored_chunks c ON c.document_id = l.document_id""")
 def document_chunks(spark, sf_dir):
-    return tables.document_chunks(fx.labelled_ids(spark, sf_dir), fx.stored_chunks(spark, sf_dir))
+    ids = fx.labelled_ids(spark, sf_dir)
+    return tables.document_chunks(ids, fx.stored_chunks(spark, sf_dir, ids))
 
 
 @register("document_chunk_counts", sql_with("stored_chunks") + """

@@ -78,8 +78,9 @@ def answer_sql(prefix: str, src: str, key: str, question: str, context: str) ->
          FROM {prefix}terms t LEFT JOIN {prefix}best b ON b.k = t.k)"""
 
 
-def _doc_text(spark, sf_dir):
-    return chunking.reassemble_text(fx.stored_chunks(spark, sf_dir))
+def _doc_text(spark, sf_dir, ids=None):
+    """Stored document text rebuilt from chunks; with ``ids`` only for the requested documents."""
+    return chunking.reassemble_text(fx.stored_chunks(spark, sf_dir, ids))
 
 
 def _round_ratio(df, col="compression_ratio"):
@@ -117,7 +118,7 @@ batch AS (SELECT l.doc_id AS pos, CAST(l.doc_id AS VARCHAR) AS document_id, s.su
 
 def _batch(spark, sf_dir):
     req = fx.labelled_ids(spark, sf_dir)
-    s = nlp.summarize(_doc_text(spark, sf_dir), "document_id", "text")
+    s = nlp.summarize(_doc_text(spark, sf_dir, req), "document_id", "text")
     j = req.join(s.withColumn("_ok", F.lit(True)), "document_id", "left")
     return j.select("pos", "document_id", "summary", F.round("compression_ratio", 6).alias("compression_ratio"),
                     F.when(F.col("_ok").isNull(), F.lit(nlp.NOT_FOUND)).alias("error"))
@@ -146,7 +147,7 @@ SELECT b.item_id AS question_id, a.answer, round(a.confidence, 6) AS confidence,
 FROM benchmark b LEFT JOIN ans a ON a.k = b.item_id""")
 def answer_questions(spark, sf_dir):
     q = fx.questions(spark, sf_dir)
-    ctx = q.join(_doc_text(spark, sf_dir).select("document_id", F.col("text").alias("context")), "document_id")
+    ctx = q.join(_doc_text(spark, sf_dir, q).select("document_id", F.col("text").alias("context")), "document_id")
     a = nlp.answer(ctx, "question_id", "question", "context")
     j = q.select("question_id").join(a.withColumn("_ok", F.lit(True)), "question_id", "left")
     return j.select("question_id", "answer", F.round("confidence", 6).alias("confidence"),
@@ -211,7 +212,8 @@ SELECT r.request_id, s.summary, s.original_length, s.summary_length,
 FROM resolved r LEFT JOIN summ s ON s.k = r.request_id""")
 def summarize_requests(spark, sf_dir):
     """Summarise the given text, else the stored document's text, else report the error."""
-    r = nlp.resolve_text(fx.requests(spark, sf_dir), _doc_text(spark, sf_dir))
+    req = fx.requests(spark, sf_dir)
+    r = nlp.resolve_text(req, _doc_text(spark, sf_dir, req.where(F.col("document_id").isNotNull())))
     ok = r.where(F.col("error").isNull())
     s = nlp.summarize(ok, "request_id", "resolved_text")
     return r.select("request_id", "error").join(s, "request_id", "left").select(
@@ -238,7 +240,8 @@ SELECT r.request_id,
        END AS error
 FROM req r LEFT JOIN doc_text d ON d.document_id = r.document_id""")
 def resolve_text(spark, sf_dir):
-    return nlp.resolve_text(fx.requests(spark, sf_dir), _doc_text(spark, sf_dir))
+    req = fx.requests(spark, sf_dir)
+    return nlp.resolve_text(req, _doc_text(spark, sf_dir, req.where(F.col("document_id").isNotNull())))
 
 
 # ------------------------------------------------------------------------------ retrieval QA

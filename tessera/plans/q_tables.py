@@ -109,8 +109,9 @@ def reindex_all(spark, sf_dir):
     "(SELECT * FROM stored_chunks WHERE document_id IN (SELECT CAST(doc_id AS VARCHAR) FROM labels)"
     " AND document_id IN (SELECT document_id FROM doc))") + SUMMARY_SQL)
 def reindex_subset(spark, sf_dir):
-    found = fx.doc(spark, sf_dir).join(fx.labelled_ids(spark, sf_dir), "document_id", "left_semi")
-    chunks = fx.stored_chunks(spark, sf_dir).join(found.select("document_id"), "document_id", "left_semi")
+    found = fx.doc(spark, sf_dir).select("document_id").join(fx.labelled_ids(spark, sf_dir), "document_id",
+                                                             "left_semi")
+    chunks = fx.stored_chunks(spark, sf_dir, found)
     return E.vector_summary(E.embed_chunks(chunks))
 
 
