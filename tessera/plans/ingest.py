@@ -68,9 +68,7 @@ def reindex(spark, vectors_root: str, documents: DataFrame, chunks: DataFrame, d
     from tessera.sources import tables as io
     docs = documents.select("document_id")
     if document_ids is not None:
-        ids = (document_ids.select("document_id") if isinstance(document_ids, DataFrame)
-               else spark.createDataFrame([(str(i),) for i in document_ids], "document_id string"))
-        docs = docs.join(ids, "document_id", "left_semi")
+        docs = tables.restrict_to_ids(docs, document_ids)
     selected = chunks.join(docs, "document_id", "left_semi")
     fresh = embed.embed_chunks(selected.drop("embedding") if "embedding" in selected.columns else selected,
                                embedder)

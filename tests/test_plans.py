@@ -27,3 +27,11 @@ def test_filters_and_columns_reach_the_scan(spark):
     p = df._jdf.queryExecution().executedPlan().toString()
     assert "PushedFilters: [IsNotNull(doc_id), EqualTo(doc_id,3)]" in p
     assert "ReadSchema: struct<doc_id:bigint,lang:string>" in p
+
+
+def test_short_id_list_is_pushed_to_the_scan(spark):
+    df = fx.read(spark, SF, "documents").withColumnRenamed("doc_id", "document_id")
+    p = _plan(tables.restrict_to_ids(df, [3, 1]))
+    assert "PushedFilters: [In(doc_id, [1,3])]" in p or "In(doc_id" in p
+    ids = spark.createDataFrame([(3,), (1,)], "document_id long")
+    assert tables.restrict_to_ids(df, ids).count() == 2
