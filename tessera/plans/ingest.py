@@ -26,19 +26,25 @@ class IngestResult:
     extracted: DataFrame     # persisted intermediate; call ``release()`` when done
 
     def release(self) -> None:
-        self.extracted.unpersist()
+        if self.extracted.storageLevel.useMemory or self.extracted.storageLevel.useDisk:
+            self.extracted.unpersist()
 
 
 def ingest(uploads: DataFrame, *, embedder=None, size: int = chunking.CHUNK_SIZE,
            overlap: int = chunking.CHUNK_OVERLAP, pdf_extractor=None,
-           existing_vectors: DataFrame | None = None, assign_ids: bool = False) -> IngestResult:
-    """``uploads``: ``document_id, filename, file_size, upload_timestamp, content``."""
+           existing_vectors: DataFrame | None = None, assign_ids: bool = False,
+           persist: bool = False) -> IngestResult:
+    """``uploads``: ``document_id, filename, file_size, upload_timestamp, content``.
+
+    ``persist=True`` keeps the extracted text for the three outputs (call ``release()`` after
+    writing them); a caller that needs one output leaves it off."""
     reason = T.validation_reason("file_size", "filename")
     checked = uploads.withColumn("reason", reason).withColumn(
         "document_type", F.when(F.col("reason").isNull(), T.document_type("filename")))
     accepted = checked.where(F.col("reason").isNull())
     ext = files.extract_text(accepted.select("document_id", "document_type", "content"), pdf_extractor)
-    ext = ext.persist(StorageLevel.MEMORY_AND_DISK)
+    if persist:
+        ext = ext.persist(StorageLevel.MEMORY_AND_DISK)
     ok = ext.where(F.col("error").isNull()).select("document_id", "text")
     meta = accepted.select("document_id", "filename", "file_size", "document_type", "upload_timestamp")
     documents = meta.join(ok, "document_id", "inner").select(
@@ -77,3 +83,15 @@ def reindex(spark, vectors_root: str, documents: DataFrame, chunks: DataFrame, d
                            for f in io.VECTORS_SCHEMA.fields])
     merged = tables.upsert(current, fresh.withColumn("arrival", F.lit(1)), "chunk_id")
     return io.write_version(merged, vectors_root)
+
+
+def ingest_and_store(uploads: DataFrame, out_root: str, **kw) -> dict[str, str]:
+    """Batch ingest writing documents, vectors and status as new table versions; the
+    extracted text is computed once for the three writes and released afterwards."""
+    from tessera.sources import tables as io
+    res = ingest(uploads, persist=True, **kw)
+    try:
+        return {name: io.write_version(df, f"{out_root.rstrip('/')}/{name}")
+                for name, df in (("documents", res.documents), ("vectors", res.vectors), ("status", res.status))}
+    finally:
+        res.release()

@@ -60,3 +60,18 @@ def test_ingest_status_and_empty_text(spark):
     assert docs == {"1": (4, "en"), "3": (0, "unknown")}
     assert {r.document_id for r in res.vectors.collect()} == {"1"}      # no words -> no chunks
     res.release()
+
+
+def test_ingest_and_store_writes_three_versions(spark):
+    from tessera.plans.ingest import ingest_and_store
+    from tessera.sources import tables as io
+    t = dt.datetime(2024, 1, 1)
+    up = spark.createDataFrame([("1", "a.txt", 5, t, bytearray(b"the and of cat")), ("2", "b.pdf", 5, t, bytearray(b"%PDF"))],
+                               "document_id string, filename string, file_size int, upload_timestamp timestamp_ntz, "
+                               "content binary")
+    root = scratch_dir(spark, "store")
+    paths = ingest_and_store(up, root)
+    assert all(p.endswith("v=0") for p in paths.values())
+    assert io.read_versioned(spark, f"{root}/documents").count() == 1
+    assert {r.status for r in io.read_versioned(spark, f"{root}/status").collect()} == {"completed", "failed"}
+    assert spark.sparkContext._jsc.getPersistentRDDs().size() == 0
