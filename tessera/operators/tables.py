@@ -68,7 +68,10 @@ def list_documents_after(documents: DataFrame, after_timestamp, after_id: str, l
     if limit < 1:
         raise ValueError("limit must be >= 1")
     ts, did = F.col("upload_timestamp"), F.col("document_id")
-    c_ts = F.lit(after_timestamp).cast("timestamp_ntz")
+    if hasattr(after_timestamp, "isoformat"):
+        # naive UTC wall-clock text, so no driver or session time zone shifts the cursor
+        after_timestamp = after_timestamp.isoformat(sep=" ")
+    c_ts = F.lit(str(after_timestamp)).cast("timestamp_ntz")
     after = (ts < c_ts) | ((ts == c_ts) & (did > F.lit(after_id)))
     order = [ts.desc(), did.asc()]
     page = documents.where(after).orderBy(*order).limit(limit)
