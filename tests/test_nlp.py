@@ -144,3 +144,16 @@ def test_hashing_embedder_matches_python(spark):
     for w in text.lower().split():
         counts[int(hashlib.md5(w.encode()).hexdigest()[:8], 16) % 384] += 1
     assert np.allclose(vec, (counts / np.linalg.norm(counts)).astype(np.float32), atol=1e-7)
+
+
+def test_hashing_udf_equals_jvm_rule(spark):
+    import numpy as np
+    from pyspark.sql import functions as F
+    from tessera.operators import embed as E
+    from tessera.plans import fixtures as fx
+    h = E.HashingEmbedder()
+    ch = fx.stored_chunks(spark, "/root/testdata/sf0.001").limit(200)
+    rows = ch.select(h.column("content").alias("e"), h.buckets("content").alias("b")).collect()
+    for r in rows:
+        c = np.bincount(np.asarray(r.b, dtype=np.int64), minlength=384).astype(np.float64)
+        assert np.allclose(np.asarray(r.e), (c / np.linalg.norm(c)).astype(np.float32), atol=0)
