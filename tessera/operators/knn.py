@@ -151,7 +151,8 @@ def _grid_knn(queries: DataFrame, n_queries: int, vectors: DataFrame, k: int, ve
     n_qb = max(1, math.ceil(n_queries / query_block))
     n_v = n_vectors if n_vectors is not None else vectors.count()
     n_vb = max(1, math.ceil(n_v / vector_block))
-    qblocks = (queries.select(F.col("query_id").cast("long").alias("query_id"), l2_normalize(emb).alias("e"))
+    qblocks = (queries.where(F.col(emb).isNotNull())
+               .select(F.col("query_id").cast("long").alias("query_id"), l2_normalize(emb).alias("e"))
                .withColumn("qb", F.pmod(F.xxhash64("query_id"), F.lit(n_qb)))
                .groupBy("qb").agg(F.collect_list(F.struct("query_id", "e")).alias("qs")))
     vblocks = (vectors.select(F.col(vec_id).cast("long").alias("vid"), F.col(emb).alias("v"))
@@ -190,30 +191,34 @@ def knn(queries: DataFrame, vectors: DataFrame, k: int, *, query_id: str = "quer
     if k < 1:
         raise ValueError("k must be >= 1")
     q = queries.select(F.col(query_id).cast("long").alias("query_id"), F.col(emb).alias(emb))
-    first_q = q.select(F.size(emb).alias("d")).where(F.col("d").isNotNull()).first()
-    if first_q is None:
-        return _final_rank(q.sparkSession.createDataFrame([], KNN_SCHEMA), k)
-    dim = int(first_q["d"])
     if vector_dim is None:
-        first_v = vectors.select(F.size(emb).alias("d")).first()
-        vector_dim = int(first_v["d"]) if first_v is not None else dim
-    if vector_dim != dim:
-        raise ValueError(f"query width {dim} differs from stored vector width {vector_dim}")
+        first_v = vectors.select(F.size(emb).alias("d")).first()      # cheap on a stored table
+        if first_v is None:
+            return _final_rank(q.sparkSession.createDataFrame([], KNN_SCHEMA), k)
+        vector_dim = int(first_v["d"])
+    dim = vector_dim
     cap = max(1, max_broadcast_bytes // (8 * max(dim, 1)))
+    if strategy not in ("auto", "broadcast", "grid"):
+        raise ValueError(f"unknown strategy {strategy!r}")
     if strategy in ("auto", "broadcast"):
         # Never more than cap + 1 rows reach the driver: the broadcast size is proven, not hoped.
-        rows = q.limit(cap + 1).collect()
+        rows = [r for r in q.limit(cap + 1).collect() if r[emb] is not None]
+        bad = {len(r[emb]) for r in rows} - {dim}
+        if bad:
+            raise ValueError(f"query width {sorted(bad)} differs from stored vector width {dim}")
         if len(rows) > cap and strategy == "broadcast":
             raise ValueError(f"more than {cap} queries of width {dim} exceed the broadcast bound; use 'grid'")
         if len(rows) <= cap:
+            if not rows:
+                return _final_rank(q.sparkSession.createDataFrame([], KNN_SCHEMA), k)
             q_ids = np.array([r["query_id"] for r in rows], dtype=np.int64)
             q_mat = _normalise_rows(_to_matrix(pd.Series([r[emb] for r in rows])))
             return _final_rank(_broadcast_knn(q_ids, q_mat, vectors, k, vec_id, emb), k)
-        n_q = q.count()
-    elif strategy == "grid":
-        n_q = q.count()
-    else:
-        raise ValueError(f"unknown strategy {strategy!r}")
+    # Too many queries to broadcast: check widths with one aggregate, then the grid.
+    stats = q.agg(F.count(emb).alias("n"), F.min(F.size(emb)).alias("lo"), F.max(F.size(emb)).alias("hi")).first()
+    if stats["n"] and (stats["lo"] != dim or stats["hi"] != dim):
+        raise ValueError(f"query widths {stats['lo']}..{stats['hi']} differ from stored vector width {dim}")
+    n_q = int(stats["n"])
     return _final_rank(_grid_knn(q, n_q, vectors, k, vec_id, emb, query_block, vector_block), k)
 
 
