@@ -51,7 +51,12 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
     current = sc.getCheckpointDir()
     if not current:
         configured = sc.getConf().get("spark.checkpoint.dir", None)
-        sc.setCheckpointDir(configured or tempfile.mkdtemp(prefix="tessera-ckpt-"))
+        if not configured:
+            if not sc.master.startswith("local"):
+                # A machine-local folder is not shared by executors: refuse rather than guess.
+                raise RuntimeError("set spark.checkpoint.dir to a folder shared by the cluster")
+            configured = tempfile.mkdtemp(prefix="tessera-ckpt-")
+        sc.setCheckpointDir(configured)
         current = sc.getCheckpointDir()
     return current
 
