@@ -244,7 +244,7 @@ def semantic_search(queries: DataFrame, vectors: DataFrame, chunks: DataFrame, *
     ``score >= threshold`` -> drop vectors whose chunk is gone -> document filter -> first
     ``limit``.  ``filter_mode="pre"`` restricts vectors before scoring; ``live_first`` drops
     tombstoned vectors before scoring.  A filter frame with a ``query_id`` column filters per
-    query (post mode only).
+    query (in pre mode each query is scored against its allowed documents only).
 
     ``chunks``: ``vector_index_id, chunk_id, document_id, content, chunk_index`` (live rows).
     Output: ``query_id, rank, vector_index_id, document_id, chunk_id, content, chunk_index,
@@ -258,15 +258,17 @@ def semantic_search(queries: DataFrame, vectors: DataFrame, chunks: DataFrame, *
     flt, bounded = _filter_frame(spark, document_ids)
     meta = chunks.select("vector_index_id", "chunk_id", "document_id", "content", "chunk_index")
     vecs = vectors.select("vector_index_id", "embedding")
-    if flt is not None and filter_mode == "pre":
-        if "query_id" in flt.columns:
-            raise ValueError("per-query filters are supported in post mode only")
+    per_query_pre = flt is not None and filter_mode == "pre" and "query_id" in flt.columns
+    if flt is not None and filter_mode == "pre" and not per_query_pre:
         ids = flt.select("document_id").distinct()
         allowed = meta.join(F.broadcast(ids) if bounded else ids, "document_id", "left_semi")
         vecs = vecs.join(allowed.select("vector_index_id"), "vector_index_id", "left_semi")
     if live_first:
         vecs = vecs.join(meta.select("vector_index_id"), "vector_index_id", "left_semi")
-    cand = knn(queries, vecs, 2 * limit, strategy=strategy, vector_dim=vector_dim)
+    if per_query_pre:
+        cand = prefiltered_knn(queries, flt, vecs, meta, 2 * limit)
+    else:
+        cand = knn(queries, vecs, 2 * limit, strategy=strategy, vector_dim=vector_dim)
     hits = cand.where(F.col("score") >= F.lit(threshold)).join(meta, "vector_index_id", "inner")
     if flt is not None and filter_mode == "post":
         keys = ["query_id", "document_id"] if "query_id" in flt.columns else ["document_id"]
@@ -277,6 +279,23 @@ def semantic_search(queries: DataFrame, vectors: DataFrame, chunks: DataFrame, *
                       "content", "chunk_index", F.col("score").alias("similarity_score"))
 
 
+def prefiltered_knn(queries: DataFrame, allowed: DataFrame, vectors: DataFrame, meta: DataFrame, k: int) -> DataFrame:
+    """Exact top k per query over the vectors of that query's allowed documents only.
+
+    ``allowed``: ``query_id, document_id``.  Each query meets only its candidates (an equi-join
+    through the documents), the score is a JVM dot product, and the rank a window per query;
+    work is proportional to the filter, not to the vector table.
+    """
+    q = queries.select(F.col("query_id").cast("long").alias("query_id"), l2_normalize("embedding").alias("q"))
+    cand = (allowed.select(F.col("query_id").cast("long").alias("query_id"), "document_id").distinct()
+            .join(meta.select("vector_index_id", "document_id"), "document_id")
+            .join(vectors.select("vector_index_id", "embedding"), "vector_index_id")
+            .join(q, "query_id"))
+    scored = cand.select("query_id", "vector_index_id",
+                         F.round(dot("q", "embedding"), SCORE_DECIMALS).alias("score"))
+    return _final_rank(scored, k)
+
+
 def attach_metadata(hits: DataFrame, documents: DataFrame, iso) -> DataFrame:
     """One left join for all hits (not one lookup per hit); no document row -> NULL metadata."""
     d = documents.select("document_id", "filename", "document_type", "upload_timestamp",

@@ -97,6 +97,37 @@ def semantic_search_docs_pre(spark, sf_dir):
     return _out(_search(spark, sf_dir, document_ids=fx.DOC_FILTER_IDS, filter_mode="pre"))
 
 
+def label_filter(spark, sf_dir):
+    """Per-query filter from the data: a query may match the documents holding a vector with the
+    same ``label`` as the query's own embedding."""
+    e = fx.read(spark, sf_dir, "embeddings")
+    v = fx.vec(spark, sf_dir).select("vector_index_id", "document_id")
+    doc_labels = v.join(e.select(F.col("vec_id").alias("vector_index_id"), "label"), "vector_index_id") \
+        .select("document_id", "label").distinct()
+    return e.select(F.col("vec_id").alias("query_id"), "label").join(doc_labels, "label") \
+        .select("query_id", "document_id")
+
+
+@register("semantic_search_per_query_pre", sql_with("vec").rstrip() + "," + QN_SQL + """,
+allowed AS (SELECT DISTINCT q.vec_id AS query_id, v.document_id
+            FROM embeddings q JOIN embeddings e ON e.label = q.label JOIN vec v ON v.vector_index_id = e.vec_id),
+cand AS (SELECT query_id, vector_index_id, score,
+                row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vector_index_id) AS cand_rank
+         FROM (SELECT q.query_id, v.vector_index_id,
+                      round(list_dot_product(q.e, CAST(v.embedding AS DOUBLE[])), 10) AS score
+               FROM qn q JOIN allowed a ON a.query_id = q.query_id JOIN vec v ON v.document_id = a.document_id)
+         QUALIFY cand_rank <= """ + str(2 * fx.SEARCH_LIMIT) + """),
+hits AS (SELECT c.query_id, c.cand_rank, c.vector_index_id, c.score, v.document_id, v.chunk_id,
+                v.content, v.chunk_index
+         FROM cand c JOIN vec v ON v.vector_index_id = c.vector_index_id
+         WHERE c.score >= """ + str(fx.SEARCH_THRESHOLD) + """),
+res AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY cand_rank) AS rank
+        FROM hits QUALIFY rank <= """ + str(fx.SEARCH_LIMIT) + """)
+""" + SEARCH_COLS_SQL)
+def semantic_search_per_query_pre(spark, sf_dir):
+    return _out(_search(spark, sf_dir, document_ids=label_filter(spark, sf_dir), filter_mode="pre"))
+
+
 @register("semantic_search_deleted",
           search_sql(fx.SEARCH_LIMIT, fx.SEARCH_THRESHOLD, deleted=True) + SEARCH_COLS_SQL)
 def semantic_search_deleted(spark, sf_dir):

@@ -126,3 +126,22 @@ def test_post_is_prefix_of_pre(spark):
         gr.setdefault(r.query_id, []).append(r.vector_index_id)
     for qid, ids in gp.items():
         assert gr[qid][:len(ids)] == ids
+
+
+def test_per_query_pre_filter(spark):
+    rng = np.random.default_rng(11)
+    vs = [(i, rng.normal(size=5).astype(np.float32).tolist()) for i in range(120)]
+    v = spark.createDataFrame(vs, "vector_index_id long, embedding array<float>")
+    c = spark.createDataFrame([(i, f"{i % 6}-{i}", str(i % 6), "t", i) for i, _ in vs],
+                              "vector_index_id long, chunk_id string, document_id string, content string, chunk_index int")
+    qs = [(i, rng.normal(size=5).astype(np.float32).tolist()) for i in range(8)]
+    q = spark.createDataFrame(qs, "query_id long, embedding array<float>")
+    allowed = {qid: {str(qid % 6), str((qid + 1) % 6)} for qid, _ in qs}
+    flt = spark.createDataFrame([(qid, d) for qid, ds in allowed.items() for d in ds], "query_id long, document_id string")
+    got = K.semantic_search(q, v, c, limit=4, threshold=-1.0, document_ids=flt, filter_mode="pre")
+    res = {}
+    for r in got.orderBy("rank").collect():
+        res.setdefault(r.query_id, []).append(r.vector_index_id)
+    for qid, qv in qs:
+        sub = [(i, e) for i, e in vs if str(i % 6) in allowed[qid]]
+        assert res[qid] == _brute([(qid, qv)], sub, 4)[qid]
