@@ -34,6 +34,7 @@ DEFAULT_VECTOR_BLOCK = 8192
 
 KNN_SCHEMA = "query_id long, vector_index_id long, score double"
 SCORE_DECIMALS = 10
+SCORE_CELLS = 32_000_000
 
 
 def l2_normalize(col) -> Column:
@@ -97,7 +98,16 @@ def _score_blocks(q_ids, q_mat, batches, k: int):
     """Running exact top k of one query block over an iterator of (ids, matrix) blocks."""
     acc_q, acc_i, acc_s = [], [], []
     pending = 0
-    for v_ids, v_mat in batches:
+    # Bound each score matrix to SCORE_CELLS entries (~256 MB of float64) whatever the number
+    # of broadcast queries, by slicing the vector batch.
+    step = max(1, SCORE_CELLS // max(1, len(q_ids)))
+
+    def slices():
+        for v_ids, v_mat in batches:
+            for a in range(0, len(v_ids), step):
+                yield v_ids[a:a + step], v_mat[a:a + step]
+
+    for v_ids, v_mat in slices():
         if len(v_ids) == 0:
             continue
         # Rounded to 1e-10 so equal vectors tie exactly whatever the summation order.

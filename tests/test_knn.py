@@ -145,3 +145,16 @@ def test_per_query_pre_filter(spark):
     for qid, qv in qs:
         sub = [(i, e) for i, e in vs if str(i % 6) in allowed[qid]]
         assert res[qid] == _brute([(qid, qv)], sub, 4)[qid]
+
+
+def test_score_slicing_keeps_exact_results(spark, monkeypatch):
+    rng = np.random.default_rng(5)
+    vs = [(i, rng.normal(size=4).astype(np.float32).tolist()) for i in range(150)]
+    qs = [(i, rng.normal(size=4).astype(np.float32).tolist()) for i in range(9)]
+    monkeypatch.setattr(K, "SCORE_CELLS", 20)        # forces slices of 2 vectors
+    got = K._score_blocks(np.array([q for q, _ in qs]), K._normalise_rows(np.array([e for _, e in qs], dtype=np.float64)),
+                          [(np.array([i for i, _ in vs]), np.array([e for _, e in vs], dtype=np.float64))], 5)
+    res = {}
+    for r in got.sort_values(["query_id", "score", "vector_index_id"], ascending=[True, False, True]).itertuples():
+        res.setdefault(r.query_id, []).append(r.vector_index_id)
+    assert res == _brute(qs, vs, 5)
