@@ -172,18 +172,25 @@ def _grid_knn(queries: DataFrame, n_queries: int, vectors: DataFrame, k: int, ve
     routed = qblocks.withColumn("vb", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(n_vb - 1).cast("long"))))
     pairs = routed.join(vblocks, "vb")
 
-    def score(it):
-        for pdf in it:
-            for qs, vs in zip(pdf["qs"], pdf["vs"]):
-                q_ids = np.array([r["query_id"] for r in qs], dtype=np.int64)
-                q_mat = _to_matrix(pd.Series([r["e"] for r in qs]))
-                v_ids = np.array([r["vid"] for r in vs], dtype=np.int64)
-                v_mat = _to_matrix(pd.Series([r["v"] for r in vs]), q_mat.shape[1])
-                out = _score_blocks(q_ids, q_mat, [(v_ids, v_mat)], k)
-                if out is not None:
-                    yield out
-
-    return pairs.select("qs", "vs").mapInPandas(score, KNN_SCHEMA)
+    def score(pdf: pd.DataFrame) -> pd.DataFrame:
+        # One group = one (query block, vector block) pair: bounded by the two block sizes,
+        # and sent to Python as its own Arrow batch.
+        outs = []
+        for qs, vs in zip(pdf["qs"], pdf["vs"]):
+            q_ids = np.array([r["query_id"] for r in qs], dtype=np.int64)
+            q_mat = _to_matrix(pd.Series([r["e"] for r in qs]))
+            v_ids = np.array([r["vid"] for r in vs], dtype=np.int64)
+            v_mat = _to_matrix(pd.Series([r["v"] for r in vs]), q_mat.shape[1])
+            out = _score_blocks(q_ids, q_mat, [(v_ids, v_mat)], k)
+            if out is not None:
+                outs.append(out)
+        if not outs:
+            return pd.DataFrame({"query_id": pd.Series(dtype="int64"), "vector_index_id": pd.Series(dtype="int64"),
+                                 "score": pd.Series(dtype="float64")})
+        return pd.concat(outs, ignore_index=True)
+
+    # The join output is hash-partitioned on vb, which already clusters (qb, vb): no new exchange.
+    return pairs.select("qb", "vb", "qs", "vs").groupBy("qb", "vb").applyInPandas(score, KNN_SCHEMA)
 
 
 def knn(queries: DataFrame, vectors: DataFrame, k: int, *, query_id: str = "query_id",
