@@ -174,6 +174,16 @@ def extract_entities(spark, sf_dir):
     return nlp.extract_entities(fx.doc(spark, sf_dir), "document_id", "text")
 
 
+@register("entity_mentions", sql_with("doc_raw", "doc") + "SELECT document_id, label, text, count(*) AS n FROM (" +
+          "\n UNION ALL ".join(
+              f"SELECT document_id, '{label}' AS label, unnest(regexp_extract_all(text, '{_sql_str(p)}')) AS text FROM doc"
+              for label, p in nlp.ENTITY_RULES) + ") GROUP BY ALL")
+def entity_mentions(spark, sf_dir):
+    """Distinct entity mentions per document with their counts (the offsets query, grouped)."""
+    e = nlp.extract_entities(fx.doc(spark, sf_dir), "document_id", "text")
+    return e.groupBy("document_id", "label", "text").agg(F.count("*").alias("n"))
+
+
 @register("analyze_documents", sql_with("stored_chunks").rstrip() + "," + DOC_TEXT_SQL + "," +
           summary_sql("", "doc_text", "document_id", "text", nlp.SUMMARY_MAX, nlp.SUMMARY_MIN) + """
 SELECT d.document_id, CAST(len(""" + _fmt(WORDS_SQL, t="d.text") + """) AS BIGINT) AS text_length,
