@@ -85,13 +85,26 @@ def reindex(spark, vectors_root: str, documents: DataFrame, chunks: DataFrame, d
     return io.write_version(merged, vectors_root)
 
 
-def ingest_and_store(uploads: DataFrame, out_root: str, **kw) -> dict[str, str]:
-    """Batch ingest writing documents, vectors and status as new table versions; the
-    extracted text is computed once for the three writes and released afterwards."""
+def store_upsert(spark, root: str, rows: DataFrame, key: str) -> str:
+    """``INSERT OR REPLACE`` into a versioned table: current version (empty if absent) with the
+    new rows replacing theirs by ``key``, written as the next version."""
     from tessera.sources import tables as io
+    current = io.read_versioned(spark, root, rows.schema)
+    merged = tables.upsert(current, rows.withColumn("arrival", F.lit(1)), key)
+    return io.write_version(merged, root)
+
+
+STORE_KEYS = {"documents": "document_id", "vectors": "chunk_id", "status": "document_id"}
+
+
+def ingest_and_store(uploads: DataFrame, out_root: str, **kw) -> dict[str, str]:
+    """Batch ingest stored by key into the documents, vectors and status tables (each written
+    as its next version); the extracted text is computed once for the three writes and
+    released afterwards.  Re-ingesting the same uploads changes nothing."""
     res = ingest(uploads, persist=True, **kw)
+    spark = uploads.sparkSession
     try:
-        return {name: io.write_version(df, f"{out_root.rstrip('/')}/{name}")
+        return {name: store_upsert(spark, f"{out_root.rstrip('/')}/{name}", df, STORE_KEYS[name])
                 for name, df in (("documents", res.documents), ("vectors", res.vectors), ("status", res.status))}
     finally:
         res.release()

@@ -75,3 +75,7 @@ def test_ingest_and_store_writes_three_versions(spark):
     assert io.read_versioned(spark, f"{root}/documents").count() == 1
     assert {r.status for r in io.read_versioned(spark, f"{root}/status").collect()} == {"completed", "failed"}
     assert spark.sparkContext._jsc.getPersistentRDDs().size() == 0
+    again = ingest_and_store(up, root)                       # same uploads again: replace by key
+    assert all(p.endswith("v=1") for p in again.values())
+    assert io.read_versioned(spark, f"{root}/documents").count() == 1
+    assert io.read_versioned(spark, f"{root}/status").count() == 2
