@@ -107,10 +107,6 @@ def deleted_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
     return doc_raw(spark, sf_dir).where(F.pmod("doc_id", F.lit(7)) == 0).select("document_id")
 
 
-def doc_filter(spark: SparkSession) -> DataFrame:
-    return spark.createDataFrame([(i,) for i in DOC_FILTER_IDS], "document_id string")
-
-
 def updates(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Upsert batch: changed rows given twice (arrival 1 and 2) plus brand-new ids."""
     d = doc(spark, sf_dir)
@@ -165,7 +161,6 @@ REASON_SQL = ("CASE WHEN {s} > " + str(T.MAX_FILE_SIZE) + " THEN 'too_large' WHE
               ") NOT IN ('.pdf', '.docx', '.txt', '.doc') THEN 'bad_extension' END")
 TYPE_SQL = ("CASE lower(" + EXT_SQL + ") WHEN '.pdf' THEN 'pdf' WHEN '.docx' THEN 'docx' "
             "WHEN '.doc' THEN 'docx' WHEN '.txt' THEN 'txt' END")
-ISO_SQL = "strftime({c}, '%Y-%m-%dT%H:%M:%S')"
 
 
 def _fmt(tmpl: str, **kw) -> str:
