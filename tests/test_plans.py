@@ -35,3 +35,11 @@ def test_short_id_list_is_pushed_to_the_scan(spark):
     assert "PushedFilters: [In(doc_id, [1,3])]" in p or "In(doc_id" in p
     ids = spark.createDataFrame([(3,), (1,)], "document_id long")
     assert tables.restrict_to_ids(df, ids).count() == 2
+
+
+def test_summariser_adds_no_exchange_after_reassembly(spark):
+    from tessera.operators import chunking, nlp
+    text = chunking.reassemble_text(fx.stored_chunks(spark, SF))
+    plan = nlp.summarize(text)._jdf.queryExecution().executedPlan().toString()
+    base = text._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Exchange") == base.count("Exchange")
