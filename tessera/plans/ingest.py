@@ -101,8 +101,13 @@ def ingest_and_store(uploads: DataFrame, out_root: str, **kw) -> dict[str, str]:
     """Batch ingest stored by key into the documents, vectors and status tables (each written
     as its next version); the extracted text is computed once for the three writes and
     released afterwards.  Re-ingesting the same uploads changes nothing."""
-    res = ingest(uploads, persist=True, **kw)
     spark = uploads.sparkSession
+    if kw.get("assign_ids") and kw.get("existing_vectors") is None:
+        from tessera.sources import tables as io
+        # new vector ids continue after those already stored
+        kw["existing_vectors"] = io.read_versioned(spark, f"{out_root.rstrip('/')}/vectors",
+                                                   io.VECTORS_SCHEMA).select("vector_index_id")
+    res = ingest(uploads, persist=True, **kw)
     try:
         return {name: store_upsert(spark, f"{out_root.rstrip('/')}/{name}", df, STORE_KEYS[name])
                 for name, df in (("documents", res.documents), ("vectors", res.vectors), ("status", res.status))}

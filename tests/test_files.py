@@ -79,3 +79,18 @@ def test_ingest_and_store_writes_three_versions(spark):
     assert all(p.endswith("v=1") for p in again.values())
     assert io.read_versioned(spark, f"{root}/documents").count() == 1
     assert io.read_versioned(spark, f"{root}/status").count() == 2
+
+
+def test_ingest_and_store_continues_vector_ids(spark):
+    from tessera.plans.ingest import ingest_and_store
+    from tessera.sources import tables as io
+    t = dt.datetime(2024, 1, 1)
+    schema = "document_id string, filename string, file_size int, upload_timestamp timestamp_ntz, content binary"
+    words = " ".join(f"w{i}" for i in range(600)).encode()          # two chunks each
+    first = spark.createDataFrame([("1", "a.txt", 5, t, bytearray(words)), ("2", "b.txt", 5, t, bytearray(b"x y"))], schema)
+    second = spark.createDataFrame([("3", "c.txt", 5, t, bytearray(words))], schema)
+    root = scratch_dir(spark, "store")
+    ingest_and_store(first, root, assign_ids=True)
+    ingest_and_store(second, root, assign_ids=True)
+    ids = sorted(r.vector_index_id for r in io.read_versioned(spark, f"{root}/vectors", io.VECTORS_SCHEMA).collect())
+    assert ids == list(range(5))
