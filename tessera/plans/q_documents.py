@@ -52,8 +52,24 @@ SELECT row_number() OVER (ORDER BY ts DESC, document_id) AS page_position, * EXC
 FROM (SELECT upload_timestamp AS ts, """ + DOC_COLS_SQL + """ FROM doc
       ORDER BY ts DESC, document_id LIMIT 50 OFFSET 10)""")
 def list_documents(spark, sf_dir):
-    page = tables.list_documents(fx.doc(spark, sf_dir), limit=50, offset=10)
-    return doc_public(page, "page_position")
+    return _late_page(spark, sf_dir, lambda keys: tables.list_documents(keys, limit=50, offset=10))
+
+
+def _late_page(spark, sf_dir, pager):
+    """Page over key columns only, then derive the text columns (word count, language) for the
+    page's rows alone: the regex work is per page, not per table."""
+    raw = fx.doc_raw(spark, sf_dir)
+    keys = raw.where(T.validation_reason("file_size", "filename").isNull()).select(
+        "document_id", "filename", "file_size", T.document_type("filename").alias("document_type"),
+        "upload_timestamp", F.col("upload_timestamp").alias("processing_timestamp"))
+    page = pager(keys)
+    # Straight from the scan (streamed into the broadcast join of the page; no spreading needed).
+    text = fx.read(spark, sf_dir, "documents").select(F.col("doc_id").cast("string").alias("document_id"), "text")
+    full = page.join(text, "document_id").select(
+        "page_position", "document_id", "filename", "file_size", "document_type", "upload_timestamp",
+        "processing_timestamp", T.word_count("text").alias("word_count"),
+        F.lit(None).cast("int").alias("page_count"), T.language_substring("text").alias("language"))
+    return doc_public(full, "page_position")
 
 
 @register("list_documents_keyset", sql_with("doc_raw", "doc") + """
@@ -63,8 +79,8 @@ FROM (SELECT upload_timestamp AS ts, """ + DOC_COLS_SQL + """ FROM doc
          OR (upload_timestamp = TIMESTAMP '2024-01-01 02:00:00' AND document_id > '361')
       ORDER BY ts DESC, document_id LIMIT 50)""")
 def list_documents_keyset(spark, sf_dir):
-    page = tables.list_documents_after(fx.doc(spark, sf_dir), "2024-01-01 02:00:00", "361", limit=50)
-    return doc_public(page, "page_position")
+    return _late_page(spark, sf_dir,
+                      lambda keys: tables.list_documents_after(keys, "2024-01-01 02:00:00", "361", limit=50))
 
 
 @register("chunk_text", sql_with("chunks") + "SELECT * FROM chunks")
