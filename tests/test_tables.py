@@ -98,3 +98,12 @@ def test_keyset_page_follows_offset_page(spark):
     by_offset = tables.list_documents(docs, limit=7, offset=7)
     assert [r.document_id for r in nxt.orderBy("page_position").collect()] == \
         [r.document_id for r in by_offset.orderBy("page_position").collect()]
+
+
+def test_restrict_to_ids_long_list_uses_semi_join(spark):
+    df = spark.range(0, 3000).select(F.col("id").cast("string").alias("document_id"))
+    ids = [str(i) for i in range(0, 3000, 2)] + ["nope"]
+    out = tables.restrict_to_ids(df, ids, max_literal_ids=100)
+    assert "LeftSemi" in out._jdf.queryExecution().optimizedPlan().toString()
+    assert out.count() == 1500
+    assert tables.restrict_to_ids(df, ["1", "2"]).count() == 2
