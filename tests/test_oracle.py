@@ -41,3 +41,11 @@ def test_query_matches_oracle(spark, con, name):
 def test_entry_runs(spark):
     df = E.entry(spark)
     assert df.count() >= 0 and len(df.columns) > 0
+
+
+def test_entry_schema_is_stable(spark):
+    df = E.entry(spark)
+    assert df.columns == ["query_id", "rank", "vector_index_id", "document_id", "chunk_id", "content",
+                          "chunk_index", "similarity_score"]
+    assert [f.dataType.simpleString() for f in df.schema.fields] == [
+        "bigint", "bigint", "bigint", "string", "string", "string", "int", "double"]
