@@ -40,7 +40,7 @@ def materialise(df: DataFrame, name: str) -> DataFrame:
     lineage so that lost executors cost no recomputation.  The folder goes when the application ends."""
     spark = df.sparkSession
     path = scratch_dir(spark, name)
-    df.write.parquet(path)
+    df.write.option("compression", "zstd").parquet(path)
     jvm = spark._jvm  # noqa: SLF001
     where = jvm.org.apache.hadoop.fs.Path(path)
     where.getFileSystem(spark._jsc.hadoopConfiguration()).deleteOnExit(where)  # noqa: SLF001
@@ -124,3 +124,47 @@ def local_components(n: int, a: np.ndarray, b: np.ndarray) -> np.ndarray:
             break
         lab = new
     return lab
+
+
+def whole_groups(keys: list[str], fn: Callable[[pd.DataFrame, np.ndarray], pd.DataFrame]):
+    """A ``mapInPandas`` function for partitions sorted by ``keys``: calls ``fn(rows, starts)`` with whole groups
+    only (``starts``: where each begins, and the end).  One call serves many small groups; a group that
+    runs over several Arrow batches is held until it ends."""
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        held: list[pd.DataFrame] = []
+        for b in batches:
+            if not len(b):
+                continue
+            first = held[0][keys].iloc[0] if held else b[keys].iloc[0]
+            if (b[keys].iloc[-1] == first).all():  # still the same group
+                held.append(b)
+                continue
+            rows = pd.concat([*held, b], ignore_index=True)
+            starts = _starts(rows, keys)
+            cut = starts[-1]
+            yield fn(rows.iloc[:cut], starts)
+            held = [rows.iloc[cut:]]
+        if held:
+            rows = pd.concat(held, ignore_index=True)
+            yield fn(rows, np.append(_starts(rows, keys), len(rows)))
+    return run
+
+
+def _starts(rows: pd.DataFrame, keys: list[str]) -> np.ndarray:
+    new = np.zeros(len(rows), bool)
+    new[0] = True
+    for k in keys:
+        v = rows[k].to_numpy()
+        new[1:] |= v[1:] != v[:-1]
+    return np.flatnonzero(new)
+
+
+def pairs_within(starts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """All ``i < j`` of the same group, for groups that begin at ``starts[:-1]``."""
+    size = np.diff(starts)
+    ends = np.repeat(starts[1:], size)
+    i = np.arange(starts[0], starts[-1])
+    after = ends - i - 1
+    a = np.repeat(i, after)
+    b = a + 1 + np.arange(len(a)) - np.repeat(np.cumsum(after) - after, after)
+    return a, b

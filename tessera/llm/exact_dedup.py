@@ -68,8 +68,9 @@ def recipes(docs: DataFrame, row_id: str, hash_bytes: int = HASH_BYTES) -> DataF
         return pd.DataFrame({"row_id": part["row_id"], "doc_id": part["doc_id"],
                              "recipe": [b"".join(_name(c, hash_bytes) for c in cut(t)) for t in texts],
                              "text_sha256": [hashlib.sha256(t).hexdigest() for t in texts]})
-    return docs.select(F.col(row_id).alias("row_id"), "doc_id", "text").mapInPandas(
-        C.per_batch(run), "row_id long, doc_id long, recipe binary, text_sha256 string")
+    # Ids pass Python as text: pandas would turn longs with nulls into doubles.
+    return docs.select(F.col(row_id).alias("row_id"), F.col("doc_id").cast("string").alias("doc_id"), "text").mapInPandas(
+        C.per_batch(run), "row_id long, doc_id string, recipe binary, text_sha256 string").withColumn("doc_id", F.col("doc_id").cast("long"))
 
 
 def chunks(docs: DataFrame, row_id: str, hash_bytes: int = HASH_BYTES) -> DataFrame:

@@ -6,8 +6,8 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tessera.llm import exact_dedup, pii, quality, secrets
-from tessera.llm.common import read
+from tessera.llm import exact_dedup, mixing, near_dup, packing, pii, quality, secrets, url_filter, vector_dedup
+from tessera.llm.common import read, with_row_id
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -22,6 +22,27 @@ def register(name: str, oracle: str | None = None):
     return deco
 
 
+@register("op1_ngram_jaccard")
+def op1(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_dup.join(read(spark, sf_dir, "documents")).drop("row_id")
+
+
+@register("op3_packing")
+def op3(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.pack(read(spark, sf_dir, "documents"))
+
+
+@register("op4_vector_dedup")
+def op4(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return vector_dedup.dedup(read(spark, sf_dir, "embeddings"))
+
+
+@register("op5_mixing")
+def op5(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs, row_id = with_row_id(read(spark, sf_dir, "documents"))
+    return mixing.plan(docs, row_id).drop("row_id")
+
+
 @register("op6_pii")
 def op6(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pii.find(read(spark, sf_dir, "documents"))
@@ -41,6 +62,12 @@ def op8(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup.group_equal_texts(read(spark, sf_dir, "documents")).drop("row_id")
 
 
+@register("op9_url_filter", url_filter.ORACLE)
+def op9(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pages = read(spark, sf_dir, "pages")
+    return url_filter.judge(url_filter.fetches(pages), url_filter.derived_list(pages))
+
+
 @register("op10_secrets")
 def op10(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secrets.scan(read(spark, sf_dir, "documents"))
