@@ -1,8 +1,60 @@
-"""The training-data pipeline: each stage works on all its predecessor kept."""
+"""The training-data pipeline over ``documents``: quality, exact copies, near copies, mixture, packing.
 
-STAGES = []
+Every stage is ``(spark, docs, sf_dir) -> DataFrame``; its result is written as Parquet and read again as the next
+stage's ``docs``.  All but the last return the columns they were given.  Filtering stages name the rows
+that stay by row id, so repeated rows and null ids are told apart."""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from tessera.llm import common, exact_dedup, mixing, near_dup, packing, quality
+
+
+def _only_kept(docs: DataFrame, row_id: str, judged: DataFrame) -> DataFrame:
+    kept = judged.where("kept").select(F.col("row_id").alias(row_id))
+    return docs.join(kept, row_id, "left_semi").drop(row_id)
+
+
+def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents the classifier scores at least ``quality.THRESHOLD``; it trains on the labelled rows."""
+    model = quality.train(docs, common.read(spark, sf_dir, "labels"))
+    return docs.where(quality.score_column(model, F.col("text")) >= quality.THRESHOLD)
+
+
+def exact_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each group of equal texts."""
+    docs, row_id = common.with_row_id(docs)
+    return _only_kept(docs, row_id, exact_dedup.group_equal_texts(docs, row_id=row_id))
+
+
+def near_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each class of near copies."""
+    docs, row_id = common.with_row_id(docs)
+    return _only_kept(docs, row_id, near_dup.join(docs, row_id=row_id))
+
+
+def mixing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents of small sources repeated to the mixture's weights; none is dropped."""
+    return mixing.mix(docs)
+
+
+def packing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The pieces of every document (each use of it) in token sequences."""
+    return packing.pack(docs)
+
+
+STAGES = [("quality", quality_stage), ("exact_dedup", exact_stage), ("near_dup", near_stage),
+          ("mixing", mixing_stage), ("packing", packing_stage)]
+
+#: The hashes, the trained model and the tokenizer are beyond SQL; tests hold each stage against brute force.
 ORACLE_SQL = None
 
 
-def run(spark, sf_dir):
-    return spark.read.parquet(f"{sf_dir}/documents.parquet")
+def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All stages over ``documents``, each result written and read again."""
+    docs = common.read(spark, sf_dir, "documents")
+    for name, stage in STAGES[:-1]:
+        docs = common.materialise(stage(spark, docs, sf_dir), f"stage-{name}")
+    return STAGES[-1][1](spark, docs, sf_dir)

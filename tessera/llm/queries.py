@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tessera.llm import exact_dedup, mixing, near_dup, packing, pii, quality, secrets, url_filter, vector_dedup
+from tessera.llm import exact_dedup, mixing, near_dup, packing, pii, quality, secrets, suffix_dedup, url_filter, vector_dedup
 from tessera.llm.common import read, with_row_id
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -27,6 +27,11 @@ def op1(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_dup.join(read(spark, sf_dir, "documents")).drop("row_id")
 
 
+@register("op2_suffix_dedup")
+def op2(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return suffix_dedup.remove_repeats(read(spark, sf_dir, "documents")).drop("row_id")
+
+
 @register("op3_packing")
 def op3(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(read(spark, sf_dir, "documents"))
