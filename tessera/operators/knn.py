@@ -2,19 +2,18 @@
 
 Block top-k
 -----------
-* ``broadcast`` strategy (query set of checked size): the normalised query matrix is
-  broadcast once per executor; ``mapInPandas`` over the vectors scores each Arrow batch as
-  one matrix product ``Q @ V.T`` in float64 and keeps, per partition, the best k per query
-  (ties at the cut kept, so the id tie-break stays exact).  A ``row_number`` window on
-  ``query_id`` (``WindowGroupLimit`` partial + final) then picks the global top k.  Shuffle
-  volume is ``partitions * queries * k`` rows, independent of the vector count per partition.
-* ``grid`` strategy (query set too big to broadcast): queries and vectors are grouped into
-  bounded blocks; each query block is sent to every vector block (block replication, the
-  layout of a blocked matrix product) and scored there, emitting only per-block top k.
+One plan for every size.  Vectors are dealt at random into blocks of bounded bytes and cross the
+shuffle once; every query is sent to each block; rows are ordered so that a block's vectors come
+before its queries.  A task holds one vector block and scores each Arrow batch of queries as one
+matrix product ``Q @ V.T`` in float64, keeping the best k per query (ties at the cut kept, so the id
+tie-break stays exact).  A ``row_number`` window on ``query_id`` (``WindowGroupLimit`` partial + final)
+then picks the global top k.  Nothing is collected or broadcast and no job runs before the action;
+the number of blocks comes from the planner's size estimate.
 
 Scores are float64 inner products of the L2-normalised query with the stored (already
 normalised) float32 vector, rounded to 10 decimals so that equal vectors tie exactly; ranks
-break score ties by ascending vector id.
+break score ties by ascending vector id.  A vector that is NULL or holds a NULL or non-finite
+value matches nothing, as does such a query; vectors of another width than the query's are an error.
 """
 
 from __future__ import annotations
@@ -26,11 +25,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tessera.sources.tables import spread
-
-DEFAULT_QUERY_BROADCAST_BYTES = 64 << 20
-DEFAULT_QUERY_BLOCK = 1024
-DEFAULT_VECTOR_BLOCK = 8192
+VECTOR_BLOCK_BYTES = 32 << 20
 
 KNN_SCHEMA = "query_id long, vector_index_id long, score double"
 SCORE_DECIMALS = 10
@@ -63,13 +58,20 @@ def _normalise_rows(m: np.ndarray) -> np.ndarray:
     return out
 
 
-def _to_matrix(col: pd.Series, dim: int | None = None) -> np.ndarray:
-    if len(col) == 0:
-        return np.zeros((0, dim or 0))
-    m = np.stack([np.asarray(v, dtype=np.float64) for v in col])
-    if dim is not None and m.shape[1] != dim:
-        raise ValueError(f"vector width {m.shape[1]} differs from query width {dim}")
-    return m
+def _matrix(rows, ids: np.ndarray, dim: int | None, dtype) -> tuple[np.ndarray, np.ndarray]:
+    """The usable rows' ids and their vectors as a matrix; one width only."""
+    ok, vecs = [], []
+    for i, v in enumerate(rows):
+        if v is None:
+            continue
+        a = np.asarray(v, dtype=np.float64)
+        if dim is not None and len(a) != dim:
+            raise ValueError(f"vector width {len(a)} differs from query width {dim}")
+        dim = len(a)
+        if np.isfinite(a).all():
+            ok.append(i)
+            vecs.append(a.astype(dtype))
+    return np.asarray(ids)[ok], np.stack(vecs) if vecs else np.zeros((0, dim or 0), dtype)
 
 
 def _batch_candidates(scores: np.ndarray, k: int):
@@ -94,33 +96,32 @@ def _merge_topk(qi: np.ndarray, ids: np.ndarray, sc: np.ndarray, k: int):
     return qi[keep], ids[keep], sc[keep]
 
 
-def _score_blocks(q_ids, q_mat, batches, k: int):
-    """Running exact top k of one query block over an iterator of (ids, matrix) blocks."""
+def _score_blocks(q_ids, q_mat, batches, k: int, allowed=None):
+    """Exact top k of some queries over an iterator of (ids, matrix) blocks.
+
+    ``allowed(first, last)``: optional mask (queries x vectors of this slice) of the pairs that count."""
     acc_q, acc_i, acc_s = [], [], []
     pending = 0
-    # Bound each score matrix to SCORE_CELLS entries (~256 MB of float64) whatever the number
-    # of broadcast queries, by slicing the vector batch.
+    # Bound each score matrix to SCORE_CELLS entries (~256 MB of float64) by slicing the vectors.
     step = max(1, SCORE_CELLS // max(1, len(q_ids)))
-
-    def slices():
-        for v_ids, v_mat in batches:
-            for a in range(0, len(v_ids), step):
-                yield v_ids[a:a + step], v_mat[a:a + step]
-
-    for v_ids, v_mat in slices():
-        if len(v_ids) == 0:
-            continue
-        # Rounded to 1e-10 so equal vectors tie exactly whatever the summation order.
-        s = np.round(q_mat @ v_mat.T, SCORE_DECIMALS)
-        qi, ci = _batch_candidates(s, k)
-        acc_q.append(qi)
-        acc_i.append(v_ids[ci])
-        acc_s.append(s[qi, ci])
-        pending += len(qi)
-        if pending > 8 * k * len(q_ids) + 100_000:
-            m = _merge_topk(np.concatenate(acc_q), np.concatenate(acc_i), np.concatenate(acc_s), k)
-            acc_q, acc_i, acc_s = [m[0]], [m[1]], [m[2]]
-            pending = len(m[0])
+    for v_ids, v_mat in batches:
+        for a in range(0, len(v_ids), step):
+            part = v_ids[a:a + step]
+            # Rounded to 1e-10 so equal vectors tie exactly whatever the summation order.
+            s = np.round(q_mat @ v_mat[a:a + step].T.astype(np.float64), SCORE_DECIMALS)
+            if allowed is not None:
+                s = np.where(allowed(a, a + step), s, -np.inf)
+            qi, ci = _batch_candidates(s, k)
+            sc = s[qi, ci]
+            real = sc > -np.inf
+            acc_q.append(qi[real])
+            acc_i.append(part[ci[real]])
+            acc_s.append(sc[real])
+            pending += len(acc_q[-1])
+            if pending > 8 * k * len(q_ids) + 100_000:
+                m = _merge_topk(np.concatenate(acc_q), np.concatenate(acc_i), np.concatenate(acc_s), k)
+                acc_q, acc_i, acc_s = [m[0]], [m[1]], [m[2]]
+                pending = len(m[0])
     if not acc_q:
         return None
     qi, ids, sc = _merge_topk(np.concatenate(acc_q), np.concatenate(acc_i), np.concatenate(acc_s), k)
@@ -128,140 +129,122 @@ def _score_blocks(q_ids, q_mat, batches, k: int):
                          "score": sc.astype(np.float64)})
 
 
-# ------------------------------------------------------------------------------- strategies
+# ------------------------------------------------------------------------------- block plan
 
-def _final_rank(cands: DataFrame, k: int) -> DataFrame:
+def _final_rank(cands: DataFrame, k) -> DataFrame:
     w = Window.partitionBy("query_id").orderBy(F.col("score").desc(), F.col("vector_index_id").asc())
     return cands.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k)
 
 
-def _broadcast_knn(q_ids: np.ndarray, q_mat: np.ndarray, vectors: DataFrame, k: int,
-                   vec_id: str, emb: str) -> DataFrame:
+def _block_count(vectors: DataFrame, block_bytes: int) -> int:
+    """Blocks for a vector table, from the planner's size estimate (no job runs)."""
     spark = vectors.sparkSession
-    bq = spark.sparkContext.broadcast((q_ids, q_mat))
-    dim = q_mat.shape[1]
-
-    def score(batches):
-        ids_, mat_ = bq.value
-
-        def blocks():
-            for pdf in batches:
-                yield pdf[vec_id].to_numpy(dtype=np.int64), _to_matrix(pdf[emb], dim)
-
-        out = _score_blocks(ids_, mat_, blocks(), k)
-        if out is not None:
-            yield out
-
-    src = spread(vectors.select(F.col(vec_id).cast("long").alias(vec_id), emb))
-    return src.mapInPandas(score, KNN_SCHEMA)
-
-
-def _grid_knn(queries: DataFrame, n_queries: int, vectors: DataFrame, k: int, vec_id: str, emb: str,
-              query_block: int, vector_block: int, n_vectors: int | None = None) -> DataFrame:
-    n_qb = max(1, math.ceil(n_queries / query_block))
-    n_v = n_vectors if n_vectors is not None else vectors.count()
-    n_vb = max(1, math.ceil(n_v / vector_block))
-    qblocks = (queries.where(F.col(emb).isNotNull())
-               .select(F.col("query_id").cast("long").alias("query_id"), l2_normalize(emb).alias("e"))
-               .withColumn("qb", F.pmod(F.xxhash64("query_id"), F.lit(n_qb)))
-               .groupBy("qb").agg(F.collect_list(F.struct("query_id", "e")).alias("qs")))
-    vblocks = (vectors.select(F.col(vec_id).cast("long").alias("vid"), F.col(emb).alias("v"))
-               .withColumn("vb", F.pmod(F.xxhash64("vid"), F.lit(n_vb)))
-               .groupBy("vb").agg(F.collect_list(F.struct("vid", "v")).alias("vs")))
-    # Block replication: every query block meets every vector block exactly once.
-    routed = qblocks.withColumn("vb", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(n_vb - 1).cast("long"))))
-    pairs = routed.join(vblocks, "vb")
-
-    def score(pdf: pd.DataFrame) -> pd.DataFrame:
-        # One group = one (query block, vector block) pair: bounded by the two block sizes,
-        # and sent to Python as its own Arrow batch.
-        outs = []
-        for qs, vs in zip(pdf["qs"], pdf["vs"]):
-            q_ids = np.array([r["query_id"] for r in qs], dtype=np.int64)
-            q_mat = _to_matrix(pd.Series([r["e"] for r in qs]))
-            v_ids = np.array([r["vid"] for r in vs], dtype=np.int64)
-            v_mat = _to_matrix(pd.Series([r["v"] for r in vs]), q_mat.shape[1])
-            out = _score_blocks(q_ids, q_mat, [(v_ids, v_mat)], k)
-            if out is not None:
-                outs.append(out)
-        if not outs:
-            return pd.DataFrame({"query_id": pd.Series(dtype="int64"), "vector_index_id": pd.Series(dtype="int64"),
-                                 "score": pd.Series(dtype="float64")})
-        return pd.concat(outs, ignore_index=True)
-
-    # The join output is hash-partitioned on vb, which already clusters (qb, vb): no new exchange.
-    return pairs.select("qb", "vb", "qs", "vs").groupBy("qb", "vb").applyInPandas(score, KNN_SCHEMA)
-
-
-def knn(queries: DataFrame, vectors: DataFrame, k: int, *, query_id: str = "query_id",
-        vec_id: str = "vector_index_id", emb: str = "embedding", strategy: str = "auto",
-        max_broadcast_bytes: int = DEFAULT_QUERY_BROADCAST_BYTES,
-        query_block: int = DEFAULT_QUERY_BLOCK, vector_block: int = DEFAULT_VECTOR_BLOCK,
-        vector_dim: int | None = None) -> DataFrame:
+    size = int(vectors._jdf.queryExecution().optimizedPlan().stats().sizeInBytes())  # noqa: SLF001
+    if size > 1 << 60:   # no estimate: as many blocks as the cluster's shuffles have partitions
+        return int(spark.conf.get("spark.sql.shuffle.partitions"))
+    return max(spark.sparkContext.defaultParallelism, math.ceil(size / block_bytes))
+
+
+def _runs(pdf: pd.DataFrame):
+    """``(vb, tag, rows)`` for each run of equal block and tag in a sorted batch."""
+    vb, tag = pdf["vb"].to_numpy(), pdf["tag"].to_numpy()
+    edges = np.flatnonzero((vb[1:] != vb[:-1]) | (tag[1:] != tag[:-1])) + 1
+    for a, b in zip(np.r_[0, edges], np.r_[edges, len(pdf)], strict=True):
+        yield vb[a], tag[a], pdf.iloc[a:b]
+
+
+def _score_partition(dim: int | None):
+    """Scores a partition sorted by (vb, tag): vectors (tag 0) of a block, then its queries (tag 1)."""
+    def run(batches):
+        block, held, ids, mat, docs = None, [], None, None, None
+        for pdf in batches:
+            if not len(pdf):
+                continue
+            for vb, tag, rows in _runs(pdf):
+                if tag == 0:
+                    if vb != block:
+                        block, held, mat = vb, [], None
+                    held.append((_matrix(rows["v"], np.arange(len(rows)), dim, np.float32), rows))
+                    continue
+                if vb != block:
+                    continue     # a block without vectors
+                if mat is None:
+                    widths = {m.shape[1] for (at, m), _ in held if len(at)}
+                    if len(widths) > 1:
+                        raise ValueError(f"stored vectors have widths {sorted(widths)}")
+                    ids = np.concatenate([r["id"].to_numpy(np.int64)[at] for (at, _), r in held])
+                    mat = np.concatenate([m for (at, m), _ in held if len(at)]) if len(ids) else np.zeros((0, 0), np.float32)
+                    if "doc" in rows:
+                        docs = np.concatenate([r["doc"].to_numpy(object)[at] for (at, _), r in held])
+                    held = []
+                if not len(ids):
+                    continue
+                at, q = _matrix(rows["q"], np.arange(len(rows)), mat.shape[1], np.float64)
+                if not len(at):
+                    continue
+                k = rows["k"].to_numpy(np.int64)[at]
+                allowed = None
+                if docs is not None:
+                    code = {d: i for i, d in enumerate(dict.fromkeys(docs))}
+                    column = np.array([code[d] for d in docs])
+                    may = np.zeros((len(at), len(code)), bool)
+                    for i, names in enumerate(rows["docs"].iloc[at]):
+                        may[i, [code[d] for d in names if d in code]] = True
+                    allowed = lambda a, b: may[:, column[a:b]]  # noqa: B023, E731
+                out = _score_blocks(rows["id"].to_numpy(np.int64)[at], _normalise_rows(q), [(ids, mat)], int(k.max()), allowed)
+                if out is not None:
+                    yield out
+    return run
+
+
+def _block_plan(vrows: DataFrame, qrows: DataFrame, dim: int | None) -> DataFrame:
+    rows = vrows.unionByName(qrows, allowMissingColumns=True)
+    return (rows.repartition("vb").sortWithinPartitions("vb", "tag", "id")
+            .mapInPandas(_score_partition(dim), KNN_SCHEMA))
+
+
+def _vector_rows(vectors: DataFrame, vec_id: str, emb: str, blocks: int, *extra: Column) -> DataFrame:
+    vid = F.col(vec_id).cast("long")
+    return vectors.where(F.col(emb).isNotNull()).select(
+        F.pmod(F.xxhash64(vid), F.lit(blocks)).cast("int").alias("vb"), F.lit(0).alias("tag"), vid.alias("id"),
+        F.col(emb).cast("array<float>").alias("v"), *extra)
+
+
+def knn(queries: DataFrame, vectors: DataFrame, k: int | str, *, query_id: str = "query_id",
+        vec_id: str = "vector_index_id", emb: str = "embedding", vector_dim: int | None = None,
+        vector_blocks: int | None = None, block_bytes: int = VECTOR_BLOCK_BYTES) -> DataFrame:
     """Top ``k`` stored vectors per query: ``query_id, vector_index_id, score, rank``.
 
-    ``queries`` has a LONG ``query_id`` and an array ``embedding``; query vectors are
-    L2-normalised here, stored vectors are taken as stored.  The query width is checked
-    against ``vector_dim`` (or the first stored vector) before any scoring job starts; pass
-    ``vector_dim`` when the vectors are computed on the fly so that no extra job runs.
-    """
-    if k < 1:
+    ``queries`` has a LONG ``query_id`` and an array ``embedding``; ``k`` is a number, or the name of a
+    column of ``queries`` with each query's own.  Query vectors are L2-normalised, stored vectors are
+    taken as stored.  Widths are checked while scoring (against ``vector_dim`` where given)."""
+    if isinstance(k, int) and k < 1:
         raise ValueError("k must be >= 1")
-    q = queries.select(F.col(query_id).cast("long").alias("query_id"), F.col(emb).alias(emb))
-    if vector_dim is None:
-        first_v = vectors.select(F.size(emb).alias("d")).first()      # cheap on a stored table
-        if first_v is None:
-            return _final_rank(q.sparkSession.createDataFrame([], KNN_SCHEMA), k)
-        vector_dim = int(first_v["d"])
-    dim = vector_dim
-    cap = max(1, max_broadcast_bytes // (8 * max(dim, 1)))
-    if strategy not in ("auto", "broadcast", "grid"):
-        raise ValueError(f"unknown strategy {strategy!r}")
-    if strategy in ("auto", "broadcast"):
-        # Never more than cap + 1 rows reach the driver: the broadcast size is proven, not hoped.
-        rows = [r for r in q.limit(cap + 1).collect() if r[emb] is not None]
-        bad = {len(r[emb]) for r in rows} - {dim}
-        if bad:
-            raise ValueError(f"query width {sorted(bad)} differs from stored vector width {dim}")
-        if len(rows) > cap and strategy == "broadcast":
-            raise ValueError(f"more than {cap} queries of width {dim} exceed the broadcast bound; use 'grid'")
-        if len(rows) <= cap:
-            if not rows:
-                return _final_rank(q.sparkSession.createDataFrame([], KNN_SCHEMA), k)
-            q_ids = np.array([r["query_id"] for r in rows], dtype=np.int64)
-            q_mat = _normalise_rows(_to_matrix(pd.Series([r[emb] for r in rows])))
-            return _final_rank(_broadcast_knn(q_ids, q_mat, vectors, k, vec_id, emb), k)
-    # Too many queries to broadcast: check widths with one aggregate, then the grid.
-    stats = q.agg(F.count(emb).alias("n"), F.min(F.size(emb)).alias("lo"), F.max(F.size(emb)).alias("hi")).first()
-    if stats["n"] and (stats["lo"] != dim or stats["hi"] != dim):
-        raise ValueError(f"query widths {stats['lo']}..{stats['hi']} differ from stored vector width {dim}")
-    n_q = int(stats["n"])
-    return _final_rank(_grid_knn(q, n_q, vectors, k, vec_id, emb, query_block, vector_block), k)
+    blocks = vector_blocks or _block_count(vectors, block_bytes)
+    kk = F.lit(k) if isinstance(k, int) else F.col(k).cast("int")
+    q = queries.where(F.col(emb).isNotNull()).select(
+        F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))).alias("vb"), F.lit(1).alias("tag"),
+        F.col(query_id).cast("long").alias("id"), F.col(emb).cast("array<double>").alias("q"), kk.alias("k"))
+    cands = _block_plan(_vector_rows(vectors, vec_id, emb, blocks), q, vector_dim)
+    if isinstance(k, int):
+        return _final_rank(cands, k)
+    own = queries.select(F.col(query_id).cast("long").alias("query_id"), kk.alias("_k"))
+    return _final_rank(cands.join(own, "query_id"), F.col("_k")).drop("_k")
 
 
 # ------------------------------------------------------------------------------- search chains
 
-def _filter_frame(spark, document_ids) -> tuple[DataFrame | None, bool]:
-    """(filter frame, bounded): a Python list is a request parameter already held by the
-    driver, so it may be broadcast; a DataFrame filter is left to the planner (AQE)."""
-    if document_ids is None:
-        return None, False
-    if isinstance(document_ids, DataFrame):
-        return document_ids, False
-    ids = list(document_ids)
-    if not ids:
-        return None, False   # empty list means "no filter", as in the reference
-    return spark.createDataFrame([(str(i),) for i in ids], "document_id string"), True
-
-
 def semantic_search(queries: DataFrame, vectors: DataFrame, chunks: DataFrame, *, limit: int = 10,
                     threshold: float = 0.5, document_ids=None, filter_mode: str = "post",
-                    live_first: bool = False, strategy: str = "auto", vector_dim: int | None = None) -> DataFrame:
+                    live_first: bool = False, vector_dim: int | None = None) -> DataFrame:
     """Reference order of operations per query: best ``2 * limit`` candidates -> keep
     ``score >= threshold`` -> drop vectors whose chunk is gone -> document filter -> first
     ``limit``.  ``filter_mode="pre"`` restricts vectors before scoring; ``live_first`` drops
-    tombstoned vectors before scoring.  A filter frame with a ``query_id`` column filters per
-    query (in pre mode each query is scored against its allowed documents only).
+    tombstoned vectors before scoring.
+
+    ``document_ids``: a list (an ``IN`` predicate; empty = no filter), or a DataFrame (a semi-join); a
+    frame with a ``query_id`` column filters per query (in pre mode each query is scored against its
+    allowed documents only).
 
     ``chunks``: ``vector_index_id, chunk_id, document_id, content, chunk_index`` (live rows).
     Output: ``query_id, rank, vector_index_id, document_id, chunk_id, content, chunk_index,
@@ -271,46 +254,74 @@ def semantic_search(queries: DataFrame, vectors: DataFrame, chunks: DataFrame, *
         raise ValueError("limit must be >= 1")
     if filter_mode not in ("post", "pre"):
         raise ValueError("filter_mode must be 'post' or 'pre'")
-    spark = queries.sparkSession
-    flt, bounded = _filter_frame(spark, document_ids)
+    frame = document_ids if isinstance(document_ids, DataFrame) else None
+    ids = [str(i) for i in document_ids] if frame is None and document_ids is not None else []
     meta = chunks.select("vector_index_id", "chunk_id", "document_id", "content", "chunk_index")
     vecs = vectors.select("vector_index_id", "embedding")
-    per_query_pre = flt is not None and filter_mode == "pre" and "query_id" in flt.columns
-    if flt is not None and filter_mode == "pre" and not per_query_pre:
-        ids = flt.select("document_id").distinct()
-        allowed = meta.join(F.broadcast(ids) if bounded else ids, "document_id", "left_semi")
+    per_query = frame is not None and "query_id" in frame.columns
+    if filter_mode == "pre" and (ids or frame is not None) and not per_query:
+        allowed = meta.where(F.col("document_id").isin(ids)) if ids else meta.join(frame.select("document_id"), "document_id", "left_semi")
         vecs = vecs.join(allowed.select("vector_index_id"), "vector_index_id", "left_semi")
     if live_first:
         vecs = vecs.join(meta.select("vector_index_id"), "vector_index_id", "left_semi")
-    if per_query_pre:
-        cand = prefiltered_knn(queries, flt, vecs, meta, 2 * limit)
+    if per_query and filter_mode == "pre":
+        cand = prefiltered_knn(queries, frame, vecs, meta, 2 * limit, vector_dim=vector_dim)
     else:
-        cand = knn(queries, vecs, 2 * limit, strategy=strategy, vector_dim=vector_dim)
+        cand = knn(queries, vecs, 2 * limit, vector_dim=vector_dim)
     hits = cand.where(F.col("score") >= F.lit(threshold)).join(meta, "vector_index_id", "inner")
-    if flt is not None and filter_mode == "post":
-        keys = ["query_id", "document_id"] if "query_id" in flt.columns else ["document_id"]
-        hits = hits.join(flt.select(*keys).distinct(), keys, "left_semi")
+    if filter_mode == "post":
+        if ids:
+            hits = hits.where(F.col("document_id").isin(ids))
+        elif frame is not None:
+            keys = ["query_id", "document_id"] if per_query else ["document_id"]
+            hits = hits.join(frame.select(*keys).distinct(), keys, "left_semi")
+    return _first_hits(hits, F.lit(limit))
+
+
+def _first_hits(hits: DataFrame, limit) -> DataFrame:
     w = Window.partitionBy("query_id").orderBy("rank")
     out = hits.withColumn("_r", F.row_number().over(w)).where(F.col("_r") <= limit)
     return out.select("query_id", F.col("_r").alias("rank"), "vector_index_id", "document_id", "chunk_id",
                       "content", "chunk_index", F.col("score").alias("similarity_score"))
 
 
-def prefiltered_knn(queries: DataFrame, allowed: DataFrame, vectors: DataFrame, meta: DataFrame, k: int) -> DataFrame:
+def search_requests(requests: DataFrame, vectors: DataFrame, chunks: DataFrame, *, limit: int = 10,
+                    threshold: float = 0.5, vector_dim: int | None = None) -> DataFrame:
+    """``semantic_search`` for requests that carry their own parameters: ``query_id, embedding`` and,
+    where not NULL, ``limit``, ``similarity_threshold`` and ``document_ids`` (an array; empty = no filter).
+    The NULL ones take the defaults; a request whose limit is below 1 has no hits."""
+    q = requests.select(
+        F.col("query_id").cast("long").alias("query_id"), "embedding",
+        F.coalesce(F.col("limit").cast("int"), F.lit(limit)).alias("limit"),
+        F.coalesce(F.col("similarity_threshold").cast("double"), F.lit(threshold)).alias("similarity_threshold"),
+        "document_ids").where("limit >= 1").withColumn("fetch", F.col("limit") * 2)
+    cand = knn(q, vectors.select("vector_index_id", "embedding"), "fetch", vector_dim=vector_dim)
+    meta = chunks.select("vector_index_id", "chunk_id", "document_id", "content", "chunk_index")
+    own = q.select("query_id", "limit", "similarity_threshold", "document_ids")
+    free = F.col("document_ids").isNull() | (F.size("document_ids") == 0)
+    hits = (cand.join(own, "query_id").where("score >= similarity_threshold").join(meta, "vector_index_id")
+            .where(free | F.array_contains("document_ids", F.col("document_id"))))
+    return _first_hits(hits, F.col("limit"))
+
+
+def prefiltered_knn(queries: DataFrame, allowed: DataFrame, vectors: DataFrame, meta: DataFrame, k: int, *,
+                    vector_dim: int | None = None, vector_blocks: int | None = None,
+                    block_bytes: int = VECTOR_BLOCK_BYTES) -> DataFrame:
     """Exact top k per query over the vectors of that query's allowed documents only.
 
-    ``allowed``: ``query_id, document_id``.  Each query meets only its candidates (an equi-join
-    through the documents), the score is a JVM dot product, and the rank a window per query;
-    work is proportional to the filter, not to the vector table.
-    """
-    q = queries.select(F.col("query_id").cast("long").alias("query_id"), l2_normalize("embedding").alias("q"))
-    cand = (allowed.select(F.col("query_id").cast("long").alias("query_id"), "document_id").distinct()
-            .join(meta.select("vector_index_id", "document_id"), "document_id")
-            .join(vectors.select("vector_index_id", "embedding"), "vector_index_id")
-            .join(q, "query_id"))
-    scored = cand.select("query_id", "vector_index_id",
-                         F.round(dot("q", "embedding"), SCORE_DECIMALS).alias("score"))
-    return _final_rank(scored, k)
+    ``allowed``: ``query_id, document_id``.  Scored in blocks like ``knn``: a query goes to the blocks that hold
+    one of its documents, once each, with the list of those documents; the block masks its score
+    matrix by them, so no row per (query, vector) pair exists."""
+    blocks = vector_blocks or _block_count(vectors, block_bytes)
+    placed = vectors.join(meta.select("vector_index_id", "document_id"), "vector_index_id")
+    vrows = _vector_rows(placed, "vector_index_id", "embedding", blocks, F.col("document_id").alias("doc"))
+    where = vrows.select("vb", F.col("doc").alias("document_id")).distinct()
+    routed = (allowed.select(F.col("query_id").cast("long").alias("query_id"), "document_id").distinct()
+              .join(where, "document_id").groupBy("query_id", "vb").agg(F.collect_list("document_id").alias("docs")))
+    q = queries.where(F.col("embedding").isNotNull()).select(
+        F.col("query_id").cast("long").alias("query_id"), F.col("embedding").cast("array<double>").alias("q"))
+    qrows = routed.join(q, "query_id").select("vb", F.lit(1).alias("tag"), F.col("query_id").alias("id"), "q", F.lit(k).alias("k"), "docs")
+    return _final_rank(_block_plan(vrows, qrows, vector_dim), k)
 
 
 def attach_metadata(hits: DataFrame, documents: DataFrame, iso) -> DataFrame:
@@ -325,12 +336,12 @@ def attach_metadata(hits: DataFrame, documents: DataFrame, iso) -> DataFrame:
 
 
 def similar_documents(vectors: DataFrame, chunks: DataFrame, *, limit: int = 10, threshold: float = 0.5,
-                      sources: DataFrame | None = None, strategy: str = "auto") -> DataFrame:
-    """For every source document: its lowest-index chunk's stored vector is the query; fetch
-    ``2 * (limit + 10)`` candidates, keep ``>= threshold``, drop hits of the source document,
-    cut to ``limit`` chunks, keep each other document's first (best) hit.
+                      sources: DataFrame | None = None) -> DataFrame:
+    """For every source document: its lowest-index chunk's stored vector is the query; a search
+    for ``limit + 10`` kept chunks (``2 * (limit + 10)`` candidates, ``>= threshold``, live), from which the
+    source's own chunks are dropped; of the first ``limit`` chunks left, each other document's best.
 
-    Output: ``source_document_id, position, document_id, chunk_id, similarity_score``.
+    Output: ``source_document_id, position, document_id, chunk_id, similarity_score, total_found``.
     """
     meta = chunks.select("vector_index_id", "chunk_id", "document_id", "content", "chunk_index")
     reps = meta.groupBy("document_id").agg(
@@ -341,16 +352,13 @@ def similar_documents(vectors: DataFrame, chunks: DataFrame, *, limit: int = 10,
          .select(F.col("rep_vid").alias("query_id"), F.col("document_id").alias("source_document_id"),
                  "embedding"))
     src_of = q.select("query_id", "source_document_id")
-    fetch = 2 * (limit + 10)
-    cand = knn(q.select("query_id", "embedding"), vectors.select("vector_index_id", "embedding"), fetch,
-               strategy=strategy)
-    hits = (cand.where(F.col("score") >= F.lit(threshold)).join(meta, "vector_index_id", "inner")
-            .join(src_of, "query_id", "inner")
-            .where(F.col("document_id") != F.col("source_document_id")))
+    cand = knn(q.select("query_id", "embedding"), vectors.select("vector_index_id", "embedding"), 2 * (limit + 10))
+    hits = _first_hits(cand.where(F.col("score") >= F.lit(threshold)).join(meta, "vector_index_id", "inner"), F.lit(limit + 10))
+    others = hits.join(src_of, "query_id", "inner").where(F.col("document_id") != F.col("source_document_id"))
     w = Window.partitionBy("query_id").orderBy("rank")
-    cut = hits.withColumn("_r", F.row_number().over(w)).where(F.col("_r") <= limit)
+    cut = others.withColumn("_r", F.row_number().over(w)).where(F.col("_r") <= limit)
     wd = Window.partitionBy("query_id", "document_id").orderBy("_r")
     best = cut.withColumn("_d", F.row_number().over(wd)).where(F.col("_d") == 1)
-    wp = Window.partitionBy("query_id").orderBy("_r")
-    return best.select("source_document_id", F.row_number().over(wp).alias("position"), "document_id",
-                       "chunk_id", F.col("score").alias("similarity_score"))
+    wp = Window.partitionBy("query_id")
+    return best.select("source_document_id", F.row_number().over(wp.orderBy("_r")).alias("position"), "document_id",
+                       "chunk_id", "similarity_score", F.count("*").over(wp).alias("total_found"))

@@ -38,16 +38,12 @@ def lookup_documents(requests: DataFrame, documents: DataFrame, id_col: str = "d
                          *[documents[c] for c in documents.columns])
 
 
-def restrict_to_ids(table: DataFrame, ids, key: str = "document_id", max_literal_ids: int = 1000) -> DataFrame:
-    """``WHERE key IN (...)``: a short Python list becomes an ``In`` predicate that reaches the
-    parquet scan (row-group pruning); a DataFrame or a long list becomes a semi-join."""
+def restrict_to_ids(table: DataFrame, ids, key: str = "document_id") -> DataFrame:
+    """``WHERE key IN (...)``, in the form the caller chooses: a list becomes an ``In`` predicate that
+    reaches the parquet scan (row-group pruning), a DataFrame a semi-join."""
     if isinstance(ids, DataFrame):
-        return table.join(ids.select(key).distinct(), key, "left_semi")
-    ids = [str(i) for i in ids]
-    if len(ids) <= max_literal_ids:
-        return table.where(F.col(key).isin(ids))
-    spark = table.sparkSession
-    return table.join(spark.createDataFrame([(i,) for i in ids], f"{key} string").distinct(), key, "left_semi")
+        return table.join(ids.select(key), key, "left_semi")
+    return table.where(F.col(key).isin([str(i) for i in ids]))
 
 
 def list_documents(documents: DataFrame, limit: int = 50, offset: int = 0) -> DataFrame:

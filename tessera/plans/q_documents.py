@@ -63,7 +63,6 @@ def _late_page(spark, sf_dir, pager):
         "document_id", "filename", "file_size", T.document_type("filename").alias("document_type"),
         "upload_timestamp", F.col("upload_timestamp").alias("processing_timestamp"))
     page = pager(keys)
-    # Straight from the scan (streamed into the broadcast join of the page; no spreading needed).
     text = fx.read(spark, sf_dir, "documents").select(F.col("doc_id").cast("string").alias("document_id"), "text")
     full = page.join(text, "document_id").select(
         "page_position", "document_id", "filename", "file_size", "document_type", "upload_timestamp",

@@ -167,6 +167,44 @@ def per_query_response(queries, hits, value_col: str, sep: str, name: str, count
         F.coalesce(name, F.lit("")).alias(name))
 
 
+REQUESTS_SQL = sql_with("vec").rstrip() + "," + QN_SQL + """,
+req AS (SELECT vec_id AS query_id, 'vector ' || CAST(vec_id AS VARCHAR) AS query,
+               CASE WHEN vec_id % 3 > 0 THEN CAST(vec_id % 7 + 1 AS INTEGER) END AS lim,
+               CASE WHEN vec_id % 4 > 0 THEN 0.1 * (vec_id % 6) END AS thr,
+               CASE vec_id % 5 WHEN 0 THEN NULL WHEN 1 THEN [] ELSE [CAST(vec_id % 50 AS VARCHAR), CAST(label AS VARCHAR), '7', '21'] END AS ids
+        FROM embeddings),""" + _cand_sql(20) + """,
+hits AS (SELECT c.query_id, c.cand_rank, c.score, v.chunk_id,
+                row_number() OVER (PARTITION BY c.query_id ORDER BY c.cand_rank) AS rank, coalesce(r.lim, 10) AS lim
+         FROM cand c JOIN req r ON r.query_id = c.query_id JOIN vec v ON v.vector_index_id = c.vector_index_id
+         WHERE c.cand_rank <= 2 * coalesce(r.lim, 10) AND c.score >= coalesce(r.thr, 0.25)
+           AND (r.ids IS NULL OR len(r.ids) = 0 OR list_contains(r.ids, v.document_id)))
+SELECT r.query_id, r.query, count(h.chunk_id) AS total_results,
+       coalesce(string_agg(h.chunk_id || '=' || CAST(round(h.score, 4) AS DECIMAL(9,4))::VARCHAR, ',' ORDER BY h.rank), '') AS results
+FROM req r LEFT JOIN (SELECT * FROM hits WHERE rank <= lim) h ON h.query_id = r.query_id GROUP BY r.query_id, r.query"""
+
+
+def request_table(spark, sf_dir):
+    """Search requests with their own limit, threshold and document list, or none, from ``embeddings``."""
+    e = fx.read(spark, sf_dir, "embeddings")
+    v = F.col("vec_id")
+    own = F.array((v % 50).cast("string"), F.col("label").cast("string"), F.lit("7"), F.lit("21"))
+    ids = F.when(v % 5 == 0, F.lit(None)).when(v % 5 == 1, F.array().cast("array<string>")).otherwise(own)
+    return e.select(v.alias("query_id"), F.concat(F.lit("vector "), v.cast("string")).alias("query"), "embedding",
+                    F.when(v % 3 > 0, (v % 7 + 1).cast("int")).alias("limit"),
+                    F.when(v % 4 > 0, F.lit(0.1) * (v % 6)).alias("similarity_threshold"), ids.alias("document_ids"))
+
+
+@register("search_requests", REQUESTS_SQL)
+def search_requests(spark, sf_dir):
+    """One response per request: its query, the number of hits and the hits in order."""
+    req, v = request_table(spark, sf_dir), fx.vec(spark, sf_dir)
+    hits = K.search_requests(req, v, v, limit=fx.SEARCH_LIMIT, threshold=fx.SEARCH_THRESHOLD)
+    score = F.round("similarity_score", 4).cast("decimal(9,4)").cast("string")
+    hits = hits.select("query_id", "rank", F.concat_ws("=", "chunk_id", score).alias("hit"))
+    resp = per_query_response(req, hits, "hit", ",", "results", "total_results")
+    return req.select("query_id", "query").join(resp, "query_id").select("query_id", "query", "total_results", "results")
+
+
 @register("search_response",
           search_sql(fx.SEARCH_LIMIT, fx.SEARCH_THRESHOLD, post_ids=fx.DOC_FILTER_IDS) + """
 SELECT q.query_id, count(r.chunk_id) AS total_results,
@@ -202,17 +240,20 @@ qn AS (SELECT r.query_id, r.source_document_id,
 hits AS (SELECT c.query_id, q.source_document_id, c.cand_rank, c.score, v.document_id, v.chunk_id
          FROM cand c JOIN vec v ON v.vector_index_id = c.vector_index_id
                      JOIN qn q ON q.query_id = c.query_id
-         WHERE c.score >= 0.25 AND v.document_id <> q.source_document_id),
-cut AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY cand_rank) AS r FROM hits QUALIFY r <= 10),
+         WHERE c.score >= 0.25),
+kept AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY cand_rank) AS kr FROM hits QUALIFY kr <= 20),
+cut AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY kr) AS r FROM kept
+        WHERE document_id <> source_document_id QUALIFY r <= 10),
 best AS (SELECT *, row_number() OVER (PARTITION BY query_id, document_id ORDER BY r) AS d FROM cut QUALIFY d = 1)
 SELECT source_document_id, row_number() OVER (PARTITION BY query_id ORDER BY r) AS position,
-       document_id, chunk_id, round(score, 6) AS similarity_score
+       document_id, chunk_id, round(score, 6) AS similarity_score,
+       count(*) OVER (PARTITION BY query_id) AS total_found
 FROM best""")
 def similar_documents(spark, sf_dir):
     v = fx.vec(spark, sf_dir)
     r = K.similar_documents(v, v, limit=fx.SEARCH_LIMIT, threshold=fx.SEARCH_THRESHOLD)
     return r.select("source_document_id", F.col("position").cast("long"), "document_id", "chunk_id",
-                    F.round("similarity_score", 6).alias("similarity_score"))
+                    F.round("similarity_score", 6).alias("similarity_score"), "total_found")
 
 
 @register("corpus_stats", sql_with("doc_raw", "doc", "del_ids", "vec") + """

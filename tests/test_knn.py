@@ -47,11 +47,37 @@ def test_golden_search(spark, store, limit, threshold, filt, mode, deleted, expe
     assert _ids(got) == expected
 
 
-def test_golden_similar_documents(spark, store):
+def test_similar_documents_counts_own_chunks_in_the_search(spark):
+    """Worked by hand: source S has 16 chunks on top, then 24 other documents with one chunk each.  The
+    search keeps 10 + 10 chunks, S's 16 among them, so 4 documents are left, not 10."""
+    rows = [(i, 1.0 - i / 1000, "S", i) for i in range(16)] + [(100 + i, 0.9 - i / 100, f"d{i:02d}", 0) for i in range(24)]
+    v = spark.createDataFrame([(i, _vec(s)) for i, s, _, _ in rows], "vector_index_id long, embedding array<float>")
+    c = spark.createDataFrame([(i, f"{d}-{x}", d, "t", x) for i, _, d, x in rows],
+                              "vector_index_id long, chunk_id string, document_id string, content string, chunk_index int")
+    src = spark.createDataFrame([("S",)], "document_id string")
+    got = K.similar_documents(v, c, limit=10, threshold=0.5, sources=src).orderBy("position").collect()
+    assert [(r.position, r.document_id, r.total_found) for r in got] == [(i + 1, f"d{i:02d}", 4) for i in range(4)]
+
+
+def test_unusable_vectors_match_nothing(spark):
+    """NULL and non-finite vectors, stored or asked, have no hits and disturb no others."""
+    nan, inf = float("nan"), float("inf")
+    v = spark.createDataFrame([(0, [1.0, 0.0]), (1, None), (2, [nan, 1.0]), (3, [inf, 0.0]), (4, [0.0, 1.0]), (5, [1.0, None])],
+                              "vector_index_id long, embedding array<float>")
+    q = spark.createDataFrame([(1, [1.0, 0.0]), (2, None), (3, [nan, 0.0])], "query_id long, embedding array<float>")
+    got = [(r.query_id, r.rank, r.vector_index_id) for r in K.knn(q, v, 1).collect()]
+    assert got == [(1, 1, 0)]
+
+
+def test_requests_bring_their_own_parameters(spark, store):
     _, v, c = store
-    # source A: its chunk 0 vector is the query; the stored vectors all relate through A's vector.
-    got = K.similar_documents(v, c, limit=2, threshold=0.5, sources=spark.createDataFrame([("A",)], "document_id string"))
-    assert [r.document_id for r in got.orderBy("position").collect()] != ["A"]
+    rows = [(1, None, None, None), (2, 2, None, None), (3, 5, 0.65, []), (4, 1, 0.1, ["B"]), (5, 2, 0.1, ["B"]), (6, 0, None, None)]
+    req = spark.createDataFrame([(i, [1.0, 0.0], n, t, d) for i, n, t, d in rows],
+                                "query_id long, embedding array<float>, limit int, similarity_threshold double, document_ids array<string>")
+    got = {}
+    for r in K.search_requests(req, v, c).orderBy("query_id", "rank").collect():
+        got.setdefault(r.query_id, []).append(r.vector_index_id)
+    assert got == {1: [0, 1, 2, 3, 4], 2: [0, 1], 3: [0, 1, 2], 5: [2]}
 
 
 def test_similar_documents_cut_then_group(spark):
@@ -79,15 +105,15 @@ def _brute(qs, vs, k):
     return out
 
 
-@pytest.mark.parametrize("strategy", ["broadcast", "grid"])
-def test_strategies_match_brute_force(spark, strategy):
+@pytest.mark.parametrize("blocks", [None, 1, 9])
+def test_blocks_match_brute_force(spark, blocks):
     rng = np.random.default_rng(7)
     vs = [(i, rng.normal(size=8).astype(np.float32).tolist()) for i in range(300)]
     vs += [(1000 + i, vs[i][1]) for i in range(20)]          # exact duplicates -> tied scores
     qs = [(i, rng.normal(size=8).astype(np.float32).tolist()) for i in range(25)] + [(99, [0.0] * 8)]
     vdf = spark.createDataFrame(vs, "vector_index_id long, embedding array<float>").repartition(5)
     qdf = spark.createDataFrame(qs, "query_id long, embedding array<float>")
-    got = K.knn(qdf, vdf, 7, strategy=strategy, query_block=4, vector_block=64)
+    got = K.knn(qdf, vdf, 7, vector_blocks=blocks)
     res = {}
     for r in got.orderBy("query_id", "rank").collect():
         res.setdefault(r.query_id, []).append(r.vector_index_id)
@@ -97,8 +123,13 @@ def test_strategies_match_brute_force(spark, strategy):
 def test_wrong_width_and_bad_limit_raise(spark, store):
     q, v, c = store
     bad = spark.createDataFrame([(1, [1.0, 0.0, 0.0])], "query_id long, embedding array<float>")
+    with pytest.raises(Exception, match="differs from query width"):
+        K.knn(bad, v, 3).collect()
+    mixed = v.unionByName(spark.createDataFrame([(9, [1.0])], "vector_index_id long, embedding array<float>"))
+    with pytest.raises(Exception, match="width"):
+        K.knn(q, mixed, 3, vector_blocks=1).collect()
     with pytest.raises(ValueError):
-        K.knn(bad, v, 3)
+        K.knn(q, v, 0)
     with pytest.raises(ValueError):
         K.semantic_search(q, v, c, limit=0)
 
@@ -129,7 +160,7 @@ def test_post_is_prefix_of_pre(spark):
 
 
 def test_per_query_pre_filter(spark):
-    rng = np.random.default_rng(11)
+    rng = np.random.default_rng(11)   # several blocks: each query meets a block once, with its documents there
     vs = [(i, rng.normal(size=5).astype(np.float32).tolist()) for i in range(120)]
     v = spark.createDataFrame(vs, "vector_index_id long, embedding array<float>")
     c = spark.createDataFrame([(i, f"{i % 6}-{i}", str(i % 6), "t", i) for i, _ in vs],

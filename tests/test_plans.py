@@ -22,6 +22,22 @@ def test_knn_final_rank_uses_window_group_limit(spark):
     assert "SinglePartition" not in p
 
 
+def test_planning_runs_no_job_and_deals_by_block(spark):
+    """Building the search plans over read tables starts no Spark job; vectors are dealt by block, never round-robin."""
+    q, v = fx.query_vectors(spark, SF), fx.vec(spark, SF)
+    group = f"plan-{id(q)}"
+    spark.sparkContext.setJobGroup(group, "planning")
+    try:
+        frames = [K.knn(q, v, 10), K.semantic_search(q, v, v),
+                  K.semantic_search(q, v, v, document_ids=["1"], filter_mode="pre"), K.similar_documents(v, v)]
+        plans = [_plan(f) for f in frames]
+        assert not spark.sparkContext.statusTracker().getJobIdsForGroup(group)
+    finally:
+        spark.sparkContext._jsc.clearJobGroup()
+    assert not any("RoundRobin" in p for p in plans)
+    assert "hashpartitioning(vb" in plans[0] and "BroadcastNestedLoop" not in plans[0] and "CartesianProduct" not in plans[0]
+
+
 def test_filters_and_columns_reach_the_scan(spark):
     df = fx.read(spark, SF, "documents").where("doc_id = 3").select("doc_id", "lang")
     p = df._jdf.queryExecution().executedPlan().toString()

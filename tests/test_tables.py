@@ -100,10 +100,11 @@ def test_keyset_page_follows_offset_page(spark):
         [r.document_id for r in by_offset.orderBy("page_position").collect()]
 
 
-def test_restrict_to_ids_long_list_uses_semi_join(spark):
+def test_restrict_to_ids_follows_the_caller(spark):
     df = spark.range(0, 3000).select(F.col("id").cast("string").alias("document_id"))
     ids = [str(i) for i in range(0, 3000, 2)] + ["nope"]
-    out = tables.restrict_to_ids(df, ids, max_literal_ids=100)
-    assert "LeftSemi" in out._jdf.queryExecution().optimizedPlan().toString()
-    assert out.count() == 1500
-    assert tables.restrict_to_ids(df, ["1", "2"]).count() == 2
+    by_list = tables.restrict_to_ids(df, ids)
+    assert "LeftSemi" not in by_list._jdf.queryExecution().optimizedPlan().toString()
+    by_frame = tables.restrict_to_ids(df, spark.createDataFrame([(i,) for i in [*ids, "2"]], "document_id string"))
+    assert "LeftSemi" in by_frame._jdf.queryExecution().optimizedPlan().toString()
+    assert by_list.count() == by_frame.count() == 1500
