@@ -36,7 +36,7 @@ WORDS = 5
 THRESHOLD = 0.8
 RECALL = 0.9995
 MAX_HASHES = 160
-BLOCK_ROWS = 512
+BLOCK_ROWS = 256
 _U = np.uint64
 
 

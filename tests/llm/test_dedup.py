@@ -48,7 +48,7 @@ def test_chunks_rebuild_their_text():
     assert set(exact_dedup.cut(b"new" + b)[2:]) & set(exact_dedup.cut(b)[2:])
 
 
-@pytest.mark.parametrize("block_rows", [512, 2])
+@pytest.mark.parametrize("block_rows", [256, 2])
 def test_ngram_join_edges(edges, block_rows):
     got = near_dup.join(edges, block_rows=block_rows).collect()
     assert tally((r.doc_id, r.class_id, r.n_links, r.class_size) for r in got) == tally(brute.near_classes(edge_rows()))
