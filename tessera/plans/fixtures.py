@@ -6,6 +6,9 @@ the catalogue can be checked against an independent DuckDB plan over the same pa
 
 from __future__ import annotations
 
+import io
+import zipfile
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -61,6 +64,67 @@ def doc(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+# Upload bytes for the fixture's texts: DOCX archives, plain text, and a stand-in for PDF (a header line before
+# the text) with its extractor.
+
+def build_docx(paragraphs: list[str]) -> bytes:
+    """A minimal DOCX archive with one run per paragraph (used to derive test uploads)."""
+    from xml.sax.saxutils import escape
+    body = "".join(f'<w:p><w:r><w:t xml:space="preserve">{escape(p)}</w:t></w:r></w:p>' for p in paragraphs)
+    doc = ('<?xml version="1.0" encoding="UTF-8" standalone="yes"?>'
+           '<w:document xmlns:w="http://schemas.openxmlformats.org/wordprocessingml/2006/main">'
+           f'<w:body>{body}</w:body></w:document>')
+    ctypes = ('<?xml version="1.0" encoding="UTF-8"?>'
+              '<Types xmlns="http://schemas.openxmlformats.org/package/2006/content-types">'
+              '<Default Extension="rels" ContentType="application/vnd.openxmlformats-package.relationships+xml"/>'
+              '<Default Extension="xml" ContentType="application/xml"/>'
+              '<Override PartName="/word/document.xml" ContentType="application/vnd.openxmlformats-'
+              'officedocument.wordprocessingml.document.main+xml"/></Types>')
+    rels = ('<?xml version="1.0" encoding="UTF-8"?>'
+            '<Relationships xmlns="http://schemas.openxmlformats.org/package/2006/relationships">'
+            '<Relationship Id="rId1" Type="http://schemas.openxmlformats.org/officeDocument/2006/'
+            'relationships/officeDocument" Target="word/document.xml"/></Relationships>')
+    buf = io.BytesIO()
+    with zipfile.ZipFile(buf, "w", zipfile.ZIP_DEFLATED) as z:
+        z.writestr("[Content_Types].xml", ctypes)
+        z.writestr("_rels/.rels", rels)
+        z.writestr("word/document.xml", doc)
+    return buf.getvalue()
+
+
+PDF_HEADER = b"%PDF-1.4\n"
+
+
+def pdf_extractor(data: bytes) -> list[str]:
+    """The extractor the registered queries inject for the fixture's PDF stand-ins."""
+    if not data.startswith(PDF_HEADER):
+        raise ValueError("not a fixture PDF")
+    return [data[len(PDF_HEADER):].decode("utf-8")]
+
+
+def uploads_from_text(docs: DataFrame) -> DataFrame:
+    """Derive upload bytes from stored text by document type: TXT as UTF-8, DOCX / DOC as an
+    archive with one paragraph per line, PDF as bytes with a PDF header (needs an extractor)."""
+    def make(it):
+        for pdf in it:
+            contents = []
+            for typ, text in zip(pdf["document_type"], pdf["text"]):
+                t = text or ""
+                if typ == "docx":
+                    contents.append(build_docx(t.split("\n")))
+                elif typ == "pdf":
+                    contents.append(PDF_HEADER + t.encode("utf-8"))
+                else:
+                    contents.append(t.encode("utf-8"))
+            out = pdf.drop(columns=["text"])
+            out["content"] = contents
+            yield out
+
+    cols = [c for c in docs.columns if c != "text"]
+    schema = docs.select(*cols).schema.add("content", "binary")
+    return docs.mapInPandas(make, schema)
+
+
 def chunks_all(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Chunker output over every document (accepted or not)."""
     return chunk_text(doc_raw(spark, sf_dir))

@@ -1,9 +1,9 @@
-"""Batch ingest: validate -> extract -> metadata -> chunk -> embed -> store, as one plan.
+"""Batch ingest: validate -> extract -> metadata -> chunk -> embed, as one plan without joins.
 
-Every stage is a DataFrame over all uploads of the batch.  The extracted text feeds three
-outputs (documents, chunks, status), so it is persisted once per batch instead of being
-extracted three times; if an executor is lost, the lost blocks are recomputed from lineage.
-"""
+Every stage is a DataFrame over all uploads of the batch.  One narrow pass extracts the text and keeps
+the metadata and the error beside it; documents, chunks and status are projections of that pass, so it
+is persisted when all three are written (recomputed from lineage if an executor is lost).
+``tessera.plans.store`` writes the results."""
 
 from __future__ import annotations
 
@@ -21,9 +21,10 @@ from tessera.sources import files
 @dataclass
 class IngestResult:
     documents: DataFrame     # stored document rows (9 columns)
-    vectors: DataFrame       # chunk rows + embedding (+ vector_index_id when ids are assigned)
+    chunks: DataFrame        # chunk rows
+    vectors: DataFrame       # chunk rows + embedding
     status: DataFrame        # document_id, status (completed / failed / rejected), reason
-    extracted: DataFrame     # persisted intermediate; call ``release()`` when done
+    extracted: DataFrame     # the pass they share; call ``release()`` when done
 
     def release(self) -> None:
         if self.extracted.storageLevel.useMemory or self.extracted.storageLevel.useDisk:
@@ -31,38 +32,31 @@ class IngestResult:
 
 
 def ingest(uploads: DataFrame, *, embedder=None, size: int = chunking.CHUNK_SIZE,
-           overlap: int = chunking.CHUNK_OVERLAP, pdf_extractor=None,
-           existing_vectors: DataFrame | None = None, assign_ids: bool = False,
-           persist: bool = False) -> IngestResult:
+           overlap: int = chunking.CHUNK_OVERLAP, pdf_extractor=None, persist: bool = False) -> IngestResult:
     """``uploads``: ``document_id, filename, file_size, upload_timestamp, content``.
 
-    ``persist=True`` keeps the extracted text for the three outputs (call ``release()`` after
+    ``persist=True`` keeps the extracted text for the outputs (call ``release()`` after
     writing them); a caller that needs one output leaves it off."""
-    reason = T.validation_reason("file_size", "filename")
-    checked = uploads.withColumn("reason", reason).withColumn(
-        "document_type", F.when(F.col("reason").isNull(), T.document_type("filename")))
-    accepted = checked.where(F.col("reason").isNull())
-    ext = files.extract_text(accepted.select("document_id", "document_type", "content"), pdf_extractor)
+    reason = T.validation_reason("file_size", "filename")   # on the size as given; accepted sizes fit an INT
+    checked = uploads.select("document_id", "filename", "file_size", "upload_timestamp", "content", reason.alias("reason"))
+    checked = checked.withColumn("document_type", F.when(F.col("reason").isNull(), T.document_type("filename")))
+    ext = files.extract(checked.withColumn("content", F.when(F.col("reason").isNull(), F.col("content"))), pdf_extractor)
     if persist:
         ext = ext.persist(StorageLevel.MEMORY_AND_DISK)
-    ok = ext.where(F.col("error").isNull()).select("document_id", "text")
-    meta = accepted.select("document_id", "filename", "file_size", "document_type", "upload_timestamp")
-    documents = meta.join(ok, "document_id", "inner").select(
+    ok = ext.where("reason IS NULL AND error IS NULL")
+    documents = ok.select(
         "document_id", "filename", F.col("file_size").cast("int").alias("file_size"), "document_type",
         "upload_timestamp", F.col("upload_timestamp").alias("processing_timestamp"),
         T.word_count("text").alias("word_count"), F.lit(None).cast("int").alias("page_count"),
         T.language_substring("text").alias("language"))
-    chunks = chunking.chunk_text(ok, size=size, overlap=overlap)
+    chunks = chunking.chunk_text(ok.select("document_id", "text"), size=size, overlap=overlap)
     vectors = embed.embed_chunks(chunks, embedder)
-    if assign_ids:
-        vectors = tables.assign_dense_ids(vectors, existing=existing_vectors)
-    status = checked.select("document_id", "reason").join(
-        ext.select("document_id", F.col("error").alias("_err")), "document_id", "left").select(
+    status = ext.select(
         "document_id",
         F.when(F.col("reason").isNotNull(), F.lit("rejected"))
-        .when(F.col("_err").isNotNull(), F.lit("failed")).otherwise(F.lit("completed")).alias("status"),
-        F.coalesce("reason", "_err").alias("reason"))
-    return IngestResult(documents, vectors, status, ext)
+        .when(F.col("error").isNotNull(), F.lit("failed")).otherwise(F.lit("completed")).alias("status"),
+        F.coalesce("reason", "error").alias("reason"))
+    return IngestResult(documents, chunks, vectors, status, ext)
 
 
 def reindex(spark, vectors_root: str, documents: DataFrame, chunks: DataFrame, document_ids=None,
@@ -83,33 +77,3 @@ def reindex(spark, vectors_root: str, documents: DataFrame, chunks: DataFrame, d
                            for f in io.VECTORS_SCHEMA.fields])
     merged = tables.upsert(current, fresh.withColumn("arrival", F.lit(1)), "chunk_id")
     return io.write_version(merged, vectors_root)
-
-
-def store_upsert(spark, root: str, rows: DataFrame, key: str) -> str:
-    """``INSERT OR REPLACE`` into a versioned table: current version (empty if absent) with the
-    new rows replacing theirs by ``key``, written as the next version."""
-    from tessera.sources import tables as io
-    current = io.read_versioned(spark, root, rows.schema)
-    merged = tables.upsert(current, rows.withColumn("arrival", F.lit(1)), key)
-    return io.write_version(merged, root)
-
-
-STORE_KEYS = {"documents": "document_id", "vectors": "chunk_id", "status": "document_id"}
-
-
-def ingest_and_store(uploads: DataFrame, out_root: str, **kw) -> dict[str, str]:
-    """Batch ingest stored by key into the documents, vectors and status tables (each written
-    as its next version); the extracted text is computed once for the three writes and
-    released afterwards.  Re-ingesting the same uploads changes nothing."""
-    spark = uploads.sparkSession
-    if kw.get("assign_ids") and kw.get("existing_vectors") is None:
-        from tessera.sources import tables as io
-        # new vector ids continue after those already stored
-        kw["existing_vectors"] = io.read_versioned(spark, f"{out_root.rstrip('/')}/vectors",
-                                                   io.VECTORS_SCHEMA).select("vector_index_id")
-    res = ingest(uploads, persist=True, **kw)
-    try:
-        return {name: store_upsert(spark, f"{out_root.rstrip('/')}/{name}", df, STORE_KEYS[name])
-                for name, df in (("documents", res.documents), ("vectors", res.vectors), ("status", res.status))}
-    finally:
-        res.release()

@@ -9,7 +9,10 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from tessera.functions import text as T
+from tessera.operators import embed as E
+from tessera.operators import knn as K
 from tessera.plans import fixtures as fx
+from tessera.plans import store
 from tessera.plans.catalog import register
 from tessera.plans.fixtures import sql_with
 from tessera.plans.ingest import ingest
@@ -24,60 +27,76 @@ WS = T.WS_CLASS
 
 def uploads(spark, sf_dir):
     """Every upload of the fixture with derived bytes (``content``)."""
-    raw = fx.doc_raw(spark, sf_dir)
+    return as_uploads(fx.doc_raw(spark, sf_dir))
+
+
+def as_uploads(raw):
     typed = raw.select("document_id", "filename", "file_size", "upload_timestamp", "text",
                        F.when(T.validation_reason("file_size", "filename").isNull(),
                               T.document_type("filename")).alias("document_type"))
-    return files.uploads_from_text(typed).drop("document_type")
+    return fx.uploads_from_text(typed).drop("document_type")
+
+
+TEXT_SQL = ("regexp_replace(regexp_replace(text, '\\r\\n?', chr(10), 'g'), '^" + WS + "+|" + WS + "+$', '', 'g')")
+MIME_SQL = "CASE document_type WHEN 'pdf' THEN 'application/pdf' WHEN 'docx' THEN 'application/zip' ELSE 'text/plain' END"
 
 
 @register("extract_text", sql_with("doc_raw", "doc") + """
-SELECT document_id, document_type,
-       CASE WHEN document_type = 'pdf' THEN 'no_extractor' END AS error,
-       CASE WHEN document_type <> 'pdf' THEN CAST(length(t) AS INTEGER) END AS n_chars,
-       CASE WHEN document_type <> 'pdf' THEN md5(t) END AS text_md5,
-       CASE document_type WHEN 'pdf' THEN 'application/pdf' WHEN 'docx' THEN 'application/zip'
-            ELSE 'text/plain' END AS mime_type
-FROM (SELECT document_id, document_type,
-             regexp_replace(regexp_replace(text, '\\r\\n?', chr(10), 'g'), '^""" + WS + "+|" + WS + """+$', '', 'g') AS t
-      FROM doc)""")
+SELECT document_id, document_type, CAST(NULL AS VARCHAR) AS error, CAST(length(t) AS INTEGER) AS n_chars, md5(t) AS text_md5,
+       """ + MIME_SQL + """ AS mime_type
+FROM (SELECT document_id, document_type, """ + TEXT_SQL + """ AS t FROM doc)""")
 def extract_text(spark, sf_dir):
+    """Texts of all accepted uploads; PDF through an injected extractor."""
     up = uploads(spark, sf_dir)
     acc = up.where(T.validation_reason("file_size", "filename").isNull()).withColumn(
-        "document_type", T.document_type("filename"))
-    ext = files.extract_text(acc.select("document_id", "document_type", "content"))
-    meta = acc.select("document_id", "document_type", T.mime_from_magic("content").alias("mime_type"))
-    return ext.join(meta, "document_id").select(
-        "document_id", "document_type", "error", F.length("text").alias("n_chars"), F.md5("text").alias("text_md5"),
-        "mime_type")
+        "document_type", T.document_type("filename")).withColumn("mime_type", T.mime_from_magic("content"))
+    ext = files.extract(acc.select("document_id", "document_type", "mime_type", "content"), fx.pdf_extractor)
+    return ext.select("document_id", "document_type", "error", F.length("text").alias("n_chars"), F.md5("text").alias("text_md5"),
+                      "mime_type")
+
 
+@register("extract_files", sql_with("doc_raw", "doc") + """
+SELECT document_id, document_type, CAST(octet_length(encode(text)) AS BIGINT) AS n_bytes, md5(text) AS text_md5
+FROM (SELECT document_id, 'txt' AS document_type, """ + TEXT_SQL.replace("text,", "replace(text, chr(10), ' '),") + """ AS text FROM doc)""")
+def extract_files(spark, sf_dir):
+    """Real files in the shared folder, one per document, read by ``binaryFile`` and extracted."""
+    folder = scratch_dir(spark, "files")
+    doc = fx.doc(spark, sf_dir).select("document_id", F.regexp_replace("text", "\n", " ").alias("text"))
+    doc.repartition("document_id").write.partitionBy("document_id").option("maxRecordsPerFile", 1).text(folder)
+    up = files.uploads_from_files(files.read_raw_files(spark, folder, "*.txt"))
+    ext = files.extract(up.withColumn("document_type", T.document_type("filename")), fx.pdf_extractor)
+    return ext.select("document_id", "document_type", F.octet_length("text").cast("long").alias("n_bytes"), F.md5("text").alias("text_md5"))
 
-INGESTED_DOCS_SQL = sql_with("doc_raw", "doc") + "SELECT " + DOC_COLS_SQL + " FROM doc WHERE document_type <> 'pdf'"
+
+INGESTED_DOCS_SQL = sql_with("doc_raw", "doc") + "SELECT " + DOC_COLS_SQL + " FROM doc"
 
 
 @register("ingest_documents", INGESTED_DOCS_SQL)
 def ingest_documents(spark, sf_dir):
-    return doc_public(ingest(uploads(spark, sf_dir)).documents)
+    return doc_public(ingest(uploads(spark, sf_dir), pdf_extractor=fx.pdf_extractor).documents)
 
 
 @register("ingest_chunks", sql_with("stored_chunks") + """
-SELECT c.chunk_id, c.document_id, c.content, c.chunk_index, c.start_position, c.end_position
-FROM stored_chunks c JOIN doc d ON d.document_id = c.document_id WHERE d.document_type <> 'pdf'""")
+SELECT chunk_id, document_id, content, chunk_index, start_position, end_position FROM stored_chunks""")
 def ingest_chunks(spark, sf_dir):
-    v = ingest(uploads(spark, sf_dir)).vectors
+    v = ingest(uploads(spark, sf_dir), pdf_extractor=fx.pdf_extractor).vectors
     return v.select("chunk_id", "document_id", "content", "chunk_index", "start_position", "end_position")
 
 
-STATUS_SQL = sql_with("doc_raw") + """
-SELECT document_id,
-       CASE WHEN r IS NOT NULL THEN 'rejected' WHEN t = 'pdf' THEN 'failed' ELSE 'completed' END AS status,
-       CASE WHEN r IS NOT NULL THEN r WHEN t = 'pdf' THEN 'no_extractor' END AS reason
+def status_sql(pdf: str) -> str:
+    """Status per upload; ``pdf`` = reason of failed PDF rows, '' when they are extracted."""
+    failed = f"WHEN t = 'pdf' THEN '{pdf}'" if pdf else ""
+    state = "WHEN t = 'pdf' THEN 'failed'" if pdf else ""
+    return sql_with("doc_raw") + """
+SELECT document_id, CASE WHEN r IS NOT NULL THEN 'rejected' """ + state + """ ELSE 'completed' END AS status,
+       CASE WHEN r IS NOT NULL THEN r """ + failed + """ END AS reason
 FROM (SELECT document_id, """ + fx._fmt(fx.REASON_SQL, s="file_size", f="filename") + """ AS r,
              """ + fx._fmt(fx.TYPE_SQL, f="filename") + """ AS t FROM doc_raw)"""
 
 
-@register("ingest_status", STATUS_SQL)
+@register("ingest_status", status_sql("no_extractor"))
 def ingest_status(spark, sf_dir):
+    """Without an extractor PDF uploads are reported as failed."""
     return ingest(uploads(spark, sf_dir)).status
 
 
@@ -87,22 +106,100 @@ def _land(spark, df, name, n_files=4):
     return root
 
 
+def _streamed(spark, sf_dir, files_per_batch):
+    landing = files.land_uploads(uploads(spark, sf_dir), scratch_dir(spark, "landing"), n_files=4)
+    root = scratch_dir(spark, "store")
+    S.stream_ingest(spark, landing, root, scratch_dir(spark, "ingest-ckpt"), max_files_per_trigger=files_per_batch,
+                    pdf_extractor=fx.pdf_extractor)
+    return root
+
+
 @register("stream_ingest", INGESTED_DOCS_SQL)
 def stream_ingest(spark, sf_dir):
     """Uploads land as several files; an available-now stream ingests them one file per
-    micro-batch; the documents log is read back merge-on-read."""
-    landing = files.land_uploads(uploads(spark, sf_dir), scratch_dir(spark, "landing"), n_files=4)
-    out = scratch_dir(spark, "ingest-out")
-    S.stream_ingest(spark, landing, out, scratch_dir(spark, "ingest-ckpt"), max_files_per_trigger=1)
-    return doc_public(S.read_log(spark, f"{out}/documents", "document_id"))
+    micro-batch; the store is read back."""
+    return doc_public(store.read_documents(spark, _streamed(spark, sf_dir, 1)))
 
 
-@register("stream_ingest_status", STATUS_SQL)
+@register("stream_ingest_status", status_sql(""))
 def stream_ingest_status(spark, sf_dir):
-    landing = files.land_uploads(uploads(spark, sf_dir), scratch_dir(spark, "landing"), n_files=4)
-    out = scratch_dir(spark, "ingest-out")
-    S.stream_ingest(spark, landing, out, scratch_dir(spark, "ingest-ckpt"), max_files_per_trigger=2)
-    return S.read_log(spark, f"{out}/status", "document_id")
+    return store.read_status(spark, _streamed(spark, sf_dir, 2))
+
+
+# ------------------------------------------------------------------------------ the store
+
+VERSIONS_SQL = sql_with("doc_raw") + """,
+again AS (SELECT *, doc_id % 3 = 0 AS changed FROM doc_raw
+          WHERE (""" + fx._fmt(fx.REASON_SQL, s="file_size", f="filename") + """) IS NULL),
+stored AS (SELECT document_id, CASE WHEN changed THEN substr(text, 1, CAST(length(text) // 3 AS INTEGER)) ELSE text END AS text FROM again),
+v1 AS (SELECT document_id, CAST(greatest(ceil(len(""" + fx._fmt(fx.WORDS_SQL, t="text") + """) / 462.0), 0) AS BIGINT) AS n FROM again),
+ids AS (SELECT document_id, sum(n) OVER (ORDER BY md5(document_id), document_id) - n AS first_id FROM v1),
+chunked AS (""" + fx.SQL_VIEWS["chunks_of"].replace("{src}", "stored") + """)"""
+
+
+def _two_versions(spark, sf_dir):
+    """A store to which every upload went, and then again, a third of them cut to a third of their text."""
+    first = uploads(spark, sf_dir)
+    raw = fx.doc_raw(spark, sf_dir)
+    shorter = raw.withColumn("text", F.when(F.pmod("doc_id", F.lit(3)) == 0, F.expr("substr(text, 1, CAST(length(text) DIV 3 AS INT))")).otherwise(F.col("text")))
+    root = scratch_dir(spark, "store")
+    for up in (first, as_uploads(shorter)):
+        store.append_batch(up, root, pdf_extractor=fx.pdf_extractor)
+    return root
+
+
+@register("store_reingest", VERSIONS_SQL + """
+SELECT c.chunk_id, c.document_id, c.chunk_index, md5(c.content) AS content_md5, CAST(i.first_id + c.chunk_index AS BIGINT) AS vector_index_id
+FROM chunked c JOIN ids i ON i.document_id = c.document_id""")
+def store_reingest(spark, sf_dir):
+    """Ingested twice: the second version leaves no chunk of the first, and stored keys keep their ids."""
+    v = store.read_vectors(spark, _two_versions(spark, sf_dir))
+    return v.select("chunk_id", "document_id", "chunk_index", F.md5("content").alias("content_md5"), "vector_index_id")
+
+
+_LEFT = " WHERE document_id NOT IN (SELECT CAST(doc_id AS VARCHAR) FROM documents WHERE doc_id % 7 = 0)"
+
+
+def _deleted(spark, sf_dir):
+    root = scratch_dir(spark, "store")
+    store.append_batch(uploads(spark, sf_dir), root, pdf_extractor=fx.pdf_extractor)
+    store.delete(spark, root, fx.deleted_ids(spark, sf_dir))
+    return root
+
+
+@register("delete_store", sql_with("stored_chunks") + """
+SELECT d.document_id, d.filename, count(c.chunk_id) AS n_chunks FROM doc d LEFT JOIN stored_chunks c ON c.document_id = d.document_id
+WHERE d.document_id NOT IN (SELECT CAST(doc_id AS VARCHAR) FROM documents WHERE doc_id % 7 = 0)
+GROUP BY d.document_id, d.filename""")
+def delete_store(spark, sf_dir):
+    """Documents, chunks and raw uploads deleted from a written store; what is left of it."""
+    root = _deleted(spark, sf_dir)
+    raw = store.read_uploads(spark, root).select("document_id", "filename")
+    n = store.read_vectors(spark, root).groupBy("document_id").agg(F.count(F.lit(1)).alias("n_chunks"))
+    left = store.read_documents(spark, root).select("document_id").join(raw, "document_id").join(n, "document_id", "left")
+    return left.select("document_id", "filename", F.coalesce("n_chunks", F.lit(0)).alias("n_chunks"))
+
+
+@register("compact_store", sql_with("stored_chunks") + """
+SELECT chunk_id, document_id, chunk_index, md5(content) AS content_md5 FROM stored_chunks
+WHERE document_id NOT IN (SELECT CAST(doc_id AS VARCHAR) FROM documents WHERE doc_id % 7 = 0)""")
+def compact_store(spark, sf_dir):
+    """The same store after compaction: one batch holding only live rows."""
+    root = _deleted(spark, sf_dir)
+    store.compact(spark, root)
+    return store.read_vectors(spark, root).select("chunk_id", "document_id", "chunk_index", F.md5("content").alias("content_md5"))
+
+
+@register("stream_then_search", sql_with("stored_chunks").rstrip() + hash_search_sql(
+    "(SELECT CAST(item_id AS VARCHAR) AS chunk_id, text AS content FROM benchmark)", fx.QA_LIMIT, fx.QA_THRESHOLD) + """
+SELECT query_id, count(*) AS n_hits, round(max(score), 6) AS best_score FROM res GROUP BY query_id""")
+def stream_then_search(spark, sf_dir):
+    """What a stream ingested is searched: every streamed vector has its id."""
+    emb = E.HashingEmbedder()
+    v = store.read_vectors(spark, _streamed(spark, sf_dir, 2))
+    q = fx.questions(spark, sf_dir).select(F.col("question_id").alias("query_id"), emb.column("question").alias("embedding"))
+    hits = K.semantic_search(q, v, v, limit=fx.QA_LIMIT, threshold=fx.QA_THRESHOLD, vector_dim=emb.dim)
+    return hits.groupBy("query_id").agg(F.count(F.lit(1)).alias("n_hits"), F.round(F.max("similarity_score"), 6).alias("best_score"))
 
 
 def conversation_queries(spark, sf_dir):

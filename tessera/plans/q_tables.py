@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from tessera.operators import embed as E
 from tessera.operators import tables
 from tessera.plans import fixtures as fx
+from tessera.plans import store
 from tessera.plans.catalog import register
 from tessera.plans.fixtures import WORDS_SQL, _fmt, sql_with
 from tessera.plans.q_documents import DOC_COLS_SQL, doc_public
@@ -136,11 +137,15 @@ def reindex_totals(spark, sf_dir):
 
 
 def _new_ids(spark, sf_dir):
-    chunks = fx.stored_chunks(spark, sf_dir)
-    return tables.assign_dense_ids(chunks, existing=fx.vec(spark, sf_dir))
+    """Ids for new chunks after those of the stored vectors."""
+    stored = fx.vec(spark, sf_dir)
+    first = stored.agg(F.max("vector_index_id") + 1).first()[0]
+    return store.number_chunks(fx.stored_chunks(spark, sf_dir), stored.limit(0), first)
 
 
-@register("assign_vector_ids")
+@register("assign_vector_ids", sql_with("stored_chunks") + """
+SELECT chunk_id, (SELECT max(vec_id) FROM embeddings)
+       + row_number() OVER (ORDER BY md5(document_id), document_id, chunk_index) AS vector_index_id FROM stored_chunks""")
 def assign_vector_ids(spark, sf_dir):
     return _new_ids(spark, sf_dir).select("chunk_id", "vector_index_id")
 

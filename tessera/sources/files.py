@@ -4,10 +4,10 @@
   (``document_id, filename, file_size, upload_timestamp, content BINARY``).
 * ``read_raw_files``: the ``binaryFile`` source over a folder of files; only the columns a
   plan uses are read (``content`` is pruned when unused) and ``length`` filters push down.
-* ``extract_text``: TXT is decoded on the JVM (strict UTF-8, gated so one bad file cannot
-  fail the job); DOCX / DOC go through an Arrow-batched ``mapInPandas`` with the standard
-  library's ``zipfile`` + XML parser; PDF uses a pluggable extractor (none is installed here,
-  so PDF rows are rejected with ``no_extractor`` unless one is given).
+* ``extract``: one narrow pass that keeps every column: TXT is decoded on the JVM (strict UTF-8, gated so
+  one bad file cannot fail the job); DOCX / DOC go through an Arrow-batched pandas UDF with the
+  standard library's ``zipfile`` + XML parser; PDF uses a pluggable extractor (none is installed here, so
+  PDF rows fail with ``no_extractor`` unless one is given).  Whatever a file raises is that row's error.
 """
 
 from __future__ import annotations
@@ -23,13 +23,13 @@ from pyspark.sql import functions as F
 
 from tessera.functions import text as T
 
-EXTRACT_SCHEMA = "document_id string, text string, error string"
 W_NS = "{http://schemas.openxmlformats.org/wordprocessingml/2006/main}"
 
 
 def land_uploads(uploads: DataFrame, root: str, n_files: int | None = None) -> str:
-    """Append uploads to the landing table (SNK-1); returns the path."""
-    df = uploads.select("document_id", "filename", F.col("file_size").cast("int"), "upload_timestamp", "content")
+    """Append uploads to the landing table (SNK-1); returns the path.  Sizes stay BIGINT: a file over
+    the limit is a reject row later, not an overflow here."""
+    df = uploads.select("document_id", "filename", F.col("file_size").cast("long"), "upload_timestamp", "content")
     (df.repartition(n_files) if n_files else df).write.mode("append").parquet(root)
     return root
 
@@ -37,27 +37,30 @@ def land_uploads(uploads: DataFrame, root: str, n_files: int | None = None) -> s
 def uploads_from_files(raw: DataFrame) -> DataFrame:
     """``binaryFile`` rows (see ``read_raw_files``) as uploads: size = ``length``, upload time =
     file modification time (naive UTC)."""
-    return raw.select("document_id", "filename", F.col("length").cast("int").alias("file_size"),
+    return raw.select("document_id", "filename", F.col("length").cast("long").alias("file_size"),
                       F.col("modificationTime").cast("timestamp_ntz").alias("upload_timestamp"), "content")
 
 
-def read_raw_files(spark: SparkSession, path: str, glob: str | None = None) -> DataFrame:
+def read_raw_files(spark: SparkSession, path: str, glob: str | None = None, ids: str = "path") -> DataFrame:
     """``binaryFile`` source: ``path, modificationTime, length, content`` plus ``filename`` and
-    ``document_id`` taken from the path: a ``document_id=<id>`` folder when present, else the
-    file name without its extension (files are stored as ``<id><ext>``)."""
+    ``document_id`` (see ``with_path_ids``)."""
     r = spark.read.format("binaryFile").option("recursiveFileLookup", "true")
     if glob:
         r = r.option("pathGlobFilter", glob)
-    return with_path_ids(r.load(path))
+    return with_path_ids(r.load(path), ids)
 
 
-def with_path_ids(df: DataFrame) -> DataFrame:
-    """Add ``filename`` and ``document_id`` derived from a ``binaryFile`` ``path``."""
+def with_path_ids(df: DataFrame, ids: str = "path") -> DataFrame:
+    """Add ``filename`` and ``document_id`` derived from a ``binaryFile`` ``path``: the name of a
+    ``document_id=<id>`` folder when present; else, with ``ids="path"``, a hash of the full path (two files
+    of one name in two folders stay two documents), or with ``ids="stem"`` the file name without its
+    extension, for one flat folder of ``<id><ext>`` files."""
+    if ids not in ("path", "stem"):
+        raise ValueError("ids must be 'path' or 'stem'")
     name = F.regexp_extract("path", r"([^/]+)$", 1)
     folder_id = F.regexp_extract("path", r"/document_id=([^/]+)/", 1)
-    stem = F.regexp_extract(name, r"^(.+?)(\.[^.]*)?$", 1)
-    return df.withColumn("filename", name).withColumn(
-        "document_id", F.when(folder_id != "", folder_id).otherwise(stem))
+    other = F.substring(F.sha2("path", 256), 1, 32) if ids == "path" else F.regexp_extract(name, r"^(.+?)(\.[^.]*)?$", 1)
+    return df.withColumn("filename", name).withColumn("document_id", F.when(folder_id != "", folder_id).otherwise(other))
 
 
 # ------------------------------------------------------------------------------ DOCX
@@ -83,88 +86,30 @@ def docx_paragraphs(data: bytes) -> list[str]:
     return out
 
 
-def build_docx(paragraphs: list[str]) -> bytes:
-    """A minimal DOCX archive with one run per paragraph (used to derive test uploads)."""
-    from xml.sax.saxutils import escape
-    body = "".join(f'<w:p><w:r><w:t xml:space="preserve">{escape(p)}</w:t></w:r></w:p>' for p in paragraphs)
-    doc = ('<?xml version="1.0" encoding="UTF-8" standalone="yes"?>'
-           '<w:document xmlns:w="http://schemas.openxmlformats.org/wordprocessingml/2006/main">'
-           f'<w:body>{body}</w:body></w:document>')
-    ctypes = ('<?xml version="1.0" encoding="UTF-8"?>'
-              '<Types xmlns="http://schemas.openxmlformats.org/package/2006/content-types">'
-              '<Default Extension="rels" ContentType="application/vnd.openxmlformats-package.relationships+xml"/>'
-              '<Default Extension="xml" ContentType="application/xml"/>'
-              '<Override PartName="/word/document.xml" ContentType="application/vnd.openxmlformats-'
-              'officedocument.wordprocessingml.document.main+xml"/></Types>')
-    rels = ('<?xml version="1.0" encoding="UTF-8"?>'
-            '<Relationships xmlns="http://schemas.openxmlformats.org/package/2006/relationships">'
-            '<Relationship Id="rId1" Type="http://schemas.openxmlformats.org/officeDocument/2006/'
-            'relationships/officeDocument" Target="word/document.xml"/></Relationships>')
-    buf = io.BytesIO()
-    with zipfile.ZipFile(buf, "w", zipfile.ZIP_DEFLATED) as z:
-        z.writestr("[Content_Types].xml", ctypes)
-        z.writestr("_rels/.rels", rels)
-        z.writestr("word/document.xml", doc)
-    return buf.getvalue()
-
-
-def _python_extract(pdf_extractor: Callable[[bytes], list[str]] | None):
-    def run(it):
-        for pdf in it:
-            texts, errs = [], []
-            for typ, content in zip(pdf["document_type"], pdf["content"]):
-                try:
-                    if typ == "docx":
-                        parts = docx_paragraphs(bytes(content))
-                    elif typ == "pdf":
-                        if pdf_extractor is None:
-                            texts.append(None)
-                            errs.append("no_extractor")
-                            continue
-                        parts = list(pdf_extractor(bytes(content)))
-                    else:
-                        raise ValueError(f"unsupported type {typ}")
-                    texts.append("".join(p + "\n" for p in parts).strip())
-                    errs.append(None)
-                except (zipfile.BadZipFile, KeyError, ET.ParseError, ValueError, OSError) as e:
-                    texts.append(None)
-                    errs.append(f"extract_failed: {type(e).__name__}")
-            yield pd.DataFrame({"document_id": pdf["document_id"], "text": texts, "error": errs})
+def _extractor(pdf_extractor: Callable[[bytes], list[str]] | None):
+    def one(kind: str, content) -> tuple[str | None, str | None]:
+        if kind == "pdf" and pdf_extractor is None:
+            return None, "no_extractor"
+        try:
+            parts = docx_paragraphs(bytes(content)) if kind == "docx" else pdf_extractor(bytes(content))
+            return "".join(p + "\n" for p in parts).strip(), None
+        except Exception as e:  # noqa: BLE001 - a file can raise anything; it is this row's error, not the job's
+            return None, f"extract_failed: {type(e).__name__}"
+
+    @F.pandas_udf("text string, error string")
+    def run(kind: pd.Series, content: pd.Series) -> pd.DataFrame:
+        got = [(None, None) if c is None or k is None else one(k, c) for k, c in zip(kind, content, strict=True)]
+        return pd.DataFrame(got, columns=["text", "error"])
     return run
 
 
-def extract_text(uploads: DataFrame, pdf_extractor: Callable[[bytes], list[str]] | None = None) -> DataFrame:
-    """``document_id, text, error`` for accepted uploads (``document_type`` + ``content``)."""
-    txt = uploads.where(F.col("document_type") == "txt")
+def extract(uploads: DataFrame, pdf_extractor: Callable[[bytes], list[str]] | None = None) -> DataFrame:
+    """``uploads`` (``document_type``, NULL for a rejected one, and ``content``) without ``content``, with ``text``
+    and ``error``: no join, no shuffle, and only DOCX and PDF bytes go to Python."""
+    is_txt = F.col("document_type") == "txt"
+    got = _extractor(pdf_extractor)(F.when(~is_txt, F.col("document_type")), F.when(~is_txt, F.col("content")))
     valid = F.is_valid_utf8("content")
-    decoded = F.regexp_replace(F.decode("content", "UTF-8"), "\r\n?", "\n")
-    txt_out = txt.select("document_id",
-                         F.when(valid, T.py_strip(decoded)).alias("text"),
-                         F.when(~valid, F.lit("invalid_utf8")).alias("error"))
-    other = uploads.where(F.col("document_type") != "txt").select("document_id", "document_type", "content")
-    other_out = other.mapInPandas(_python_extract(pdf_extractor), EXTRACT_SCHEMA)
-    return txt_out.unionByName(other_out)
-
-
-def uploads_from_text(docs: DataFrame) -> DataFrame:
-    """Derive upload bytes from stored text by document type: TXT as UTF-8, DOCX / DOC as an
-    archive with one paragraph per line, PDF as bytes with a PDF header (needs an extractor)."""
-    def make(it):
-        for pdf in it:
-            contents = []
-            for typ, text in zip(pdf["document_type"], pdf["text"]):
-                t = text or ""
-                if typ == "docx":
-                    contents.append(build_docx(t.split("\n")))
-                elif typ == "pdf":
-                    contents.append(b"%PDF-1.4\n" + t.encode("utf-8"))
-                else:
-                    contents.append(t.encode("utf-8"))
-            out = pdf.drop(columns=["text"])
-            out["content"] = contents
-            yield out
-
-    cols = [c for c in docs.columns if c != "text"]
-    schema = docs.select(*cols).schema.add("content", "binary")
-    return docs.mapInPandas(make, schema)
-
+    decoded = T.py_strip(F.regexp_replace(F.col("content").cast("string"), "\r\n?", "\n"))
+    text = F.when(is_txt, F.when(valid, decoded)).otherwise(F.col("_got.text"))
+    error = F.when(is_txt, F.when(~valid, F.lit("invalid_utf8"))).otherwise(F.col("_got.error"))
+    return uploads.withColumn("_got", got).withColumn("text", text).withColumn("error", error).drop("_got", "content")

@@ -4,6 +4,8 @@ import datetime as dt
 
 from pyspark.sql import functions as F
 
+from tessera.plans import fixtures as fx
+from tessera.plans import store
 from tessera.session import scratch_dir
 from tessera.sources import files
 from tessera.plans.ingest import ingest
@@ -14,11 +16,11 @@ def _uploads(spark, rows):
 
 
 def test_txt_docx_pdf_and_bad_bytes(spark):
-    docx = files.build_docx(["Hello  world", "second\tpara", ""])
+    docx = fx.build_docx(["Hello  world", "second\tpara", ""])
     rows = [("t", "txt", bytearray("  line one\r\nline two \n".encode())), ("x", "docx", bytearray(docx)),
             ("p", "pdf", bytearray(b"%PDF-1.4 whatever")), ("bad", "txt", bytearray(b"ok \xff\xfe")),
             ("z", "docx", bytearray(b"not a zip"))]
-    got = {r.document_id: (r.text, r.error) for r in files.extract_text(_uploads(spark, rows)).collect()}
+    got = {r.document_id: (r.text, r.error) for r in files.extract(_uploads(spark, rows)).collect()}
     assert got["t"] == ("line one\nline two", None)
     assert got["x"] == ("Hello  world\nsecond\tpara", None)
     assert got["p"] == (None, "no_extractor")
@@ -26,9 +28,56 @@ def test_txt_docx_pdf_and_bad_bytes(spark):
     assert got["z"][0] is None and got["z"][1].startswith("extract_failed")
 
 
+def test_any_file_error_is_its_rows_error(spark):
+    """A corrupt deflate stream, an encrypted archive and whatever an extractor raises fail their row only."""
+    good = fx.build_docx(["one " * 200])
+    corrupt = bytearray(good)
+    at = good.rindex(b"word/document.xml", 0, good.rindex(b"PK\x01\x02")) + len("word/document.xml")
+    corrupt[at:at + 20] = b"\xff" * 20
+    encrypted = bytearray(good)
+    for mark, offset in ((b"PK\x03\x04", 6), (b"PK\x01\x02", 8)):
+        i = encrypted.find(mark)
+        while i >= 0:
+            encrypted[i + offset] |= 1
+            i = encrypted.find(mark, i + 4)
+
+    def extractor(data):
+        raise RecursionError("deep")
+    rows = [("c", "docx", corrupt), ("e", "docx", encrypted), ("p", "pdf", bytearray(b"%PDF")), ("g", "docx", bytearray(good)), ("n", "txt", None)]
+    got = {r.document_id: (r.text, r.error) for r in files.extract(_uploads(spark, rows), extractor).collect()}
+    assert got["c"][1].startswith("extract_failed") and got["e"] == (None, "extract_failed: RuntimeError")
+    assert got["p"] == (None, "extract_failed: RecursionError") and got["g"][1] is None and got["g"][0].startswith("one one")
+
+
+def test_extraction_is_one_pass(spark):
+    """One Python stage, no join and no shuffle, with the metadata kept beside text and error."""
+    rows = [("t", "txt", bytearray(b"x"))]
+    plan = files.extract(_uploads(spark, rows).withColumn("extra", F.lit(1)))._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("ArrowEvalPython") == 1 and "Join" not in plan and "Exchange" not in plan
+
+
+def test_oversized_length_is_a_reject_row(spark):
+    t = dt.datetime(2024, 1, 1)
+    raw = spark.createDataFrame([("f/a.txt", t, 3 << 30, bytearray(b"x"))], "path string, modificationTime timestamp, length long, content binary")
+    up = files.uploads_from_files(files.with_path_ids(raw))
+    assert [(r.status, r.reason) for r in ingest(up).status.collect()] == [("rejected", "too_large")]
+    landing = files.land_uploads(up, scratch_dir(spark, "landing"))
+    assert spark.read.parquet(landing).first().file_size == 3 << 30
+
+
+def test_equal_names_in_two_folders_stay_two_documents(spark):
+    root = scratch_dir(spark, "raw")
+    for folder in ("a", "b"):
+        spark.createDataFrame([(f"text of {folder}",)], "value string").coalesce(1).write.text(f"{root}/{folder}/x={folder}")
+    raw = files.read_raw_files(spark, root, "*.txt")
+    assert raw.select("document_id").distinct().count() == 2
+    stem = files.with_path_ids(raw.select("path"), "stem").first()
+    assert stem.filename == stem.document_id + ".txt"
+
+
 def test_pdf_extractor_plugin(spark):
     rows = [("p", "pdf", bytearray(b"%PDF-1.4 page one|page two"))]
-    ext = files.extract_text(_uploads(spark, rows), pdf_extractor=lambda b: b[9:].decode().split("|"))
+    ext = files.extract(_uploads(spark, rows), pdf_extractor=lambda b: b[9:].decode().split("|"))
     assert ext.first().text == "page one\npage two"
 
 
@@ -39,7 +88,7 @@ def test_binary_file_source_roundtrip(spark):
     raw = files.read_raw_files(spark, root, "*.txt")
     assert set(raw.columns) >= {"path", "length", "content", "document_id", "filename"}
     up = raw.select("document_id", F.lit("txt").alias("document_type"), "content")
-    got = {r.document_id: r.text for r in files.extract_text(up).collect()}
+    got = {r.document_id: r.text for r in files.extract(up).collect()}
     assert got == {"a": "alpha beta", "b": "gamma"}
     # unused content column is pruned from the scan
     plan = raw.select("path", "length")._jdf.queryExecution().executedPlan().toString()
@@ -62,35 +111,3 @@ def test_ingest_status_and_empty_text(spark):
     res.release()
 
 
-def test_ingest_and_store_writes_three_versions(spark):
-    from tessera.plans.ingest import ingest_and_store
-    from tessera.sources import tables as io
-    t = dt.datetime(2024, 1, 1)
-    up = spark.createDataFrame([("1", "a.txt", 5, t, bytearray(b"the and of cat")), ("2", "b.pdf", 5, t, bytearray(b"%PDF"))],
-                               "document_id string, filename string, file_size int, upload_timestamp timestamp_ntz, "
-                               "content binary")
-    root = scratch_dir(spark, "store")
-    paths = ingest_and_store(up, root)
-    assert all(p.endswith("v=0") for p in paths.values())
-    assert io.read_versioned(spark, f"{root}/documents").count() == 1
-    assert {r.status for r in io.read_versioned(spark, f"{root}/status").collect()} == {"completed", "failed"}
-    assert spark.sparkContext._jsc.getPersistentRDDs().size() == 0
-    again = ingest_and_store(up, root)                       # same uploads again: replace by key
-    assert all(p.endswith("v=1") for p in again.values())
-    assert io.read_versioned(spark, f"{root}/documents").count() == 1
-    assert io.read_versioned(spark, f"{root}/status").count() == 2
-
-
-def test_ingest_and_store_continues_vector_ids(spark):
-    from tessera.plans.ingest import ingest_and_store
-    from tessera.sources import tables as io
-    t = dt.datetime(2024, 1, 1)
-    schema = "document_id string, filename string, file_size int, upload_timestamp timestamp_ntz, content binary"
-    words = " ".join(f"w{i}" for i in range(600)).encode()          # two chunks each
-    first = spark.createDataFrame([("1", "a.txt", 5, t, bytearray(words)), ("2", "b.txt", 5, t, bytearray(b"x y"))], schema)
-    second = spark.createDataFrame([("3", "c.txt", 5, t, bytearray(words))], schema)
-    root = scratch_dir(spark, "store")
-    ingest_and_store(first, root, assign_ids=True)
-    ingest_and_store(second, root, assign_ids=True)
-    ids = sorted(r.vector_index_id for r in io.read_versioned(spark, f"{root}/vectors", io.VECTORS_SCHEMA).collect())
-    assert ids == list(range(5))

@@ -4,9 +4,9 @@ from pyspark.sql import functions as F
 
 from tessera.operators import chunking, embed, knn, nlp
 from tessera.plans import fixtures as fx
-from tessera.plans.ingest import ingest_and_store
+from tessera.plans import store as S
 from tessera.session import scratch_dir
-from tessera.sources import files, tables as io
+from tessera.sources import files
 
 SF = "/root/testdata/sf0.001"
 
@@ -18,11 +18,10 @@ def test_files_to_answers(spark):
     docs.write.partitionBy("document_id").text(folder)
     up = files.uploads_from_files(files.read_raw_files(spark, folder, "*.txt"))
     store = scratch_dir(spark, "store")
-    ingest_and_store(up, store)
-    stored = io.read_versioned(spark, f"{store}/documents")
+    S.append_batch(up, store)
+    stored = S.read_documents(spark, store)
     assert stored.count() == 30
-    vectors = io.read_versioned(spark, f"{store}/vectors", io.VECTORS_SCHEMA)
-    vectors = vectors.withColumn("vector_index_id", (F.col("document_id").cast("long") * 1000 + F.col("chunk_index")))
+    vectors = S.read_vectors(spark, store)
     # every document's first chunk, used as a query, finds its own chunk first (score 1)
     h = embed.HashingEmbedder()
     q = (vectors.where("chunk_index = 0")
