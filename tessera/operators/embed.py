@@ -16,6 +16,7 @@ and stored as float32.  Two kinds:
 from __future__ import annotations
 
 import hashlib
+import uuid
 from collections.abc import Callable, Iterator
 
 import numpy as np
@@ -24,21 +25,30 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tessera.functions.text import words
+from tessera.operators.models import built
 
 DEFAULT_DIM = 384
 EMBED_BATCH = 32
 
 
-_CACHES: dict[int, dict[str, int]] = {}
 _CACHE_LIMIT = 2_000_000
 
 
-def _bucket_cache(dim: int) -> dict[str, int]:
-    """Word -> bucket memo for this Python worker, reset when it grows past the limit."""
-    c = _CACHES.setdefault(dim, {})
-    if len(c) > _CACHE_LIMIT:
-        c.clear()
-    return c
+class _Buckets(dict):
+    """Word -> bucket memo of this Python worker; md5 runs once per distinct word while it lasts."""
+
+    def __init__(self, dim: int):
+        super().__init__()
+        self.dim = dim
+
+    def __missing__(self, word: str) -> int:
+        if len(self) > _CACHE_LIMIT:
+            self.clear()
+        b = self[word] = int(hashlib.md5(word.encode("utf-8")).hexdigest()[:8], 16) % self.dim
+        return b
+
+
+_CACHES: dict[int, _Buckets] = {}
 
 
 def _normalise_f32(m: np.ndarray) -> np.ndarray:
@@ -76,19 +86,13 @@ class HashingEmbedder:
 
         @F.pandas_udf("array<float>")
         def bag(texts: pd.Series) -> pd.Series:
-            cache = _bucket_cache(dim)
+            bucket = _CACHES.setdefault(dim, _Buckets(dim)).__getitem__
             n = len(texts)
             ids, lens = [], np.zeros(n, dtype=np.int64)
             for r, t in enumerate(texts):
-                if t is None:
-                    continue
-                ws = t.lower().split()
-                lens[r] = len(ws)
-                for w in ws:
-                    b = cache.get(w)
-                    if b is None:
-                        b = cache[w] = int(hashlib.md5(w.encode("utf-8")).hexdigest()[:8], 16) % dim
-                    ids.append(b)
+                before = len(ids)
+                ids.extend(map(bucket, t.lower().split() if t is not None else ()))
+                lens[r] = len(ids) - before
             flat = np.asarray(ids, dtype=np.int64)
             rows = np.repeat(np.arange(n, dtype=np.int64), lens)
             counts = np.bincount(rows * dim + flat, minlength=n * dim).reshape(n, dim).astype(np.float64)
@@ -103,13 +107,14 @@ class PandasEmbedder:
     def __init__(self, factory: Callable[[], Callable[[list[str]], np.ndarray]], dim: int,
                  batch_size: int = EMBED_BATCH):
         self.factory, self.dim, self.batch_size = factory, dim, batch_size
+        self.key = uuid.uuid4().hex
 
     def column(self, text) -> Column:
-        factory, dim, bs = self.factory, self.dim, self.batch_size
+        factory, dim, bs, key = self.factory, self.dim, self.batch_size, self.key
 
         @F.pandas_udf("array<float>")
         def enc(it: Iterator[pd.Series]) -> Iterator[pd.Series]:
-            model = factory()                    # once per Python worker task
+            model = built(key, factory)
             for s in it:
                 texts = s.fillna("").tolist()
                 parts = [np.asarray(model(texts[i:i + bs]), dtype=np.float64) for i in range(0, len(texts), bs)]

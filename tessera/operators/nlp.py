@@ -1,4 +1,4 @@
-"""Text-model operators with deterministic default backends, written as Spark plans.
+"""Text-model operators with deterministic default backends, one pass per text.
 
 * sentences: split after ``. ! ?`` plus white space, or at line breaks, with character
   offsets (code points) into the source text.
@@ -10,30 +10,32 @@
   confidence = matched / distinct question words; offsets into the context.
 * entities: a fixed rule table of regular expressions, confidence 1.0.
 
-All per-document work is keyed on one column; the plans repartition once on that key so
-that every window and aggregate after it reuses the same partitioning.  One key is one
-document, bounded by the largest accepted file.  ``PandasTextModel`` lets a neural model
-replace a rule: an Arrow-batched ``mapInPandas`` over (key, text) rows.
+Summary, answer and analysis depend on one row of text, so each is an Arrow-batched function of that
+row: no word or sentence rows, no shuffle.  Where a model is given (``tessera.operators.models``), it
+takes the rule's place.
 """
 
 from __future__ import annotations
 
 import re
-from collections.abc import Callable, Iterator
+from collections import Counter
+from collections.abc import Iterator
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tessera.functions.text import WS_CLASS, words
+from tessera.operators.models import PandasTextModel  # noqa: F401  (part of this module's surface)
 
-# The reference's summary limits (single text, batch over chunks) and the QA
-# defaults of retrieval, plus its answer when nothing is retrieved.
+# The reference's summary limits (single text, batch over chunks) and its texts for
+# "nothing retrieved", "no such document" and "neither text (context) nor document given".
 SUMMARY_MAX, SUMMARY_MIN = 150, 30
 CHUNK_SUMMARY_MAX, CHUNK_SUMMARY_MIN = 100, 20
 NO_CONTEXT_ANSWER = "No relevant context found for the question."
 NOT_FOUND = "Document not found"
 NO_INPUT = "Either text or document_id must be provided"
+NO_CONTEXT_INPUT = "Either context or document_id must be provided"
 
 MARK = "\u0001"
 BOUNDARY = f"([.!?]{WS_CLASS}+|\\n{WS_CLASS}*)"
@@ -64,7 +66,8 @@ def sentences(df: DataFrame, key: str, text: str = "text", *, carry: list[str] |
     single aggregate instead of joining back to their input.
     """
     carry = list(carry or [])
-    pieces = F.split(F.regexp_replace(_c(text), BOUNDARY, "$1" + MARK), MARK)
+    # A marker in the text itself counts as the blank it is replaced by, so offsets hold.
+    pieces = F.split(F.regexp_replace(F.translate(_c(text), MARK, " "), BOUNDARY, "$1" + MARK), MARK)
     explode = F.posexplode_outer if keep_empty else F.posexplode
     ex = df.select(key, *carry, explode(pieces).alias("pos", "piece"))
     sent = F.regexp_replace("piece", f"^{WS_CLASS}+|{WS_CLASS}+$", "")
@@ -85,64 +88,92 @@ def by_key(df: DataFrame, key: str) -> DataFrame:
     return df.repartition(key)
 
 
+_BOUNDARY_RE = re.compile(r"[.!?]\s+|\n\s*")
+
+
+def split_sentences(text: str) -> list[tuple[str, int]]:
+    """``(sentence, start)`` of the non-blank sentences of one text, as ``sentences`` finds them."""
+    text = text.replace(MARK, " ")
+    out, start = [], 0
+    for end in [*(m.end() for m in _BOUNDARY_RE.finditer(text)), len(text)]:
+        piece = text[start:end]
+        sent = piece.strip()
+        if sent:
+            out.append((sent, start + len(piece) - len(piece.lstrip())))
+        start = end
+    return out
+
+
+def summary_of(text: str | None, max_length: int, min_length: int) -> tuple[str, int, int, float]:
+    """``(summary, original words, summary words, ratio)`` of one text."""
+    sents = [s for s, _ in split_sentences(text or "")]
+    toks = [s.lower().split() for s in sents]
+    freq = Counter(w for t in toks for w in t)
+    total = len((text or "").split())
+    score = [sum(map(freq.__getitem__, t)) / len(t) for t in toks]
+    kept, n = [], 0
+    for rank, i in enumerate(sorted(range(len(sents)), key=lambda i: (-score[i], i))):
+        before, n = n, n + len(toks[i])
+        if rank == 0 or n <= max_length or before < min_length:
+            kept.append(i)
+    kept.sort()
+    size = sum(len(toks[i]) for i in kept)
+    return " ".join(sents[i] for i in kept), total, size, size / total if total else 0.0
+
+
+def _length(value) -> Column:
+    return F.col(value) if isinstance(value, str) else F.lit(value)
+
+
 def summarize(docs: DataFrame, key: str = "document_id", text: str = "text",
-              max_length: int = SUMMARY_MAX, min_length: int = SUMMARY_MIN) -> DataFrame:
+              max_length: int | str = SUMMARY_MAX, min_length: int | str = SUMMARY_MIN,
+              model: PandasTextModel | None = None) -> DataFrame:
     """``key, summary, original_length, summary_length, compression_ratio`` for every row.
 
-    One linear plan on one ``key`` partitioning: sentences -> words (first word carries the
-    sentence) -> in-document word frequency (window on key, word) -> per-sentence score ->
-    rank and running word count (window on key) -> one aggregate per key.
-    """
-    if max_length < 1 or min_length < 0:
+    The lengths are numbers, or names of columns with each row's own.  A ``model`` takes the text and
+    returns the summary."""
+    if (isinstance(max_length, int) and max_length < 1) or (isinstance(min_length, int) and min_length < 0):
         raise ValueError("max_length must be >= 1 and min_length >= 0")
-    base = by_key(docs.select(key, text), key)
-    s = sentences(base, key, text, with_offsets=False, keep_empty=True)
-    toks = (s.select(key, "pos", "sentence", F.posexplode_outer(words(F.lower("sentence"))).alias("i", "tok"))
-            # only the first word row keeps the sentence text, so sorts move small rows
-            .select(key, "pos", "tok", F.when(F.coalesce(F.col("i"), F.lit(0)) == 0, F.col("sentence"))
-                    .alias("sentence")))
-    freq = toks.withColumn("f", F.when(F.col("tok").isNotNull(), F.count("tok").over(Window.partitionBy(key, "tok"))))
-    per = freq.groupBy(key, "pos").agg(
-        (F.sum("f").cast("double") / F.count("tok")).alias("score"),
-        F.count("tok").alias("nw"),
-        # collect_list (hash-based object aggregate) of the one non-null text, not a sort aggregate
-        F.element_at(F.collect_list("sentence"), 1).alias("sentence"))
-    wr = Window.partitionBy(key).orderBy(F.col("score").desc_nulls_last(), F.col("pos").asc())
-    ranked = (per.withColumn("rk", F.row_number().over(wr))
-              .withColumn("cum", F.sum("nw").over(wr.rowsBetween(Window.unboundedPreceding, 0))))
-    keep = (F.col("nw") > 0) & ((F.col("rk") == 1) | (F.col("cum") <= max_length)
-                                | ((F.col("cum") - F.col("nw")) < min_length))
-    agg = ranked.groupBy(key).agg(
-        F.array_join(F.transform(F.array_sort(F.collect_list(F.when(keep, F.struct("pos", "sentence")))),
-                                 lambda x: x["sentence"]), " ").alias("summary"),
-        F.sum(F.when(keep, F.col("nw")).otherwise(F.lit(0))).cast("long").alias("summary_length"),
-        F.sum("nw").cast("long").alias("original_length"))
-    ol, sl = F.col("original_length"), F.col("summary_length")
-    return agg.select(key, "summary", "original_length", "summary_length",
-                      F.when(ol > 0, sl.cast("double") / ol).otherwise(F.lit(0.0)).alias("compression_ratio"))
+    if model is not None:
+        got = model.apply(docs, key, text)
+        size = docs.select(key, F.size(words(F.coalesce(F.col(text), F.lit("")))).cast("long").alias("original_length"))
+        got = got.select(key, "summary", F.size(words("summary")).cast("long").alias("summary_length")).join(size, key)
+        ol, sl = F.col("original_length"), F.col("summary_length")
+        return got.select(key, "summary", "original_length", "summary_length",
+                          F.when(ol > 0, sl.cast("double") / ol).otherwise(F.lit(0.0)).alias("compression_ratio"))
+
+    @F.pandas_udf("summary string, original_length long, summary_length long, compression_ratio double")
+    def run(texts: pd.Series, most: pd.Series, least: pd.Series) -> pd.DataFrame:
+        rows = [summary_of(t, a, b) for t, a, b in zip(texts, most, least, strict=True)]
+        return pd.DataFrame(rows, columns=["summary", "original_length", "summary_length", "compression_ratio"])
+    return docs.select(key, run(F.col(text), _length(max_length), _length(min_length)).alias("_s")).select(key, "_s.*")
+
+
+def answer_of(question: str | None, context: str | None) -> tuple[str, float, int | None, int | None]:
+    """``(answer, confidence, start, end)`` of one question and its context."""
+    terms = set((question or "").lower().split())
+    best = (0, "", 0)
+    for sent, start in split_sentences(context or ""):
+        n = len(terms.intersection(sent.lower().split()))
+        if n > best[0]:
+            best = (n, sent, start)
+    n, sent, start = best
+    return (sent, n / len(terms), start, start + len(sent)) if n else ("", 0.0, None, None)
 
 
 def answer(questions: DataFrame, key: str = "question_id", question: str = "question",
-           context: str = "context") -> DataFrame:
-    """``key, answer, confidence, start_position, end_position`` (offsets into ``context``).
+           context: str = "context", model: PandasTextModel | None = None) -> DataFrame:
+    """``key, answer, confidence, start_position, end_position`` (offsets into ``context``); a ``model``
+    takes (question, context) and returns the other columns."""
+    if model is not None:
+        return model.apply(questions, key, question, context)
 
-    Sentences carry the question's distinct words; the best sentence per key is one ``max``
-    over ``struct(matched, -pos, ...)`` (most terms, then earliest), so no join or ranking
-    window is needed.
-    """
-    base = by_key(questions.select(key, F.array_distinct(words(F.lower(question))).alias("terms"), context), key)
-    s = sentences(base, key, context, carry=["terms"], keep_empty=True)
-    m = s.withColumn("matched", F.when(F.col("sentence") != "",
-                                       F.size(F.array_intersect("terms", words(F.lower("sentence"))))))
-    best = F.max(F.when(F.col("matched") > 0, F.struct(
-        F.col("matched"), (-F.col("pos")).alias("neg_pos"), "sentence", "start_position", "end_position")))
-    agg = m.groupBy(key).agg(best.alias("b"), F.max(F.size("terms")).alias("n_terms"))
-    return agg.select(
-        key,
-        F.coalesce("b.sentence", F.lit("")).alias("answer"),
-        F.when(F.col("b").isNotNull(), F.col("b.matched").cast("double") / F.col("n_terms"))
-        .otherwise(F.lit(0.0)).alias("confidence"),
-        F.col("b.start_position").alias("start_position"), F.col("b.end_position").alias("end_position"))
+    @F.pandas_udf("answer string, confidence double, start_position int, end_position int")
+    def run(asked: pd.Series, given: pd.Series) -> pd.DataFrame:
+        rows = [answer_of(q, c) for q, c in zip(asked, given, strict=True)]
+        out = pd.DataFrame(rows, columns=["answer", "confidence", "start_position", "end_position"])
+        return out.astype({"start_position": "Int32", "end_position": "Int32"})
+    return questions.select(key, run(F.col(question), F.col(context)).alias("_a")).select(key, "_a.*")
 
 
 def entity_count_columns(text) -> list[Column]:
@@ -163,86 +194,71 @@ def entity_counts(df: DataFrame, text: str = "content") -> DataFrame:
 ENTITY_SCHEMA = "key string, text string, label string, confidence double, start_position int, end_position int"
 
 
-def extract_entities(df: DataFrame, key: str = "document_id", text: str = "text") -> DataFrame:
+_RULES = [(label, re.compile(p)) for label, p in ENTITY_RULES]
+
+
+def entities_of(text: str | None) -> list[tuple[str, str, float, int, int]]:
+    """``(text, label, confidence, start, end)`` of the entities of one text."""
+    return [(m[0], label, 1.0, m.start(), m.end()) for label, rx in _RULES for m in rx.finditer(text or "")]
+
+
+def extract_entities(df: DataFrame, key: str = "document_id", text: str = "text",
+                     model: PandasTextModel | None = None) -> DataFrame:
     """One row per entity with character offsets: ``key, text, label, confidence, start, end``.
 
     1:N per row with offsets needs ``finditer``; this is the one Python step, a small helper
-    over Arrow batches.
-    """
-    rules = [(label, re.compile(p)) for label, p in ENTITY_RULES]
+    over Arrow batches.  A ``model`` (``many=True``) takes the text and returns its entities."""
+    if model is not None:
+        return model.apply(df, key, text)
 
     def find(it: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        names = ["key", "text", "label", "confidence", "start_position", "end_position"]
         for pdf in it:
-            out = {"key": [], "text": [], "label": [], "confidence": [], "start_position": [], "end_position": []}
-            for k, t in zip(pdf["k"], pdf["t"]):
-                if t is None:
-                    continue
-                for label, rx in rules:
-                    for mt in rx.finditer(t):
-                        out["key"].append(str(k))
-                        out["text"].append(mt.group(0))
-                        out["label"].append(label)
-                        out["confidence"].append(1.0)
-                        out["start_position"].append(mt.start())
-                        out["end_position"].append(mt.end())
-            yield pd.DataFrame(out)
+            yield pd.DataFrame([(str(k), *e) for k, t in zip(pdf["k"], pdf["t"], strict=True) for e in entities_of(t)], columns=names)
 
     src = df.select(F.col(key).cast("string").alias("k"), F.col(text).alias("t"))
     return src.mapInPandas(find, ENTITY_SCHEMA).withColumnRenamed("key", key)
 
 
-class PandasTextModel:
-    """Wrap ``texts -> outputs`` (e.g. a neural summariser) as an Arrow-batched job over
-    (key, text) rows; the model is built once per Python worker."""
-
-    def __init__(self, factory: Callable[[], Callable[[list[str]], list]], schema: str,
-                 batch_size: int = 32):
-        self.factory, self.schema, self.batch_size = factory, schema, batch_size
-
-    def apply(self, df: DataFrame, key: str, text: str) -> DataFrame:
-        factory, bs = self.factory, self.batch_size
+_ENTITIES = "array<struct<text: string, label: string, confidence: double, start_position: int, end_position: int>>"
 
-        def run(it):
-            model = factory()
-            for pdf in it:
-                texts = pdf["t"].fillna("").tolist()
-                outs = []
-                for i in range(0, len(texts), bs):
-                    outs.extend(model(texts[i:i + bs]))
-                res = pd.DataFrame(outs)
-                res.insert(0, key, pdf["k"].to_numpy())
-                yield res
 
-        return df.select(F.col(key).alias("k"), F.col(text).alias("t")).mapInPandas(run, self.schema)
+def entity_lists(df: DataFrame, key: str, text: str = "text") -> DataFrame:
+    """``key, entities, entity_count`` of every row: its entities as one array, by start."""
+    @F.pandas_udf(_ENTITIES)
+    def run(texts: pd.Series) -> pd.Series:
+        names = ["text", "label", "confidence", "start_position", "end_position"]
+        return pd.Series([[dict(zip(names, e, strict=True)) for e in sorted(entities_of(t), key=lambda e: (e[3], e[1]))] for t in texts])
+    out = df.select(key, run(F.col(text)).alias("entities"))
+    return out.withColumn("entity_count", F.size("entities").cast("long"))
 
 
 def analyze(doc_text: DataFrame, *, include_summary: bool = True, include_entities: bool = True,
             key: str = "document_id", text: str = "text") -> DataFrame:
     """Per document: ``text_length`` (words of the rebuilt text, overlaps counted twice as in
-    the reference), ``chunk_count``, and optionally the summary and the entity list.
-
-    Entities are gathered per document (bounded by the document size) with one aggregate."""
-    out = doc_text.select(key, F.size(words(text)).cast("long").alias("text_length"),
-                          F.col("chunk_count").cast("long").alias("chunk_count"))
+    the reference), ``chunk_count``, and optionally the summary and the entity list.  One pass over
+    the text, no join."""
+    shape = "text_length long, summary string, compression_ratio double, entities array<struct<text: string, label: string, confidence: double>>"
+
+    @F.pandas_udf(shape)
+    def run(texts: pd.Series) -> pd.DataFrame:
+        rows = []
+        for t in texts:
+            summ, _, _, ratio = summary_of(t, SUMMARY_MAX, SUMMARY_MIN) if include_summary else (None, 0, 0, None)
+            ents = sorted(entities_of(t), key=lambda e: (e[3], e[0], e[1])) if include_entities else []
+            rows.append((len((t or "").split()), summ, ratio, [{"text": e[0], "label": e[1], "confidence": e[2]} for e in ents]))
+        return pd.DataFrame(rows, columns=["text_length", "summary", "compression_ratio", "entities"])
+
+    out = doc_text.select(key, F.col("chunk_count").cast("long").alias("chunk_count"), run(F.col(text)).alias("_a"))
+    cols = [key, F.col("_a.text_length").alias("text_length"), "chunk_count"]
     if include_summary:
-        s = summarize(doc_text, key, text)
-        out = out.join(s.select(key, F.struct(F.col("summary").alias("text"), "compression_ratio").alias("summary")),
-                       key, "left")
+        cols.append(F.struct(F.col("_a.summary").alias("text"), F.col("_a.compression_ratio").alias("compression_ratio")).alias("summary"))
     if include_entities:
-        ents = extract_entities(doc_text, key, text)
-        per = ents.groupBy(key).agg(F.collect_list(F.struct(
-            "start_position", F.col("text"), "label", "confidence")).alias("_e"))
-        per = per.select(key, F.struct(F.size("_e").cast("long").alias("total_count"), F.transform(
-            F.array_sort("_e"), lambda e: F.struct(e["text"].alias("text"), e["label"].alias("label"),
-                                                  e["confidence"].alias("confidence"))).alias("entities"))
-            .alias("entities"))
-        out = out.join(per, key, "left").withColumn("entities", F.coalesce("entities", F.struct(
-            F.lit(0).cast("long").alias("total_count"),
-            F.array().cast("array<struct<text:string,label:string,confidence:double>>").alias("entities"))))
-    return out
+        cols.append(F.struct(F.size("_a.entities").cast("long").alias("total_count"), F.col("_a.entities").alias("entities")).alias("entities"))
+    return out.select(*cols)
 
 
-def resolve_text(requests: DataFrame, doc_text: DataFrame, key: str = "request_id") -> DataFrame:
+def resolve_text(requests: DataFrame, doc_text: DataFrame, key: str = "request_id", no_input: str = NO_INPUT) -> DataFrame:
     """Text given, else the stored document text, else an error (400 / 404 cases)."""
     j = requests.join(doc_text.select(F.col("document_id").alias("_d"), F.col("text").alias("_doc_text")),
                       F.col("document_id") == F.col("_d"), "left")
@@ -253,7 +269,7 @@ def resolve_text(requests: DataFrame, doc_text: DataFrame, key: str = "request_i
         F.when(has_text, F.lit("text")).when(has_doc & F.col("_d").isNotNull(), F.lit("document")).alias("source"),
         F.when(has_text, F.col("text")).when(has_doc, F.col("_doc_text")).alias("resolved_text"),
         F.when(has_text, F.lit(None).cast("string")).when(has_doc & F.col("_d").isNull(), F.lit(NOT_FOUND))
-        .when(~has_doc, F.lit(NO_INPUT)).alias("error"))
+        .when(~has_doc, F.lit(no_input)).alias("error"))
 
 
 # Batch task registry over a chunks table (MD-8): task name -> operator.  An unknown task

@@ -11,7 +11,6 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tessera.functions import text as T
-from tessera.session import ensure_checkpoint_dir
 
 DOCUMENT_COLUMNS = ["document_id", "filename", "file_size", "document_type", "upload_timestamp",
                     "processing_timestamp", "word_count", "page_count", "language"]
@@ -46,12 +45,14 @@ def restrict_to_ids(table: DataFrame, ids, key: str = "document_id") -> DataFram
     return table.where(F.col(key).isin([str(i) for i in ids]))
 
 
-def list_documents(documents: DataFrame, limit: int = 50, offset: int = 0) -> DataFrame:
+def list_documents(documents: DataFrame, limit: int = 50, offset: int = 0, with_total: bool = False) -> DataFrame:
     """Newest first, ``document_id`` breaking ties; ``LIMIT``/``OFFSET`` become one
     ``TakeOrderedAndProject``.  ``page_position`` is 1-based within the page."""
     if limit < 1 or offset < 0:
         raise ValueError("limit must be >= 1 and offset >= 0")
     order = [F.col("upload_timestamp").desc(), F.col("document_id").asc()]
+    if with_total:   # a scalar subquery: one count beside the page, no join of rows
+        documents = documents.withColumn("total_count", documents.agg(F.count(F.lit(1))).scalar())
     page = documents.orderBy(*order).offset(offset).limit(limit)
     # The page is at most ``limit`` rows, so numbering it in one partition is bounded.
     return page.withColumn("page_position", F.row_number().over(Window.orderBy(*order)).cast("long"))
@@ -156,31 +157,3 @@ def corpus_stats(documents: DataFrame, chunks: DataFrame, vectors: DataFrame,
     return agg.select("document_count", "chunk_count", "vector_count", "live_vector_count",
                       (F.col("vector_count") - F.col("live_vector_count")).alias("stale_vector_count"),
                       "index_dimension")
-
-
-def assign_dense_ids(df: DataFrame, existing: DataFrame | None = None, id_col: str = "vector_index_id") -> DataFrame:
-    """Dense ids ``max(existing) + 1 + i`` without a single-partition window over the data.
-
-    Partition-local positions come from ``monotonically_increasing_id`` (partition id in the
-    upper bits); per-partition counts (one row per partition) give offsets via a window over
-    that tiny table, which is broadcast back.  The input is checkpointed first so that both
-    passes see the same partitions and rows even if an executor is lost and tasks rerun.
-    """
-    ensure_checkpoint_dir(df.sparkSession)
-    staged = (df.withColumn("_pid", F.spark_partition_id())
-              .withColumn("_mono", F.monotonically_increasing_id())
-              .checkpoint(eager=True))
-    counts = staged.groupBy("_pid").agg(F.count("*").alias("_n"), F.lit(None).cast("long").alias("_base"))
-    if existing is not None:
-        base = existing.agg(F.lit(-1).alias("_pid"), F.lit(0).cast("long").alias("_n"),
-                            F.coalesce(F.max(id_col) + 1, F.lit(0)).cast("long").alias("_base"))
-        counts = counts.unionByName(base)
-    # One row per partition (plus the base row): bounded by the partition count.
-    w_all = Window.orderBy("_pid").rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
-    w_prev = Window.orderBy("_pid").rowsBetween(Window.unboundedPreceding, -1)
-    offsets = counts.select(
-        "_pid", (F.coalesce(F.max("_base").over(w_all), F.lit(0))
-                 + F.coalesce(F.sum("_n").over(w_prev), F.lit(0))).alias("_off"))
-    local = F.col("_mono") - F.shiftleft(F.col("_pid").cast("long"), 33)
-    out = staged.join(F.broadcast(offsets.where(F.col("_pid") >= 0)), "_pid", "inner")
-    return out.withColumn(id_col, (F.col("_off") + local).cast("long")).drop("_pid", "_mono", "_off")

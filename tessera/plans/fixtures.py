@@ -196,13 +196,19 @@ def requests(spark: SparkSession, sf_dir: str) -> DataFrame:
            .when(m == 2, F.concat(F.lit("missing-"), F.col("item_id").cast("string")))
            .when(m == 4, F.col("item_id").cast("string"))
            .otherwise(F.lit(None).cast("string")))
-    return b.select(F.col("item_id").alias("request_id"), txt.alias("text"), did.alias("document_id"))
+    m3 = F.pmod("item_id", F.lit(3))   # each request's own summary lengths, or the defaults
+    return b.select(F.col("item_id").alias("request_id"), txt.alias("text"), did.alias("document_id"),
+                    F.when(m3 == 1, 20).when(m3 == 2, 60).otherwise(150).alias("max_length"),
+                    F.when(m3 == 1, 5).when(m3 == 2, 10).otherwise(30).alias("min_length"))
 
 
 def questions(spark: SparkSession, sf_dir: str) -> DataFrame:
     b = read(spark, sf_dir, "benchmark")
     return b.select(F.col("item_id").alias("question_id"), F.col("text").alias("question"),
-                    F.col("item_id").cast("string").alias("document_id"))
+                    F.col("item_id").cast("string").alias("document_id"),
+                    # every fourth question is asked of sixty documents only
+                    F.when(F.pmod("item_id", F.lit(4)) == 3, F.transform(
+                        F.sequence(F.col("item_id") * 3, F.col("item_id") * 3 + 59), lambda x: x.cast("string"))).alias("document_ids"))
 
 
 def labelled_ids(spark: SparkSession, sf_dir: str) -> DataFrame:

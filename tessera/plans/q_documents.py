@@ -48,11 +48,11 @@ def get_documents(spark, sf_dir):
 
 
 @register("list_documents", sql_with("doc_raw", "doc") + """
-SELECT row_number() OVER (ORDER BY ts DESC, document_id) AS page_position, * EXCLUDE (ts)
+SELECT row_number() OVER (ORDER BY ts DESC, document_id) AS page_position, (SELECT count(*) FROM doc) AS total_count, * EXCLUDE (ts)
 FROM (SELECT upload_timestamp AS ts, """ + DOC_COLS_SQL + """ FROM doc
       ORDER BY ts DESC, document_id LIMIT 50 OFFSET 10)""")
 def list_documents(spark, sf_dir):
-    return _late_page(spark, sf_dir, lambda keys: tables.list_documents(keys, limit=50, offset=10))
+    return _late_page(spark, sf_dir, lambda keys: tables.list_documents(keys, limit=50, offset=10, with_total=True))
 
 
 def _late_page(spark, sf_dir, pager):
@@ -64,11 +64,12 @@ def _late_page(spark, sf_dir, pager):
         "upload_timestamp", F.col("upload_timestamp").alias("processing_timestamp"))
     page = pager(keys)
     text = fx.read(spark, sf_dir, "documents").select(F.col("doc_id").cast("string").alias("document_id"), "text")
+    extra = [c for c in ("page_position", "total_count") if c in page.columns]
     full = page.join(text, "document_id").select(
-        "page_position", "document_id", "filename", "file_size", "document_type", "upload_timestamp",
+        *extra, "document_id", "filename", "file_size", "document_type", "upload_timestamp",
         "processing_timestamp", T.word_count("text").alias("word_count"),
         F.lit(None).cast("int").alias("page_count"), T.language_substring("text").alias("language"))
-    return doc_public(full, "page_position")
+    return doc_public(full, *extra)
 
 
 @register("list_documents_keyset", sql_with("doc_raw", "doc") + """

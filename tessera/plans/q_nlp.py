@@ -3,9 +3,10 @@ batch summaries, analysis, text resolution and retrieval QA."""
 
 from __future__ import annotations
 
+import pandas as pd
 from pyspark.sql import functions as F
 
-from tessera.functions.text import WS_CLASS
+from tessera.functions.text import WS_CLASS, iso_timestamp
 from tessera.operators import chunking, embed as E, knn as K, nlp
 from tessera.plans import fixtures as fx
 from tessera.plans.catalog import register
@@ -22,7 +23,7 @@ def sentences_sql(prefix: str, src: str, key: str, text: str) -> str:
     """``{prefix}sent(k, pos, sentence, start_position, end_position)`` over ``src``."""
     b = f"([.!?]{WS}+|\\n{WS}*)"
     return f"""
-{prefix}pieces AS (SELECT {key} AS k, string_split(regexp_replace({text}, '{b}', '\\1' || chr(1), 'g'), chr(1)) AS ps
+{prefix}pieces AS (SELECT {key} AS k, string_split(regexp_replace(replace({text}, chr(1), ' '), '{b}', '\\1' || chr(1), 'g'), chr(1)) AS ps
             FROM {src}),
 {prefix}pz AS (SELECT k, CAST(i AS INTEGER) AS pos, ps[i + 1] AS piece
         FROM (SELECT k, ps, unnest(range(len(ps))) AS i FROM {prefix}pieces)),
@@ -39,7 +40,7 @@ def sentences_sql(prefix: str, src: str, key: str, text: str) -> str:
           WHERE sentence <> '')"""
 
 
-def summary_sql(prefix: str, src: str, key: str, text: str, max_len: int, min_len: int) -> str:
+def summary_sql(prefix: str, src: str, key: str, text: str, max_len, min_len) -> str:
     """``{prefix}summ(k, summary, original_length, summary_length, compression_ratio)``."""
     w = _fmt(WORDS_SQL, t="lower(sentence)")
     return sentences_sql(prefix, src, key, text) + f""",
@@ -110,17 +111,23 @@ def summarize_chunks(spark, sf_dir):
 _BATCH_SQL = sql_with("stored_chunks").rstrip() + "," + DOC_TEXT_SQL + "," + summary_sql(
     "", "doc_text", "document_id", "text", nlp.SUMMARY_MAX, nlp.SUMMARY_MIN) + """,
 batch AS (SELECT l.doc_id AS pos, CAST(l.doc_id AS VARCHAR) AS document_id, s.summary,
-                 round(s.compression_ratio, 6) AS compression_ratio,
+                 CAST(s.compression_ratio AS VARCHAR) AS compression_ratio,
                  CASE WHEN s.k IS NULL THEN '""" + nlp.NOT_FOUND + """' END AS error
           FROM labels l LEFT JOIN summ s ON s.k = CAST(l.doc_id AS VARCHAR))
 """
 
 
+@F.pandas_udf("string")
+def python_str(values: pd.Series) -> pd.Series:
+    """``str(float)``, the text form the batch response uses."""
+    return values.map(lambda v: None if pd.isna(v) else str(float(v))).astype(object)
+
+
 def _batch(spark, sf_dir):
     req = fx.labelled_ids(spark, sf_dir)
     s = nlp.summarize(_doc_text(spark, sf_dir, req), "document_id", "text")
     j = req.join(s.withColumn("_ok", F.lit(True)), "document_id", "left")
-    return j.select("pos", "document_id", "summary", F.round("compression_ratio", 6).alias("compression_ratio"),
+    return j.select("pos", "document_id", "summary", python_str("compression_ratio").alias("compression_ratio"),
                     F.when(F.col("_ok").isNull(), F.lit(nlp.NOT_FOUND)).alias("error"))
 
 
@@ -169,7 +176,23 @@ def entity_counts(spark, sf_dir):
     return nlp.entity_counts(fx.stored_chunks(spark, sf_dir), "content")
 
 
-@register("extract_entities")
+def entities_sql(src: str, key: str, text: str) -> str:
+    """``ents(k, label, text, start_position, end_position)``: a match starts after the pieces that a split
+    leaves before it and the matches before it."""
+    parts = "\n UNION ALL ".join(
+        f"SELECT {key} AS k, '{label}' AS label, regexp_extract_all({text}, '{_sql_str(p)}') AS m, "
+        f"regexp_split_to_array({text}, '{_sql_str(p)}') AS p FROM {src}" for label, p in nlp.ENTITY_RULES)
+    return f"""
+found AS ({parts}),
+placed AS (SELECT k, label, m[i + 1] AS text,
+                  CAST(list_sum(list_transform(p[1:i + 1], lambda x: length(x))) + coalesce(list_sum(list_transform(m[1:i], lambda x: length(x))), 0) AS INTEGER)
+                    AS start_position
+           FROM (SELECT *, unnest(range(len(m))) AS i FROM found)),
+ents AS (SELECT *, CAST(start_position + length(text) AS INTEGER) AS end_position FROM placed)"""
+
+
+@register("extract_entities", sql_with("doc_raw", "doc").rstrip() + "," + entities_sql("doc", "document_id", "text") + """
+SELECT k AS document_id, text, label, 1.0::DOUBLE AS confidence, start_position, end_position FROM ents""")
 def extract_entities(spark, sf_dir):
     return nlp.extract_entities(fx.doc(spark, sf_dir), "document_id", "text")
 
@@ -198,39 +221,81 @@ def analyze_documents(spark, sf_dir):
                     F.col("entities.total_count").alias("entity_total"))
 
 
-@register("summarize_requests", sql_with("stored_chunks").rstrip() + "," + DOC_TEXT_SQL + """,
-req AS (SELECT item_id AS request_id,
+REQUESTS_SQL = """
+req AS (SELECT item_id AS request_id, text AS question,
                CASE item_id % 5 WHEN 0 THEN text WHEN 1 THEN '' WHEN 4 THEN text END AS text,
                CASE item_id % 5 WHEN 1 THEN CAST(item_id AS VARCHAR)
                                 WHEN 2 THEN 'missing-' || CAST(item_id AS VARCHAR)
                                 WHEN 4 THEN CAST(item_id AS VARCHAR) END AS document_id
-        FROM benchmark),
+        FROM benchmark),"""
+
+
+def resolved_sql(no_input: str) -> str:
+    """``resolved(request_id, question, rtext, error)`` of the text-or-document requests."""
+    return sql_with("stored_chunks").rstrip() + "," + DOC_TEXT_SQL + "," + REQUESTS_SQL + """
 resolved AS (
-  SELECT r.request_id,
+  SELECT r.request_id, r.question,
          CASE WHEN coalesce(r.text <> '', false) THEN r.text
               WHEN r.document_id IS NOT NULL AND r.document_id <> '' THEN d.text END AS rtext,
          CASE WHEN coalesce(r.text <> '', false) THEN NULL
-              WHEN r.document_id IS NOT NULL AND r.document_id <> '' AND d.document_id IS NULL THEN '""" +
-          nlp.NOT_FOUND + """'
-              WHEN NOT (r.document_id IS NOT NULL AND r.document_id <> '') THEN '""" + nlp.NO_INPUT + """'
+              WHEN r.document_id IS NOT NULL AND r.document_id <> '' AND d.document_id IS NULL THEN '""" + nlp.NOT_FOUND + """'
+              WHEN NOT (r.document_id IS NOT NULL AND r.document_id <> '') THEN '""" + no_input + """'
          END AS error
-  FROM req r LEFT JOIN doc_text d ON d.document_id = r.document_id),
+  FROM req r LEFT JOIN doc_text d ON d.document_id = r.document_id),"""
+
+
+def _resolved(spark, sf_dir, req, no_input=nlp.NO_INPUT):
+    return nlp.resolve_text(req, _doc_text(spark, sf_dir, req.where(F.col("document_id").isNotNull())), no_input=no_input)
+
+
+@register("summarize_requests", resolved_sql(nlp.NO_INPUT) + """
 ok AS (SELECT request_id, rtext FROM resolved WHERE error IS NULL),""" + summary_sql(
-    "", "ok", "request_id", "rtext", nlp.SUMMARY_MAX, nlp.SUMMARY_MIN) + """
+    "", "ok", "request_id", "rtext", "CASE k % 3 WHEN 1 THEN 20 WHEN 2 THEN 60 ELSE 150 END",
+    "CASE k % 3 WHEN 1 THEN 5 WHEN 2 THEN 10 ELSE 30 END") + """
 SELECT r.request_id, s.summary, s.original_length, s.summary_length,
        round(s.compression_ratio, 6) AS compression_ratio, r.error
 FROM resolved r LEFT JOIN summ s ON s.k = r.request_id""")
 def summarize_requests(spark, sf_dir):
-    """Summarise the given text, else the stored document's text, else report the error."""
+    """Summarise the given text, else the stored document's text, to the request's own lengths, else
+    report the error."""
     req = fx.requests(spark, sf_dir)
-    r = nlp.resolve_text(req, _doc_text(spark, sf_dir, req.where(F.col("document_id").isNotNull())))
-    ok = r.where(F.col("error").isNull())
-    s = nlp.summarize(ok, "request_id", "resolved_text")
+    r = _resolved(spark, sf_dir, req)
+    ok = r.where(F.col("error").isNull()).join(req.select("request_id", "max_length", "min_length"), "request_id")
+    s = nlp.summarize(ok, "request_id", "resolved_text", "max_length", "min_length")
     return r.select("request_id", "error").join(s, "request_id", "left").select(
         "request_id", "summary", "original_length", "summary_length",
         F.round("compression_ratio", 6).alias("compression_ratio"), "error")
 
 
+@register("answer_requests", resolved_sql(nlp.NO_CONTEXT_INPUT) + """
+ok AS (SELECT request_id, question, rtext FROM resolved WHERE error IS NULL),""" + answer_sql("", "ok", "request_id", "question", "rtext") + """
+SELECT r.request_id, a.answer, round(a.confidence, 6) AS confidence, a.start_position, a.end_position, r.error
+FROM resolved r LEFT JOIN ans a ON a.k = r.request_id""")
+def answer_requests(spark, sf_dir):
+    """A question with its context, or with the document that is its context, else the error."""
+    req = fx.requests(spark, sf_dir)
+    r = _resolved(spark, sf_dir, req, nlp.NO_CONTEXT_INPUT)
+    asked = fx.questions(spark, sf_dir).select(F.col("question_id").alias("request_id"), "question")
+    a = nlp.answer(r.where("error IS NULL").join(asked, "request_id"), "request_id", "question", "resolved_text")
+    return r.select("request_id", "error").join(a, "request_id", "left").select(
+        "request_id", "answer", F.round("confidence", 6).alias("confidence"), "start_position", "end_position", "error")
+
+
+@register("entity_requests", resolved_sql(nlp.NO_INPUT) + """
+ok AS (SELECT request_id, rtext FROM resolved WHERE error IS NULL),""" + entities_sql("ok", "request_id", "rtext") + """
+SELECT r.request_id, CASE WHEN r.error IS NULL THEN coalesce(e.n, 0) END AS entity_count,
+       CASE WHEN r.error IS NULL THEN coalesce(e.said, '') END AS entities, r.error
+FROM resolved r LEFT JOIN (SELECT k, count(*) AS n, string_agg(label || ':' || start_position || ':' || end_position, ',' ORDER BY start_position, label) AS said
+                           FROM ents GROUP BY k) e ON e.k = r.request_id""")
+def entity_requests(spark, sf_dir):
+    """The entities of a text, or of a stored document, with their count, else the error."""
+    r = _resolved(spark, sf_dir, fx.requests(spark, sf_dir))
+    e = nlp.entity_lists(r.where("error IS NULL"), "request_id", "resolved_text")
+    said = F.array_join(F.transform("entities", lambda x: F.concat_ws(":", x["label"], x["start_position"], x["end_position"])), ",")
+    e = e.select("request_id", "entity_count", said.alias("entities"))
+    return r.select("request_id", "error").join(e, "request_id", "left").select("request_id", "entity_count", "entities", "error")
+
+
 @register("resolve_text", sql_with("stored_chunks").rstrip() + "," + DOC_TEXT_SQL + """,
 req AS (SELECT item_id AS request_id,
                CASE item_id % 5 WHEN 0 THEN text WHEN 1 THEN '' WHEN 4 THEN text END AS text,
@@ -250,8 +315,7 @@ SELECT r.request_id,
        END AS error
 FROM req r LEFT JOIN doc_text d ON d.document_id = r.document_id""")
 def resolve_text(spark, sf_dir):
-    req = fx.requests(spark, sf_dir)
-    return nlp.resolve_text(req, _doc_text(spark, sf_dir, req.where(F.col("document_id").isNotNull())))
+    return _resolved(spark, sf_dir, fx.requests(spark, sf_dir))
 
 
 # ------------------------------------------------------------------------------ retrieval QA
@@ -266,12 +330,12 @@ def stored_vectors(spark, sf_dir):
     return E.embed_chunks(ch)
 
 
-def hash_search_sql(query_src: str, limit: int, threshold: float) -> str:
+def hash_search_sql(query_src: str, limit: int, threshold: float, only: str = "") -> str:
     """CTEs (continuing a ``WITH`` that defines ``stored_chunks``) for a search of hashed
     query texts against hashed stored chunks: defines ``res(query_id, hit_chunk_id, score,
     content, rank)``.  ``query_src`` has ``chunk_id`` (numeric query id as text) and
     ``content`` (query text); pairs sharing no bucket score 0 and cannot pass a positive
-    threshold, so the sparse join is exact."""
+    threshold, so the sparse join is exact.  ``only``: a document filter over ``query_id, document_id``."""
     return "," + hash_sql("stored_chunks", prefix="c_") + "," + hash_sql(
         "(SELECT chunk_id, chunk_id AS document_id, content FROM " + query_src + ")", prefix="q_") + """,
 qnorm AS (SELECT chunk_id, sqrt(sum(w * w)) AS qn FROM q_lf GROUP BY chunk_id),
@@ -279,56 +343,61 @@ pairs AS (SELECT CAST(q.chunk_id AS BIGINT) AS query_id, c.chunk_id AS hit_chunk
                  round(sum(q.w / n.qn * c.w), 10) AS score
           FROM q_lf q JOIN qnorm n ON n.chunk_id = q.chunk_id JOIN c_lf c ON c.bucket = q.bucket
           GROUP BY ALL),
-cand AS (SELECT p.*, s.content, CAST(s.document_id AS BIGINT) * 100000 + s.chunk_index AS vid,
+cand AS (SELECT p.*, s.content, s.document_id, s.chunk_index, CAST(s.document_id AS BIGINT) * 100000 + s.chunk_index AS vid,
                 row_number() OVER (PARTITION BY p.query_id ORDER BY p.score DESC,
                                    CAST(s.document_id AS BIGINT) * 100000 + s.chunk_index) AS cand_rank
          FROM pairs p JOIN stored_chunks s ON s.chunk_id = p.hit_chunk_id
          QUALIFY cand_rank <= """ + str(2 * limit) + """),
 res AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY cand_rank) AS rank
-        FROM cand WHERE score >= """ + str(threshold) + """ QUALIFY rank <= """ + str(limit) + """)"""
+        FROM cand WHERE score >= """ + str(threshold) + only + """ QUALIFY rank <= """ + str(limit) + """)"""
 
 
 QA_SEARCH_SQL = sql_with("stored_chunks").rstrip() + hash_search_sql(
     "(SELECT CAST(item_id AS VARCHAR) AS chunk_id, text AS content FROM benchmark)",
-    fx.QA_LIMIT, fx.QA_THRESHOLD) + """,
-ctx AS (SELECT query_id, string_agg(content, ' ' ORDER BY rank) AS context,
-               string_agg(hit_chunk_id, ',' ORDER BY rank) AS source_chunk_ids, count(*) AS n_sources
-        FROM res GROUP BY query_id),
+    fx.QA_LIMIT, fx.QA_THRESHOLD, " AND (query_id % 4 <> 3 OR CAST(document_id AS BIGINT) BETWEEN query_id * 3 AND query_id * 3 + 59)") + """,
+ctx AS (SELECT r.query_id, string_agg(r.content, ' ' ORDER BY r.rank) AS context,
+               string_agg(concat_ws('|', r.document_id, r.hit_chunk_id, CAST(CAST(round(r.score, 4) AS DECIMAL(9,4)) AS VARCHAR), d.filename,
+                                    d.document_type, strftime(d.upload_timestamp, '%Y-%m-%dT%H:%M:%S'), r.chunk_index), ';' ORDER BY r.rank) AS sources,
+               count(*) AS n_sources
+        FROM res r LEFT JOIN doc d ON d.document_id = r.document_id GROUP BY r.query_id),
 qctx AS (SELECT b.item_id AS question_id, b.text AS question, c.context
          FROM benchmark b JOIN ctx c ON c.query_id = b.item_id),""" + answer_sql(
     "", "qctx", "question_id", "question", "context") + """
-SELECT b.item_id AS question_id,
+SELECT b.item_id AS question_id, b.text AS question,
        CASE WHEN c.query_id IS NULL THEN '""" + nlp.NO_CONTEXT_ANSWER + """' ELSE a.answer END AS answer,
        CASE WHEN c.query_id IS NULL THEN 0.0 ELSE round(a.confidence, 6) END AS confidence,
-       coalesce(c.n_sources, 0) AS n_sources, coalesce(c.source_chunk_ids, '') AS source_chunk_ids
+       coalesce(c.n_sources, 0) AS n_sources, coalesce(c.sources, '') AS sources
 FROM benchmark b LEFT JOIN ctx c ON c.query_id = b.item_id LEFT JOIN ans a ON a.k = b.item_id
 """
 
 
-def qa_search_frame(spark, questions, vectors, limit=fx.QA_LIMIT, threshold=fx.QA_THRESHOLD):
-    """Retrieve context for every question, then answer from it; no hit -> fixed answer."""
+def qa_search_frame(spark, questions, vectors, documents, limit=fx.QA_LIMIT, threshold=fx.QA_THRESHOLD, model=None):
+    """Retrieve context for every question (from its ``document_ids`` where given), then answer from it; no
+    hit -> fixed answer.  ``sources``: the hits in order, each with its document's metadata."""
     emb = E.HashingEmbedder()
-    q = questions.select(F.col("question_id").alias("query_id"), "question",
-                         emb.column("question").alias("embedding"))
-    hits = K.semantic_search(q.select("query_id", "embedding"), vectors, vectors, limit=limit,
-                              threshold=threshold, vector_dim=emb.dim)
-    ctx = hits.groupBy("query_id").agg(
-        F.array_sort(F.collect_list(F.struct("rank", "content", "chunk_id"))).alias("_h"))
-    ctx = ctx.select("query_id",
-                     F.array_join(F.transform("_h", lambda x: x["content"]), " ").alias("context"),
-                     F.array_join(F.transform("_h", lambda x: x["chunk_id"]), ",").alias("source_chunk_ids"),
-                     F.size("_h").cast("long").alias("n_sources"))
-    qc = q.select("query_id", "question").join(ctx, "query_id", "inner")
-    a = nlp.answer(qc, "query_id", "question", "context")
-    j = q.select("query_id").join(ctx, "query_id", "left").join(a, "query_id", "left")
-    return j.select(
-        F.col("query_id").alias("question_id"),
-        F.when(F.col("context").isNull(), F.lit(nlp.NO_CONTEXT_ANSWER)).otherwise(F.col("answer")).alias("answer"),
-        F.when(F.col("context").isNull(), F.lit(0.0)).otherwise(F.round("confidence", 6)).alias("confidence"),
-        F.coalesce("n_sources", F.lit(0)).cast("long").alias("n_sources"),
-        F.coalesce("source_chunk_ids", F.lit("")).alias("source_chunk_ids"))
+    q = questions.select(F.col("question_id").alias("query_id"), "question", "document_ids", emb.column("question").alias("embedding"))
+    req = q.select("query_id", "embedding", "document_ids", F.lit(limit).alias("limit"), F.lit(threshold).alias("similarity_threshold"))
+    hits = K.attach_metadata(K.search_requests(req, vectors, vectors, vector_dim=emb.dim), documents, iso_timestamp)
+    ctx = hits.groupBy("query_id").agg(F.array_sort(F.collect_list(F.struct(
+        "rank", "content", "document_id", "chunk_id", "similarity_score", "metadata"))).alias("_h"))
+    ctx = ctx.select("query_id", F.array_join(F.transform("_h", lambda x: x["content"]), " ").alias("context"),
+                     F.transform("_h", lambda x: F.struct(x["document_id"].alias("document_id"), x["chunk_id"].alias("chunk_id"),
+                                                          x["similarity_score"].alias("similarity_score"), x["metadata"].alias("metadata"))).alias("sources"))
+    both = q.select("query_id", "question").join(ctx, "query_id", "left")
+    a = nlp.answer(both, "query_id", "question", "context", model)
+    none = F.col("context").isNull()
+    return both.join(a, "query_id").select(
+        F.col("query_id").alias("question_id"), "question",
+        F.when(none, F.lit(nlp.NO_CONTEXT_ANSWER)).otherwise(F.col("answer")).alias("answer"),
+        F.when(none, F.lit(0.0)).otherwise(F.col("confidence")).alias("confidence"),
+        F.coalesce(F.size("sources"), F.lit(0)).cast("long").alias("n_sources"), "sources")
 
 
 @register("qa_search", QA_SEARCH_SQL)
 def qa_search(spark, sf_dir):
-    return qa_search_frame(spark, fx.questions(spark, sf_dir), stored_vectors(spark, sf_dir))
+    r = qa_search_frame(spark, fx.questions(spark, sf_dir), stored_vectors(spark, sf_dir), fx.doc(spark, sf_dir))
+    said = F.transform("sources", lambda x: F.concat_ws(
+        "|", x["document_id"], x["chunk_id"], F.round(x["similarity_score"], 4).cast("decimal(9,4)").cast("string"), x["metadata"]["filename"],
+        x["metadata"]["document_type"], x["metadata"]["upload_timestamp"], x["metadata"]["chunk_index"].cast("string")))
+    return r.select("question_id", "question", "answer", F.round("confidence", 6).alias("confidence"),
+                    F.greatest("n_sources", F.lit(0)).cast("long").alias("n_sources"), F.coalesce(F.array_join(said, ";"), F.lit("")).alias("sources"))

@@ -11,10 +11,12 @@ TEXTS = [
     ("d2", "One. Two two. Three three three."),
     ("d3", ""),
     ("d4", "  leading space. trailing   "),
+    ("d5", "Odd \x01 marker here. After\x01 it. End"),
 ]
 
 
 def _sentences(text):
+    text = text.replace("\x01", " ")
     out, pos, off = [], 0, 0
     pieces = re.sub(r"([.!?]\s+|\n\s*)", lambda m: m.group(1) + "\x01", text).split("\x01")
     for i, p in enumerate(pieces):
@@ -64,7 +66,7 @@ def test_sentence_offsets(spark):
         exp = _sentences(t)
         assert sorted(got.get(k, [])) == exp
         for _, s, a, b in exp:
-            assert t[a:b] == s
+            assert t.replace("\x01", " ")[a:b] == s
 
 
 def test_answer_matches_python(spark):
@@ -120,6 +122,43 @@ def test_pluggable_text_model(spark):
     assert got["d2"] == ("One. Two", 6) and got["d3"] == ("", 0)
 
 
+def test_own_lengths_per_row(spark):
+    rows = [(k, t, mx, mn) for (k, t), (mx, mn) in zip(TEXTS, [(150, 30), (3, 0), (5, 2), (1, 0), (4, 4)])]
+    df = spark.createDataFrame(rows, "document_id string, text string, mx int, mn int")
+    got = {r.document_id: (r.summary, r.original_length, r.summary_length) for r in nlp.summarize(df, max_length="mx", min_length="mn").collect()}
+    assert got == {k: _summary(t, mx, mn)[:3] for k, t, mx, mn in rows}
+
+
+def test_models_take_the_rules_place(spark):
+    """Stub models for summaries, for (question, context) and for entities (1:N)."""
+    df = spark.createDataFrame(TEXTS, "document_id string, text string")
+    short = nlp.PandasTextModel(lambda: lambda texts: [{"summary": t[:3]} for t in texts], "document_id string, summary string", batch_size=2)
+    got = {r.document_id: (r.summary, r.original_length) for r in nlp.summarize(df, model=short).collect()}
+    assert got["d2"] == ("One", 6) and got["d3"] == ("", 0)
+    qa = nlp.PandasTextModel(lambda: lambda qs, cs: [{"answer": f"{q}/{len(c)}", "confidence": 0.5, "start_position": 0, "end_position": 1} for q, c in zip(qs, cs)],
+                             "question_id long, answer string, confidence double, start_position int, end_position int", batch_size=1)
+    asked = spark.createDataFrame([(1, "who", "abc"), (2, "why", None)], "question_id long, question string, context string")
+    assert {r.question_id: r.answer for r in nlp.answer(asked, model=qa).collect()} == {1: "who/3", 2: "why/0"}
+    ner = nlp.PandasTextModel(lambda: lambda texts: [[{"text": w, "label": "W", "confidence": 1.0, "start_position": 0, "end_position": 1} for w in t.split()[:2]] for t in texts],
+                              nlp.ENTITY_SCHEMA.replace("key", "document_id"), many=True)
+    found = nlp.extract_entities(df, model=ner).collect()
+    assert sorted((e.document_id, e.text) for e in found if e.document_id in ("d2", "d3")) == [("d2", "One."), ("d2", "Two")]
+
+
+def test_a_model_is_built_once_per_worker(spark):
+    from tessera.operators import models
+    calls = []
+    for _ in range(3):
+        models.built("test-key", lambda: calls.append(1) or (lambda t: t))
+    assert len(calls) == 1
+
+
+def test_entity_lists_keep_rows_without_entities(spark):
+    df = spark.createDataFrame([(1, "a@b.org then 10.0.0.1"), (2, "none"), (3, None)], "request_id long, text string")
+    got = {r.request_id: (r.entity_count, [(e.label, e.start_position) for e in r.entities]) for r in nlp.entity_lists(df, "request_id").collect()}
+    assert got == {1: (2, [("EMAIL", 0), ("IP_ADDRESS", 13)]), 2: (0, []), 3: (0, [])}
+
+
 def test_pluggable_embedder(spark):
     import numpy as np
     from tessera.operators import embed as E

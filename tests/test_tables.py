@@ -27,13 +27,16 @@ def test_delete_then_search_never_returns_id(spark):
     assert sorted(r[0] for r in tables.delete_by_ids(docs, ids).collect()) == ["a", "c"]
 
 
-def test_assign_dense_ids(spark):
-    df = spark.range(0, 1000).repartition(7).select(F.col("id").cast("string").alias("chunk_id"))
-    existing = spark.createDataFrame([(5,), (41,)], "vector_index_id long")
-    ids = sorted(r.vector_index_id for r in tables.assign_dense_ids(df, existing=existing).collect())
-    assert ids == list(range(42, 1042))
-    fresh = sorted(r.vector_index_id for r in tables.assign_dense_ids(df).collect())
-    assert fresh == list(range(0, 1000))
+def test_number_chunks_is_dense_and_keeps_stored_ids(spark):
+    from tessera.plans.store import number_chunks
+    rows = [(str(d), i, f"{d}-{i}") for d in range(60) for i in range(d % 4)]
+    df = spark.createDataFrame(rows, "document_id string, chunk_index int, chunk_id string").repartition(7)
+    stored = spark.createDataFrame([("7", 0, 5), ("7", 1, 41), ("gone", 0, 9)], "document_id string, chunk_index int, vector_index_id long")
+    got = {r.chunk_id: r.vector_index_id for r in number_chunks(df, stored, 42).collect()}
+    assert got["7-0"] == 5 and got["7-1"] == 41
+    assert sorted(v for k, v in got.items() if k not in ("7-0", "7-1")) == list(range(42, 42 + len(rows) - 2))
+    fresh = sorted(r.vector_index_id for r in number_chunks(df, stored.limit(0), 0).collect())
+    assert fresh == list(range(len(rows)))
 
 
 def test_corpus_stats_counts_tombstones(spark):
@@ -54,6 +57,8 @@ def test_list_documents_offset_and_ties(spark):
     page = tables.list_documents(docs, limit=4, offset=2).orderBy("page_position").collect()
     # minutes: 9 -> 3; 6,7,8 -> 2; 3,4,5 -> 1; newest first, id breaks ties
     assert [r.document_id for r in page] == ["7", "8", "3", "4"]
+    total = tables.list_documents(docs, limit=4, offset=2, with_total=True).collect()
+    assert len(total) == 4 and {r.total_count for r in total} == {10}
 
 
 def test_reindex_writes_new_version(spark):
