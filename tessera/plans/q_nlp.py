@@ -117,10 +117,12 @@ batch AS (SELECT l.doc_id AS pos, CAST(l.doc_id AS VARCHAR) AS document_id, s.su
 """
 
 
-@F.pandas_udf("string")
-def python_str(values: pd.Series) -> pd.Series:
+def python_str(col):
     """``str(float)``, the text form the batch response uses."""
-    return values.map(lambda v: None if pd.isna(v) else str(float(v))).astype(object)
+    @F.pandas_udf("string")
+    def run(values: pd.Series) -> pd.Series:
+        return values.map(lambda v: None if pd.isna(v) else str(float(v))).astype(object)
+    return run(F.col(col))
 
 
 def _batch(spark, sf_dir):
