@@ -39,8 +39,9 @@ def get_session(master: str | None = None, shuffle_partitions: int | None = None
         .config("spark.sql.execution.arrow.maxBytesPerBatch", str(64 << 20))
         .config("spark.ui.enabled", "false")
         .config("spark.ui.showConsoleProgress", "false")
-        .config("spark.driver.memory", os.environ.get("TESSERA_DRIVER_MEMORY", "16g"))
     )
+    if os.environ.get("TESSERA_DRIVER_MEMORY"):   # else as the cluster sets it
+        builder = builder.config("spark.driver.memory", os.environ["TESSERA_DRIVER_MEMORY"])
     spark = builder.getOrCreate()
     spark.sparkContext.setLogLevel("ERROR")
     ensure_checkpoint_dir(spark)
@@ -58,12 +59,30 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
                 # A machine-local folder is not shared by executors: refuse rather than guess.
                 raise RuntimeError("set spark.checkpoint.dir to a folder shared by the cluster")
             configured = tempfile.mkdtemp(prefix="tessera-ckpt-")
+            _delete_at_exit(spark, configured)
         sc.setCheckpointDir(configured)
         current = sc.getCheckpointDir()
     return current
 
 
+def _delete_at_exit(spark: SparkSession, path: str) -> None:
+    """Remove ``path`` and all below it when the application ends."""
+    jvm = spark._jvm  # noqa: SLF001
+    where = jvm.org.apache.hadoop.fs.Path(path)
+    fs = where.getFileSystem(spark._jsc.hadoopConfiguration())  # noqa: SLF001
+    fs.mkdirs(where)
+    fs.deleteOnExit(where)
+
+
+_SCRATCH: dict[str, str] = {}
+
+
 def scratch_dir(spark: SparkSession, name: str) -> str:
-    """A fresh folder under the shared checkpoint location (never machine-local on a cluster)."""
-    root = ensure_checkpoint_dir(spark)
-    return f"{root.rstrip('/')}/tessera-{name}-{uuid.uuid4().hex[:12]}"
+    """A fresh folder under the shared checkpoint location (never machine-local on a cluster).  All scratch
+    folders of an application lie in one folder that goes when the application ends."""
+    app = spark.sparkContext.applicationId
+    if app not in _SCRATCH:
+        root = f"{ensure_checkpoint_dir(spark).rstrip('/')}/tessera-scratch-{uuid.uuid4().hex[:12]}"
+        _delete_at_exit(spark, root)
+        _SCRATCH[app] = root
+    return f"{_SCRATCH[app]}/{name}-{uuid.uuid4().hex[:12]}"

@@ -5,6 +5,7 @@ import pytest
 
 sys.path.insert(0, os.path.dirname(os.path.dirname(os.path.abspath(__file__))))
 
+os.environ.setdefault("TESSERA_DRIVER_MEMORY", "4g")
 SF_SMALL = "/root/testdata/sf0.001"
 
 
