@@ -24,6 +24,7 @@ from __future__ import annotations
 
 import os
 import zlib
+from array import array
 
 import numpy as np
 import pandas as pd
@@ -37,9 +38,9 @@ WINDOW = 32
 SHARD_TOKENS = 1 << 20
 CLOSING_ID = 1
 VOCABULARY = "word_bpe_49k.json"
-_CACHE_WORDS = 300_000
+_CACHE_WORDS = 400_000
 
-_tokenizers: dict = {}
+_vocabularies: dict = {}
 
 
 def vocabulary_path(name: str = VOCABULARY) -> str:
@@ -47,33 +48,77 @@ def vocabulary_path(name: str = VOCABULARY) -> str:
     return public_tokenizers.path(name)
 
 
-def _tokenizer(path: str):
-    """The tokenizer of a file and the ids of words met so far; one per worker."""
-    if path not in _tokenizers:
+def _byte_letters() -> list[str]:
+    """The letter a byte-level vocabulary writes for each byte: printable ones stand for themselves, the
+    others take the code points from 256 on."""
+    own = {*range(33, 127), *range(161, 173), *range(174, 256)}
+    rest = iter(range(256, 512))
+    return [chr(b if b in own else next(rest)) for b in range(256)]
+
+
+_LETTERS = _byte_letters()
+_TAIL = ".,!?;:"
+
+
+def _plain(stem: str) -> bool:
+    """Letters only, below U+0250 and not U+0130: normal form and lower case work letter by letter there,
+    and the vocabulary's splitter leaves the stem whole."""
+    return stem.isalpha() and (stem.isascii() or (max(stem) < "\u0250" and "\u0130" not in stem))
+
+
+def _pack_ids(ids: list[int]) -> bytes:
+    return array("I", ids).tobytes()
+
+
+class _WordIds(dict):
+    """Word -> its ids, encoded when first asked for.  A plain stem with or without marks behind it is two
+    pieces for the splitter, so stems are encoded once for all spellings, by the model alone; any other
+    word goes through the whole tokenizer."""
+
+    def __init__(self, tok):
+        super().__init__({"": b""})
+        self.tok, self.stems = tok, {}
+
+    def __missing__(self, word: str) -> bytes:
+        stem = word.rstrip(_TAIL)
+        if stem and _plain(stem):
+            low = stem.lower()
+            ids = self.stems.get(low)
+            if ids is None:
+                letters = low if low.isascii() else "".join([_LETTERS[b] for b in low.encode()])
+                ids = self.stems[low] = array("I", [t.id for t in self.tok.model.tokenize(letters)]).tobytes()
+            if len(stem) < len(word):
+                ids += self[word[len(stem):]]
+        else:
+            ids = array("I", self.tok.encode(word, add_special_tokens=False).ids).tobytes()
+        self[word] = ids
+        return ids
+
+    def shrink(self) -> None:
+        for cache in (self, self.stems):
+            if len(cache) > _CACHE_WORDS:
+                cache.clear()
+
+
+def _words_of(path: str) -> _WordIds:
+    """The words of a vocabulary file met so far; one per worker."""
+    if path not in _vocabularies:
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
         t = Tokenizer.from_file(path)
         t.encode_special_tokens = True
-        _tokenizers[path] = (t, {"": b""})
-    return _tokenizers[path]
+        _vocabularies[path] = _WordIds(t)
+    return _vocabularies[path]
 
 
 def encode(texts: list[str], path: str) -> list[bytes]:
-    """Ids of each text as little-endian unsigned 32-bit integers, without the closing id.
+    """Ids of each text as unsigned 32-bit integers, without the closing id.
 
     The vocabulary drops white space and never joins what it parts, so a text's ids are its words' ids
     in order, and each distinct word is encoded once while the cache lasts."""
-    tok, known = _tokenizer(path)
-    split = [t.replace("\n", " ").split(" ") for t in texts]
-    if len(known) > _CACHE_WORDS:
-        known.clear()
-        known[""] = b""
-    new = list(set().union(*split) - known.keys())
-    for i in range(0, len(new), 10_000):
-        part = new[i:i + 10_000]
-        for w, e in zip(part, tok.encode_batch_fast(part, add_special_tokens=False), strict=True):
-            known[w] = np.array(e.ids, "<u4").tobytes()
-    return [b"".join(map(known.__getitem__, words)) for words in split]
+    ids = _words_of(path)
+    ids.shrink()
+    return [b"".join(map(ids.__getitem__, t.replace("\n", " ").split(" "))) for t in texts]
 
 
 def tokenise(docs: DataFrame, path: str) -> DataFrame:
