@@ -25,13 +25,13 @@ def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 def exact_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of equal texts."""
-    docs, row_id = common.with_row_id(docs)
+    docs, row_id = common.numbered(docs, "exact-stage")
     return _only_kept(docs, row_id, exact_dedup.group_equal_texts(docs, row_id=row_id))
 
 
 def near_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each class of near copies."""
-    docs, row_id = common.with_row_id(docs)
+    docs, row_id = common.numbered(docs, "near-stage")
     return _only_kept(docs, row_id, near_dup.join(docs, row_id=row_id))
 
 

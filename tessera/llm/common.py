@@ -27,24 +27,25 @@ def free_name(df: DataFrame, base: str) -> str:
 
 
 def with_row_id(df: DataFrame, base: str = "row_id") -> tuple[DataFrame, str]:
-    """``df`` with a unique long per row, and that column's name.
-
-    The id is (partition, row in partition) of the scan, so it is the same each time a plan reads
-    the same files; a frame that is not a plain scan is written first by the caller."""
+    """``df`` with a unique long per row, and that column's name, for a single pass over ``df``: the ids
+    depend on how a scan is split, so a plan that reads ``df`` twice takes ``numbered``."""
     name = free_name(df, base)
     return df.withColumn(name, F.monotonically_increasing_id()), name
 
 
+def numbered(df: DataFrame, name: str) -> tuple[DataFrame, str]:
+    """``with_row_id`` written and read again: the ids are data then, the same for every later pass even if
+    the cluster changes in between and scans are split another way."""
+    rows, row_id = with_row_id(df)
+    return materialise(rows, name), row_id
+
+
 def materialise(df: DataFrame, name: str) -> DataFrame:
     """Write ``df`` as Parquet in the shared folder (see ``scratch_dir``) and read it back: cuts the
     lineage so that lost executors cost no recomputation.  The folder goes when the application ends."""
-    spark = df.sparkSession
-    path = scratch_dir(spark, name)
+    path = scratch_dir(df.sparkSession, name)
     df.write.option("compression", "zstd").parquet(path)
-    jvm = spark._jvm  # noqa: SLF001
-    where = jvm.org.apache.hadoop.fs.Path(path)
-    where.getFileSystem(spark._jsc.hadoopConfiguration()).deleteOnExit(where)  # noqa: SLF001
-    return spark.read.schema(df.schema).parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
 def equal_groups(df: DataFrame, keys: list[str], row_id: str, doc_id: str, salts: int = 64) -> DataFrame:

@@ -86,7 +86,7 @@ def chunks(docs: DataFrame, row_id: str, hash_bytes: int = HASH_BYTES) -> DataFr
 def group_equal_texts(docs: DataFrame, hash_bytes: int = HASH_BYTES, row_id: str | None = None) -> DataFrame:
     """``row_id, doc_id, keep_id, group_size, kept, text_sha256`` for every row of ``docs``."""
     if row_id is None:
-        docs, row_id = C.with_row_id(docs)
+        docs, row_id = C.numbered(docs.select("doc_id", "text"), "exact-rows")
     found = chunks(docs, row_id, hash_bytes)
     distinct = found.select("name", "chunk").dropDuplicates()
     clashing = C.materialise(distinct.groupBy("name").count().where("count > 1").select("name"), "clashing")

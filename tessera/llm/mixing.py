@@ -99,7 +99,7 @@ def plan(docs: DataFrame, row_id: str, max_repeat: float = MAX_REPEAT, target_en
 def mix(docs: DataFrame, **options) -> DataFrame:
     """The documents (all their columns), each once per use, in the order of the blocks."""
     columns = docs.columns
-    rows, row_id = C.with_row_id(docs)
+    rows, row_id = C.numbered(docs, "mix-documents")
     uses = plan(rows, row_id, **options).select(F.col("row_id").alias(row_id), F.struct("block", "position").alias(f"{row_id}_at"))
     out = rows.join(uses, row_id)
     return out.repartition(F.col(f"{row_id}_at.block")).sortWithinPartitions(f"{row_id}_at").select(*columns)

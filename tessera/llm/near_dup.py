@@ -61,7 +61,7 @@ def _mix(x: np.ndarray) -> np.ndarray:
 
 class _WordHashes(dict):
     def __missing__(self, word: str) -> int:
-        if len(self) > 400_000:
+        if len(self) > 200_000:
             self.clear()
         self[word] = h = xxhash.xxh3_64_intdigest(word.encode("utf-8", "surrogatepass"))
         return h
@@ -166,7 +166,7 @@ def join(docs: DataFrame, threshold: float = THRESHOLD, recall: float = RECALL,
          row_id: str | None = None) -> DataFrame:
     """``row_id, doc_id, class_id, n_links, class_size, kept`` of every document."""
     if row_id is None:
-        docs, row_id = C.with_row_id(docs)
+        docs, row_id = C.numbered(docs.select("doc_id", "text"), "near-rows")
     signed = C.materialise(signatures(docs, row_id, threshold, recall), "signatures")
     sets = C.materialise(C.equal_groups(signed.drop("bands"), ["set_key"], "row_id", "doc_id"), "sets")
     reps = C.materialise(sets.where("row_id = keep_row AND n_grams > 0").select("row_id", F.col("group_size").alias("copies"))

@@ -359,7 +359,7 @@ def remove_repeats(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, bloc
                    keep_text: bool = False) -> DataFrame:
     """``doc_id, n_bytes, n_removed, n_spans, kept_sha256, row_id`` of every document; with ``keep_text`` also
     ``kept``, the bytes that stay."""
-    rows, row_id = C.with_row_id(docs)
+    rows, row_id = C.numbered(docs.select("doc_id", "text"), "passage-rows")
     total = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     blocks = max(1, -(-total // block_bytes))
     buckets = blocks * BUCKETS_A_BLOCK

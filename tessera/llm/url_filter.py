@@ -68,10 +68,8 @@ def intervals(entries: DataFrame) -> DataFrame:
 def judge(captures: DataFrame, entries: DataFrame, id_col: str = "page_id", url_col: str = "url",
           day_col: str = "fetch_date") -> DataFrame:
     """``page_id, url, host, fetch_date, decision, rule_key, rule_since, n_active`` of every capture."""
-    rows, row_id = C.with_row_id(captures)
-    caps = rows.select(F.col(row_id).alias("row_id"), F.col(id_col).alias("page_id"), F.col(url_col).alias("url"),
-                       F.col(day_col).cast("date").alias("fetch_date"))
-    caps = caps.withColumn("host", host_of(F.col("url")))
+    caps = captures.select(F.col(id_col).alias("page_id"), F.col(url_col).alias("url"), F.col(day_col).cast("date").alias("fetch_date"))
+    caps, _ = C.numbered(caps.withColumn("host", host_of(F.col("url"))), "captures")
     depth = entries.agg(F.max(F.length("key") - F.length(F.replace("key", F.lit("/"))))).first()[0] or 0
     keys = F.concat(suffix_keys(F.col("host")), path_keys(F.col("host"), segments_of(F.col("url")), int(depth)))
     flat = (caps.where("host IS NOT NULL AND fetch_date IS NOT NULL")
