@@ -90,7 +90,7 @@ def group_equal_texts(docs: DataFrame, hash_bytes: int = HASH_BYTES, row_id: str
     found = chunks(docs, row_id, hash_bytes)
     distinct = found.select("name", "chunk").dropDuplicates()
     clashing = C.materialise(distinct.groupBy("name").count().where("count > 1").select("name"), "clashing")
-    docs_by_recipe = recipes(docs, row_id, hash_bytes).withColumn("ranks", F.lit(""))
+    docs_by_recipe = C.materialise(recipes(docs, row_id, hash_bytes), "recipes").withColumn("ranks", F.lit(""))
     if not clashing.isEmpty():
         # Different chunks under one name: their rank by content completes the identifier.
         order = Window.partitionBy("name").orderBy("chunk")
