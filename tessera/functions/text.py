@@ -16,6 +16,8 @@ from pyspark.sql import functions as F
 # U+0085, U+00A0, U+1680, U+2000-U+200A, U+2028, U+2029, U+202F, U+205F, U+3000.
 WS_CLASS = (r"[\t\n\x{0B}\f\r\x{1C}-\x{1F} \x{85}\x{A0}\x{1680}\x{2000}-\x{200A}"
             r"\x{2028}\x{2029}\x{202F}\x{205F}\x{3000}]")
+# The same set for Java's engine, in the form it matches fastest: Unicode white space and the four separators.
+JAVA_WS = r"(?U)[\s\x1C-\x1F]"
 # Largest accepted upload, bytes (equal passes).
 MAX_FILE_SIZE = 52_428_800
 # Accepted file extensions, compared lower-cased.
@@ -41,7 +43,7 @@ def col_(c) -> Column:
 def words(text) -> Column:
     """``text.split()``: array of non-empty white-space separated tokens."""
     # array_remove is a built-in (code-generated) expression, unlike a filter lambda.
-    return F.array_remove(F.split(col_(text), WS_CLASS + "+"), "")
+    return F.array_remove(F.split(col_(text), JAVA_WS + "+"), "")
 
 
 def word_count(text) -> Column:
@@ -50,7 +52,7 @@ def word_count(text) -> Column:
 
 def py_strip(text) -> Column:
     """``str.strip()`` with Python's white-space set (``trim`` only strips U+0020)."""
-    return F.regexp_replace(col_(text), f"^{WS_CLASS}+|{WS_CLASS}+$", "")
+    return F.regexp_replace(col_(text), rf"^{JAVA_WS}+|{JAVA_WS}+$", "")
 
 
 def extension(filename) -> Column:

@@ -44,7 +44,7 @@ class _Buckets(dict):
     def __missing__(self, word: str) -> int:
         if len(self) > _CACHE_LIMIT:
             self.clear()
-        b = self[word] = int(hashlib.md5(word.encode("utf-8")).hexdigest()[:8], 16) % self.dim
+        b = self[word] = int.from_bytes(hashlib.md5(word.encode("utf-8")).digest()[:4], "big") % self.dim
         return b
 
 

@@ -205,7 +205,8 @@ def _block_plan(vrows: DataFrame, qrows: DataFrame, dim: int | None) -> DataFram
 
 def _vector_rows(vectors: DataFrame, vec_id: str, emb: str, blocks: int, *extra: Column) -> DataFrame:
     vid = F.col(vec_id).cast("long")
-    return vectors.where(F.col(emb).isNotNull()).select(
+    # NULL vectors are skipped while scoring: a filter here would evaluate an embedding UDF twice.
+    return vectors.select(
         F.pmod(F.xxhash64(vid), F.lit(blocks)).cast("int").alias("vb"), F.lit(0).alias("tag"), vid.alias("id"),
         F.col(emb).cast("array<float>").alias("v"), *extra)
 
@@ -222,7 +223,7 @@ def knn(queries: DataFrame, vectors: DataFrame, k: int | str, *, query_id: str =
         raise ValueError("k must be >= 1")
     blocks = vector_blocks or _block_count(vectors, block_bytes)
     kk = F.lit(k) if isinstance(k, int) else F.col(k).cast("int")
-    q = queries.where(F.col(emb).isNotNull()).select(
+    q = queries.select(
         F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))).alias("vb"), F.lit(1).alias("tag"),
         F.col(query_id).cast("long").alias("id"), F.col(emb).cast("array<double>").alias("q"), kk.alias("k"))
     cands = _block_plan(_vector_rows(vectors, vec_id, emb, blocks), q, vector_dim)
@@ -318,7 +319,7 @@ def prefiltered_knn(queries: DataFrame, allowed: DataFrame, vectors: DataFrame,
     where = vrows.select("vb", F.col("doc").alias("document_id")).distinct()
     routed = (allowed.select(F.col("query_id").cast("long").alias("query_id"), "document_id").distinct()
               .join(where, "document_id").groupBy("query_id", "vb").agg(F.collect_list("document_id").alias("docs")))
-    q = queries.where(F.col("embedding").isNotNull()).select(
+    q = queries.select(
         F.col("query_id").cast("long").alias("query_id"), F.col("embedding").cast("array<double>").alias("q"))
     qrows = routed.join(q, "query_id").select("vb", F.lit(1).alias("tag"), F.col("query_id").alias("id"), "q", F.lit(k).alias("k"), "docs")
     return _final_rank(_block_plan(vrows, qrows, vector_dim), k)

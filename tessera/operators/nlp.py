@@ -52,6 +52,10 @@ ENTITY_RULES = [
 ]
 
 
+ENTITY_NEEDS = {"EMAIL": "@", "URL": "http", "PHONE": "[0-9]", "CARD_NUMBER": "[0-9]", "IP_ADDRESS": "[0-9]"}
+_DIGIT = re.compile("[0-9]")
+
+
 def _c(x) -> Column:
     return F.col(x) if isinstance(x, str) else x
 
@@ -177,8 +181,14 @@ def answer(questions: DataFrame, key: str = "question_id", question: str = "ques
 
 
 def entity_count_columns(text) -> list[Column]:
-    """Per rule, the number of matches in ``text`` (JVM regex, no Python)."""
-    return [F.size(F.regexp_extract_all(_c(text), F.lit(p), 0)).alias(label) for label, p in ENTITY_RULES]
+    """Per rule, the number of matches in ``text`` (JVM regex, no Python).  What every match
+    of a rule holds is looked for first: most texts lack it."""
+    def count(label: str, pattern: str) -> Column:
+        n = F.size(F.regexp_extract_all(_c(text), F.lit(pattern), 0))
+        must = ENTITY_NEEDS.get(label)
+        has = None if must is None else _c(text).rlike(must) if must[0] == "[" else F.contains(_c(text), F.lit(must))
+        return (n if has is None else F.when(has, n).otherwise(0)).alias(label)
+    return [count(label, p) for label, p in ENTITY_RULES]
 
 
 def entity_counts(df: DataFrame, text: str = "content") -> DataFrame:
@@ -199,7 +209,11 @@ _RULES = [(label, re.compile(p)) for label, p in ENTITY_RULES]
 
 def entities_of(text: str | None) -> list[tuple[str, str, float, int, int]]:
     """``(text, label, confidence, start, end)`` of the entities of one text."""
-    return [(m[0], label, 1.0, m.start(), m.end()) for label, rx in _RULES for m in rx.finditer(text or "")]
+    text = text or ""
+    digits = _DIGIT.search(text) is not None
+    rules = [(label, rx) for label, rx in _RULES
+             if (digits if (must := ENTITY_NEEDS.get(label, "")) == "[0-9]" else must in text)]
+    return [(m[0], label, 1.0, m.start(), m.end()) for label, rx in rules for m in rx.finditer(text)]
 
 
 def extract_entities(df: DataFrame, key: str = "document_id", text: str = "text",

@@ -100,7 +100,8 @@ def _extractor(pdf_extractor: Callable[[bytes], list[str]] | None):
     def run(kind: pd.Series, content: pd.Series) -> pd.DataFrame:
         got = [(None, None) if c is None or k is None else one(k, c) for k, c in zip(kind, content, strict=True)]
         return pd.DataFrame(got, columns=["text", "error"])
-    return run
+    # Else a filter on the error would be pushed below and extract everything a second time.
+    return run.asNondeterministic()
 
 
 def extract(uploads: DataFrame, pdf_extractor: Callable[[bytes], list[str]] | None = None) -> DataFrame:

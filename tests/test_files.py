@@ -54,6 +54,12 @@ def test_extraction_is_one_pass(spark):
     rows = [("t", "txt", bytearray(b"x"))]
     plan = files.extract(_uploads(spark, rows).withColumn("extra", F.lit(1)))._jdf.queryExecution().executedPlan().toString()
     assert plan.count("ArrowEvalPython") == 1 and "Join" not in plan and "Exchange" not in plan
+    up = spark.createDataFrame([("t", "t.txt", 1, dt.datetime(2024, 1, 1), bytearray(b"x"))],
+                               "document_id string, filename string, file_size long, upload_timestamp timestamp_ntz, content binary")
+    res = ingest(up)
+    for df in (res.documents, res.status, res.chunks):
+        plan = df._jdf.queryExecution().executedPlan().toString()
+        assert plan.count("ArrowEvalPython") == 1 and "Join" not in plan
 
 
 def test_oversized_length_is_a_reject_row(spark):
