@@ -34,7 +34,7 @@ from pyspark.sql import functions as F
 from tessera.llm import common as C
 
 THRESHOLD = 0.98
-BLOCK_ROWS = 1024
+BLOCK_ROWS = 256
 _U = np.uint64
 
 
