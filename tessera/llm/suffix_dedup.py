@@ -55,24 +55,18 @@ _POWER = [_U(pow(_BASE, 1 << j, 1 << 64)) for j in range(8)]
 
 
 def _rolling(b: np.ndarray, length: int) -> np.ndarray:
-    """64-bit polynomial hashes of all windows of ``length`` bytes, by doubling."""
-    known, width, acc, done = _TABLE[b], 1, None, 0
-    j = 0
-    n = len(b) - length + 1
-    while True:
-        if length >> j & 1:
-            head = known[:len(known)] if acc is None else acc
-            if acc is None:
-                acc, done = known, width
-            else:  # windows of ``done`` bytes, then ``width`` more
-                m = len(known) - done
-                acc = head[:m] * _POWER[j] + known[done:done + m]
-                done += width
-        j += 1
-        if 1 << j > length:
-            return acc[:n]
-        known = known[:-width] * _POWER[j - 1] + known[width:]
-        width *= 2
+    """64-bit polynomial hashes of all windows of ``length`` bytes, put together from windows of 1, 2, 4 .. bytes."""
+    h, width = _TABLE[b], 1
+    out, done = None, 0
+    for j in range(length.bit_length()):
+        if length >> j & 1:   # windows of ``done`` bytes so far, then ``width`` more
+            n = len(h) - done
+            out = h if out is None else out[:n] * _POWER[j] + h[done:]
+            done += width
+        if 2 * width <= length:
+            h = h[:-width] * _POWER[j] + h[width:]
+            width *= 2
+    return out[:max(0, len(b) - length + 1)]
 
 
 def _mix(x: np.ndarray) -> np.ndarray:
