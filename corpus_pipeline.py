@@ -6,40 +6,61 @@ that stay by row id, so repeated rows and null ids are told apart."""
 
 from __future__ import annotations
 
+from functools import wraps
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tessera.llm import common, exact_dedup, mixing, near_dup, packing, quality
 
 
+_tables: list[str] = []
+
+
+def _stage(fn):
+    """Drops the intermediate tables of the stage before: its result is written by the time the next one
+    begins, so nothing reads them."""
+    @wraps(fn)
+    def run(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+        common.delete_tables(spark, _tables)
+        with common.recorded(_tables):
+            return fn(spark, docs, sf_dir)
+    return run
+
+
 def _only_kept(docs: DataFrame, row_id: str, judged: DataFrame) -> DataFrame:
     kept = judged.where("kept").select(F.col("row_id").alias(row_id))
     return docs.join(kept, row_id, "left_semi").drop(row_id)
 
 
+@_stage
 def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents the classifier scores at least ``quality.THRESHOLD``; it trains on the labelled rows."""
     model = quality.train(docs, common.read(spark, sf_dir, "labels"))
     return docs.where(quality.score_column(model, F.col("text")) >= quality.THRESHOLD)
 
 
+@_stage
 def exact_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of equal texts."""
     docs, row_id = common.numbered(docs, "exact-stage")
     return _only_kept(docs, row_id, exact_dedup.group_equal_texts(docs, row_id=row_id))
 
 
+@_stage
 def near_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each class of near copies."""
     docs, row_id = common.numbered(docs, "near-stage")
     return _only_kept(docs, row_id, near_dup.join(docs, row_id=row_id))
 
 
+@_stage
 def mixing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents of small sources repeated to the mixture's weights; none is dropped."""
     return mixing.mix(docs)
 
 
+@_stage
 def packing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The pieces of every document (each use of it) in token sequences."""
     return packing.pack(docs)

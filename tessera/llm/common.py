@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Callable, Iterator
+from contextlib import contextmanager
 
 import numpy as np
 import pandas as pd
@@ -44,10 +45,33 @@ def materialise(df: DataFrame, name: str) -> DataFrame:
     """Write ``df`` as Parquet in the shared folder (see ``scratch_dir``) and read it back: cuts the
     lineage so that lost executors cost no recomputation.  The folder goes when the application ends."""
     path = scratch_dir(df.sparkSession, name)
+    if _recorders:
+        _recorders[-1].append(path)
     df.write.option("compression", "zstd").parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+_recorders: list[list[str]] = []
+
+
+@contextmanager
+def recorded(paths: list[str]):
+    """Adds the folders of the tables written meanwhile to ``paths``."""
+    _recorders.append(paths)
+    try:
+        yield
+    finally:
+        _recorders.pop()
+
+
+def delete_tables(spark: SparkSession, paths: list[str]) -> None:
+    """Remove written tables that nothing reads any more, and forget them."""
+    jvm = spark._jvm  # noqa: SLF001
+    while paths:
+        where = jvm.org.apache.hadoop.fs.Path(paths.pop())
+        where.getFileSystem(spark._jsc.hadoopConfiguration()).delete(where, True)  # noqa: SLF001
+
+
 def equal_groups(df: DataFrame, keys: list[str], row_id: str, doc_id: str, salts: int = 64) -> DataFrame:
     """``df`` with ``keep_row``, ``keep_id`` and ``group_size`` of the rows that share ``keys``.
 

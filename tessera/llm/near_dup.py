@@ -182,7 +182,8 @@ def join(docs: DataFrame, threshold: float = THRESHOLD, recall: float = RECALL,
 
     def gram_sets(part: pd.DataFrame) -> pd.DataFrame:
         return part.assign(grams=[grams(t).tobytes() for t in part["text"]]).drop(columns="text")
-    texts = docs.select(F.col(row_id).alias("row_id"), "text").join(members, "row_id").select("row_id", "text", "component", "n", "copies")
+    # One join at every size: the planner would broadcast the members of a small corpus only.
+    texts = docs.select(F.col(row_id).alias("row_id"), "text").join(members.hint("merge"), "row_id").select("row_id", "text", "component", "n", "copies")
     full = texts.mapInPandas(C.per_batch(gram_sets), "row_id long, component long, n long, copies long, grams binary")
     dealt = C.block_pairs(full, "component", "row_id", F.col("n"), block_rows).drop("n")
     keys = ["component", "bi", "bj"]
