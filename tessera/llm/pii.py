@@ -4,21 +4,30 @@ Base spans (email, ip, card, phone) come from fixed patterns and always stay.  G
 recall propose further, overlapping spans around an at sign (also spelt out) and around runs of digits;
 gradient-boosted trees score each from its format and context; a span is added when its score reaches
 the threshold of its kind, calibrated on sample rows the trees did not see, and it overlaps no base
-span and no better candidate.
-
-The trees learn from a bounded sample of documents (``MAX_TRAIN_DOCS``, smallest hashes of the id, at most
-``MAX_TRAIN_SPANS`` candidates): a candidate that covers a base span is a positive, any other a negative.
+span and no better candidate (higher score, then longer, then earlier).
+
+The trees learn from what the base patterns miss.  In a bounded sample of documents (``MAX_TRAIN_DOCS``, smallest
+hashes of the id, at most ``MAX_TRAIN_SPANS`` candidates) every base span is rewritten in its own context into
+forms that no base pattern matches (``at`` and dots spelt out, no prefix, other or wider separators, single
+digits, lists): the candidate that is just the rewritten span is a positive, any that only overlaps it a
+negative, as are ordinary numbers made of its digits and the text's own free candidates.  Free candidates
+that read as a rewritten form could be either, so they are neither.  Only candidates clear of base spans
+are learnt from and calibrated on, as only those can be added; no feature tells of ``@`` or ``+``.
 Searching reads every row and whole texts in one narrow pass.
 
 Defined cases: null text = empty text; null doc_id is kept (never in the sample); repeated rows are
-searched each; no candidate in the sample: no span is added; time is linear in a text's length (patterns
+searched each; a kind without base spans in the
+sample has nothing to learn from and none is added; digits without a prefix or separator are no phone; time is linear in a text's length (patterns
 are possessive or bounded); other columns are ignored.
 """
 
 from __future__ import annotations
 
+import bisect
 import hashlib
+import random
 import re
+import zlib
 
 import numpy as np
 import pandas as pd
@@ -31,6 +40,9 @@ from tessera.llm import gbt
 MAX_TRAIN_DOCS = 5_000
 MAX_TRAIN_SPANS = 50_000
 PRECISION = 0.99
+TREES, DEPTH = 80, 5
+FORMS = 8      # rewritten forms of a base span, and half as many ordinary texts in its place
+REACH = 120    # characters of context on each side of one
 KINDS = ["email", "ip", "card", "phone"]
 
 _LOCAL = frozenset("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789._%+-")
@@ -38,11 +50,19 @@ _DOMAIN = re.compile(r"[A-Za-z0-9-]++(?:\.[A-Za-z0-9-]++)++")
 _IP = re.compile(r"(?<![0-9])[0-9]++\.[0-9]++\.[0-9]++\.[0-9]++")
 _CARD = re.compile(r"[0-9](?:[\x20-]?[0-9])++")
 _PHONE = re.compile(r"\+[0-9][\x20().0-9-]+[0-9]")
-_ANY = re.compile(r"[0-9@]|\((?:at|AT)\)|\[(?:at|AT)\]")
-_AT = re.compile(r"@|\((?:at|AT)\)|\[(?:at|AT)\]")
+_ANY = re.compile(r"[0-9@]|[(\[{]\x20?(?:at|AT)|\x20(?:at|AT)\x20")
+_AT = re.compile(r"@|[(\[{]\x20?(?:at|AT)\x20?[)\]}]|(?<=\x20)(?:at|AT)(?=\x20)")
 _LEFT = re.compile(r"[A-Za-z0-9._%+-]{1,64}\x20?\Z")
-_RIGHT = re.compile(r"\x20?[A-Za-z0-9-]{1,63}(?:\x20?(?:\.|\((?:dot|DOT)\)|\[(?:dot|DOT)\])\x20?[A-Za-z0-9-]{1,63}){0,8}")
+_LABEL = re.compile(r"\x20?[A-Za-z0-9-]{1,63}")
+_SPELT = r"\x20?[(\[{]\x20?(?:dot|DOT)\x20?[)\]}]\x20?|\x20(?:dot|DOT)\x20"
+_DOT = re.compile(r"\x20?\.\x20?|" + _SPELT)
+_NEXT = re.compile(rf"({_DOT.pattern})[A-Za-z0-9-]{{1,63}}")
+_SPELT_DOT = re.compile(_SPELT)
 _NUMBER = re.compile(r"[+(]?[0-9](?:[\x20().,/-]{0,2}[0-9])++")
+_GROUP = re.compile(r"[0-9]+")
+_BETWEEN = re.compile(r"(?<=[0-9])[^0-9]+(?=[0-9])")
+_SEP_BEFORE = re.compile(r"[0-9]([^0-9A-Za-z\n]{1,3})\Z")
+_SEP_AFTER = re.compile(r"([^0-9A-Za-z\n]{1,3})[0-9]")
 _HINTS = re.compile(r"(?i)\b(e-?mail|mail|tel|phone|call|fax|mobile|card|visa|credit|ip|addr|address|host|ssn|id)\b")
 
 
@@ -86,14 +106,27 @@ def base_spans(text: str) -> list[tuple[int, int, int]]:
     return out
 
 
-def candidates(text: str) -> list[tuple[int, int, int]]:
-    """Proposed ``(kind number, start, end)``; they may overlap."""
+def _addresses(text: str) -> list[tuple[int, int]]:
+    """Around each at sign, one span for every number of domain labels up to nine.  A bare word ``at`` counts
+    only before a spelt-out dot."""
     out = []
     for m in _AT.finditer(text):
         left = _LEFT.search(text[max(0, m.start() - 65):m.start()])
-        right = _RIGHT.match(text, m.end())
-        if left and right:
-            out.append((0, m.start() - len(left[0]), right.end()))
+        right = _LABEL.match(text, m.end())
+        if not left or not right:
+            continue
+        ends = [right.end()]
+        while len(ends) < 9 and (more := _NEXT.match(text, ends[-1])):
+            ends.append(more.end())
+        if m[0].isalpha() and not _SPELT_DOT.search(text, m.end(), ends[-1]):
+            continue
+        out += [(m.start() - len(left[0]), e) for e in ends]
+    return out
+
+
+def candidates(text: str) -> list[tuple[int, int, int]]:
+    """Proposed ``(kind number, start, end)``; they may overlap."""
+    out = [(0, s, e) for s, e in _addresses(text)]
     for m in _NUMBER.finditer(text):
         s, e = m.span()
         n = len(_digits(m[0])) if e - s <= 120 else 0
@@ -106,28 +139,158 @@ def candidates(text: str) -> list[tuple[int, int, int]]:
     return out
 
 
-N_FEATURES = 24
+def free_candidates(text: str, base: list[tuple[int, int, int]]) -> list[tuple[int, int, int]]:
+    """The candidates that meet no base span."""
+    taken = sorted((s, e) for _, s, e in base)
+    free, i, reach = [], 0, -1
+    for s, e, k in sorted((s, e, k) for k, s, e in candidates(text)):  # sweep over the base spans
+        while i < len(taken) and taken[i][0] < e:
+            reach = max(reach, taken[i][1])
+            i += 1
+        if reach <= s:
+            free.append((k, s, e))
+    return free
+
+
+N_FEATURES = 30
 
 
 def features(text: str, kind: int, s: int, e: int) -> list[float]:
     """Format and context of one candidate."""
     span, before, after = text[s:e], text[max(0, s - 40):s], text[e:e + 20]
     d = _digits(span)
-    groups = re.findall(r"[0-9]+", span)
+    groups = _GROUP.findall(span)
     sizes = [len(g) for g in groups] or [0]
-    hint = _HINTS.search(before)
+    if kind == 0:
+        domain = span[_AT.search(span).end():]
+        parts, labels, left = _DOT.findall(domain), _DOT.split(domain), None
+        right = _NEXT.match(after)
+    else:
+        parts, labels = _BETWEEN.findall(span), [""]
+        left, right = _SEP_BEFORE.search(before), _SEP_AFTER.match(after)
+    last = labels[-1].strip()
+    kinds = len({p.strip() for p in parts}), len(set(parts))
     return [float(kind == 0), float(kind == 1), float(kind == 2), float(kind == 3), len(span), len(d), len(groups), sizes[0], sizes[-1],
             max(sizes), min(sizes), span.count("."), span.count("-"), span.count(" "), span.count("(") + span.count(")"),
-            float(span[:1] == "+"), float(luhn(d)) if d else 0.0, max([0, *(min(int(g[:4]), 999) for g in groups)]),
-            span.count("@"), len(span.rsplit(".", 1)[-1]), float(before[-1:].isalnum()), float(after[:1].isalnum()),
-            float(hint is not None), sum(c.isdigit() for c in before + after)]
+            span.count(",") + span.count("/"), float(luhn(d)) if d else 0.0, max([0, *(min(int(g[:4]), 999) for g in groups)]),
+            len(labels), len(last), float(last.isalpha() and last.islower()), float(before[-1:].isalnum()), float(after[:1].isalnum()),
+            float(_HINTS.search(before) is not None), sum(c.isdigit() for c in before + after), *kinds,
+            float(left is not None) + float(left is not None and left[1] in parts),
+            float(right is not None) + float(right is not None and right[1] in parts), len(parts)]
+
+
+def _rewritten(kind: int, span: str, rng: random.Random) -> list[str]:
+    """One base span in a form that no base pattern is meant to match; several for a list of them."""
+    if kind == 0:
+        local, domain = span.rsplit("@", 1)
+        dot = rng.choice([".", ".", " . ", "(dot)", " (dot) ", "[dot]", " [dot] ", " dot "])
+        bare = [" at ", " AT "] if "dot" in dot else []
+        at = rng.choice(["(at)", " (at) ", "[at]", " [at] ", " (AT) ", " {at} ", " @ ", *bare])
+        return [local + at + domain.replace(".", dot)]
+    groups = _GROUP.findall(span)
+    if kind == 1:
+        return [rng.choice(["[.]", "(.)", " . ", ". ", " ."]).join(groups)]
+    d = "".join(groups)
+    if kind == 2:
+        fours = [d[i:i + 4] for i in range(0, len(d), 4)]
+        if rng.random() < 0.2:  # a code right behind it
+            return [" ".join(fours) + "\0 " + str(rng.randint(10, 999))]
+        return [rng.choice([".", "/", "  ", " - ", " / ", ". ", "--"]).join(fours if rng.random() < 0.8 else list(d))]
+    if len(groups) == 1:
+        groups = [g for g in (d[:-10], d[-10:-7], d[-7:-4], d[-4:]) if g]
+    if len(groups) > 2 and len(groups[0]) <= 3 and len(d) - len(groups[0]) >= 7 and rng.random() < 0.7:
+        groups = groups[1:]
+    out = []
+    how, sep = rng.random(), rng.choice([" ", "-", ".", "/", " - "])
+    for i in range(rng.choice([1, 1, 2, 3])):
+        if i:
+            groups = [*groups[:-1], "".join(str(rng.randint(0, 9)) for _ in groups[-1])]
+        if how < 0.1:
+            out.append(" ".join("".join(groups)))
+        elif how < 0.2:
+            out.append("+" + "/".join(groups))
+        elif how < 0.4 and len(groups) > 2:
+            j = len(groups) - 3
+            out.append(" ".join([*groups[:j], f"({groups[j]})", rng.choice(["-", " "]).join(groups[j + 1:])]))
+        else:
+            out.append(sep.join(groups))
+    return out
 
 
-def _labelled(text: str):
-    """``(features, covers a base span)`` of each candidate."""
+def _ordinary(kind: int, span: str, rng: random.Random) -> str:
+    """A text like the base span's that is no personal data."""
+    if kind == 0:
+        return span.rsplit("@", 1)[0] + rng.choice([" (at) ", "@ ", " @ ", "[at]"]) + span.rsplit("@", 1)[1].split(".")[0]
+    d = _digits(span)
+    d += "".join(str(rng.randint(0, 9)) for _ in range(10))
+    how = rng.randrange(8)
+    if kind == 1 and how < 3:
+        return " . ".join(str(rng.randint(256, 999)) if i == how else str(rng.randint(0, 255)) for i in range(4))
+    if kind == 2 and how < 3:
+        wrong = next(w for w in (d[:15] + c for c in "38") if not luhn(w))
+        return rng.choice([".", "/", "  ", " - "]).join(wrong[i:i + 4] for i in range(0, 16, 4))
+    if how < 3:  # a row of numbers
+        sep = rng.choice([" ", ", ", " ", "  ", ",", "-", "/"])
+        return sep.join(str(rng.randint(1, 10 ** rng.randint(1, 5))) for _ in range(rng.randint(3, 14)))
+    if how == 3:
+        return f"{int(d[:rng.randint(7, 12)]):,}"
+    if how == 4:
+        day = [str(rng.randint(1950, 2049)), f"{rng.randint(1, 12):02d}", f"{rng.randint(1, 28):02d}"]
+        day = day if rng.random() < 0.6 else day[::-1]
+        return rng.choice(["-", "/", "."]).join(day) + rng.choice(["", f" {rng.randint(0, 23):02d}", f" - {day[0]}-{day[1]}-28"])
+    if how == 5:
+        return f"{d[:rng.randint(1, 7)]}.{d[7:7 + rng.randint(3, 7)]}"
+    if how == 6:
+        return f"{rng.randint(1900, 2049)}-{rng.randint(1900, 2049)}"
+    return d[:rng.randint(7, 12)]
+
+
+def _could_be(text: str, kind: int, s: int, e: int) -> bool:
+    """Whether a free candidate reads as a rewritten form."""
+    span = text[s:e]
+    if kind == 0:
+        labels = [x.strip() for x in _DOT.split(span[_AT.search(span).end():])]
+        return len(labels) > 1 and labels[-1].isalpha() and len(labels[-1]) > 1
+    groups = _GROUP.findall(span)
+    n = sum(map(len, groups))
+    if kind == 1:
+        return len(groups) == 4 and max(int(g) for g in groups) <= 255
+    if kind == 2:
+        return 13 <= n <= 19 and luhn("".join(groups))
+    return 9 <= n <= 15 and "," not in span and (len(groups) == n or (2 <= len(groups) <= 5 and max(map(len, groups)) <= 5
+                                                                      and min(map(len, groups[1:])) >= 2))
+
+
+def scenes(text: str):
+    """``(text, [(kind, start, end, label)])`` of a document as it stands and of its base spans rewritten,
+    each in its context; a label of None is neither."""
     base = base_spans(text)
-    for k, s, e in candidates(text):
-        yield features(text, k, s, e), float(any(b[0] == k and s <= b[1] and b[2] <= e for b in base))
+    yield text, [(k, s, e, None if _could_be(text, k, s, e) else 0.0) for k, s, e in free_candidates(text, base)]
+    for k, s, e in base:
+        rng = random.Random(f"{k}:{s}:{text[s:e]}")
+        before, after = text[max(0, s - REACH):s], text[e:e + REACH]
+        for planted in [*(_rewritten(k, text[s:e], rng) for _ in range(FORMS)), *[None] * (FORMS // 2)]:
+            gap = rng.choice([", ", "; ", " | ", ",", " or "])
+            said, spans = before, set()
+            for i, form in enumerate(planted or []):
+                said += gap if i else ""
+                form, _, tail = form.partition("\0")
+                spans.add((len(said), len(said) + len(form)))
+                said += form + tail
+            said += _ordinary(k, text[s:e], rng) if planted is None else ""
+            stop = after[:1] == " " and rng.random() < 0.3  # a sentence that ends there
+            at, end, said = len(before), len(said), said + (f". {after[1:2].upper()}{after[2:]}" if stop else after)
+            rows = [(c, a, b, float(c == k and (a, b) in spans) if a < end and b > at else None)
+                    for c, a, b in free_candidates(said, base_spans(said))]
+            yield said, rows
+
+
+def _labelled(text: str):
+    """``(features, is a rewritten base span)`` of each candidate to learn from."""
+    for said, rows in scenes(text):
+        for k, s, e, y in rows:
+            if y is not None:
+                yield features(said, k, s, e), y
 
 
 def train(docs: DataFrame, max_docs: int = MAX_TRAIN_DOCS, max_spans: int = MAX_TRAIN_SPANS) -> tuple[gbt.Trees, list[float]]:
@@ -139,10 +302,10 @@ def train(docs: DataFrame, max_docs: int = MAX_TRAIN_DOCS, max_spans: int = MAX_
     ids = docs.where("doc_id IS NOT NULL").select("doc_id").distinct().orderBy(F.xxhash64("doc_id"), "doc_id").limit(max_docs)
     seen = docs.select("doc_id", "text").join(F.broadcast(ids), "doc_id").mapInPandas(
         C.per_batch(run), "doc_id long, i int, x array<double>, y double")
-    got = seen.orderBy(F.xxhash64("doc_id"), "i").limit(max_spans).toPandas().sort_values(["doc_id", "i"])
+    got = seen.orderBy(F.xxhash64("doc_id", "i"), "doc_id", "i").limit(max_spans).toPandas().sort_values(["doc_id", "i"])
     x, y = np.array(got["x"].tolist(), float).reshape(-1, N_FEATURES), got["y"].to_numpy(float)
-    held = got["doc_id"].to_numpy() % 2 == 1
-    model = gbt.fit(x[~held], y[~held], trees=40, depth=3)
+    held = np.array([zlib.crc32(str(d).encode()) % 2 == 1 for d in got["doc_id"]], bool)
+    model = gbt.fit(x[~held], y[~held], trees=TREES, depth=DEPTH)
     p, limits = model.score(x[held]), []
     for k in range(len(KINDS)):
         mine = x[held][:, k] == 1
@@ -153,29 +316,43 @@ def train(docs: DataFrame, max_docs: int = MAX_TRAIN_DOCS, max_spans: int = MAX_
     return model, limits
 
 
+def _scores(text: str, rows: list, model: gbt.Trees) -> np.ndarray:
+    parts = [model.score(np.array([features(text, *c[:3]) for c in rows[j:j + 4096]], float)) for j in range(0, len(rows), 4096)]
+    return np.concatenate(parts) if parts else np.zeros(0)
+
+
+def _best(rows: list[tuple], score) -> list[int]:
+    """Indexes of the candidates that overlap no better one: best score first, then longer, then earlier."""
+    starts: list[int] = []
+    ends: list[int] = []
+    out = []
+    for i in sorted(range(len(rows)), key=lambda i: (-score[i], rows[i][1] - rows[i][2], rows[i][1], rows[i][0])):
+        _, s, e = rows[i][:3]
+        at = bisect.bisect_left(starts, s)
+        if (at and ends[at - 1] > s) or (at < len(starts) and starts[at] < e):
+            continue
+        starts.insert(at, s)
+        ends.insert(at, e)
+        out.append(i)
+    return out
+
+
+def _best_by_kind(rows: list[tuple], score) -> list[int]:
+    """As ``_best``, among the candidates of one kind."""
+    out = []
+    for k in range(len(KINDS)):
+        mine = [i for i, c in enumerate(rows) if c[0] == k]
+        out += [mine[i] for i in _best([rows[i] for i in mine], [score[i] for i in mine])]
+    return out
+
+
 def added_spans(text: str, base: list[tuple[int, int, int]], model: gbt.Trees, limits: list[float]) -> list[tuple[int, int, int]]:
-    taken = sorted((s, e) for _, s, e in base)
-    free, i, reach = [], 0, -1
-    for s, e, k in sorted((s, e, k) for k, s, e in candidates(text)):  # sweep: drop those that meet a base span
-        while i < len(taken) and taken[i][0] < e:
-            reach = max(reach, taken[i][1])
-            i += 1
-        if reach <= s:
-            free.append((k, s, e))
+    free = free_candidates(text, base)
     if not free:
         return []
-    score = np.concatenate([model.score(np.array([features(text, *c) for c in free[j:j + 4096]], float)) for j in range(0, len(free), 4096)])
-    out: list[tuple[int, int, int]] = []
-    best: dict[tuple[int, int], tuple[float, int]] = {}
-    for (k, s, e), p in zip(free, score, strict=True):
-        if p >= limits[k] and p > best.get((s, e), (0.0, 0))[0]:
-            best[s, e] = (p, k)
-    end = -1
-    for (s, e), (_, k) in sorted(best.items()):
-        if s >= end:
-            out.append((k, s, e))
-            end = e
-    return out
+    score = _scores(text, free, model)
+    good = [i for i in _best_by_kind(free, score) if score[i] >= limits[free[i][0]]]
+    return sorted(free[good[i]] for i in _best([free[i] for i in good], [score[i] for i in good]))
 
 
 def find(docs: DataFrame, max_docs: int = MAX_TRAIN_DOCS, max_spans: int = MAX_TRAIN_SPANS) -> DataFrame:

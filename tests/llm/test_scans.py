@@ -2,6 +2,7 @@
 
 import datetime as dt
 import os
+import random
 import sys
 import zlib
 from collections import Counter
@@ -103,6 +104,55 @@ def test_pii_model_adds_spelt_out_spans():
     assert pii.added_spans(t, base, model, [2.0] * 4) == []
 
 
+def odd_rows(n=240):
+    """Texts with base spans, and texts with odd spellings (their spans) or ordinary numbers (none)."""
+    rng = random.Random(8)
+    word = lambda: "".join(rng.choice("abcdefghilmnorstu") for _ in range(rng.randint(3, 8)))
+    prose = lambda: " ".join(word() for _ in range(rng.randint(4, 12)))
+    rows, want = [], {}
+
+    def add(text, *spans):
+        rows.append((len(rows), text))
+        if spans:
+            want[rows[-1][0]] = {(k, text.index(s), text.index(s) + len(s)) for k, s in spans}
+    for _ in range(n):
+        tail = f"555-{rng.randint(1000, 9999)}"
+        card = f"4{rng.randint(10**13, 10**14 - 1)}"
+        card = next(card + x for x in "0123456789" if pii.luhn(card + x))
+        for said in (f"{word()}.{word()}@mail{rng.randint(1, 9)}.example.com", ".".join(str(rng.randint(1, 255)) for _ in range(4)),
+                     f"+1 ({rng.randint(201, 989)}) {tail}", card):
+            add(f"{prose()} {said} {prose()}{rng.choice(['.', ''])}")
+        add(f"{prose()} {rng.randint(1900, 2030)}-{rng.randint(10, 12)}-{rng.randint(10, 28)} {prose()} {rng.randint(10**6, 10**9):,} {prose()} {rng.random():.6f}")
+        add(f"{prose()} {rng.randint(10**6, 10**9)} {prose()} pages {rng.randint(100, 400)}-{rng.randint(400, 900)} {prose()}")
+    first = len(rows)
+    for said in ("jane.doe (at) mail3.example.com", "max [at] mail7 [dot] example [dot] com"):
+        add(f"{prose()} {said} {prose()}", ("email", said))
+    for said in ("202-555-0143", "(202) 555-0143"):
+        add(f"{prose()} {said} {prose()}", ("phone", said))
+    add(f"{prose()} 4111.1111.1111.1111 {prose()}", ("card", "4111.1111.1111.1111"))
+    return rows, want, first
+
+
+def added_of(spark, rows):
+    found = pii.find(spark.createDataFrame(rows, "doc_id long, text string").repartition(3)).collect()
+    out = {}
+    for r in found:
+        base = set(brute.pii(dict(rows)[r.doc_id]))
+        spans = [s.split(":") for s in r.spans.split(",") if s]
+        more = {(k, int(s), int(e)) for k, s, e in spans} - base
+        assert len(more) == r.n_added
+        if more:
+            out[r.doc_id] = more
+    return out
+
+
+def test_pii_adds_planted_odd_spellings_and_no_ordinary_numbers(spark):
+    rows, want, first = odd_rows()
+    got = added_of(spark, rows)
+    assert {i: got.get(i) for i in want} == want
+    assert not [i for i in got if i < first]
+
+
 def test_secrets_base(edges, nothing, documents, document_rows):
     for df, rows in ((edges, edge_rows()), (documents, document_rows)):
         got = secrets.scan(df).collect()
