@@ -1,7 +1,8 @@
 """Operator 6: personal data by candidate gradient boosting.
 
 Base spans (email, ip, card, phone) come from fixed patterns and always stay.  Generators with high
-recall propose further, overlapping spans around an at sign (also spelt out) and around runs of digits;
+recall propose further, overlapping spans around an at sign (also spelt out) and every window of
+consecutive digit groups in a run of them that has a kind's number of digits;
 gradient-boosted trees score each from its format and context; a span is added when its score reaches
 the threshold of its kind, calibrated on sample rows the trees did not see, and it overlaps no base
 span and no better candidate (higher score, then longer, then earlier).
@@ -28,6 +29,9 @@ import hashlib
 import random
 import re
 import zlib
+from collections import deque
+from collections.abc import Iterable, Iterator
+from itertools import batched
 
 import numpy as np
 import pandas as pd
@@ -43,6 +47,7 @@ PRECISION = 0.99
 TREES, DEPTH = 80, 5
 FORMS = 8      # rewritten forms of a base span, and half as many ordinary texts in its place
 REACH = 120    # characters of context on each side of one
+MOST_DIGITS = 20
 KINDS = ["email", "ip", "card", "phone"]
 
 _LOCAL = frozenset("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789._%+-")
@@ -58,7 +63,7 @@ _SPELT = r"\x20?[(\[{]\x20?(?:dot|DOT)\x20?[)\]}]\x20?|\x20(?:dot|DOT)\x20"
 _DOT = re.compile(r"\x20?\.\x20?|" + _SPELT)
 _NEXT = re.compile(rf"({_DOT.pattern})[A-Za-z0-9-]{{1,63}}")
 _SPELT_DOT = re.compile(_SPELT)
-_NUMBER = re.compile(r"[+(]?[0-9](?:[\x20().,/-]{0,2}[0-9])++")
+_NUMBER = re.compile(r"[0-9]++(?:[\x20\xa0().,/\[\]_-]{1,3}+[0-9]++)*+")
 _GROUP = re.compile(r"[0-9]+")
 _BETWEEN = re.compile(r"(?<=[0-9])[^0-9]+(?=[0-9])")
 _SEP_BEFORE = re.compile(r"[0-9]([^0-9A-Za-z\n]{1,3})\Z")
@@ -124,32 +129,55 @@ def _addresses(text: str) -> list[tuple[int, int]]:
     return out
 
 
-def candidates(text: str) -> list[tuple[int, int, int]]:
-    """Proposed ``(kind number, start, end)``; they may overlap."""
-    out = [(0, s, e) for s, e in _addresses(text)]
+def _windows(text: str) -> Iterator[tuple[int, int, int, int]]:
+    """``(start, end, digits, groups)`` of consecutive digit groups of a run that hold 4 to ``MOST_DIGITS`` digits:
+    at most that many from each start, so a run of any length takes time linear in it.  A plus sign or
+    an opening parenthesis that is closed inside belongs to a window."""
     for m in _NUMBER.finditer(text):
-        s, e = m.span()
-        n = len(_digits(m[0])) if e - s <= 120 else 0
-        if 4 <= n <= 12 and m[0].count(".") >= 3:
-            out.append((1, s, e))
-        if 12 <= n <= 20:
-            out.append((2, s, e))
+        ahead: deque[tuple[int, int]] = deque()
+        rest = _GROUP.finditer(text, m.start(), m.end())
+        while True:
+            while len(ahead) < MOST_DIGITS and (g := next(rest, None)):
+                ahead.append(g.span())
+            if not ahead:
+                break
+            start, n = ahead[0][0], 0
+            for j, (a, e) in enumerate(ahead):
+                n += e - a
+                if n > MOST_DIGITS:
+                    break
+                if n >= 4:
+                    s = start - (text[start - 1:start] == "(" and ")" in text[start:e])
+                    yield s - (text[s - 1:s] == "+"), e, n, j + 1
+            ahead.popleft()
+
+
+def candidates(text: str) -> Iterator[tuple[int, int, int]]:
+    """Proposed ``(kind number, start, end)``; they may overlap."""
+    yield from ((0, s, e) for s, e in _addresses(text))
+    for s, e, n, groups in _windows(text):
+        if groups == 4 and n <= 12 and text.count(".", s, e) >= 3:
+            yield 1, s, e
+        if n >= 12:
+            yield 2, s, e
         if 7 <= n <= 16:
-            out.append((3, s, e))
-    return out
+            yield 3, s, e
 
 
-def free_candidates(text: str, base: list[tuple[int, int, int]]) -> list[tuple[int, int, int]]:
+def free_candidates(text: str, base: list[tuple[int, int, int]]) -> Iterator[tuple[int, int, int]]:
     """The candidates that meet no base span."""
-    taken = sorted((s, e) for _, s, e in base)
-    free, i, reach = [], 0, -1
-    for s, e, k in sorted((s, e, k) for k, s, e in candidates(text)):  # sweep over the base spans
-        while i < len(taken) and taken[i][0] < e:
-            reach = max(reach, taken[i][1])
-            i += 1
-        if reach <= s:
-            free.append((k, s, e))
-    return free
+    starts: list[int] = []
+    ends: list[int] = []
+    for s, e in sorted((s, e) for _, s, e in base):  # spans that overlap as one
+        if ends and s < ends[-1]:
+            ends[-1] = max(ends[-1], e)
+        else:
+            starts.append(s)
+            ends.append(e)
+    for k, s, e in candidates(text):
+        before = bisect.bisect_left(starts, e)
+        if not before or ends[before - 1] <= s:
+            yield k, s, e
 
 
 N_FEATURES = 30
@@ -316,9 +344,15 @@ def train(docs: DataFrame, max_docs: int = MAX_TRAIN_DOCS, max_spans: int = MAX_
     return model, limits
 
 
-def _scores(text: str, rows: list, model: gbt.Trees) -> np.ndarray:
-    parts = [model.score(np.array([features(text, *c[:3]) for c in rows[j:j + 4096]], float)) for j in range(0, len(rows), 4096)]
-    return np.concatenate(parts) if parts else np.zeros(0)
+def _scored(text: str, rows: Iterable[tuple], model: gbt.Trees, limits: list[float]) -> tuple[list[tuple], list[float]]:
+    """The candidates that reach the limit of their kind, and their scores."""
+    out, scores = [], []
+    for part in batched(rows, 4096):
+        for c, p in zip(part, model.score(np.array([features(text, *c[:3]) for c in part], float)).tolist(), strict=True):
+            if p >= limits[c[0]]:
+                out.append(c)
+                scores.append(p)
+    return out, scores
 
 
 def _best(rows: list[tuple], score) -> list[int]:
@@ -347,12 +381,9 @@ def _best_by_kind(rows: list[tuple], score) -> list[int]:
 
 
 def added_spans(text: str, base: list[tuple[int, int, int]], model: gbt.Trees, limits: list[float]) -> list[tuple[int, int, int]]:
-    free = free_candidates(text, base)
-    if not free:
-        return []
-    score = _scores(text, free, model)
-    good = [i for i in _best_by_kind(free, score) if score[i] >= limits[free[i][0]]]
-    return sorted(free[good[i]] for i in _best([free[i] for i in good], [score[i] for i in good]))
+    good, score = _scored(text, free_candidates(text, base), model, limits)
+    chosen = _best_by_kind(good, score)
+    return sorted(good[chosen[i]] for i in _best([good[i] for i in chosen], [score[i] for i in chosen]))
 
 
 def find(docs: DataFrame, max_docs: int = MAX_TRAIN_DOCS, max_spans: int = MAX_TRAIN_SPANS) -> DataFrame:

@@ -153,6 +153,28 @@ def test_pii_adds_planted_odd_spellings_and_no_ordinary_numbers(spark):
     assert not [i for i in got if i < first]
 
 
+def test_pii_windows_inside_digit_runs():
+    t = "202-555-0143, 202-555-0199"
+    assert {(3, 0, 12), (3, 14, 26)} <= set(pii.candidates(t))
+    assert {(3, 1, 15), (3, 18, 31)} <= set(pii.candidates("/(202) 555-0143 , 1-202-555-019"))
+    assert (2, 0, 19) in set(pii.candidates("4111 1111 1111 1111 123"))
+    assert (1, 3, 19) in set(pii.candidates("1, 10[.]0[.]0[.]138, 5"))
+    many = [f"202-555-{i:04d}" for i in range(200)]
+    assert {(3, 14 * i, 14 * i + 12) for i in range(200)} <= set(pii.candidates(", ".join(many)))
+    assert sum(1 for _ in pii.candidates("1 " * 30_000)) <= 40 * 30_000
+    assert list(pii.candidates("1" * 100_000)) == []
+
+
+def test_pii_adds_every_phone_of_a_list(spark):
+    rows, _, first = odd_rows()
+    phones = [f"{201 + 7 * i}-555-{1000 + 37 * i}" for i in range(25)]
+    listed, table = "reach us " + ", ".join(phones) + " any day", "\n".join(f"{i} | {p} | {p[::-1][:2]}" for i, p in enumerate(phones))
+    got = added_of(spark, [*rows[:first], (first, listed), (first + 1, table)])
+    for i, text in ((first, listed), (first + 1, table)):
+        assert got[i] == {("phone", text.index(p), text.index(p) + 12) for p in phones}
+    assert not [i for i in got if i < first]
+
+
 def test_secrets_base(edges, nothing, documents, document_rows):
     for df, rows in ((edges, edge_rows()), (documents, document_rows)):
         got = secrets.scan(df).collect()
