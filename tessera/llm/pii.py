@@ -4,7 +4,7 @@ Base spans (email, ip, card, phone) come from fixed patterns and always stay.  G
 recall propose further, overlapping spans around an at sign (also spelt out) and every window of
 consecutive digit groups in a run of them that has a kind's number of digits;
 gradient-boosted trees score each from its format and context; a span is added when its score reaches
-the threshold of its kind, calibrated on sample rows the trees did not see, and it overlaps no base
+the threshold of its kind, calibrated on all documents held out from the trees, and it overlaps no base
 span and no better candidate (higher score, then longer, then earlier).
 
 The trees learn from what the base patterns miss.  In a bounded sample of documents (``MAX_TRAIN_DOCS``, smallest
@@ -14,11 +14,12 @@ digits, lists): the candidate that is just the rewritten span is a positive, any
 negative, as are ordinary numbers made of its digits and the text's own free candidates.  Free candidates
 that read as a rewritten form could be either, so they are neither.  Only candidates clear of base spans
 are learnt from and calibrated on, as only those can be added; no feature tells of ``@`` or ``+``.
-Searching reads every row and whole texts in one narrow pass.
+The sample is drawn from one half of the ids; thresholds come from score bins counted over the whole other half.
+Calibrating and searching each read whole texts in one narrow pass.
 
 Defined cases: null text = empty text; null doc_id is kept (never in the sample); repeated rows are
 searched each; a kind without base spans in the
-sample has nothing to learn from and none is added; digits without a prefix or separator are no phone; time is linear in a text's length (patterns
+sample or the held-out half has nothing to learn from and none is added; digits without a prefix or separator are no phone; time is linear in a text's length (patterns
 are possessive or bounded); other columns are ignored.
 """
 
@@ -28,14 +29,13 @@ import bisect
 import hashlib
 import random
 import re
-import zlib
 from collections import deque
 from collections.abc import Iterable, Iterator
 from itertools import batched
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tessera.llm import common as C
@@ -46,6 +46,9 @@ MAX_TRAIN_SPANS = 50_000
 PRECISION = 0.99
 TREES, DEPTH = 80, 5
 FORMS = 8      # rewritten forms of a base span, and half as many ordinary texts in its place
+MOST_SPANS, MOST_ROWS = 64, 1000  # of one text, to learn from
+HELD_FORMS = 2 # the same where thresholds are calibrated
+BINS = 1 << 12 # score bins of the calibration
 REACH = 120    # characters of context on each side of one
 MOST_DIGITS = 20
 KINDS = ["email", "ip", "card", "phone"]
@@ -289,15 +292,15 @@ def _could_be(text: str, kind: int, s: int, e: int) -> bool:
                                                                       and min(map(len, groups[1:])) >= 2))
 
 
-def scenes(text: str):
-    """``(text, [(kind, start, end, label)])`` of a document as it stands and of its base spans rewritten,
-    each in its context; a label of None is neither."""
+def scenes(text: str, forms: int = FORMS, most: int | None = None) -> Iterator[tuple[str, Iterable[tuple[int, int, int, float | None]]]]:
+    """``(text, (kind, start, end, label) of its free candidates)`` of a document as it stands and of its base
+    spans (``most`` of them) rewritten, each in its context; a label of None is neither."""
     base = base_spans(text)
-    yield text, [(k, s, e, None if _could_be(text, k, s, e) else 0.0) for k, s, e in free_candidates(text, base)]
-    for k, s, e in base:
+    yield text, ((k, s, e, None if _could_be(text, k, s, e) else 0.0) for k, s, e in free_candidates(text, base))
+    for k, s, e in base if most is None else _some(base, most):
         rng = random.Random(f"{k}:{s}:{text[s:e]}")
         before, after = text[max(0, s - REACH):s], text[e:e + REACH]
-        for planted in [*(_rewritten(k, text[s:e], rng) for _ in range(FORMS)), *[None] * (FORMS // 2)]:
+        for planted in [*(_rewritten(k, text[s:e], rng) for _ in range(forms)), *[None] * (forms // 2)]:
             gap = rng.choice([", ", "; ", " | ", ",", " or "])
             said, spans = before, set()
             for i, form in enumerate(planted or []):
@@ -313,35 +316,22 @@ def scenes(text: str):
             yield said, rows
 
 
-def _labelled(text: str):
-    """``(features, is a rewritten base span)`` of each candidate to learn from."""
-    for said, rows in scenes(text):
-        for k, s, e, y in rows:
-            if y is not None:
-                yield features(said, k, s, e), y
+def _some(rows: Iterable, most: int) -> list:
+    """A random sample of ``most`` rows (all, if there are fewer), in one pass."""
+    rng, out = random.Random(most), []
+    for i, r in enumerate(rows):
+        if i < most:
+            out.append(r)
+        elif (j := rng.randint(0, i)) < most:
+            out[j] = r
+    return out
 
 
-def train(docs: DataFrame, max_docs: int = MAX_TRAIN_DOCS, max_spans: int = MAX_TRAIN_SPANS) -> tuple[gbt.Trees, list[float]]:
-    """The trees and the threshold of each kind (above 1: nothing of this kind is added)."""
-    def run(part: pd.DataFrame) -> pd.DataFrame:
-        rows = [(d, i, x, y) for d, t in zip(part["doc_id"], part["text"], strict=True) if t and _ANY.search(t)
-                for i, (x, y) in enumerate(_labelled(t))]
-        return pd.DataFrame(rows, columns=["doc_id", "i", "x", "y"])
-    ids = docs.where("doc_id IS NOT NULL").select("doc_id").distinct().orderBy(F.xxhash64("doc_id"), "doc_id").limit(max_docs)
-    seen = docs.select("doc_id", "text").join(F.broadcast(ids), "doc_id").mapInPandas(
-        C.per_batch(run), "doc_id long, i int, x array<double>, y double")
-    got = seen.orderBy(F.xxhash64("doc_id", "i"), "doc_id", "i").limit(max_spans).toPandas().sort_values(["doc_id", "i"])
-    x, y = np.array(got["x"].tolist(), float).reshape(-1, N_FEATURES), got["y"].to_numpy(float)
-    held = np.array([zlib.crc32(str(d).encode()) % 2 == 1 for d in got["doc_id"]], bool)
-    model = gbt.fit(x[~held], y[~held], trees=TREES, depth=DEPTH)
-    p, limits = model.score(x[held]), []
-    for k in range(len(KINDS)):
-        mine = x[held][:, k] == 1
-        order = np.argsort(-p[mine], kind="stable")
-        right, score = np.cumsum(y[held][mine][order]), p[mine][order]
-        good = np.flatnonzero(right / np.arange(1, len(right) + 1) >= PRECISION)
-        limits.append(max(0.5, float(score[good[-1]])) if len(good) and len(right) >= 20 else 2.0)
-    return model, limits
+def _labelled(text: str):
+    """``(features, is a rewritten base span)`` of candidates to learn from, bounded for one text."""
+    for said, rows in scenes(text, most=MOST_SPANS):
+        for k, s, e, y in _some((r for r in rows if r[3] is not None), MOST_ROWS):
+            yield features(said, k, s, e), y
 
 
 def _scored(text: str, rows: Iterable[tuple], model: gbt.Trees, limits: list[float]) -> tuple[list[tuple], list[float]]:
@@ -380,6 +370,56 @@ def _best_by_kind(rows: list[tuple], score) -> list[int]:
     return out
 
 
+def fit_sample(docs: DataFrame, max_docs: int, max_spans: int) -> gbt.Trees:
+    """The trees, from a bounded sample of the documents that are not held out."""
+    def run(part: pd.DataFrame) -> pd.DataFrame:
+        rows = [(d, i, x, y) for d, t in zip(part["doc_id"], part["text"], strict=True) if t and _ANY.search(t)
+                for i, (x, y) in enumerate(_labelled(t))]
+        return pd.DataFrame(rows, columns=["doc_id", "i", "x", "y"])
+    ids = (docs.where("doc_id IS NOT NULL").where(~_held_out()).select("doc_id").distinct()
+           .orderBy(F.xxhash64("doc_id"), "doc_id").limit(max_docs))
+    seen = docs.select("doc_id", "text").join(F.broadcast(ids), "doc_id").mapInPandas(
+        C.per_batch(run, 32), "doc_id long, i int, x array<double>, y double")
+    got = seen.orderBy(F.xxhash64("doc_id", "i"), "doc_id", "i").limit(max_spans).toPandas().sort_values(["doc_id", "i"])
+    return gbt.fit(np.array(got["x"].tolist(), float).reshape(-1, N_FEATURES), got["y"].to_numpy(float), trees=TREES, depth=DEPTH)
+
+
+def _held_out() -> Column:
+    """Half of the ids (and null), by a hash of its own."""
+    return F.col("doc_id").isNull() | (F.pmod(F.xxhash64(F.lit(6), "doc_id"), F.lit(2)) == 1)
+
+
+def calibrate(docs: DataFrame, model: gbt.Trees) -> list[float]:
+    """The threshold of each kind: the least score bin down to which ``PRECISION`` of the chosen candidates
+    of all held-out documents are right; above 1 (nothing is added) only where no bin reaches it."""
+    def run(part: pd.DataFrame) -> pd.DataFrame:
+        seen, right = np.zeros((len(KINDS), BINS + 1), np.int64), np.zeros((len(KINDS), BINS + 1), np.int64)
+        for t in part["text"]:
+            for said, rows in scenes(t, HELD_FORMS) if t and _ANY.search(t) else ():
+                good, score = _scored(said, rows, model, [0.5] * len(KINDS))
+                for i in _best_by_kind(good, score):
+                    k, _, _, y = good[i]
+                    if y is not None:
+                        seen[k, int(score[i] * BINS)] += 1
+                        right[k, int(score[i] * BINS)] += y == 1
+        k, b = np.nonzero(seen)
+        return pd.DataFrame({"kind": k, "bin": b, "seen": seen[k, b], "right": right[k, b]})
+    bins = docs.where(_held_out()).select("text").mapInPandas(C.per_batch(run), "kind int, bin int, seen long, right long")
+    got = bins.groupBy("kind", "bin").agg(F.sum("seen").alias("seen"), F.sum("right").alias("right")).toPandas()
+    limits = []
+    for k in range(len(KINDS)):
+        mine = got[got["kind"] == k].sort_values("bin", ascending=False)
+        good = np.flatnonzero(mine["right"].cumsum().to_numpy() >= PRECISION * mine["seen"].cumsum().to_numpy())
+        limits.append(max(0.5, float(mine["bin"].iloc[good[-1]]) / BINS) if len(good) else 2.0)
+    return limits
+
+
+def train(docs: DataFrame, max_docs: int = MAX_TRAIN_DOCS, max_spans: int = MAX_TRAIN_SPANS) -> tuple[gbt.Trees, list[float]]:
+    """The trees and the threshold of each kind (above 1: nothing of this kind is added)."""
+    model = fit_sample(docs, max_docs, max_spans)
+    return model, calibrate(docs, model)
+
+
 def added_spans(text: str, base: list[tuple[int, int, int]], model: gbt.Trees, limits: list[float]) -> list[tuple[int, int, int]]:
     good, score = _scored(text, free_candidates(text, base), model, limits)
     chosen = _best_by_kind(good, score)

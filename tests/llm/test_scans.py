@@ -175,6 +175,23 @@ def test_pii_adds_every_phone_of_a_list(spark):
     assert not [i for i in got if i < first]
 
 
+def test_pii_thresholds_cover_rare_kinds(spark):
+    """A kind with few spans, none of them where a bounded sample would look, still gets its threshold."""
+    rows, _, first = odd_rows(200)
+    model = pii.fit_sample(spark.createDataFrame(rows, "doc_id long, text string"), 5000, 50_000)
+    plain = [(i, f"page {i} of the book, {i + 1950}-05-06") for i in range(3000)]
+    rare = [(9000 + i, f"the host of group {i % 7} is 10.{i}.7.{i + 3} as said") for i in range(12)]
+    df = spark.createDataFrame(plain + rare, "doc_id long, text string").repartition(4)
+    held = df.where(pii._held_out()).where("doc_id >= 9000").count()
+    assert 1 <= held < 10
+    limits = pii.calibrate(df, model)
+    assert limits[1] <= 1 and limits[0] == limits[2] == 2.0
+
+    def wrong_trees(n):
+        return gbt.Trees(np.zeros((0, 31), np.int64), np.zeros((0, 31)), np.zeros((0, 32)), n)
+    assert pii.calibrate(df, wrong_trees(5.0))[3] == 2.0  # everything scores the same: ordinary numbers break the precision
+
+
 def test_secrets_base(edges, nothing, documents, document_rows):
     for df, rows in ((edges, edge_rows()), (documents, document_rows)):
         got = secrets.scan(df).collect()
