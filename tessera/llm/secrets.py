@@ -33,9 +33,9 @@ _ASSIGN = re.compile(r"""(?ai:(password|passwd|secret|token|api_?key))["']?\x20*
 _WORDS = ("password", "passwd", "secret", "token", "api")
 _ACCESS = re.compile(r"AKIA[A-Z0-9]+")
 _HEX = re.compile(r"[0-9a-f]{24,}")
-_NAMED = re.compile(r"""(?ai:\b(user|username|login|client_id|account_id|key_id|(?:end_?point|host|server|base_url)))["']?\x20{0,4}[:=]\x20{0,4}["']?([A-Za-z0-9+/_.:@-]{3,200})""")
+_NAMED = re.compile(r"""(?ai:\b(user|username|login|client_id|account_id|key_id|(?:end_?point|host|server|base_url)))["']?\x20{0,4}[:=]\x20{0,4}["']?([A-Za-z0-9+/_.:@-]{3,}+)""")
 _RUN = re.compile(r"(?<![A-Za-z0-9+/_=-])[A-Za-z0-9+/_=-]{16,}+")
-_URL = re.compile(r"(?a:\b[a-z][a-z0-9]{1,9}://[^\s\"'<>]{3,300})")
+_URL = re.compile(r"(?a:\b[a-z][a-z0-9]{1,9}://[^\s\"'<>]{3,}+)")
 
 
 def strong_spans(text: str) -> list[tuple[int, int, int]]:

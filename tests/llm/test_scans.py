@@ -232,6 +232,20 @@ def test_secret_linking(spark, scope):
     assert some
 
 
+def test_long_weak_parts_are_whole(spark):
+    """An endpoint or identifier of any length ends where it ends, and what follows it is adjacent."""
+    url, secret = "https://store.example.org/" + "p/" * 600, "aZ9xY8wV7uT6sR5qP4"
+    user = "bob." * 150
+    texts = [f"see {url} {secret} there", f"user={user} {secret} there"]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = {r.doc_id: r.spans.split(",") for r in secrets.scan(df).collect()}
+    at = 4 + len(url) + 1
+    assert secrets.weak_parts(texts[0], []) == [(4, 5, 4 + len(url)), (at, 4, at + len(secret))]
+    assert got[0] == [f"weak_secret:{at}:{at + len(secret)}"]
+    at = 5 + len(user) + 1
+    assert got[1] == [f"weak_id:0:{5 + len(user)}", f"weak_secret:{at}:{at + len(secret)}"]
+
+
 def brute_judge(captures, entries):
     out = []
     for page, url, day in captures:
