@@ -62,8 +62,8 @@ def mixing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
 
 @_stage
 def packing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The pieces of every document (each use of it) in token sequences."""
-    return packing.pack(docs)
+    """The pieces of every document (each use of it) in token sequences, in the order of the mixture's blocks."""
+    return packing.pack(docs, in_order=True)
 
 
 STAGES = [("quality", quality_stage), ("exact_dedup", exact_stage), ("near_dup", near_stage),

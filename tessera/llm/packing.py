@@ -5,7 +5,9 @@ round-robin serves the queues: in every window of ``WINDOW`` sequences each sour
 the window's tokens and sends whole documents while its balance covers them; what is left over (or
 overdrawn) goes on to the next window.  The served tokens form a stream that is cut at sequence ends.
 
-The corpus is dealt at random into shards of about ``SHARD_TOKENS`` tokens that are packed in parallel.  A
+The corpus is dealt at random into shards of about ``SHARD_TOKENS`` tokens that are packed in parallel (with
+``in_order``, for an input whose order says what goes together, a shard is a run of that many tokens of
+an input partition, the last one of a partition being shorter).  Queues stand in input order.  A
 shard always drains its queues, so what each source is owed when a shard begins is known beforehand: the
 prefix sum, over the shards before, of (target share x shard's tokens - source's tokens).  That is how
 deficits cross partitions without any task waiting for another.  Target shares default to the
@@ -25,9 +27,11 @@ from __future__ import annotations
 import os
 import zlib
 from array import array
+from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -121,19 +125,27 @@ def encode(texts: list[str], path: str) -> list[bytes]:
     return [b"".join(map(ids.__getitem__, t.replace("\n", " ").split(" "))) for t in texts]
 
 
-def tokenise(docs: DataFrame, path: str) -> DataFrame:
-    """``row_id, doc_id, source, n_tokens, ids`` (ids as unsigned 16-bit where they fit, else 32-bit)."""
+def tokenise(docs: DataFrame, path: str, shard_tokens: int = SHARD_TOKENS) -> DataFrame:
+    """``row_id, doc_id, source, n_tokens, ids, place`` (ids as unsigned 16-bit where they fit, else 32-bit; place: which
+    run of about ``shard_tokens`` tokens, by input partition and inside it in input order)."""
     def run(part: pd.DataFrame) -> pd.DataFrame:
         ids = encode([t or "" for t in part["text"]], path)
         ids = [np.append(np.frombuffer(b, "<u4"), np.uint32(CLOSING_ID)) for b in ids]
         return pd.DataFrame({"row_id": part["row_id"], "doc_id": part["doc_id"], "source": part["source"],
                              "n_tokens": [len(a) for a in ids],
                              "ids": [(a.astype("<u2") if a.max() < 65536 else a).tobytes() for a in ids]})
+
+    def placed(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        first, done = TaskContext.get().partitionId() << 16, 0
+        for out in C.per_batch(run)(batches):
+            upto = done + out["n_tokens"].cumsum()
+            yield out.assign(place=first + (upto - out["n_tokens"]) // shard_tokens)
+            done = int(upto.iloc[-1]) if len(out) else done
     docs, row_id = C.with_row_id(docs)
     source = F.col("source").cast("string") if "source" in docs.columns else F.lit(None).cast("string")
     # Ids pass Python as text: pandas would turn longs with nulls into doubles.
     return docs.select(F.col(row_id).alias("row_id"), F.col("doc_id").cast("string").alias("doc_id"), source.alias("source"), "text").mapInPandas(
-        C.per_batch(run), "row_id long, doc_id string, source string, n_tokens long, ids binary")
+        placed, "row_id long, doc_id string, source string, n_tokens long, ids binary, place long")
 
 
 def _cuts(total: int, sequence: int) -> np.ndarray:
@@ -162,13 +174,14 @@ def serve_order(source: np.ndarray, tokens: np.ndarray, share: np.ndarray, owed:
 
 
 def pack(docs: DataFrame, path: str | None = None, sequence: int = SEQUENCE, window: int = WINDOW,
-         shard_tokens: int = SHARD_TOKENS) -> DataFrame:
-    """``doc_id, start, length, ids_crc32, doc_tokens, sequence_id, offset, row_id, source`` per piece."""
-    table = C.materialise(tokenise(docs, path or vocabulary_path()), "tokens")
+         shard_tokens: int = SHARD_TOKENS, in_order: bool = False) -> DataFrame:
+    """``doc_id, start, length, ids_crc32, doc_tokens, sequence_id, offset, row_id, source`` per piece.
+    ``in_order``: shards are runs of the input's order instead of random."""
+    table = C.materialise(tokenise(docs, path or vocabulary_path(), shard_tokens), "tokens")
     table = table.withColumn("source", F.coalesce("source", F.lit("")))
     total = table.agg(F.sum("n_tokens")).first()[0] or 0
     shards = max(1, -(-total // shard_tokens))
-    table = table.withColumn("shard", F.pmod(F.xxhash64("row_id", F.lit(3)), F.lit(shards)))
+    table = table.withColumn("shard", F.col("place") if in_order else F.pmod(F.xxhash64("row_id", F.lit(3)), F.lit(shards)))
     totals = table.groupBy("shard", "source").agg(F.sum("n_tokens").alias("tokens"))
     state = balances(totals, total).toDF("to_shard", "from_source", "share", "owed")
     span = sequence * window

@@ -190,3 +190,34 @@ def test_pipeline_edges(spark, edges, nothing):
     assert near.columns == edges.columns and near.count() == round(sum(1 / w[3] for w in sizes))
     for name, stage in P.STAGES:
         assert stage(spark, nothing, SF).count() == 0
+
+
+def test_packing_in_order(spark, documents, document_rows):
+    """Shards are runs of the input's order, and every document is packed once."""
+    df = common.materialise(documents.orderBy("doc_id").coalesce(1), "test-ordered")
+    options = {"shard_tokens": 5000, "sequence": 256, "window": 4}
+    pieces = packing.pack(df, in_order=True, **options).collect()
+    check_pack(pieces, document_rows, 256)
+    shards = defaultdict(set)
+    for p in pieces:
+        shards[p.sequence_id >> 32].add((p.row_id, p.doc_tokens))
+    assert len(shards) > 5
+    runs = sorted((min(s), max(s)) for s in shards.values())
+    assert all(a[1] < b[0] for a, b in zip(runs, runs[1:], strict=False))
+    assert all(sum(n for _, n in s) <= 5000 + max(n for _, n in s) for s in shards.values())
+
+
+def test_pipeline_packs_in_the_order_of_the_blocks(spark, documents, monkeypatch):
+    """The blocks of the mixture come out of the packing stage as they went in."""
+    import corpus_pipeline as P
+    stages = dict(P.STAGES)
+    monkeypatch.setattr(mixing.plan, "__defaults__", (*mixing.plan.__defaults__[:2], 4000, mixing.plan.__defaults__[3]))
+    monkeypatch.setattr(packing.pack, "__defaults__", (*packing.pack.__defaults__[:3], 4000, packing.pack.__defaults__[4]))
+    mixed = common.materialise(stages["mixing"](spark, documents, SF), "test-mixed")
+    pieces = stages["packing"](spark, mixed, SF).collect()
+    shards = defaultdict(set)
+    for p in pieces:
+        shards[p.sequence_id >> 32].add(p.row_id)
+    assert len(shards) > 5
+    runs = sorted((min(s), max(s)) for s in shards.values())
+    assert all(a[1] < b[0] for a, b in zip(runs, runs[1:], strict=False))
