@@ -221,3 +221,27 @@ def test_pipeline_packs_in_the_order_of_the_blocks(spark, documents, monkeypatch
     assert len(shards) > 5
     runs = sorted((min(s), max(s)) for s in shards.values())
     assert all(a[1] < b[0] for a, b in zip(runs, runs[1:], strict=False))
+
+
+def test_pipeline_quality_and_mixing_stages(spark, documents):
+    """The quality stage keeps the rows that op7 scores at least 0.3; mixing uses each source as often as the exponent says."""
+    import corpus_pipeline as P
+    from tessera.llm import quality
+    stages = dict(P.STAGES)
+    scores = quality.classify(documents, common.read(spark, SF, "labels")).collect()
+    kept = common.materialise(stages["quality"](spark, documents, SF), "test-quality")
+    good = Counter(r.doc_id for r in scores if r.score >= 0.3)
+    assert 0 < sum(good.values()) < len(scores)
+    assert Counter(r.doc_id for r in kept.select("doc_id").collect()) == good
+    count = lambda df: [(r.source or "", len((r.text or "").split()) or 1) for r in df.select("source", "text").collect()]
+    before, after = count(kept), count(common.materialise(stages["mixing"](spark, kept, SF), "test-mixing"))
+    tokens, used = Counter(), Counter()
+    for s, n in before:
+        tokens[s] += n
+    for s, n in after:
+        used[s] += n
+    top, least = max(tokens.values()), min(tokens.values())
+    power = math.log(mixing.MAX_REPEAT) / math.log(top / least) if top / least > mixing.MAX_REPEAT else 1.0
+    longest = max(n for _, n in before)
+    for s in tokens:
+        assert abs(used[s] - tokens[s] * (top / tokens[s]) ** power) <= longest + 1e-6 * top
