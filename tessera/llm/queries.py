@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tessera.llm import exact_dedup, mixing, near_dup, packing, pii, quality, secrets, suffix_dedup, url_filter, vector_dedup
+from tessera.llm import best_fit, exact_dedup, fim, mixing, near_dup, packing, pii, quality, runs, secrets, suffix_dedup, url_filter, vector_dedup
 from tessera.llm.common import read, with_row_id
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -76,3 +76,18 @@ def op9(spark: SparkSession, sf_dir: str) -> DataFrame:
 @register("op10_secrets")
 def op10(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secrets.scan(read(spark, sf_dir, "documents"))
+
+
+@register("op11_best_fit_packing")
+def op11(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return best_fit.pack(read(spark, sf_dir, "documents")).drop("row_id")
+
+
+@register("op12_fill_in_middle", fim.ORACLE)
+def op12(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return fim.digests(fim.apply(read(spark, sf_dir, "documents")))
+
+
+@register("op13_periodic_runs")
+def op13(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return runs.summarise(runs.find(read(spark, sf_dir, "documents"), repeated=True))

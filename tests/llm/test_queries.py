@@ -15,11 +15,13 @@ SF = "/root/testdata/sf0.001"
 COLUMNS = {
     "op2": "doc_id n_bytes n_removed n_spans kept_sha256", "op3": "doc_id start length ids_crc32 doc_tokens sequence_id offset",
     "op4": "vec_id n_links component_id kept", "op6": "doc_id n_email n_ip n_card n_phone base_sha256 spans",
-    "op7": "doc_id held_out score predicted", "op8": "doc_id keep_id group_size kept text_sha256", "op10": "doc_id n_assign n_access n_hex base_sha256 spans"}
+    "op7": "doc_id held_out score predicted", "op8": "doc_id keep_id group_size kept text_sha256", "op10": "doc_id n_assign n_access n_hex base_sha256 spans",
+    "op11": "doc_id piece start length ids_crc32 sequence_id offset", "op12": "doc_id n form prefix_chars middle_chars output_sha256 restored_sha256",
+    "op13": "doc_id n_runs start length period exponent_milli runs_sha256 collapsed_sha256"}
 
 
 def test_all_are_registered():
-    assert sorted(int(n[2:].split("_")[0]) for n in QUERIES) == list(range(1, 11))
+    assert sorted(int(n[2:].split("_")[0]) for n in QUERIES) == list(range(1, 14))
     assert set(QUERIES) | {"pipeline"} <= set(E.queries())
 
 
