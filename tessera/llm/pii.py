@@ -62,6 +62,7 @@ _ANY = re.compile(r"[0-9@]|[(\[{]\x20?(?:at|AT)|\x20(?:at|AT)\x20")
 _AT = re.compile(r"@|[(\[{]\x20?(?:at|AT)\x20?[)\]}]|(?<=\x20)(?:at|AT)(?=\x20)")
 _LEFT = re.compile(r"[A-Za-z0-9._%+-]{1,64}\x20?\Z")
 _LABEL = re.compile(r"\x20?[A-Za-z0-9-]{1,63}")
+_LABEL_PART = re.compile("[A-Za-z0-9-]")
 _SPELT = r"\x20?[(\[{]\x20?(?:dot|DOT)\x20?[)\]}]\x20?|\x20(?:dot|DOT)\x20"
 _DOT = re.compile(r"\x20?\.\x20?|" + _SPELT)
 _NEXT = re.compile(rf"({_DOT.pattern})[A-Za-z0-9-]{{1,63}}")
@@ -123,6 +124,9 @@ def _addresses(text: str) -> list[tuple[int, int]]:
         right = _LABEL.match(text, m.end())
         if not left or not right:
             continue
+        at = m.start() - len(left[0])
+        if text[right.end():right.end() + 1] and _LABEL_PART.match(text, right.end()) or at and text[at - 1] in _LOCAL:
+            continue   # longer than an address can be
         ends = [right.end()]
         while len(ends) < 9 and (more := _NEXT.match(text, ends[-1])):
             ends.append(more.end())
@@ -441,5 +445,7 @@ def find(docs: DataFrame, max_docs: int = MAX_TRAIN_DOCS, max_spans: int = MAX_T
             spans = ",".join(f"{KINDS[k]}:{s}:{e}" for k, s, e in sorted([*base, *more]))
             rows.append((d, *[sum(k == i for k, _, _ in base) for i in range(4)], hashlib.sha256(said.encode()).hexdigest(), spans, len(more)))
         return pd.DataFrame(rows, columns=["doc_id", "n_email", "n_ip", "n_card", "n_phone", "base_sha256", "spans", "n_added"])
-    return docs.select("doc_id", "text").mapInPandas(
-        C.per_batch(run), "doc_id long, n_email long, n_ip long, n_card long, n_phone long, base_sha256 string, spans string, n_added long")
+    # Ids pass Python as text: pandas would turn longs with nulls into doubles.
+    return docs.select(F.col("doc_id").cast("string").alias("doc_id"), "text").mapInPandas(
+        C.per_batch(run), "doc_id string, n_email long, n_ip long, n_card long, n_phone long, base_sha256 string, spans string, n_added long").withColumn(
+        "doc_id", F.col("doc_id").cast("long"))

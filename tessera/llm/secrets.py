@@ -89,7 +89,7 @@ def _scan(part: pd.DataFrame) -> pd.DataFrame:
     return pd.DataFrame(rows, columns=["row_id", "doc_id", "n_assign", "n_access", "n_hex", "base_sha256", "parts"])
 
 
-_SCHEMA = ("row_id long, doc_id long, n_assign long, n_access long, n_hex long, base_sha256 string, "
+_SCHEMA = ("row_id long, doc_id string, n_assign long, n_access long, n_hex long, base_sha256 string, "
            "parts array<struct<start: long, kind: int, stop: long>>")
 
 
@@ -118,7 +118,9 @@ def link_parts(parts: DataFrame, scope: int = SCOPE) -> DataFrame:
 def scan(docs: DataFrame, scope: int = SCOPE) -> DataFrame:
     """``doc_id, n_assign, n_access, n_hex, base_sha256, spans, n_linked`` for every document."""
     rows, row_id = C.with_row_id(docs)
-    found = rows.select(F.col(row_id).alias("row_id"), "doc_id", "text").mapInPandas(C.per_batch(_scan), _SCHEMA)
+    # Ids pass Python as text: pandas would turn longs with nulls into doubles.
+    found = rows.select(F.col(row_id).alias("row_id"), F.col("doc_id").cast("string").alias("doc_id"), "text").mapInPandas(
+        C.per_batch(_scan), _SCHEMA).withColumn("doc_id", F.col("doc_id").cast("long"))
     flat = found.withColumn("p", F.explode_outer("parts")).select("*", "p.*").drop("p", "parts")
     linked = link_parts(flat, scope)
     role = F.col("_role")
