@@ -23,14 +23,14 @@ from pyspark.sql import functions as F
 
 from tessera.llm import common as C
 
-HOST = r"^[A-Za-z][A-Za-z0-9+.-]*://(?:[^/?#@]*@)?([^/?#:@]+)"
+HOST = r"^[A-Za-z][A-Za-z0-9+.-]*://(?:[^/?#]*@)?(\[[^\]/?#@]*\]|[^\[/?#:@]+)"
 PATH = r"^[A-Za-z][A-Za-z0-9+.-]*://[^/?#]*([^?#]*)"
 SALTS = 32
 
 
 def host_of(url: Column) -> Column:
-    """Lower-case host of a URL, null if it has none."""
-    return F.nullif(F.lower(F.regexp_extract(url, HOST, 1)), F.lit(""))
+    """Lower-case host of a URL, without the dot that may end it; an address in brackets keeps them.  Null if it has none."""
+    return F.nullif(F.regexp_replace(F.lower(F.regexp_extract(url, HOST, 1)), r"\.$", ""), F.lit(""))
 
 
 def segments_of(url: Column) -> Column:
@@ -38,10 +38,10 @@ def segments_of(url: Column) -> Column:
 
 
 def suffix_keys(host: Column) -> Column:
-    """The host and its parents of two labels at least (an address of digits only itself)."""
+    """The host and its parents of two labels at least (an address in digits or brackets only itself)."""
     labels = F.split(host, r"\.", -1)
     n = F.size(labels)
-    first = F.when(host.rlike(r"^[0-9.]+$"), 1).otherwise(F.greatest(n - 1, F.lit(1)))
+    first = F.when(host.rlike(r"^[0-9.]+$|^\["), 1).otherwise(F.greatest(n - 1, F.lit(1)))
     return F.transform(F.sequence(F.lit(1), first), lambda i: F.struct(
         (n - i + 1).alias("rank"), F.array_join(F.slice(labels, i, n), ".").alias("key")))
 
@@ -118,13 +118,13 @@ def derived_list(pages: DataFrame) -> DataFrame:
 
 ORACLE = r"""
 WITH p AS (
-  SELECT page_id, url, nullif(lower(regexp_extract(url, '^[A-Za-z][A-Za-z0-9+.-]*://(?:[^/?#@]*@)?([^/?#:@]+)', 1)), '') AS host,
+  SELECT page_id, url, nullif(regexp_replace(lower(regexp_extract(url, '^[A-Za-z][A-Za-z0-9+.-]*://(?:[^/?#]*@)?(\[[^\]/?#@]*\]|[^\[/?#:@]+)', 1)), '\.$', ''), '') AS host,
          regexp_extract(regexp_extract(url, '^[A-Za-z][A-Za-z0-9+.-]*://[^/?#]*([^?#]*)', 1), '[^/]+') AS seg,
          CAST(DATE '2024-01-01' + CAST(page_id % 366 AS INTEGER) AS DATE) AS fetch_date
   FROM pages),
 lab AS (SELECT *, string_split(host, '.') AS labels FROM p WHERE host IS NOT NULL),
 suf AS (
-  SELECT page_id, fetch_date, labels, unnest(range(1, CASE WHEN regexp_matches(host, '^[0-9.]+$') THEN 2 ELSE greatest(len(labels) - 1, 1) + 1 END)) AS i FROM lab),
+  SELECT page_id, fetch_date, labels, unnest(range(1, CASE WHEN regexp_matches(host, '^[0-9.]+$|^\[') THEN 2 ELSE greatest(len(labels) - 1, 1) + 1 END)) AS i FROM lab),
 keyed AS (
   SELECT page_id, fetch_date, len(labels) - i + 1 AS rank, array_to_string(labels[i:], '.') AS key FROM suf
   UNION ALL

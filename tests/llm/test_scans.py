@@ -192,6 +192,20 @@ def test_pii_thresholds_cover_rare_kinds(spark):
     assert pii.calibrate(df, wrong_trees(5.0))[3] == 2.0  # everything scores the same: ordinary numbers break the precision
 
 
+@pytest.mark.parametrize("scan", [lambda df: pii.find(df, 50, 500), secrets.scan])
+def test_scans_keep_ids_beside_nulls(spark, scan):
+    """A null id does not turn the others of its batch into doubles."""
+    ids = [None, 2**60 + 1, 2**60 + 3, 5]
+    df = spark.createDataFrame([(i, "mail a.b@c.org or password=abcdefgh1") for i in ids], "doc_id long, text string").coalesce(1)
+    assert Counter(r.doc_id for r in scan(df).collect()) == Counter(ids)
+
+
+def test_pii_long_addresses_are_no_candidates():
+    """An address is proposed whole or not at all."""
+    ok, long = "a" * 60 + " (at) b.org", "a" * 90 + " (at) b.org"
+    assert pii._addresses(ok) and not pii._addresses(long) and not pii._addresses("joe (at) " + "b" * 70 + ".org")
+
+
 def test_secrets_base(edges, nothing, documents, document_rows):
     for df, rows in ((edges, edge_rows()), (documents, document_rows)):
         got = secrets.scan(df).collect()
@@ -246,20 +260,35 @@ def test_long_weak_parts_are_whole(spark):
     assert got[1] == [f"weak_id:0:{5 + len(user)}", f"weak_secret:{at}:{at + len(secret)}"]
 
 
+def brute_host(url):
+    """By the parts of a URL: scheme, then the authority up to a slash, question or number sign; in it the user up to the
+    last at sign, then an address in brackets or a name, then perhaps a port."""
+    scheme, sep, rest = (url or "").partition("://")
+    if not sep or not scheme[:1].isalpha() or not scheme.isascii() or not all(c.isalnum() or c in "+.-" for c in scheme):
+        return None
+    authority = rest
+    for mark in "/?#":
+        authority = authority.split(mark)[0]
+    place = authority.rpartition("@")[2]
+    if place.startswith("["):
+        return place[:place.index("]") + 1].lower() if "]" in place else None
+    name = place.partition(":")[0].lower()
+    return (name[:-1] if name.endswith(".") else name) or None
+
+
 def brute_judge(captures, entries):
     out = []
     for page, url, day in captures:
         import re
-        m = re.match(r"[A-Za-z][A-Za-z0-9+.-]*://(?:[^/?#@]*@)?([^/?#:@]+)", url or "")
-        if not m:
+        host = brute_host(url)
+        if not host:
             out.append((page, "unparsed", None, 0))
             continue
         if day is None:
             out.append((page, "undated", None, 0))
             continue
-        host = m[1].lower()
         labels = host.split(".")
-        keys = {host: len(labels)} if re.fullmatch(r"[0-9.]+", host) else {".".join(labels[i:]): len(labels) - i for i in range(max(1, len(labels) - 1))}
+        keys = {host: len(labels)} if re.fullmatch(r"[0-9.]+", host) or host.startswith("[") else {".".join(labels[i:]): len(labels) - i for i in range(max(1, len(labels) - 1))}
         path = re.match(r"[A-Za-z][A-Za-z0-9+.-]*://[^/?#]*([^?#]*)", url)[1]
         segs = [s for s in path.split("/") if s]
         for j in range(1, len(segs) + 1):
@@ -278,9 +307,11 @@ def test_url_filter_edges(spark):
     d = lambda n: dt.date(2024, 1, 1) + dt.timedelta(n)
     entries = [("example.com", "block", d(5)), ("example.com", "remove", d(9)), ("a.example.com", "allow", d(6)), ("a.example.com/en", "block", d(7)),
                ("a.example.com/en/x", "allow", d(8)), ("example.com", "allow", d(5)), ("b.org", "weird", d(1)), (None, "block", d(1)), ("b.org", "block", None),
-               ("10.0.0.1", "block", d(0)), ("0.1", "block", d(0)), ("example.com", "block", d(20))]
+               ("10.0.0.1", "block", d(0)), ("0.1", "block", d(0)), ("[2001:db8::1]", "block", d(3)), ("[2001:db8::1]/a", "allow", d(7)), ("example.com", "block", d(20))]
     urls = ["http://a.example.com/en/x/y?q#f", "https://u:p@A.Example.com:80/en", "http://example.com", "http://x.y.example.com/", "ftp://10.0.0.1/a",
-            "http://b.org//en//", "no url", "", None, "http://localhost/x", "http://a.example.com//en//x"]
+            "http://b.org//en//", "no url", "", None, "http://localhost/x", "http://a.example.com//en//x",
+            "http://a.example.com./en", "http://example.com.:8080", "http://[2001:DB8::1]:80/a", "http://[::ffff:1.2.example.com]/", "http://[2001:db8::1", "http://u@v@example.com/en",
+            "http://example.com:x@b.org/", "http://./", "http://example.com../"]
     captures = [(i * 100 + n, u, d(n) if n != 12 else None) for i, u in enumerate(urls) for n in (0, 5, 6, 7, 8, 9, 12, 25)]
     captures += captures[:3]
     caps = spark.createDataFrame([(*c, 1, "z", 2) for c in captures], "page_id long, url string, fetch_date date, row_id int, key string, salt int")
