@@ -38,10 +38,11 @@ BLOCK_ROWS = 256
 _U = np.uint64
 
 
-def parameters_for(rows: int, axes: int = 64, bucket: int = 64) -> tuple[int, int, int]:
-    """(tables, hashes a key, probes a table) for a corpus of ``rows`` vectors: as many hashes as keep an
-    average bucket under ``bucket`` vectors, and tables for a recall over 0.999 at cosine 0.98 (measured:
-    6 x 3 keys of 2 hashes and 12 x 4 keys of 3 hashes each found all of 4,000 planted pairs)."""
+def parameters_for(rows: int, axes: int, bucket: int = 64) -> tuple[int, int, int]:
+    """(tables, hashes a key, probes a table) for a corpus of ``rows`` vectors of ``axes`` parts: as many hashes as keep an
+    average bucket under ``bucket`` vectors, and tables for a recall over 0.999 at cosine 0.98 (tests plant
+    pairs for each number of hashes).  The settings change what is compared, not what links."""
+    axes = max(2, 1 << max(0, axes - 1).bit_length())
     hashes = max(2, int(np.ceil(np.log(max(1, rows / bucket)) / np.log(2 * axes))))
     return (6, 2, 3) if hashes == 2 else (4 * hashes, hashes, hashes + 1)
 
@@ -100,32 +101,34 @@ def _usable(v) -> np.ndarray | None:
     if a.dtype == object and any(x is None for x in a):
         return None
     a = a.astype(np.float64)
-    with np.errstate(over="ignore"):
-        norm = np.sqrt(a @ a)
-    return a if np.isfinite(a).all() and 0 < norm < np.inf else None
+    top = np.abs(a).max()
+    if not 0 < top < np.inf:   # zero, or a part that is no finite number
+        return None
+    # A power of two brings the largest part near 1: cosines stay as they are and squares neither over- nor underflow.
+    return np.ldexp(np.ldexp(a, -int(np.frexp(top)[1]) // 2), -int(np.frexp(top)[1]) + int(np.frexp(top)[1]) // 2)
 
 
 def hashed(vectors: DataFrame, row_id: str, tables: int, hashes: int, probes: int) -> DataFrame:
-    """``row_id, vec_id, vector, same_key, keys``: vector null if it cannot link."""
+    """``row_id, vec_id, tag, vector, same_key, keys``: tag is label and width; vector null if it cannot link."""
     def run(part: pd.DataFrame) -> pd.DataFrame:
         got = [_usable(v) if lab is not None and lab == lab else None for v, lab in zip(part["embedding"], part["label"], strict=True)]
         keys: list = [[] for _ in got]
         for width in {len(a) for a in got if a is not None}:
             at = [i for i, a in enumerate(got) if a is not None and len(a) == width]
             x = np.stack([got[i] for i in at])
-            x = x / np.abs(x).max(1, keepdims=True)
             x = x / np.sqrt((x * x).sum(1, keepdims=True))
             for i, numbers in zip(at, probe_keys(x, tables, hashes, probes), strict=True):
                 tag = f"{part['label'].iloc[i]}/{width}/".encode()
                 keys[i] = [int.from_bytes(hashlib.blake2b(tag + m.tobytes(), digest_size=8).digest(), "little", signed=True)
                            for m in np.unique(numbers)]
         return pd.DataFrame({
-            "row_id": part["row_id"], "vec_id": part["vec_id"], "vector": [None if a is None else a.tobytes() for a in got],
+            "row_id": part["row_id"], "vec_id": part["vec_id"], "tag": [None if a is None else f"{lab}/{len(a)}" for a, lab in zip(got, part["label"], strict=True)],
+            "vector": [None if a is None else a.tobytes() for a in got],
             "same_key": [b"" if a is None else hashlib.blake2b(f"{lab}/".encode() + a.tobytes(), digest_size=16).digest()
                          for a, lab in zip(got, part["label"], strict=True)], "keys": keys})
     return vectors.select(F.col(row_id).alias("row_id"), F.col("vec_id").cast("string").alias("vec_id"),
                           F.col("label").cast("string").alias("label"), "embedding").mapInPandas(
-        C.per_batch(run, 2048), "row_id long, vec_id string, vector binary, same_key binary, keys array<long>").withColumn(
+        C.per_batch(run, 2048), "row_id long, vec_id string, tag string, vector binary, same_key binary, keys array<long>").withColumn(
         "vec_id", F.col("vec_id").cast("long"))
 
 
@@ -149,33 +152,41 @@ def _verify(threshold: float):
         weight = rows["copies"].to_numpy(np.int64)
         vec = [np.frombuffer(v) for v in rows["vector"]]
         keys = [np.asarray(k, np.int64) for k in rows["keys"]]
-        key = rows["key"].to_numpy()
+        key, tag = rows["key"].to_numpy(), rows["tag"].to_numpy(object)
         count, low = np.zeros(len(rows), np.int64), ids.copy()
-        for s, e in zip(starts[:-1], starts[1:], strict=True):
-            x = np.stack(vec[s:e])
+        # Two labels or widths may share a key by chance: they are told apart here.
+        for of in (s + np.flatnonzero(tag[s:e] == t) for s, e in zip(starts[:-1], starts[1:], strict=True) for t in dict.fromkeys(tag[s:e])):
+            if len(of) < 2:
+                continue
+            x = np.stack([vec[i] for i in of])
             linked = _cosines(x, x) >= threshold
             np.fill_diagonal(linked, False)
-            if across[s]:
-                linked &= side[s:e, None] != side[s:e][None]
+            if across[of[0]]:
+                linked &= side[of, None] != side[of][None]
             if not linked.any():
                 continue
             i, j = np.nonzero(linked)
-            low[s:e] = ids[s:e][C.local_components(e - s, i, j)]
-            first = linked & ~_share_smaller(keys[s:e], key[s])
-            count[s:e] = first @ weight[s:e]
+            low[of] = ids[of][C.local_components(len(of), i, j)]
+            first = linked & ~_share_smaller([keys[i] for i in of], key[of[0]])
+            count[of] = first @ weight[of]
         return pd.DataFrame({"row_id": ids, "links": count, "low": low})
     return run
 
 
-def dedup(vectors: DataFrame, threshold: float = THRESHOLD, block_rows: int = BLOCK_ROWS) -> DataFrame:
-    """``vec_id, n_links, component_id, kept`` of every vector."""
+def dedup(vectors: DataFrame, threshold: float = THRESHOLD, block_rows: int = BLOCK_ROWS,
+          parameters: tuple[int, int, int] | None = None) -> DataFrame:
+    """``vec_id, n_links, component_id, kept`` of every vector.  ``parameters`` are (tables, hashes a key, probes a table);
+    left out, they follow from the number of vectors and their median width (``parameters_for``)."""
     rows, row_id = C.with_row_id(vectors)
-    tables, hashes, probes = parameters_for(rows.count())
+    if parameters is None:
+        size = rows.agg(F.count(F.lit(1)), F.percentile_approx(F.when(F.size("embedding") > 0, F.size("embedding")), 0.5)).first()
+        parameters = parameters_for(size[0], size[1] or 2)
+    tables, hashes, probes = parameters
     known = C.materialise(hashed(rows, row_id, tables, hashes, probes), "hashed")
     able = known.where("vector IS NOT NULL").select("row_id", "vec_id", "same_key")
     groups = C.materialise(C.equal_groups(able, ["same_key"], "row_id", "vec_id"), "vector-groups")
     heads = groups.where("row_id = keep_row").select("row_id", F.col("group_size").alias("copies"))
-    reps = C.materialise(heads.join(known.select("row_id", "vector", "keys"), "row_id"), "vector-heads")
+    reps = C.materialise(heads.join(known.select("row_id", "tag", "vector", "keys"), "row_id"), "vector-heads")
     thin = reps.select("row_id", F.explode("keys").alias("key"))
     counts = C.materialise(thin.groupBy("key").agg(F.count(F.lit(1)).alias("n")).where("n > 1"), "buckets")
     met = thin.join(counts, "key").join(reps, "row_id")
