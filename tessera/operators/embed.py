@@ -127,6 +127,11 @@ class PandasEmbedder:
         return enc(c)
 
 
+def model_name(embedder) -> str:
+    """The name stored beside a backend's vectors: its ``name``, or its class and width."""
+    return getattr(embedder, "name", None) or f"{type(embedder).__name__}-{embedder.dim}"
+
+
 def embed_chunks(chunks: DataFrame, embedder=None, text_col: str = "content") -> DataFrame:
     """Chunks with an ``embedding`` column in the same row (text and vector cannot part)."""
     emb = embedder or HashingEmbedder()

@@ -25,6 +25,8 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from tessera.sources.blocks import Blocks
+
 VECTOR_BLOCK_BYTES = 32 << 20
 
 KNN_SCHEMA = "query_id long, vector_index_id long, score double"
@@ -211,16 +213,35 @@ def _vector_rows(vectors: DataFrame, vec_id: str, emb: str, blocks: int, *extra:
         F.col(emb).cast("array<float>").alias("v"), *extra)
 
 
-def knn(queries: DataFrame, vectors: DataFrame, k: int | str, *, query_id: str = "query_id",
+def _knn_in_place(queries: DataFrame, blocks: Blocks, k: int | str, query_id: str, dim: int | None) -> DataFrame:
+    """``knn`` over stored blocks: the queries cross a shuffle to the blocks, the vectors stay in their buckets.  The window
+    asks for rows by block, vectors first; the scan and the shuffle, united as they are, already are by block."""
+    kk = F.lit(k) if isinstance(k, int) else F.col(k).cast("int")
+    numbers = F.array(*[F.lit(n) for n in blocks.numbers])
+    q = queries.select(F.explode(numbers).alias("vb"), F.lit(1).alias("tag"), F.col(query_id).cast("long").alias("id"),
+                       F.lit(None).cast("array<float>").alias("v"), F.col("embedding").cast("array<double>").alias("q"), kk.alias("k"))
+    rows = blocks.rows.union(q.repartition(len(blocks.numbers), "vb"))
+    order = F.row_number().over(Window.partitionBy("vb").orderBy("tag", "id"))
+    cands = rows.withColumn("at", order).mapInPandas(_score_partition(dim), KNN_SCHEMA)
+    if isinstance(k, int):
+        return _final_rank(cands, k)
+    own = queries.select(F.col(query_id).cast("long").alias("query_id"), kk.alias("_k"))
+    return _final_rank(cands.join(own, "query_id"), F.col("_k")).drop("_k")
+
+
+def knn(queries: DataFrame, vectors: DataFrame | Blocks, k: int | str, *, query_id: str = "query_id",
         vec_id: str = "vector_index_id", emb: str = "embedding", vector_dim: int | None = None,
         vector_blocks: int | None = None, block_bytes: int = VECTOR_BLOCK_BYTES) -> DataFrame:
     """Top ``k`` stored vectors per query: ``query_id, vector_index_id, score, rank``.
 
+    ``vectors`` are rows, dealt into blocks by this plan, or ``Blocks`` that were dealt beforehand.
     ``queries`` has a LONG ``query_id`` and an array ``embedding``; ``k`` is a number, or the name of a
     column of ``queries`` with each query's own.  Query vectors are L2-normalised, stored vectors are
     taken as stored.  Widths are checked while scoring (against ``vector_dim`` where given)."""
     if isinstance(k, int) and k < 1:
         raise ValueError("k must be >= 1")
+    if isinstance(vectors, Blocks):
+        return _knn_in_place(queries, vectors, k, query_id, vector_dim)
     blocks = vector_blocks or _block_count(vectors, block_bytes)
     kk = F.lit(k) if isinstance(k, int) else F.col(k).cast("int")
     q = queries.select(
@@ -235,7 +256,7 @@ def knn(queries: DataFrame, vectors: DataFrame, k: int | str, *, query_id: str =
 
 # ------------------------------------------------------------------------------- search chains
 
-def semantic_search(queries: DataFrame, vectors: DataFrame, chunks: DataFrame, *, limit: int = 10,
+def semantic_search(queries: DataFrame, vectors: DataFrame | Blocks, chunks: DataFrame, *, limit: int = 10,
                     threshold: float = 0.5, document_ids=None, filter_mode: str = "post",
                     live_first: bool = False, vector_dim: int | None = None) -> DataFrame:
     """Reference order of operations per query: best ``2 * limit`` candidates -> keep
@@ -258,7 +279,10 @@ def semantic_search(queries: DataFrame, vectors: DataFrame, chunks: DataFrame, *
     frame = document_ids if isinstance(document_ids, DataFrame) else None
     ids = [str(i) for i in document_ids] if frame is None and document_ids is not None else []
     meta = chunks.select("vector_index_id", "chunk_id", "document_id", "content", "chunk_index")
-    vecs = vectors.select("vector_index_id", "embedding")
+    dealt = isinstance(vectors, Blocks)
+    if dealt and (live_first or filter_mode == "pre"):
+        raise ValueError("blocks hold vectors without documents: filter after scoring")
+    vecs = vectors if dealt else vectors.select("vector_index_id", "embedding")
     per_query = frame is not None and "query_id" in frame.columns
     if filter_mode == "pre" and (ids or frame is not None) and not per_query:
         allowed = meta.where(F.col("document_id").isin(ids)) if ids else meta.join(frame.select("document_id"), "document_id", "left_semi")

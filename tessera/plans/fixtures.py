@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 
 from tessera.functions import text as T
 from tessera.operators.chunking import chunk_text
+from tessera.session import scratch_dir
 
 # Fixed fixture parameters (FIXTURES.md section 2).
 EXT_BY_MOD6 = [".pdf", ".DOCX", ".txt", ".doc", ".html", ""]
@@ -29,6 +30,13 @@ def read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")
 
 
+def materialise(df: DataFrame, name: str) -> DataFrame:
+    """``df`` written to the shared scratch folder and read again."""
+    path = scratch_dir(df.sparkSession, name)
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
 def doc_raw(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every document as an upload: id, file name, size, upload time, text."""
     d = read(spark, sf_dir, "documents")

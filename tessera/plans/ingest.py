@@ -58,22 +58,3 @@ def ingest(uploads: DataFrame, *, embedder=None, size: int = chunking.CHUNK_SIZE
         F.coalesce("reason", "error").alias("reason"))
     return IngestResult(documents, chunks, vectors, status, ext)
 
-
-def reindex(spark, vectors_root: str, documents: DataFrame, chunks: DataFrame, document_ids=None,
-            embedder=None) -> str:
-    """Recompute embeddings for the chunks of stored documents (all, or those in
-    ``document_ids``: a DataFrame or list of ids) and write them as the next version of the
-    vector table, replacing rows by ``chunk_id`` (the reference computes and discards them).
-    Returns the new version's path."""
-    from tessera.sources import tables as io
-    docs = documents.select("document_id")
-    if document_ids is not None:
-        docs = tables.restrict_to_ids(docs, document_ids)
-    selected = chunks.join(docs, "document_id", "left_semi")
-    fresh = embed.embed_chunks(selected.drop("embedding") if "embedding" in selected.columns else selected,
-                               embedder)
-    current = io.read_versioned(spark, vectors_root, io.VECTORS_SCHEMA)
-    fresh = fresh.select(*[F.col(f.name) if f.name == "embedding" else F.col(f.name).cast(f.dataType)
-                           for f in io.VECTORS_SCHEMA.fields])
-    merged = tables.upsert(current, fresh.withColumn("arrival", F.lit(1)), "chunk_id")
-    return io.write_version(merged, vectors_root)

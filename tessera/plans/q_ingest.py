@@ -18,8 +18,10 @@ from tessera.plans.fixtures import sql_with
 from tessera.plans.ingest import ingest
 from tessera.plans.q_documents import DOC_COLS_SQL, doc_public
 from tessera.plans.q_nlp import hash_search_sql, stored_vectors
+from tessera.plans.q_tables import hash_sql
 from tessera.session import ensure_checkpoint_dir, scratch_dir
 from tessera.sources import files
+from tessera.sources.blocks import write_blocks
 from tessera.streaming import ingest as S
 
 WS = T.WS_CLASS
@@ -203,6 +205,93 @@ def compact_store(spark, sf_dir):
     return store.read_vectors(spark, root).select("chunk_id", "document_id", "chunk_index", F.md5("content").alias("content_md5"))
 
 
+@register("stream_delete_stream", sql_with("doc_raw", "doc") + "SELECT " + DOC_COLS_SQL + " FROM doc WHERE NOT (doc_id % 7 = 0 AND doc_id % 3 <> 2)")
+def stream_delete_stream(spark, sf_dir):
+    """Two thirds of the uploads are streamed in, documents deleted, the last third streamed in by the same stream, the store
+    compacted and that third sent once more by a stream of its own checkpoint: deleted documents stay deleted."""
+    raw = fx.doc_raw(spark, sf_dir)
+    late = as_uploads(raw.where(F.pmod("doc_id", F.lit(3)) == 2))
+    root, ckpt = scratch_dir(spark, "store"), scratch_dir(spark, "ingest-ckpt")
+    landing = files.land_uploads(as_uploads(raw.where(F.pmod("doc_id", F.lit(3)) != 2)), scratch_dir(spark, "landing"), n_files=2)
+    stream = lambda where, checkpoint: S.stream_ingest(spark, where, root, checkpoint, pdf_extractor=fx.pdf_extractor)
+    stream(landing, ckpt)
+    store.delete(spark, root, fx.deleted_ids(spark, sf_dir))
+    late.repartition(2).write.mode("append").parquet(landing)
+    stream(landing, ckpt)
+    store.compact(spark, root)
+    stream(files.land_uploads(late, scratch_dir(spark, "landing"), n_files=1), scratch_dir(spark, "ingest-ckpt"))
+    return doc_public(store.read_documents(spark, root))
+
+
+@register("stream_resent", sql_with("doc_raw", "doc") + "SELECT " + DOC_COLS_SQL + ", 1 AS n_versions FROM doc")
+def stream_resent(spark, sf_dir):
+    """A third of the uploads comes twice, in another file and micro-batch; the store took each once."""
+    up = uploads(spark, sf_dir)
+    landing = files.land_uploads(up, scratch_dir(spark, "landing"), n_files=3)
+    up.where(F.pmod(F.col("document_id").cast("long"), F.lit(3)) == 0).repartition(2).write.mode("append").parquet(landing)
+    root = scratch_dir(spark, "store")
+    S.stream_ingest(spark, landing, root, scratch_dir(spark, "ingest-ckpt"), max_files_per_trigger=3, resent_within="2 hours",
+                    pdf_extractor=fx.pdf_extractor)
+    versions = store.versions(spark, root)
+    return doc_public(store.read_documents(spark, root)).join(versions, "document_id")
+
+
+class _Folded(E.HashingEmbedder):
+    """Another model of the same width: every e is an a."""
+    name = "hashing-folded"
+
+    def column(self, text):
+        return super().column(F.translate(text, "e", "a"))
+
+
+_FOLDED_SQL = ("(SELECT chunk_id, document_id, CASE WHEN document_id IN (SELECT CAST(doc_id AS VARCHAR) FROM labels) "
+               "THEN replace(content, 'e', 'a') ELSE content END AS content FROM stored_chunks)")
+
+
+@register("reindex_store", sql_with("stored_chunks").rstrip() + hash_search_sql(
+    "(SELECT CAST(item_id AS VARCHAR) AS chunk_id, text AS content FROM benchmark)", fx.QA_LIMIT, fx.QA_THRESHOLD).replace(
+    hash_sql("stored_chunks", prefix="c_"), hash_sql(_FOLDED_SQL, prefix="c_")) + """
+SELECT query_id, count(*) AS n_hits, round(max(score), 6) AS best_score FROM res GROUP BY query_id""")
+def reindex_store(spark, sf_dir):
+    """The labelled documents of a store are embedded anew by another model; the search sees old and new vectors."""
+    root = scratch_dir(spark, "store")
+    store.append_batch(uploads(spark, sf_dir), root, pdf_extractor=fx.pdf_extractor)
+    store.reindex(spark, root, fx.labelled_ids(spark, sf_dir), _Folded())
+    emb = E.HashingEmbedder()
+    q = fx.questions(spark, sf_dir).select(F.col("question_id").alias("query_id"), emb.column("question").alias("embedding"))
+    return _best_hits(q, store.read_vectors(spark, root), emb)
+
+
+_DENSE_SQL = """,
+n AS (SELECT document_id, count(*) AS n FROM stored_chunks GROUP BY document_id),
+ids AS (SELECT document_id, CAST(sum(n) OVER (ORDER BY md5(document_id), document_id) - n AS BIGINT) AS first_id FROM n),
+first AS (SELECT c.*, i.first_id AS vid, CAST(c.document_id AS BIGINT) AS d FROM stored_chunks c JOIN ids i ON i.document_id = c.document_id WHERE c.chunk_index = 0)
+"""
+
+
+@register("store_key_report", sql_with("stored_chunks").rstrip() + _DENSE_SQL + """
+SELECT 'document_id' AS problem, document_id AS key, 2 AS n_rows FROM doc WHERE doc_id % 11 = 0
+UNION ALL SELECT 'chunk_id', chunk_id, 2 FROM first WHERE d % 13 = 0
+UNION ALL SELECT 'vector_index_id', CAST(vid AS VARCHAR), 2 FROM first WHERE d % 13 = 0
+UNION ALL SELECT 'chunk without document', 'lost-' || chunk_id, 1 FROM first WHERE d % 17 = 0
+UNION ALL SELECT 'embedding without chunk', CAST(1000000000 + d AS VARCHAR), 1 FROM first WHERE d % 19 = 0""")
+def store_key_report(spark, sf_dir):
+    """A store into whose files rows were added behind its back; the report names each of them."""
+    root = scratch_dir(spark, "store")
+    n = store.append_batch(uploads(spark, sf_dir), root, pdf_extractor=fx.pdf_extractor)
+    each = lambda k: F.pmod(F.col("document_id").cast("long"), F.lit(k)) == 0
+    table = lambda name: spark.read.parquet(f"{root}/{name}/batch={n}")
+    chunks = table("chunks").where("chunk_index = 0")
+    lost = chunks.where(each(17)).select("*", F.concat(F.lit("lost-"), "document_id").alias("_d"))
+    lost = lost.withColumn("document_id", F.col("_d")).drop("_d").withColumn("chunk_id", F.concat(F.lit("lost-"), "chunk_id"))
+    lost = lost.withColumn("vector_index_id", F.col("vector_index_id") + 2_000_000_000)
+    bare = chunks.where(each(19)).select("vector_index_id", (F.col("document_id").cast("long") + 1_000_000_000).alias("_v"))
+    bare = table("embeddings").join(bare, "vector_index_id").withColumn("vector_index_id", F.col("_v")).drop("_v")
+    for name, rows in (("documents", table("documents").where(each(11))), ("chunks", chunks.where(each(13)).unionByName(lost)), ("embeddings", bare)):
+        fx.materialise(rows, name).write.mode("append").partitionBy("bucket").parquet(f"{root}/{name}/batch={n}")
+    return store.key_report(spark, root)
+
+
 @register("stream_then_search", sql_with("stored_chunks").rstrip() + hash_search_sql(
     "(SELECT CAST(item_id AS VARCHAR) AS chunk_id, text AS content FROM benchmark)", fx.QA_LIMIT, fx.QA_THRESHOLD) + """
 SELECT query_id, count(*) AS n_hits, round(max(score), 6) AS best_score FROM res GROUP BY query_id""")
@@ -211,6 +300,10 @@ def stream_then_search(spark, sf_dir):
     emb = E.HashingEmbedder()
     v = store.read_vectors(spark, _streamed(spark, sf_dir, 2))
     q = fx.questions(spark, sf_dir).select(F.col("question_id").alias("query_id"), emb.column("question").alias("embedding"))
+    return _best_hits(q, v, emb)
+
+
+def _best_hits(q, v, emb):
     hits = K.semantic_search(q, v, v, limit=fx.QA_LIMIT, threshold=fx.QA_THRESHOLD, vector_dim=emb.dim)
     return hits.groupBy("query_id").agg(F.count(F.lit(1)).alias("n_hits"), F.round(F.max("similarity_score"), 6).alias("best_score"))
 
@@ -227,12 +320,12 @@ SELECT query_id, rank, vid AS vector_index_id, hit_chunk_id AS chunk_id, round(s
 FROM res""")
 def stream_search(spark, sf_dir):
     """User turns of ``conversations`` arrive as a stream of search requests, answered per
-    micro-batch against the stored chunk vectors."""
+    micro-batch against the stored chunk vectors, which are dealt into blocks once."""
     reqs = _land(spark, conversation_queries(spark, sf_dir), "requests")
     out = scratch_dir(spark, "search-out")
     ensure_checkpoint_dir(spark)
     vectors = stored_vectors(spark, sf_dir).checkpoint()
-    S.stream_search(spark, reqs, vectors, out, scratch_dir(spark, "search-ckpt"),
+    S.stream_search(spark, reqs, write_blocks(vectors, scratch_dir(spark, "blocks")), vectors, out, scratch_dir(spark, "search-ckpt"),
                     limit=fx.QA_LIMIT, threshold=fx.QA_THRESHOLD, max_files_per_trigger=2)
     hits = spark.read.parquet(out)
     return hits.select("query_id", F.col("rank").cast("long"), "vector_index_id", "chunk_id",

@@ -1,19 +1,27 @@
-"""The document store: append per batch, merge on read, compaction.
-
-Layout: ``<root>/generation=<g>/<table>/batch=<n>`` with tables ``uploads`` (raw bytes), ``documents``,
-``vectors`` (chunk, vector and its id in one row) and ``status``.  A batch only adds files.  A document's
-latest batch in ``documents`` replaces all it had before: its vectors are those of that batch, so a
-shorter version leaves no old chunk behind.  A delete appends tombstones (``deleted``).  Compaction
-writes the live rows as the one batch of the next generation; readers use the newest complete one.
-One writer at a time; a batch number written again (a replayed stream epoch) overwrites itself.
-
-Vector ids are dense: a chunk key that is stored keeps its id, new keys are numbered on from the
-largest id ever given, in the order of (md5 of the document id, document id, chunk index).
+"""The document store: append per batch, merge on read, deletes, reindex, compaction of touched buckets.
+
+Layout: ``<root>/<table>/batch=<n>/bucket=<b>/`` with tables ``uploads`` (raw bytes), ``documents``, ``chunks``,
+``embeddings`` (vector by vector id and model) and ``status``; the bucket is a hash of the document id.  A batch only adds
+files, under a number of its own, and counts once its commit, written last, is in ``<root>/commits``: what a failed
+job left is never read, and nothing is ever overwritten.  A commit may carry a key (for a stream: its checkpoint and
+epoch); a batch whose key is committed already is not written again.
+
+A document's latest batch in ``documents`` replaces all it had before: its chunks are those of that batch, so a
+shorter version leaves no old chunk behind.  A delete appends tombstones (``deleted``).  A reindex appends embeddings; the
+newest of each vector id counts.  Compaction writes the live rows of the buckets with dead ones as a new batch, from
+which on those buckets are read; other buckets' files stay as they are.  One writer at a time: two that take the same
+number fail at the commit.
+
+Vector ids are dense: a chunk key that is stored keeps its id, new keys are numbered on from the largest id ever given
+(the commits carry it), in the order of (md5 of the document id, document id, chunk index).
 """
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, Window
+import hashlib
+from dataclasses import dataclass
+
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as Ty
 
@@ -27,52 +35,127 @@ UPLOADS = Ty.StructType([
     Ty.StructField("file_size", Ty.LongType()), Ty.StructField("upload_timestamp", Ty.TimestampNTZType()),
     Ty.StructField("content", Ty.BinaryType())])
 STATUS = Ty.StructType([Ty.StructField(c, Ty.StringType()) for c in ("document_id", "status", "reason")])
+EMBEDDINGS = Ty.StructType([
+    Ty.StructField("document_id", Ty.StringType()), Ty.StructField("vector_index_id", Ty.LongType()),
+    Ty.StructField("of_batch", Ty.LongType()), Ty.StructField("model", Ty.StringType()),
+    Ty.StructField("embedding", Ty.ArrayType(Ty.FloatType(), False))])
 SCHEMAS = {
-    "uploads": UPLOADS, "status": STATUS, "vectors": io.VECTORS_SCHEMA,
+    "uploads": UPLOADS, "status": STATUS, "chunks": io.CHUNKS_SCHEMA, "embeddings": EMBEDDINGS,
     "documents": Ty.StructType([*io.DOCUMENTS_SCHEMA.fields, Ty.StructField("deleted", Ty.BooleanType())])}
+BUCKETS = 16
+
+
+# ---------------------------------------------------------------------------------- commits
+
+@dataclass(frozen=True)
+class Commit:
+    batch: int
+    kind: str        # append, delete, reindex or compact
+    key: str         # md5 of the caller's key, or ''
+    next_id: int     # the first vector id not given yet
+
+    @property
+    def name(self) -> str:
+        return f"{self.batch:012d}-{self.kind}-{self.key}-{self.next_id}"
+
+
+def _path(spark: SparkSession, *parts: str):
+    where = spark._jvm.org.apache.hadoop.fs.Path("/".join(p.rstrip("/") for p in parts))  # noqa: SLF001
+    return where, where.getFileSystem(spark._jsc.hadoopConfiguration())  # noqa: SLF001
+
+
+def _names(spark: SparkSession, *parts: str) -> list[str]:
+    where, fs = _path(spark, *parts)
+    return sorted(s.getPath().getName() for s in fs.listStatus(where)) if fs.exists(where) else []
+
+
+def commits(spark: SparkSession, root: str) -> list[Commit]:
+    """The committed batches in order; only names are listed."""
+    parts = [n.split("-") for n in _names(spark, root, "commits")]
+    return [Commit(int(n), kind, key, int(nxt)) for n, kind, key, nxt in parts]
+
+
+def _commit(spark: SparkSession, root: str, number: int, kind: str, key: str | None, next_id: int) -> int:
+    done = commits(spark, root)
+    mine = Commit(number, kind, _digest(key), next_id)
+    where, fs = _path(spark, root, "commits", mine.name)
+    if any(c.batch >= number for c in done) or not fs.createNewFile(where):
+        raise RuntimeError(f"batch {number} of {root} was committed by another writer")
+    return number
+
+
+def _digest(key: str | None) -> str:
+    return hashlib.md5(key.encode()).hexdigest() if key else ""
+
+
+def _committed(spark: SparkSession, root: str, key: str | None) -> int | None:
+    found = [c.batch for c in commits(spark, root) if key and c.key == _digest(key)]
+    return found[0] if found else None
+
+
+def _batches(spark: SparkSession, root: str, table: str) -> list[int]:
+    return [int(n[6:]) for n in _names(spark, root, table) if n.startswith("batch=")]
+
 
+def _next_batch(spark: SparkSession, root: str) -> int:
+    """A number that no batch has, finished or not."""
+    used = [c.batch for c in commits(spark, root)] + [n for t in SCHEMAS for n in _batches(spark, root, t)]
+    return 1 + max([-1, *used])
 
-def _children(spark: SparkSession, path: str, prefix: str) -> list[int]:
-    """Numbers of the complete ``<prefix><n>`` folders in ``path``."""
-    jvm = spark._jvm  # noqa: SLF001
-    where = jvm.org.apache.hadoop.fs.Path(path)
-    fs = where.getFileSystem(spark._jsc.hadoopConfiguration())  # noqa: SLF001
-    if not fs.exists(where):
-        return []
-    names = [(s.getPath().getName(), s.getPath()) for s in fs.listStatus(where)]
-    return sorted(int(n[len(prefix):]) for n, p in names if n.startswith(prefix) and n[len(prefix):].isdigit()
-                  and fs.exists(jvm.org.apache.hadoop.fs.Path(p, "_SUCCESS")))
 
+def _next_id(spark: SparkSession, root: str) -> int:
+    return max([0, *(c.next_id for c in commits(spark, root))])
 
-def _generation(spark: SparkSession, root: str) -> int:
-    """The newest generation whose last-written table is complete (0 if none was compacted)."""
-    done = [g for g in range(1, 1 + max([0, *_generations(spark, root)])) if _children(spark, f"{root}/generation={g}/documents", "batch=")]
-    return max([0, *done])
 
+def bucket_count(spark: SparkSession, root: str) -> int:
+    """How many buckets the store was made with."""
+    names = _names(spark, root, "layout")
+    return int(names[0].split("=")[1]) if names else BUCKETS
 
-def _generations(spark: SparkSession, root: str) -> list[int]:
-    jvm = spark._jvm  # noqa: SLF001
-    where = jvm.org.apache.hadoop.fs.Path(root)
-    fs = where.getFileSystem(spark._jsc.hadoopConfiguration())  # noqa: SLF001
-    if not fs.exists(where):
-        return []
-    names = [s.getPath().getName() for s in fs.listStatus(where)]
-    return [int(n[11:]) for n in names if n.startswith("generation=") and n[11:].isdigit()]
+
+def _make(spark: SparkSession, root: str, buckets: int | None) -> None:
+    names = _names(spark, root, "layout")
+    if not names:
+        where, fs = _path(spark, root, "layout", f"buckets={buckets or BUCKETS}")
+        fs.createNewFile(where)
+    elif buckets and names != [f"buckets={buckets}"]:
+        raise ValueError(f"the store at {root} has {names[0]}")
+
+
+def _compacted(spark: SparkSession, root: str) -> dict[int, list[int]]:
+    """Batch -> buckets that begin with it, for the last compaction of each bucket."""
+    since: dict[int, int] = {}
+    for c in commits(spark, root):
+        if c.kind == "compact":
+            since |= {int(b): c.batch for b in _names(spark, root, "compactions", str(c.batch))}
+    return {n: sorted(b for b, m in since.items() if m == n) for n in sorted(set(since.values()))}
+
+
+# ---------------------------------------------------------------------------------- rows
+
+def bucket_of(document_id: str | Column, buckets: int) -> Column:
+    return F.pmod(F.xxhash64(document_id), F.lit(buckets)).cast("int")
 
 
 def _log(spark: SparkSession, root: str, table: str) -> DataFrame:
-    """Every row ever written to the current generation of a table, with its ``batch``."""
-    base = f"{root.rstrip('/')}/generation={_generation(spark, root)}/{table}"
-    schema = Ty.StructType([*SCHEMAS[table].fields, Ty.StructField("batch", Ty.LongType())])
-    batches = _children(spark, base, "batch=")
+    """Every committed row of a table that no compaction replaced, with its ``batch`` and ``bucket``."""
+    base = f"{root.rstrip('/')}/{table}"
+    schema = Ty.StructType([*SCHEMAS[table].fields, Ty.StructField("batch", Ty.LongType()), Ty.StructField("bucket", Ty.IntegerType())])
+    done = {c.batch for c in commits(spark, root)}
+    batches = [n for n in _batches(spark, root, table) if n in done]
     if not batches:
         return spark.createDataFrame([], schema)
-    return spark.read.schema(schema).option("basePath", base).parquet(*[f"{base}/batch={n}" for n in batches])
+    rows = spark.read.schema(schema).option("basePath", base).parquet(*[f"{base}/batch={n}" for n in batches])
+    for batch, buckets in _compacted(spark, root).items():   # on partition columns: prunes folders
+        rows = rows.where(~(F.col("bucket").isin(buckets) & (F.col("batch") < batch)))
+    return rows
 
 
-def _append(df: DataFrame, root: str, table: str, batch: int, generation: int) -> None:
+def _write(df: DataFrame, root: str, table: str, batch: int) -> None:
+    spark = df.sparkSession
     out = df.select(*[F.col(f.name) if f.name == "embedding" else F.col(f.name).cast(f.dataType).alias(f.name) for f in SCHEMAS[table].fields])
-    out.write.mode("overwrite").parquet(f"{root.rstrip('/')}/generation={generation}/{table}/batch={batch}")
+    out = out.withColumn("bucket", bucket_of("document_id", bucket_count(spark, root)))
+    out.repartition("bucket").write.mode("errorifexists").partitionBy("bucket").parquet(f"{root.rstrip('/')}/{table}/batch={batch}")
 
 
 def _latest(spark: SparkSession, root: str) -> DataFrame:
@@ -83,32 +166,56 @@ def _latest(spark: SparkSession, root: str) -> DataFrame:
 
 
 def _live(spark: SparkSession, root: str, table: str) -> DataFrame:
-    rows = _log(spark, root, table)
-    return rows.join(_latest(spark, root), ["document_id", "batch"], "left_semi").select(*SCHEMAS[table].names)
+    """The log's rows of the documents' latest batches."""
+    return _log(spark, root, table).join(_latest(spark, root), ["document_id", "batch"], "left_semi")
+
+
+def _live_embeddings(spark: SparkSession, root: str) -> DataFrame:
+    """The newest embedding of every live vector id."""
+    rows = _log(spark, root, "embeddings").join(
+        _latest(spark, root).withColumnRenamed("batch", "of_batch"), ["document_id", "of_batch"], "left_semi")
+    if any(c.kind == "reindex" for c in commits(spark, root)):
+        newest = rows.groupBy("vector_index_id").agg(F.max("batch").alias("batch"))   # ids only; vectors stay where they are
+        rows = rows.join(newest, ["vector_index_id", "batch"], "left_semi")
+    return rows
 
 
 def read_documents(spark: SparkSession, root: str) -> DataFrame:
-    return _live(spark, root, "documents").drop("deleted")
+    return _live(spark, root, "documents").select(*io.DOCUMENTS_SCHEMA.names)
+
+
+def read_chunks(spark: SparkSession, root: str) -> DataFrame:
+    """Live chunk rows with their vector ids: what hits are joined to."""
+    return _live(spark, root, "chunks").select(*io.CHUNKS_SCHEMA.names)
+
+
+def read_embeddings(spark: SparkSession, root: str) -> DataFrame:
+    """``vector_index_id, document_id, model, embedding`` of the live chunks: what a search scores; reads no text."""
+    return _live_embeddings(spark, root).select("vector_index_id", "document_id", "model", "embedding")
 
 
 def read_vectors(spark: SparkSession, root: str) -> DataFrame:
-    """Live chunk rows with their vectors and ids: what ``semantic_search`` reads."""
-    return _live(spark, root, "vectors")
+    """Live chunk rows with their vectors and ids."""
+    vectors = read_embeddings(spark, root).select("vector_index_id", "embedding")
+    return read_chunks(spark, root).join(vectors, "vector_index_id").select(*io.VECTORS_SCHEMA.names)
 
 
 def read_uploads(spark: SparkSession, root: str) -> DataFrame:
-    return _live(spark, root, "uploads")
+    return _live(spark, root, "uploads").select(*UPLOADS.names)
+
+
+def versions(spark: SparkSession, root: str) -> DataFrame:
+    """``document_id, n_versions``: how many batches since the last compaction ingested each document."""
+    log = _log(spark, root, "documents").where("NOT deleted")
+    return log.groupBy("document_id").agg(F.count_distinct("batch").cast("int").alias("n_versions"))
 
 
 def read_status(spark: SparkSession, root: str) -> DataFrame:
     """The latest status of every upload, rejected and failed ones too."""
-    log = _log(spark, root, "status")
-    return tables.latest_per_key(log, ["document_id"], "batch").drop("batch")
-
+    return tables.latest_per_key(_log(spark, root, "status"), ["document_id"], "batch").select(*STATUS.names)
 
-def _next_batch(spark: SparkSession, root: str, generation: int) -> int:
-    return 1 + max([-1, *_children(spark, f"{root}/generation={generation}/status", "batch=")])
 
+# ---------------------------------------------------------------------------------- appends
 
 def duplicate_ids(uploads: DataFrame) -> DataFrame:
     """Ids that more than one upload of a batch bears (a thin pass; contents are not read)."""
@@ -131,7 +238,8 @@ def number_chunks(chunks: DataFrame, stored: DataFrame, first_id: int) -> DataFr
     known = chunks.join(old, ["document_id", "chunk_index"], "left")
     fresh = known.where("_old IS NULL").groupBy("document_id").agg(F.count(F.lit(1)).alias("n"))
     ensure_checkpoint_dir(chunks.sparkSession)
-    fresh = fresh.checkpoint()   # keys and counts only; the numbering must not change if a task runs again
+    # Keys and counts only; the numbering must not change if a task runs again.  New names: a stream's batch lends its own.
+    fresh = fresh.checkpoint().toDF("document_id", "n")
     fresh = fresh.withColumn("m", F.md5("document_id")).withColumn("range", F.substring("m", 1, 3))
     ranges = fresh.groupBy("range").agg(F.sum("n").alias("rn"))
     before = Window.orderBy("range").rowsBetween(Window.unboundedPreceding, -1)
@@ -145,39 +253,50 @@ def number_chunks(chunks: DataFrame, stored: DataFrame, first_id: int) -> DataFr
     return numbered.withColumn("vector_index_id", F.coalesce("_old", new_id)).drop("_old", "_off", "_k")
 
 
-def append_batch(uploads: DataFrame, root: str, *, batch: int | None = None, keep_uploads: bool = True,
+def _embedded(chunks: DataFrame, embedder) -> DataFrame:
+    """Rows of the table ``embeddings`` for chunk rows with their ``batch``."""
+    backend = embedder or embed.HashingEmbedder()
+    rows = embed.embed_chunks(chunks, backend).withColumn("of_batch", F.col("batch")).withColumn("model", F.lit(embed.model_name(backend)))
+    return sound_vectors(rows, backend.dim)
+
+
+def append_batch(uploads: DataFrame, root: str, *, key: str | None = None, buckets: int | None = None, keep_uploads: bool = True,
                  embedder=None, pdf_extractor=None, on_duplicates: str = "fail") -> int:
     """Ingest a batch of uploads and append it to the store; returns the batch number.
 
+    With a ``key`` the batch is written at most once: a second call with it returns the first one's number.
+    ``buckets``: for a new store, how many buckets of documents it has (compaction rewrites whole buckets).
+
     Ids must be unique in a batch: ``on_duplicates="fail"`` raises before anything is written and names
     some, ``"latest"`` keeps the latest upload of each id.  Ingesting the same uploads again leaves the
     documents, chunks and vector ids as they are."""
     spark = uploads.sparkSession
+    done = _committed(spark, root, key)
+    if done is not None:
+        return done
     twice = [r.document_id for r in duplicate_ids(uploads).limit(5).collect()]
     if twice and on_duplicates == "fail":
         raise ValueError(f"several uploads share a document_id: {twice}")
     if twice:
         uploads = _one_per_id(uploads)
-    generation = _generation(spark, root)
-    number = _next_batch(spark, root, generation) if batch is None else batch
+    _make(spark, root, buckets)
+    number, first = _next_batch(spark, root), _next_id(spark, root)
     res = ingest(uploads, embedder=embedder, pdf_extractor=pdf_extractor, persist=True)
     try:
-        # A replayed batch must not see itself: ids and keys come from the batches before it.
-        log = _log(spark, root, "vectors").where(F.col("batch") < number)
-        first = log.agg(F.coalesce(F.max("vector_index_id") + 1, F.lit(0))).first()[0]
-        docs_log = _log(spark, root, "documents").where(F.col("batch") < number)
-        last = docs_log.groupBy("document_id").agg(F.max("batch").alias("batch"))
-        stored = log.select("document_id", "chunk_index", "vector_index_id", "batch").join(last, ["document_id", "batch"], "left_semi")
-        chunks = number_chunks(res.chunks, stored, first)
+        last = _log(spark, root, "documents").groupBy("document_id").agg(F.max("batch").alias("batch"))
+        stored = _log(spark, root, "chunks").join(last, ["document_id", "batch"], "left_semi")
+        _write(number_chunks(res.chunks, stored, first), root, "chunks", number)
         if keep_uploads:
-            _append(uploads.join(res.documents.select("document_id"), "document_id", "left_semi"), root, "uploads", number, generation)
-        backend = embedder or embed.HashingEmbedder()
-        _append(sound_vectors(embed.embed_chunks(chunks, backend), backend.dim), root, "vectors", number, generation)
-        _append(res.documents.withColumn("deleted", F.lit(False)), root, "documents", number, generation)
-        _append(res.status, root, "status", number, generation)
+            _write(uploads.join(res.documents.select("document_id"), "document_id", "left_semi"), root, "uploads", number)
+        _write(res.documents.withColumn("deleted", F.lit(False)), root, "documents", number)
+        _write(res.status, root, "status", number)
     finally:
         res.release()
-    return number
+    base = f"{root.rstrip('/')}/chunks"
+    chunks = spark.read.schema(io.CHUNKS_SCHEMA).parquet(f"{base}/batch={number}").withColumn("batch", F.lit(number).cast("long"))
+    _write(_embedded(chunks, embedder), root, "embeddings", number)
+    given = chunks.agg(F.max("vector_index_id")).first()[0]
+    return _commit(spark, root, number, "append", key, first if given is None else max(first, given + 1))
 
 
 def sound_vectors(vectors: DataFrame, dim: int) -> DataFrame:
@@ -189,23 +308,111 @@ def sound_vectors(vectors: DataFrame, dim: int) -> DataFrame:
     return vectors.withColumn("embedding", F.when(good, F.col("embedding")).otherwise(F.raise_error(message).cast("array<float>")))
 
 
-def delete(spark: SparkSession, root: str, ids: DataFrame, batch: int | None = None) -> int:
+# ---------------------------------------------------------------------------------- changes
+
+def delete(spark: SparkSession, root: str, ids: DataFrame, key: str | None = None) -> int:
     """Delete documents with their chunks and raw uploads: appends a tombstone for each stored id of
     ``ids(document_id)``.  ``tables.delete_status`` over the tables before tells what was found."""
-    generation = _generation(spark, root)
-    number = _next_batch(spark, root, generation) if batch is None else batch
+    done = _committed(spark, root, key)
+    if done is not None:
+        return done
+    number = _next_batch(spark, root)
     gone = read_documents(spark, root).join(ids.select("document_id"), "document_id", "left_semi")
-    _append(gone.withColumn("deleted", F.lit(True)), root, "documents", number, generation)
+    _write(gone.withColumn("deleted", F.lit(True)), root, "documents", number)
     told = gone.select("document_id", F.lit("deleted").alias("status"), F.lit(None).cast("string").alias("reason"))
-    _append(told, root, "status", number, generation)
-    return number
-
-
-def compact(spark: SparkSession, root: str) -> int:
-    """Write the live rows as the next generation (tombstoned and replaced rows end here); readers
-    switch when its ``documents``, written last, is complete.  Vector ids stay as they are."""
-    generation = _generation(spark, root)
-    live = {t: _live(spark, root, t) for t in ("uploads", "vectors", "documents")} | {"status": read_status(spark, root)}
-    for table in ("uploads", "vectors", "status", "documents"):
-        _append(live[table], root, table, 0, generation + 1)
-    return generation + 1
+    _write(told, root, "status", number)
+    return _commit(spark, root, number, "delete", key, _next_id(spark, root))
+
+
+def reindex(spark: SparkSession, root: str, document_ids=None, embedder=None, key: str | None = None) -> int:
+    """Embed the live chunks of all documents, or of ``document_ids`` (a DataFrame or a list), anew.  Only the table
+    ``embeddings`` grows; the new vectors count as soon as the batch is committed, all at once."""
+    done = _committed(spark, root, key)
+    if done is not None:
+        return done
+    chunks = _live(spark, root, "chunks")
+    if document_ids is not None:
+        chunks = tables.restrict_to_ids(chunks, document_ids)
+    number = _next_batch(spark, root)
+    _write(_embedded(chunks, embedder), root, "embeddings", number)
+    return _commit(spark, root, number, "reindex", key, _next_id(spark, root))
+
+
+def dead_buckets(spark: SparkSession, root: str) -> list[int]:
+    """Buckets that hold deleted, replaced or outdated rows; at most as many as the store has."""
+    documents = _log(spark, root, "documents").join(_latest(spark, root), ["document_id", "batch"], "left_anti").select("bucket")
+    live = _live_embeddings(spark, root).select("vector_index_id", "batch")
+    vectors = _log(spark, root, "embeddings").join(live, ["vector_index_id", "batch"], "left_anti").select("bucket")
+    return sorted(r.bucket for r in documents.unionByName(vectors).distinct().collect())
+
+
+def compact(spark: SparkSession, root: str) -> int | None:
+    """Write the live rows of the buckets with dead ones as a new batch; readers begin those buckets with it once it is
+    committed, and the other buckets' files stay.  Vector ids stay as they are.  None if there is nothing to do."""
+    touched = dead_buckets(spark, root)
+    if not touched:
+        return None
+    number = _next_batch(spark, root)
+    here = F.col("bucket").isin(touched)
+    for table in ("uploads", "chunks", "documents"):
+        _write(_live(spark, root, table).where(here), root, table, number)
+    _write(_live_embeddings(spark, root).where(here).withColumn("of_batch", F.lit(number)), root, "embeddings", number)
+    _write(tables.latest_per_key(_log(spark, root, "status").where(here), ["document_id"], "batch"), root, "status", number)
+    for b in touched:
+        where, fs = _path(spark, root, "compactions", str(number), str(b))
+        fs.createNewFile(where)
+    return _commit(spark, root, number, "compact", None, _next_id(spark, root))
+
+
+def vacuum(spark: SparkSession, root: str) -> int:
+    """Remove the folders that compactions replaced and those of batches that failed; returns how many.  Not while older
+    readers or a writer are at work."""
+    done = commits(spark, root)
+    if not done:
+        return 0
+    numbers, since, n = {c.batch for c in done}, {}, 0
+    for batch, buckets in _compacted(spark, root).items():
+        since |= dict.fromkeys(buckets, batch)
+    for table in SCHEMAS:
+        for batch in _batches(spark, root, table):
+            names = _names(spark, root, table, f"batch={batch}")
+            old = [b for b in names if b.startswith("bucket=") and batch < since.get(int(b[7:]), 0)] if batch in numbers else [""]
+            for name in old if batch <= done[-1].batch else []:
+                where, fs = _path(spark, root, table, f"batch={batch}", *([name] if name else []))
+                n += fs.delete(where, True)
+    return n
+
+
+# ---------------------------------------------------------------------------------- keys
+
+def _repeated(rows: DataFrame, key: str, name: str) -> DataFrame:
+    """Keys that more than one row bears: counted by a hash of the key first, exactly where the hash is met twice."""
+    hashed = rows.select(F.col(key).cast("string").alias("key")).withColumn("h", F.xxhash64("key"))
+    twice = hashed.groupBy("h").count().where("count > 1").select("h")
+    exact = hashed.join(twice, "h", "left_semi").groupBy("key").agg(F.count(F.lit(1)).alias("n_rows")).where("n_rows > 1")
+    return exact.select(F.lit(name).alias("problem"), "key", "n_rows")
+
+
+def key_report(spark: SparkSession, root: str) -> DataFrame:
+    """``problem, key, n_rows`` for every key of the live tables that is not unique (documents, chunks, vector ids,
+    embeddings), every stored chunk of a document never stored and every live embedding without its chunk.  A sound
+    store has no rows here."""
+    documents = _log(spark, root, "documents")
+    lost = _log(spark, root, "chunks").join(documents.select("document_id"), "document_id", "left_anti")
+    chunks = _live(spark, root, "chunks").unionByName(lost)
+    return key_problems(_live(spark, root, "documents"), chunks, _live_embeddings(spark, root))
+
+
+def key_problems(documents: DataFrame, chunks: DataFrame, vectors: DataFrame) -> DataFrame:
+    """The report over given tables."""
+    orphan = tables.orphan_chunks(chunks, documents).groupBy(F.col("chunk_id").alias("key")).agg(F.count(F.lit(1)).alias("n_rows"))
+    bare = (vectors.join(chunks.select("vector_index_id"), "vector_index_id", "left_anti")
+            .groupBy(F.col("vector_index_id").cast("string").alias("key")).agg(F.count(F.lit(1)).alias("n_rows")))
+    parts = [_repeated(documents, "document_id", "document_id"), _repeated(chunks, "chunk_id", "chunk_id"),
+             _repeated(chunks, "vector_index_id", "vector_index_id"), _repeated(vectors, "vector_index_id", "embedding"),
+             orphan.select(F.lit("chunk without document").alias("problem"), "key", "n_rows"),
+             bare.select(F.lit("embedding without chunk").alias("problem"), "key", "n_rows")]
+    out = parts[0]
+    for p in parts[1:]:
+        out = out.unionByName(p)
+    return out

@@ -74,6 +74,12 @@ def _delete_at_exit(spark: SparkSession, path: str) -> None:
     fs.deleteOnExit(where)
 
 
+def remove(spark: SparkSession, path: str) -> None:
+    """Remove a scratch folder that nothing reads any more."""
+    where = spark._jvm.org.apache.hadoop.fs.Path(path)  # noqa: SLF001
+    where.getFileSystem(spark._jsc.hadoopConfiguration()).delete(where, True)  # noqa: SLF001
+
+
 _SCRATCH: dict[str, str] = {}
 
 

@@ -3,8 +3,9 @@
 import datetime as dt
 
 import pytest
+from pyspark.sql import functions as F
 
-from tessera.operators import tables
+from tessera.operators import embed, tables
 from tessera.plans import store
 from tessera.session import scratch_dir
 
@@ -73,9 +74,10 @@ def test_delete_and_compaction(spark):
     live = rows(spark, root)
     assert [r[:2] for r in live] == [("b-0", "b text"), ("c-0", "c again")]
     assert {r.document_id for r in store.read_uploads(spark, root).collect()} == {"b", "c"}
-    assert store._log(spark, root, "vectors").count() == 5
-    assert store.compact(spark, root) == 1
-    assert rows(spark, root) == live and store._log(spark, root, "vectors").count() == 2
+    assert store._log(spark, root, "chunks").count() == 5
+    assert store.compact(spark, root) == 3
+    assert rows(spark, root) == live and store._log(spark, root, "chunks").count() == 2
+    assert store.compact(spark, root) is None
     assert {r.document_id: r.status for r in store.read_status(spark, root).collect()}["a"] == "deleted"
     store.append_batch(ups(spark, ("a", "back")), root)
     assert [r[0] for r in rows(spark, root)] == ["a-0", "b-0", "c-0"]
@@ -83,11 +85,105 @@ def test_delete_and_compaction(spark):
 
 def test_replayed_batch_changes_nothing(spark):
     root = scratch_dir(spark, "store")
-    store.append_batch(ups(spark, ("a", "one")), root, batch=0)
-    store.append_batch(ups(spark, ("a", "two"), ("b", words(600))), root, batch=1)
+    store.append_batch(ups(spark, ("a", "one")), root, key="s/0")
+    number = store.append_batch(ups(spark, ("a", "two"), ("b", words(600))), root, key="s/1")
     before = rows(spark, root)
-    store.append_batch(ups(spark, ("a", "two"), ("b", words(600))), root, batch=1)
+    assert store.append_batch(ups(spark, ("a", "two"), ("b", words(600))), root, key="s/1") == number
     assert rows(spark, root) == before
+    store.delete(spark, root, spark.createDataFrame([("a",)], "document_id string"), key="d")
+    store.append_batch(ups(spark, ("a", "two"), ("b", words(600))), root, key="s/1")    # replayed after the delete
+    assert {r[0] for r in rows(spark, root)} == {"b-0", "b-1"}
+    assert store.append_batch(ups(spark, ("c", "three")), root, key="other/1") > number   # another stream's epoch 1
+    assert {r[0] for r in rows(spark, root)} == {"b-0", "b-1", "c-0"}
+
+
+def paths(spark, root, table):
+    return {r.p for r in store._log(spark, root, table).select(F.input_file_name().alias("p")).collect()}
+
+
+def test_a_failed_batch_is_never_read(spark, monkeypatch):
+    root = scratch_dir(spark, "store")
+    store.append_batch(ups(spark, ("a", "one")), root)
+    with monkeypatch.context() as m:
+        m.setattr(store, "_commit", lambda *a: (_ for _ in ()).throw(RuntimeError("lost")))
+        with pytest.raises(RuntimeError):
+            store.append_batch(ups(spark, ("a", "two"), ("b", "b text")), root, key="s/5")
+    assert [r[1] for r in rows(spark, root)] == ["one"]
+    assert store.append_batch(ups(spark, ("a", "two"), ("b", "b text")), root, key="s/5") == 2    # 1 is what failed
+    assert [(r[1], r[2]) for r in rows(spark, root)] == [("two", 0), ("b text", 1)]
+    assert store.vacuum(spark, root) == 5 and [r[1] for r in rows(spark, root)] == ["two", "b text"]
+
+
+def test_two_writers_of_one_number(spark):
+    root = scratch_dir(spark, "store")
+    store.append_batch(ups(spark, ("a", "one")), root)
+    with pytest.raises(RuntimeError, match="another writer"):
+        store._commit(spark, root, 0, "append", "x", 9)
+
+
+def test_compaction_rewrites_the_buckets_with_dead_rows_only(spark):
+    root = scratch_dir(spark, "store")
+    store.append_batch(ups(spark, *[(f"d{i}", f"text {i} of many") for i in range(60)]), root, buckets=32)
+    before, live = {t: paths(spark, root, t) for t in store.SCHEMAS}, dict((r[0], r[2]) for r in rows(spark, root))
+    ids = spark.createDataFrame([("d7",), ("d31",)], "document_id string")
+    touched = {r.b for r in ids.select(store.bucket_of("document_id", 32).alias("b")).collect()}
+    store.delete(spark, root, ids)
+    number = store.compact(spark, root)
+    of = lambda p: int(p.split("bucket=")[1].split("/")[0])
+    for table in ("uploads", "documents", "chunks", "embeddings"):
+        after = paths(spark, root, table)
+        assert {p for p in before[table] if of(p) not in touched} == {p for p in after if of(p) not in touched}
+        assert {of(p) for p in after if f"batch={number}/" in p} <= touched
+        assert not any(of(p) in touched for p in after & before[table])
+    left = dict((r[0], r[2]) for r in rows(spark, root))
+    assert left == {c: i for c, i in live.items() if c not in ("d7-0", "d31-0")}
+    assert {r.document_id: r.status for r in store.read_status(spark, root).collect()}["d7"] == "deleted"
+    assert store.vacuum(spark, root) > 0 and dict((r[0], r[2]) for r in rows(spark, root)) == left
+    store.append_batch(ups(spark, ("new", "one more")), root)
+    assert max(r[2] for r in rows(spark, root)) == 60     # ids of deleted chunks are not given again
+
+
+class Shouting(embed.HashingEmbedder):
+    name = "shouting"
+
+    def column(self, text):
+        return super().column(F.concat(text, F.lit(" loud")))
+
+
+def test_reindex_adds_embeddings_only(spark):
+    root = scratch_dir(spark, "store")
+    store.append_batch(ups(spark, ("a", "one two"), ("b", "three four")), root)
+    before = {t: paths(spark, root, t) for t in store.SCHEMAS}
+    old = {r.document_id: (r.model, list(r.embedding)) for r in store.read_embeddings(spark, root).collect()}
+    store.reindex(spark, root, ["b"], Shouting(), key="r")
+    store.reindex(spark, root, ["a", "b"], Shouting(), key="r")      # committed already
+    new = {r.document_id: (r.model, list(r.embedding)) for r in store.read_embeddings(spark, root).collect()}
+    assert new["a"] == old["a"] and new["b"][0] == "shouting" and new["b"][1] != old["b"][1]
+    assert {t: paths(spark, root, t) for t in store.SCHEMAS if t != "embeddings"} == {t: p for t, p in before.items() if t != "embeddings"}
+    assert store.compact(spark, root) is not None
+    kept = {r.document_id: (r.model, list(r.embedding)) for r in store.read_embeddings(spark, root).collect()}
+    assert kept == new and store._log(spark, root, "embeddings").count() == 2
+    store.append_batch(ups(spark, ("b", "three four")), root)        # a new version has the usual model's vectors
+    assert {r.document_id: r.model for r in store.read_embeddings(spark, root).collect()} == {"a": old["a"][0], "b": old["b"][0]}
+    store.reindex(spark, root, embedder=Shouting())
+    assert {r.model for r in store.read_embeddings(spark, root).collect()} == {"shouting"}
+
+
+def test_key_report_of_a_sound_store_is_empty(spark):
+    root = scratch_dir(spark, "store")
+    store.append_batch(ups(spark, ("a", words(600)), ("b", "b text")), root)
+    store.append_batch(ups(spark, ("a", words(700)), ("c", "c text")), root)
+    store.delete(spark, root, spark.createDataFrame([("b",)], "document_id string"))
+    assert store.key_report(spark, root).count() == 0
+
+
+def test_key_problems_are_counted_by_key(spark):
+    doc = spark.createDataFrame([("a",), ("a",), ("b",), (None,), (None,)], "document_id string")
+    chunk = spark.createDataFrame([("a-0", "a", 1), ("a-0", "a", 2), ("b-0", "b", 2), ("z-0", "z", 3)], "chunk_id string, document_id string, vector_index_id long")
+    vec = spark.createDataFrame([(1,), (1,), (1,), (2,), (3,), (9,)], "vector_index_id long")
+    got = {(r.problem, r.key, r.n_rows) for r in store.key_problems(doc, chunk, vec).collect()}
+    assert got == {("document_id", "a", 2), ("document_id", None, 2), ("chunk_id", "a-0", 2), ("vector_index_id", "2", 2), ("embedding", "1", 3),
+                   ("chunk without document", "z-0", 1), ("embedding without chunk", "9", 1)}
 
 
 def test_unusable_vectors_are_refused(spark):

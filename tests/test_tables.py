@@ -61,26 +61,6 @@ def test_list_documents_offset_and_ties(spark):
     assert len(total) == 4 and {r.total_count for r in total} == {10}
 
 
-def test_reindex_writes_new_version(spark):
-    from tessera.operators import chunking
-    from tessera.plans.ingest import reindex
-    from tessera.session import scratch_dir
-    from tessera.sources import tables as io
-    docs = spark.createDataFrame([("a", "the cat sat on the mat"), ("b", "dogs bark")], "document_id string, text string")
-    ch = chunking.chunk_text(docs).withColumn("vector_index_id", F.lit(None).cast("long"))
-    root = scratch_dir(spark, "vectors")
-    assert io.read_versioned(spark, root, io.VECTORS_SCHEMA).count() == 0      # absent table reads empty
-    p1 = reindex(spark, root, docs, ch, document_ids=["a"])
-    assert p1.endswith("v=0")
-    v1 = io.read_versioned(spark, root, io.VECTORS_SCHEMA)
-    assert [r.document_id for r in v1.collect()] == ["a"]
-    p2 = reindex(spark, root, docs, ch)
-    assert p2.endswith("v=1")
-    v2 = io.read_versioned(spark, root, io.VECTORS_SCHEMA).collect()
-    assert sorted(r.document_id for r in v2) == ["a", "b"]
-    assert all(abs(sum(x * x for x in r.embedding) - 1) < 1e-5 for r in v2)
-
-
 def test_batch_task_registry(spark):
     import pytest
     from tessera.operators import nlp
