@@ -18,9 +18,11 @@ from __future__ import annotations
 import hashlib
 import uuid
 from collections.abc import Callable, Iterator
+from itertools import chain
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -51,6 +53,18 @@ class _Buckets(dict):
 _CACHES: dict[int, _Buckets] = {}
 
 
+def _counts(texts: pd.Series, dim: int) -> np.ndarray:
+    """Words per text and bucket.  Words are told apart in Arrow; only distinct ones are looked up."""
+    words = [t.lower().split() if t is not None else [] for t in texts]
+    n, lens = len(words), np.fromiter(map(len, words), np.int64, len(words))
+    coded = pa.array(chain.from_iterable(words), pa.string(), size=int(lens.sum())).dictionary_encode()
+    bucket = _CACHES.setdefault(dim, _Buckets(dim)).__getitem__
+    of_word = np.fromiter(map(bucket, coded.dictionary.to_pylist()), np.int64, len(coded.dictionary))
+    flat = of_word[coded.indices.to_numpy(zero_copy_only=False)] if len(coded) else np.empty(0, np.int64)
+    rows = np.repeat(np.arange(n, dtype=np.int64), lens)
+    return np.bincount(rows * dim + flat, minlength=n * dim).reshape(n, dim).astype(np.float64)
+
+
 def _normalise_f32(m: np.ndarray) -> np.ndarray:
     norms = np.sqrt((m * m).sum(axis=1))
     out = np.zeros_like(m, dtype=np.float64)
@@ -86,17 +100,7 @@ class HashingEmbedder:
 
         @F.pandas_udf("array<float>")
         def bag(texts: pd.Series) -> pd.Series:
-            bucket = _CACHES.setdefault(dim, _Buckets(dim)).__getitem__
-            n = len(texts)
-            ids, lens = [], np.zeros(n, dtype=np.int64)
-            for r, t in enumerate(texts):
-                before = len(ids)
-                ids.extend(map(bucket, t.lower().split() if t is not None else ()))
-                lens[r] = len(ids) - before
-            flat = np.asarray(ids, dtype=np.int64)
-            rows = np.repeat(np.arange(n, dtype=np.int64), lens)
-            counts = np.bincount(rows * dim + flat, minlength=n * dim).reshape(n, dim).astype(np.float64)
-            return _series_of_rows(_normalise_f32(counts))
+            return _series_of_rows(_normalise_f32(_counts(texts, dim)))
 
         return bag(F.col(text) if isinstance(text, str) else text)
 

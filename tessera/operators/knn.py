@@ -32,6 +32,7 @@ VECTOR_BLOCK_BYTES = 32 << 20
 KNN_SCHEMA = "query_id long, vector_index_id long, score double"
 SCORE_DECIMALS = 10
 SCORE_CELLS = 32_000_000
+BITMAP_BITS = 8 * 4096   # of one bitmap of Spark's bitmap functions
 
 
 def l2_normalize(col) -> Column:
@@ -178,6 +179,7 @@ def _score_partition(dim: int | None):
                     mat = np.concatenate([m for (at, m), _ in held if len(at)]) if len(ids) else np.zeros((0, 0), np.float32)
                     if "doc" in rows:
                         docs = np.concatenate([r["doc"].to_numpy(object)[at] for (at, _), r in held])
+                        names = sorted({d for _, r in held for d in r["doc"] if d is not None})
                     held = []
                 if not len(ids):
                     continue
@@ -187,11 +189,9 @@ def _score_partition(dim: int | None):
                 k = rows["k"].to_numpy(np.int64)[at]
                 allowed = None
                 if docs is not None:
-                    code = {d: i for i, d in enumerate(dict.fromkeys(docs))}
-                    column = np.array([code[d] for d in docs])
-                    may = np.zeros((len(at), len(code)), bool)
-                    for i, names in enumerate(rows["docs"].iloc[at]):
-                        may[i, [code[d] for d in names if d in code]] = True
+                    code = {d: i for i, d in enumerate(names)}
+                    column = np.array([code.get(d, -1) for d in docs])
+                    may = _allowed_bits(rows["bits"].iloc[at], len(code))
                     allowed = lambda a, b: may[:, column[a:b]]  # noqa: B023, E731
                 out = _score_blocks(rows["id"].to_numpy(np.int64)[at], _normalise_rows(q), [(ids, mat)], int(k.max()), allowed)
                 if out is not None:
@@ -199,6 +199,23 @@ def _score_partition(dim: int | None):
     return run
 
 
+def _allowed_bits(bitmaps, n: int) -> np.ndarray:
+    """(queries, n + 1) bool: which of a block's ``n`` documents each query may match; the last column is for none.  Equal
+    bitmaps, as queries with one filter have, are read once."""
+    rows, known = [], {}
+    for parts in bitmaps:
+        key = tuple((p["number"], bytes(p["bitmap"])) for p in parts)
+        if key not in known:
+            may = np.zeros(n + 1, bool)
+            for number, bitmap in key:   # 32,768 documents each
+                first = (number - 1) * BITMAP_BITS
+                bits = np.unpackbits(np.frombuffer(bitmap, np.uint8), bitorder="little")[:max(0, n - first)]
+                may[first:first + len(bits)] = bits
+            known[key] = may
+        rows.append(known[key])
+    return np.stack(rows) if rows else np.zeros((0, n + 1), bool)
+
+
 def _block_plan(vrows: DataFrame, qrows: DataFrame, dim: int | None) -> DataFrame:
     rows = vrows.unionByName(qrows, allowMissingColumns=True)
     return (rows.repartition("vb").sortWithinPartitions("vb", "tag", "id")
@@ -258,7 +275,7 @@ def knn(queries: DataFrame, vectors: DataFrame | Blocks, k: int | str, *, query_
 
 def semantic_search(queries: DataFrame, vectors: DataFrame | Blocks, chunks: DataFrame, *, limit: int = 10,
                     threshold: float = 0.5, document_ids=None, filter_mode: str = "post",
-                    live_first: bool = False, vector_dim: int | None = None) -> DataFrame:
+                    live_first: bool = False, vector_dim: int | None = None, document_sets: DataFrame | None = None) -> DataFrame:
     """Reference order of operations per query: best ``2 * limit`` candidates -> keep
     ``score >= threshold`` -> drop vectors whose chunk is gone -> document filter -> first
     ``limit``.  ``filter_mode="pre"`` restricts vectors before scoring; ``live_first`` drops
@@ -266,7 +283,8 @@ def semantic_search(queries: DataFrame, vectors: DataFrame | Blocks, chunks: Dat
 
     ``document_ids``: a list (an ``IN`` predicate; empty = no filter), or a DataFrame (a semi-join); a
     frame with a ``query_id`` column filters per query (in pre mode each query is scored against its
-    allowed documents only).
+    allowed documents only).  In pre mode it may name sets, ``query_id, set_id``, whose documents are in
+    ``document_sets`` (``set_id, document_id``).
 
     ``chunks``: ``vector_index_id, chunk_id, document_id, content, chunk_index`` (live rows).
     Output: ``query_id, rank, vector_index_id, document_id, chunk_id, content, chunk_index,
@@ -290,7 +308,7 @@ def semantic_search(queries: DataFrame, vectors: DataFrame | Blocks, chunks: Dat
     if live_first:
         vecs = vecs.join(meta.select("vector_index_id"), "vector_index_id", "left_semi")
     if per_query and filter_mode == "pre":
-        cand = prefiltered_knn(queries, frame, vecs, meta, 2 * limit, vector_dim=vector_dim)
+        cand = prefiltered_knn(queries, frame, vecs, meta, 2 * limit, sets=document_sets, vector_dim=vector_dim)
     else:
         cand = knn(queries, vecs, 2 * limit, vector_dim=vector_dim)
     hits = cand.where(F.col("score") >= F.lit(threshold)).join(meta, "vector_index_id", "inner")
@@ -330,22 +348,33 @@ def search_requests(requests: DataFrame, vectors: DataFrame, chunks: DataFrame,
 
 
 def prefiltered_knn(queries: DataFrame, allowed: DataFrame, vectors: DataFrame, meta: DataFrame, k: int, *,
-                    vector_dim: int | None = None, vector_blocks: int | None = None,
+                    sets: DataFrame | None = None, vector_dim: int | None = None, vector_blocks: int | None = None,
                     block_bytes: int = VECTOR_BLOCK_BYTES) -> DataFrame:
     """Exact top k per query over the vectors of that query's allowed documents only.
 
-    ``allowed``: ``query_id, document_id``.  Scored in blocks like ``knn``: a query goes to the blocks that hold
-    one of its documents, once each, with the list of those documents; the block masks its score
-    matrix by them, so no row per (query, vector) pair exists."""
+    ``allowed``: ``query_id, document_id``; or, with ``sets`` (``set_id, document_id``), ``query_id, set_id``: the sets
+    whose documents a query may match, so that queries with one filter share it.  Scored in blocks like ``knn``.  A block
+    numbers its documents; a set's documents of a block are a bitmap over those numbers, built with partial aggregates,
+    and a query's sets are or-ed.  A query goes to each block that holds one of its documents, once, with the bitmap that
+    masks its scores there: no row per (query, vector) pair exists, and with ``sets`` none per (query, document)."""
     blocks = vector_blocks or _block_count(vectors, block_bytes)
+    if sets is None:
+        allowed, sets = allowed.select("query_id", F.col("query_id").alias("set_id")).distinct(), allowed.withColumnRenamed("query_id", "set_id")
     placed = vectors.join(meta.select("vector_index_id", "document_id"), "vector_index_id")
     vrows = _vector_rows(placed, "vector_index_id", "embedding", blocks, F.col("document_id").alias("doc"))
-    where = vrows.select("vb", F.col("doc").alias("document_id")).distinct()
-    routed = (allowed.select(F.col("query_id").cast("long").alias("query_id"), "document_id").distinct()
-              .join(where, "document_id").groupBy("query_id", "vb").agg(F.collect_list("document_id").alias("docs")))
+    held = vrows.select("vb", F.col("doc").alias("document_id")).where("document_id IS NOT NULL").distinct()
+    # the numbers that the scoring task gives its block's documents: their place in order
+    held = held.withColumn("ordinal", F.row_number().over(Window.partitionBy("vb").orderBy("document_id")) - 1)
+    member = sets.select("set_id", "document_id").join(held, "document_id")
+    keys = ["set_id", "vb", "number"]
+    maps = (member.withColumn("number", F.bitmap_bucket_number(F.col("ordinal") + 1)).withColumn("bit", F.bitmap_bit_position(F.col("ordinal") + 1))
+            .groupBy(*keys).agg(F.bitmap_construct_agg("bit").alias("bitmap")))
+    own = allowed.select(F.col("query_id").cast("long").alias("query_id"), "set_id").distinct().join(maps, "set_id")
+    routed = (own.groupBy("query_id", "vb", "number").agg(F.bitmap_or_agg("bitmap").alias("bitmap"))
+              .groupBy("query_id", "vb").agg(F.collect_list(F.struct("number", "bitmap")).alias("bits")))
     q = queries.select(
         F.col("query_id").cast("long").alias("query_id"), F.col("embedding").cast("array<double>").alias("q"))
-    qrows = routed.join(q, "query_id").select("vb", F.lit(1).alias("tag"), F.col("query_id").alias("id"), "q", F.lit(k).alias("k"), "docs")
+    qrows = routed.join(q, "query_id").select("vb", F.lit(1).alias("tag"), F.col("query_id").alias("id"), "q", F.lit(k).alias("k"), "bits")
     return _final_rank(_block_plan(vrows, qrows, vector_dim), k)
 
 

@@ -76,9 +76,10 @@ def list_documents_after(documents: DataFrame, after_timestamp, after_id: str, l
 
 
 def document_chunks(requests: DataFrame, chunks: DataFrame) -> DataFrame:
-    """Chunks of the requested documents (ids without chunks give no rows, the 404 case)."""
+    """Chunks of the requested documents (ids without chunks give no rows, the 404 case), by request and in the
+    order of the chunks."""
     return requests.join(chunks, "document_id", "inner").select(
-        "pos", "document_id", "chunk_id", "content", "chunk_index", "start_position", "end_position")
+        "pos", "document_id", "chunk_id", "content", "chunk_index", "start_position", "end_position").orderBy("pos", "document_id", "chunk_index")
 
 
 def chunk_counts(documents: DataFrame, chunks: DataFrame) -> DataFrame:

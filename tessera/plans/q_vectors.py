@@ -99,13 +99,12 @@ def semantic_search_docs_pre(spark, sf_dir):
 
 def label_filter(spark, sf_dir):
     """Per-query filter from the data: a query may match the documents holding a vector with the
-    same ``label`` as the query's own embedding."""
+    same ``label`` as the query's own embedding.  Each query's set, and the sets."""
     e = fx.read(spark, sf_dir, "embeddings")
     v = fx.vec(spark, sf_dir).select("vector_index_id", "document_id")
     doc_labels = v.join(e.select(F.col("vec_id").alias("vector_index_id"), "label"), "vector_index_id") \
-        .select("document_id", "label").distinct()
-    return e.select(F.col("vec_id").alias("query_id"), "label").join(doc_labels, "label") \
-        .select("query_id", "document_id")
+        .select(F.col("label").alias("set_id"), "document_id").distinct()
+    return e.select(F.col("vec_id").alias("query_id"), F.col("label").alias("set_id")), doc_labels
 
 
 @register("semantic_search_per_query_pre", sql_with("vec").rstrip() + "," + QN_SQL + """,
@@ -125,7 +124,8 @@ res AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY cand_rank) A
         FROM hits QUALIFY rank <= """ + str(fx.SEARCH_LIMIT) + """)
 """ + SEARCH_COLS_SQL)
 def semantic_search_per_query_pre(spark, sf_dir):
-    return _out(_search(spark, sf_dir, document_ids=label_filter(spark, sf_dir), filter_mode="pre"))
+    own, sets = label_filter(spark, sf_dir)
+    return _out(_search(spark, sf_dir, document_ids=own, document_sets=sets, filter_mode="pre"))
 
 
 @register("semantic_search_deleted",
@@ -156,15 +156,15 @@ def search_with_metadata(spark, sf_dir):
                     F.col("metadata.chunk_index").alias("meta_chunk_index"))
 
 
-def per_query_response(queries, hits, value_col: str, sep: str, name: str, count_name: str):
-    """AG-14: one row per query (left join, so a query without hits gets 0 and '')."""
-    agg = hits.groupBy("query_id").agg(
-        F.count("*").alias(count_name),
-        F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("rank", value_col))),
-                                 lambda x: x[value_col]), sep).alias(name))
+def per_query_response(queries, hits, values: dict[str, tuple[str, str]], count_name: str):
+    """AG-14: one row per query (left join, so a query without hits gets 0 and '').  ``values``: name -> (column of the
+    hits, separator); all of them come from one aggregate."""
+    ordered = F.array_sort(F.collect_list(F.struct("rank", *dict.fromkeys(c for c, _ in values.values()))))
+    agg = hits.groupBy("query_id").agg(F.count("*").alias(count_name), ordered.alias("_hits"))
+    # a field of an array of structs is the array of that field
+    joined = [F.coalesce(F.array_join(F.col(f"_hits.{c}"), sep), F.lit("")).alias(name) for name, (c, sep) in values.items()]
     return queries.select(F.col("query_id").cast("long")).join(agg, "query_id", "left").select(
-        "query_id", F.coalesce(count_name, F.lit(0)).cast("long").alias(count_name),
-        F.coalesce(name, F.lit("")).alias(name))
+        "query_id", F.coalesce(count_name, F.lit(0)).cast("long").alias(count_name), *joined)
 
 
 REQUESTS_SQL = sql_with("vec").rstrip() + "," + QN_SQL + """,
@@ -201,7 +201,7 @@ def search_requests(spark, sf_dir):
     hits = K.search_requests(req, v, v, limit=fx.SEARCH_LIMIT, threshold=fx.SEARCH_THRESHOLD)
     score = F.round("similarity_score", 4).cast("decimal(9,4)").cast("string")
     hits = hits.select("query_id", "rank", F.concat_ws("=", "chunk_id", score).alias("hit"))
-    resp = per_query_response(req, hits, "hit", ",", "results", "total_results")
+    resp = per_query_response(req, hits, {"results": ("hit", ",")}, "total_results")
     return req.select("query_id", "query").join(resp, "query_id").select("query_id", "query", "total_results", "results")
 
 
@@ -212,8 +212,7 @@ SELECT q.query_id, count(r.chunk_id) AS total_results,
 FROM qraw q LEFT JOIN res r ON r.query_id = q.query_id GROUP BY q.query_id""")
 def search_response(spark, sf_dir):
     hits = _search(spark, sf_dir, document_ids=fx.DOC_FILTER_IDS, filter_mode="post")
-    return per_query_response(fx.query_vectors(spark, sf_dir), hits, "chunk_id", ",",
-                              "result_chunk_ids", "total_results")
+    return per_query_response(fx.query_vectors(spark, sf_dir), hits, {"result_chunk_ids": ("chunk_id", ",")}, "total_results")
 
 
 @register("qa_context", search_sql(fx.QA_LIMIT, fx.QA_THRESHOLD) + """
@@ -224,9 +223,8 @@ FROM qraw q LEFT JOIN res r ON r.query_id = q.query_id GROUP BY q.query_id""")
 def qa_context(spark, sf_dir):
     hits = _search(spark, sf_dir, limit=fx.QA_LIMIT, threshold=fx.QA_THRESHOLD)
     q = fx.query_vectors(spark, sf_dir)
-    ctx = per_query_response(q, hits, "content", " ", "context", "n_sources")
-    src = per_query_response(q, hits, "chunk_id", ",", "source_chunk_ids", "_n").drop("_n")
-    return ctx.join(src, "query_id").select("query_id", "n_sources", "context", "source_chunk_ids")
+    out = per_query_response(q, hits, {"context": ("content", " "), "source_chunk_ids": ("chunk_id", ",")}, "n_sources")
+    return out.select("query_id", "n_sources", "context", "source_chunk_ids")
 
 
 @register("similar_documents", sql_with("vec").rstrip() + """,

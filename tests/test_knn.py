@@ -189,3 +189,23 @@ def test_score_slicing_keeps_exact_results(spark, monkeypatch):
     for r in got.sort_values(["query_id", "score", "vector_index_id"], ascending=[True, False, True]).itertuples():
         res.setdefault(r.query_id, []).append(r.vector_index_id)
     assert res == _brute(qs, vs, 5)
+
+
+def test_document_sets_as_bitmaps(spark):
+    """Several sets a query, more documents in a block than one bitmap holds, unusable vectors among them."""
+    rng = np.random.default_rng(8)
+    rows = [(i, f"d{i % 40_000}", [float(x) for x in rng.normal(size=2)] if i % 11 else None) for i in range(50_000)]
+    v = spark.createDataFrame(rows, "vector_index_id long, document_id string, embedding array<float>")
+    sets = [(s, f"d{j}") for s, step in ((0, 7), (1, 1000), (2, 39_999), (3, 10**6)) for j in range(0, 40_000, step)] + [(1, "unknown"), (None, "d5"), (2, None)]
+    own = [(0, 0), (1, 1), (1, 2), (2, 3), (3, 1), (3, 1), (4, 9), (5, None)]
+    q = spark.createDataFrame([(i, [1.0, float(i)]) for i in range(6)], "query_id long, embedding array<double>")
+    args = spark.createDataFrame(own, "query_id long, set_id int"), v.select("vector_index_id", "embedding"), v.select("vector_index_id", "document_id")
+    got = K.prefiltered_knn(q, *args, 5, sets=spark.createDataFrame(sets, "set_id int, document_id string"), vector_blocks=1)
+    got = {(r.query_id, r["rank"]): r.vector_index_id for r in got.collect()}
+    want = {}
+    for i in range(6):
+        ids = {d for s, d in sets for j, t in own if j == i and s == t and s is not None}
+        unit = np.array([1.0, i]) / np.hypot(1, i)
+        scored = sorted((-round(float(np.float32(e[0]) * unit[0] + np.float32(e[1]) * unit[1]), 10), k) for k, d, e in rows if e and d in ids)
+        want |= {(i, n + 1): k for n, (_, k) in enumerate(scored[:5])}
+    assert got == want and len(want) == 16
