@@ -318,10 +318,11 @@ def semantic_search(queries: DataFrame, vectors: DataFrame | Blocks, chunks: Dat
         elif frame is not None:
             keys = ["query_id", "document_id"] if per_query else ["document_id"]
             hits = hits.join(frame.select(*keys).distinct(), keys, "left_semi")
-    return _first_hits(hits, F.lit(limit))
+    return first_hits(hits, F.lit(limit))
 
 
-def _first_hits(hits: DataFrame, limit) -> DataFrame:
+def first_hits(hits: DataFrame, limit) -> DataFrame:
+    """The first ``limit`` of each query's candidates that found their chunk, numbered anew."""
     w = Window.partitionBy("query_id").orderBy("rank")
     out = hits.withColumn("_r", F.row_number().over(w)).where(F.col("_r") <= limit)
     return out.select("query_id", F.col("_r").alias("rank"), "vector_index_id", "document_id", "chunk_id",
@@ -344,7 +345,7 @@ def search_requests(requests: DataFrame, vectors: DataFrame, chunks: DataFrame,
     free = F.col("document_ids").isNull() | (F.size("document_ids") == 0)
     hits = (cand.join(own, "query_id").where("score >= similarity_threshold").join(meta, "vector_index_id")
             .where(free | F.array_contains("document_ids", F.col("document_id"))))
-    return _first_hits(hits, F.col("limit"))
+    return first_hits(hits, F.col("limit"))
 
 
 def prefiltered_knn(queries: DataFrame, allowed: DataFrame, vectors: DataFrame, meta: DataFrame, k: int, *,
@@ -407,7 +408,7 @@ def similar_documents(vectors: DataFrame, chunks: DataFrame, *, limit: int = 10,
                  "embedding"))
     src_of = q.select("query_id", "source_document_id")
     cand = knn(q.select("query_id", "embedding"), vectors.select("vector_index_id", "embedding"), 2 * (limit + 10))
-    hits = _first_hits(cand.where(F.col("score") >= F.lit(threshold)).join(meta, "vector_index_id", "inner"), F.lit(limit + 10))
+    hits = first_hits(cand.where(F.col("score") >= F.lit(threshold)).join(meta, "vector_index_id", "inner"), F.lit(limit + 10))
     others = hits.join(src_of, "query_id", "inner").where(F.col("document_id") != F.col("source_document_id"))
     w = Window.partitionBy("query_id").orderBy("rank")
     cut = others.withColumn("_r", F.row_number().over(w)).where(F.col("_r") <= limit)

@@ -2,12 +2,16 @@
 checks, statistics and dense id assignment.
 
 Spark enforces no keys, so primary-key replacement is an anti-join plus union, deletes are
-anti-joins, and the foreign key is a check job.  Nothing here collects rows to the driver.
+anti-joins, and the foreign key is a check job.  Nothing here collects rows to the driver beyond a bounded number of
+range ends.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from functools import reduce
+from itertools import accumulate
+
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tessera.functions import text as T
@@ -45,6 +49,19 @@ def restrict_to_ids(table: DataFrame, ids, key: str = "document_id") -> DataFram
     return table.where(F.col(key).isin([str(i) for i in ids]))
 
 
+def id_ranges(rows: DataFrame, key: str, most: int = 256) -> Column:
+    """A predicate on ``key`` that every key of ``rows`` meets: at most ``most`` ranges, which reach the Parquet scan of a table
+    clustered by that key and let it skip row groups.  Runs two small aggregates over ``rows``; the join with them stays
+    what decides."""
+    low, high = rows.agg(F.min(key), F.max(key)).first()
+    if low is None:
+        return F.lit(False)
+    width = -(-(high - low + 1) // most)
+    cells = rows.groupBy(F.expr(f"({key} - {low}L) DIV {width}L").alias("cell")).agg(F.min(key).alias("a"), F.max(key).alias("b"))
+    found = [F.col(key).between(r.a, r.b) for r in cells.where("a IS NOT NULL").orderBy("a").collect()]
+    return reduce(Column.__or__, found)
+
+
 def list_documents(documents: DataFrame, limit: int = 50, offset: int = 0, with_total: bool = False) -> DataFrame:
     """Newest first, ``document_id`` breaking ties; ``LIMIT``/``OFFSET`` become one
     ``TakeOrderedAndProject``.  ``page_position`` is 1-based within the page."""
@@ -58,6 +75,32 @@ def list_documents(documents: DataFrame, limit: int = 50, offset: int = 0, with_
     return page.withColumn("page_position", F.row_number().over(Window.orderBy(*order)).cast("long"))
 
 
+def write_listing(documents: DataFrame, path: str, part_rows: int = 100_000) -> int:
+    """A listing table for pages of any depth: ``documents`` in range partitions of about ``part_rows`` in page order (newest
+    first, then id), each sorted, in folders ``part=<n>``; returns how many rows it has.  ``sizes`` beside them holds the
+    rows of each part."""
+    spark = documents.sparkSession
+    total = documents.count()
+    order = [F.col("upload_timestamp").desc(), F.col("document_id").asc()]
+    rows = documents.repartitionByRange(max(1, -(-total // part_rows)), *order).withColumn("part", F.spark_partition_id())
+    writer = rows.sortWithinPartitions("part", *order).write
+    (writer.partitionBy("part") if total else writer).parquet(f"{path}/rows")   # an empty table keeps its columns in a file
+    spark.read.parquet(f"{path}/rows").groupBy("part").agg(F.count(F.lit(1)).alias("n")).coalesce(1).write.parquet(f"{path}/sizes")
+    return total
+
+
+def read_page(spark: SparkSession, path: str, limit: int = 50, offset: int = 0) -> DataFrame:
+    """A page of a listing table, with ``page_position``: the sizes tell which parts hold it, and only those are read, the
+    last page as cheaply as the first."""
+    if limit < 1 or offset < 0:
+        raise ValueError("limit must be >= 1 and offset >= 0")
+    sizes = [(r.part, r.n) for r in spark.read.parquet(f"{path}/sizes").orderBy("part").collect()]   # one row a part
+    starts = [0, *accumulate(n for _, n in sizes)][:len(sizes)]
+    held = [(p, s) for (p, n), s in zip(sizes, starts, strict=True) if s < offset + limit and s + n > offset]
+    rows = spark.read.parquet(f"{path}/rows").where(F.col("part").isin([p for p, _ in held])).drop("part")
+    return list_documents(rows, limit, offset - held[0][1] if held else 0)
+
+
 def list_documents_after(documents: DataFrame, after_timestamp, after_id: str, limit: int = 50) -> DataFrame:
     """Keyset page for deep paging: rows strictly after the cursor ``(timestamp, id)`` in
     (newest first, id) order.  The cursor predicate is pushed to the scan and the page is a

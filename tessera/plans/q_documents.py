@@ -9,6 +9,7 @@ from tessera.operators import chunking, tables
 from tessera.plans import fixtures as fx
 from tessera.plans.catalog import register
 from tessera.plans.fixtures import sql_with, _fmt, EXT_SQL, REASON_SQL, TYPE_SQL, WORDS_SQL
+from tessera.session import scratch_dir
 
 DOC_COLS_SQL = """document_id, filename, file_size, document_type,
        strftime(upload_timestamp, '%Y-%m-%dT%H:%M:%S') AS upload_timestamp,
@@ -83,6 +84,21 @@ def list_documents_keyset(spark, sf_dir):
                       lambda keys: tables.list_documents_after(keys, "2024-01-01 02:00:00", "361", limit=50))
 
 
+@register("list_documents_deep", sql_with("doc_raw", "doc") + """
+SELECT ord // 7 AS page, ord % 7 + 1 AS page_position, * EXCLUDE (ts, ord, total)
+FROM (SELECT upload_timestamp AS ts, row_number() OVER (ORDER BY upload_timestamp DESC, document_id) - 1 AS ord, count(*) OVER () AS total, """ + DOC_COLS_SQL + """ FROM doc)
+WHERE ord // 7 IN (total // 4 // 7, total // 2 // 7, (total - 1) // 7)""")
+def list_documents_deep(spark, sf_dir):
+    """Pages of seven from a listing table: at a quarter, in the middle and the last one."""
+    path = scratch_dir(spark, "listing")
+    total = tables.write_listing(fx.materialise(fx.doc(spark, sf_dir).select(*tables.DOCUMENT_COLUMNS), "documents"), path, part_rows=200)
+    out = None
+    for page in sorted({total // 4 // 7, total // 2 // 7, (total - 1) // 7}):
+        rows = tables.read_page(spark, path, 7, 7 * page).withColumn("page", F.lit(page).cast("long"))
+        out = rows if out is None else out.unionByName(rows)
+    return doc_public(out, "page", "page_position")
+
+
 @register("chunk_text", sql_with("chunks") + "SELECT * FROM chunks")
 def chunk_text(spark, sf_dir):
     return fx.chunks_all(spark, sf_dir)

@@ -236,6 +236,19 @@ def stream_resent(spark, sf_dir):
     return doc_public(store.read_documents(spark, root)).join(versions, "document_id")
 
 
+@register("store_search", sql_with("stored_chunks").rstrip() + hash_search_sql(
+    "(SELECT CAST(item_id AS VARCHAR) AS chunk_id, text AS content FROM benchmark)", fx.QA_LIMIT, fx.QA_THRESHOLD) + """
+SELECT query_id, count(*) AS n_hits, round(max(score), 6) AS best_score FROM res GROUP BY query_id""")
+def store_search(spark, sf_dir):
+    """A store is searched: vectors are scored without text, and the text of the hits is read by ranges of their ids."""
+    root = scratch_dir(spark, "store")
+    store.append_batch(uploads(spark, sf_dir), root, pdf_extractor=fx.pdf_extractor)
+    emb = E.HashingEmbedder()
+    q = fx.questions(spark, sf_dir).select(F.col("question_id").alias("query_id"), emb.column("question").alias("embedding"))
+    hits = store.search(spark, root, q, limit=fx.QA_LIMIT, threshold=fx.QA_THRESHOLD, vector_dim=emb.dim)
+    return hits.groupBy("query_id").agg(F.count(F.lit(1)).alias("n_hits"), F.round(F.max("similarity_score"), 6).alias("best_score"))
+
+
 class _Folded(E.HashingEmbedder):
     """Another model of the same width: every e is an a."""
     name = "hashing-folded"

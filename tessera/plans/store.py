@@ -25,9 +25,9 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as Ty
 
-from tessera.operators import embed, tables
+from tessera.operators import embed, knn, tables
 from tessera.plans.ingest import ingest
-from tessera.session import ensure_checkpoint_dir
+from tessera.session import ensure_checkpoint_dir, scratch_dir
 from tessera.sources import tables as io
 
 UPLOADS = Ty.StructType([
@@ -134,7 +134,8 @@ def _compacted(spark: SparkSession, root: str) -> dict[int, list[int]]:
 # ---------------------------------------------------------------------------------- rows
 
 def bucket_of(document_id: str | Column, buckets: int) -> Column:
-    return F.pmod(F.xxhash64(document_id), F.lit(buckets)).cast("int")
+    """Ranges of the id's md5, the order in which vector ids are given: the ids of a batch's bucket follow each other."""
+    return F.floor(F.conv(F.substring(F.md5(document_id), 1, 6), 16, 10).cast("long") * buckets / (1 << 24)).cast("int")
 
 
 def _log(spark: SparkSession, root: str, table: str) -> DataFrame:
@@ -155,7 +156,8 @@ def _write(df: DataFrame, root: str, table: str, batch: int) -> None:
     spark = df.sparkSession
     out = df.select(*[F.col(f.name) if f.name == "embedding" else F.col(f.name).cast(f.dataType).alias(f.name) for f in SCHEMAS[table].fields])
     out = out.withColumn("bucket", bucket_of("document_id", bucket_count(spark, root)))
-    out.repartition("bucket").write.mode("errorifexists").partitionBy("bucket").parquet(f"{root.rstrip('/')}/{table}/batch={batch}")
+    order = ["bucket", *(c for c in ("vector_index_id",) if c in out.columns)]   # clustered: a filter on ids skips row groups
+    out.repartition("bucket").sortWithinPartitions(*order).write.mode("errorifexists").partitionBy("bucket").parquet(f"{root.rstrip('/')}/{table}/batch={batch}")
 
 
 def _latest(spark: SparkSession, root: str) -> DataFrame:
@@ -215,6 +217,19 @@ def read_status(spark: SparkSession, root: str) -> DataFrame:
     return tables.latest_per_key(_log(spark, root, "status"), ["document_id"], "batch").select(*STATUS.names)
 
 
+def search(spark: SparkSession, root: str, queries: DataFrame, *, limit: int = 10, threshold: float = 0.5,
+           vector_dim: int | None = None) -> DataFrame:
+    """``semantic_search`` over the store.  Scoring reads ids and vectors; the hits, queries x 2 x limit ids and scores at most,
+    are written down, and only the row groups of chunks that may hold one of them are read for their text."""
+    vectors = read_embeddings(spark, root).select("vector_index_id", "embedding")
+    hits = knn.knn(queries, vectors, 2 * limit, vector_dim=vector_dim).where(F.col("score") >= F.lit(threshold))
+    path = scratch_dir(spark, "hits")
+    hits.write.parquet(path)
+    hits = spark.read.schema(hits.schema).parquet(path)
+    chunks = read_chunks(spark, root).where(tables.id_ranges(hits, "vector_index_id"))
+    return knn.first_hits(hits.join(chunks, "vector_index_id"), F.lit(limit))
+
+
 # ---------------------------------------------------------------------------------- appends
 
 def duplicate_ids(uploads: DataFrame) -> DataFrame:

@@ -1,11 +1,12 @@
 """The store: append, replace, ids, deletes, compaction, guards."""
 
 import datetime as dt
+import random
 
 import pytest
 from pyspark.sql import functions as F
 
-from tessera.operators import embed, tables
+from tessera.operators import embed, knn, tables
 from tessera.plans import store
 from tessera.session import scratch_dir
 
@@ -193,3 +194,32 @@ def test_unusable_vectors_are_refused(spark):
             store.sound_vectors(df, 2).collect()
     ok = spark.createDataFrame([("c", [1.0, 0.0])], "chunk_id string, embedding array<float>")
     assert store.sound_vectors(ok, 2).first().embedding == [1.0, 0.0]
+
+
+def test_search_reads_the_row_groups_of_its_hits(spark):
+    """The same hits as over all rows; the chunk scan gets the ranges of the hits' ids, and ids lie close together in a file."""
+    root = scratch_dir(spark, "store")
+    store.append_batch(ups(spark, *[(f"d{i}", f"word{i} and word{i % 7} of {words(20)}") for i in range(90)]), root, buckets=8)
+    store.append_batch(ups(spark, *[(f"e{i}", f"word{i} again {words(10)}") for i in range(40)]), root)
+    h = embed.HashingEmbedder()
+    q = spark.createDataFrame([(1, "word5 and word5"), (2, "word33 again")], "query_id long, text string").select("query_id", h.column("text").alias("embedding"))
+    got = store.search(spark, root, q, limit=3, threshold=0.2, vector_dim=h.dim)
+    v = store.read_vectors(spark, root)
+    want = knn.semantic_search(q, v, v, limit=3, threshold=0.2, vector_dim=h.dim)
+    assert sorted(map(tuple, got.collect())) == sorted(map(tuple, want.collect())) and got.count() == 4
+    plan = got._jdf.queryExecution().executedPlan().toString()
+    scan = next(x for x in plan.split("\n") if "FileScan" in x and "content" in x)
+    assert "GreaterThanOrEqual(vector_index_id" in scan and "Or(" in scan
+    spans = store._log(spark, root, "chunks").groupBy("batch", "bucket").agg(F.min("vector_index_id").alias("a"), F.max("vector_index_id").alias("b")).orderBy("a").collect()
+    assert all(x.b < y.a for x, y in zip(spans, spans[1:], strict=False))
+
+
+def test_id_ranges_cover_all_keys(spark):
+    rng = random.Random(3)
+    ids = sorted({rng.randrange(10**9) for _ in range(500)} | {-5, 10**12})
+    df = spark.createDataFrame([(i,) for i in ids] + [(None,)], "id long")
+    for most in (1, 7, 256):
+        where = tables.id_ranges(df, "id", most)
+        assert str(where).count("AND") <= most + 1
+        assert [r.id for r in df.where(where).orderBy("id").collect()] == ids
+    assert df.where(tables.id_ranges(df.where("id IS NULL"), "id")).count() == 0

@@ -1,8 +1,14 @@
 """Upsert, delete, dense ids and statistics."""
 
+import datetime as dt
+import re
+
 from pyspark.sql import functions as F
 
 from tessera.operators import tables
+from tessera.session import scratch_dir
+
+T0 = dt.datetime(2024, 1, 1)
 
 
 def test_upsert_last_arrival_wins(spark):
@@ -50,7 +56,6 @@ def test_corpus_stats_counts_tombstones(spark):
 
 
 def test_list_documents_offset_and_ties(spark):
-    import datetime as dt
     t = dt.datetime(2024, 1, 1)
     docs = spark.createDataFrame([(str(i), t + dt.timedelta(minutes=i // 3)) for i in range(10)],
                                  "document_id string, upload_timestamp timestamp_ntz")
@@ -73,7 +78,6 @@ def test_batch_task_registry(spark):
 
 
 def test_keyset_page_follows_offset_page(spark):
-    import datetime as dt
     t = dt.datetime(2024, 1, 1)
     docs = spark.createDataFrame([(str(i), t + dt.timedelta(minutes=i // 3)) for i in range(30)],
                                  "document_id string, upload_timestamp timestamp_ntz")
@@ -93,3 +97,23 @@ def test_restrict_to_ids_follows_the_caller(spark):
     by_frame = tables.restrict_to_ids(df, spark.createDataFrame([(i,) for i in [*ids, "2"]], "document_id string"))
     assert "LeftSemi" in by_frame._jdf.queryExecution().optimizedPlan().toString()
     assert by_list.count() == by_frame.count() == 1500
+
+
+def parts_read(page):
+    """The parts that the scan's partition filter names."""
+    plan = page._jdf.queryExecution().executedPlan().toString()
+    return set(re.findall(r"\d+", re.search(r"PartitionFilters: \[(.*?)\], P", plan)[1].replace("part#", "").split("(", 1)[-1])) if "PartitionFilters: [" in plan else set()
+
+
+def test_pages_of_any_depth_read_their_parts_only(spark):
+    rows = [(f"d{i:03d}", T0 + dt.timedelta(minutes=i // 4)) for i in range(503)]
+    docs = spark.createDataFrame(rows, "document_id string, upload_timestamp timestamp_ntz")
+    path = scratch_dir(spark, "listing")
+    assert tables.write_listing(docs, path, part_rows=50) == 503
+    want = [r[0] for r in sorted(rows, key=lambda r: (-(r[1] - T0).total_seconds(), r[0]))]
+    for limit, offset in ((10, 0), (10, 490), (10, 500), (10, 503), (10, 9999), (120, 77), (1, 250)):
+        page = tables.read_page(spark, path, limit, offset)
+        assert [r.document_id for r in page.orderBy("page_position").collect()] == want[offset:offset + limit]
+        assert len(parts_read(page)) <= -(-limit // 40) + 1
+    empty = scratch_dir(spark, "listing")
+    assert tables.write_listing(docs.limit(0), empty) == 0 and tables.read_page(spark, empty, 5).count() == 0
