@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+import gc
 from collections.abc import Callable, Iterator
 from contextlib import contextmanager
+from contextvars import ContextVar
 
 import numpy as np
 import pandas as pd
@@ -41,34 +43,56 @@ def numbered(df: DataFrame, name: str) -> tuple[DataFrame, str]:
     return materialise(rows, name), row_id
 
 
-def materialise(df: DataFrame, name: str) -> DataFrame:
+def materialise(df: DataFrame, name: str, keep: bool = False) -> DataFrame:
     """Write ``df`` as Parquet in the shared folder (see ``scratch_dir``) and read it back: cuts the
-    lineage so that lost executors cost no recomputation.  The folder goes when the application ends."""
+    lineage so that lost executors cost no recomputation.  The folder goes when the application ends, or
+    with the innermost ``recorded`` block's list (``keep``: with that of the block around it)."""
     path = scratch_dir(df.sparkSession, name)
-    if _recorders:
-        _recorders[-1].append(path)
+    recorders = _recorders.get()[:-1] if keep else _recorders.get()
+    if recorders:
+        recorders[-1].append(path)
     df.write.option("compression", "zstd").parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    out = df.sparkSession.read.schema(df.schema).parquet(path)
+    files = out._jdf.queryExecution().analyzed().relation().location()  # noqa: SLF001
+    _written[path] = df.sparkSession._jvm.java.lang.ref.WeakReference(files)  # noqa: SLF001
+    return out
 
 
-_recorders: list[list[str]] = []
+#: The written tables, each with a weak reference to the listing of its files that every plan over it holds.
+_written: dict = {}
+
+
+def delete_unused_tables(spark: SparkSession) -> None:
+    """Remove the written tables that no DataFrame and no running query reads any more, as Spark's own cleaner
+    does with shuffle files: their listing has been collected as garbage."""
+    gc.collect()
+    spark._jvm.System.gc()  # noqa: SLF001
+    app = scratch_dir(spark, "").rsplit("/", 1)[0]
+    gone = [path for path, files in list(_written.items()) if path.startswith(app) and files.get() is None]
+    delete_tables(spark, gone)
+
+
+#: The lists that written tables are added to, of this thread or task.
+_recorders: ContextVar[tuple[list[str], ...]] = ContextVar("recorders", default=())
 
 
 @contextmanager
-def recorded(paths: list[str]):
-    """Adds the folders of the tables written meanwhile to ``paths``."""
-    _recorders.append(paths)
+def recorded() -> Iterator[list[str]]:
+    """The folders of the tables written meanwhile, for ``delete_tables``."""
+    paths: list[str] = []
+    before = _recorders.set((*_recorders.get(), paths))
     try:
-        yield
+        yield paths
     finally:
-        _recorders.pop()
+        _recorders.reset(before)
 
 
 def delete_tables(spark: SparkSession, paths: list[str]) -> None:
-    """Remove written tables that nothing reads any more, and forget them."""
+    """Remove written tables that nothing reads any more."""
     jvm = spark._jvm  # noqa: SLF001
-    while paths:
-        where = jvm.org.apache.hadoop.fs.Path(paths.pop())
+    for path in paths:
+        _written.pop(path, None)
+        where = jvm.org.apache.hadoop.fs.Path(path)
         where.getFileSystem(spark._jsc.hadoopConfiguration()).delete(where, True)  # noqa: SLF001
 
 
@@ -89,13 +113,23 @@ def equal_groups(df: DataFrame, keys: list[str], row_id: str, doc_id: str, salts
     return salted.join(back, [*keys, "_salt"]).withColumn("keep_id", keep_id).drop("_salt", "_min")
 
 
+def least_mates(edges: DataFrame) -> DataFrame:
+    """Links ``(a, b)`` with the same components as ``edges(a, b)``: each ``a`` keeps its least mate, and its other
+    mates link with that one.  Rows that name the same few mates, each again and again, leave one link a
+    row and a few between the mates."""
+    mates = edges.groupBy("a").agg(F.min("b").alias("least"), F.collect_set("b").alias("mates"))
+    first = mates.select("a", F.col("least").alias("b"))
+    others = mates.select(F.explode(F.array_remove("mates", F.col("least"))).alias("a"), F.col("least").alias("b"))
+    return first.unionByName(others.distinct())
+
+
 def connected_components(edges: DataFrame, name: str = "components") -> DataFrame:
     """``(node, component)`` for every node of ``edges(a, b)``; component = smallest node reached.
 
     Minimum labels spread over the links, and each round also jumps to the label's own label, so
     the rounds grow with the logarithm of the longest path.  Every round is a written table; joins
     have plain shuffles on both sides, so AQE can split a hub's links over several tasks."""
-    both = edges.where("a IS NOT NULL AND b IS NOT NULL AND a <> b").select("a", "b")
+    both = least_mates(edges.where("a IS NOT NULL AND b IS NOT NULL AND a <> b").select("a", "b"))
     both = materialise(both.unionByName(both.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct(), f"{name}-links")
     labels = materialise(both.groupBy(F.col("a").alias("node")).agg(F.least(F.min("a"), F.min("b")).alias("component")), f"{name}-0")
     step = 0

@@ -7,17 +7,18 @@ words is one gram).  Two documents link when the Jaccard similarity of their set
 2. MinHash signatures are cut into bands whose count and rows ``bands_for`` picks for a target recall
    at the threshold; (band, hash) rows are shuffled and counted, which gives the candidates: documents that
    share a band.
-3. Candidates that hang together are a cluster (connected components over one link per band row, so a
-   bucket of n documents gives n links, not n * n pairs).
-4. Each cluster's full gram sets (64-bit hashes of the grams) are compared in blocks of documents; a
-   large cluster is dealt over pairs of blocks.  A task counts the links of its documents and returns one row a
-   document (count, smallest document it hangs with), never the pairs.
+3. Each document lives in a home with the others of its fullest bucket and goes, as a guest, to the homes of
+   its other band mates; which of two homes receives the other's documents is fixed, so a pair of mates
+   meets once.  Documents that only hang together over a chain of mates do not meet.
+4. A task holds one home (about ``BLOCK_ROWS`` documents, fewer if they are long) and one part of its guests and
+   compares full gram sets (64-bit hashes of the grams).  It counts the links of its documents and returns one
+   row a document (count, smallest document it hangs with), never the pairs.
 5. Components over verified links give the classes.
 
 Defined cases: a null or wordless text has no grams, links with nothing and is its own class; null
 doc_ids come last when a class picks its smallest id (all null: class id null, one row is kept); repeated
-rows and copies link with each other and count as links; empty tables give no rows; other columns
-are ignored.
+rows and copies link with each other and count as links; a text of any length is compared whole, and a home
+holds fewer documents the longer they are; empty tables give no rows; other columns are ignored.
 """
 
 from __future__ import annotations
@@ -37,6 +38,7 @@ THRESHOLD = 0.8
 RECALL = 0.9995
 MAX_HASHES = 160
 BLOCK_ROWS = 256
+UNIT_GRAMS = 1024
 _U = np.uint64
 
 
@@ -138,30 +140,75 @@ def _verify(threshold: float):
         out = []
         for a, b in zip(starts[:-1], starts[1:], strict=True):
             part = rows.iloc[a:b]
-            ids, side = part["row_id"].to_numpy(), part["side"].to_numpy()
-            same = part["bi"].iloc[0] == part["bj"].iloc[0]
-            left = np.arange(len(part)) if same else np.flatnonzero(side == 0)
-            right = left if same else np.flatnonzero(side == 1)
+            ids, lives = part["row_id"].to_numpy(), part["lives"].to_numpy()
+            own, guest = np.flatnonzero(lives), np.flatnonzero(~lives)
+            # a home's own documents meet each other in its first part only
+            right = np.arange(len(part)) if part["part"].iloc[0] == 0 else guest
+            if not len(own) or not len(right):
+                continue
             sets = [np.frombuffer(g, _U) for g in part["grams"]]
             size = np.array([len(s) for s in sets], float)
-            inter = _common(sets, left, right)
-            union = size[left][:, None] + size[right][None] - inter
+            inter = _common(sets, own, right)
+            union = size[own][:, None] + size[right][None] - inter
             linked = inter >= threshold * union - 1e-6
-            if same:
-                np.fill_diagonal(linked, False)
+            linked &= own[:, None] != right[None]
             weight = part["copies"].to_numpy(np.int64)
             count = np.zeros(len(part), np.int64)
-            count[left] += linked @ weight[right]
-            if not same:
-                count[right] += linked.T @ weight[left]
+            count[own] += linked @ weight[right]
+            visiting = ~lives[right]
+            count[guest] += linked[:, visiting].T @ weight[own]
             i, j = np.nonzero(linked)
-            near = C.local_components(len(part), left[i], right[j])
+            near = C.local_components(len(part), own[i], right[j])
             # local_components gives the smallest position: rows are sorted by row_id
-            out.append(pd.DataFrame({"row_id": ids, "links": count, "low": ids[near]}))
+            keep = (count > 0) | (near < np.arange(len(part)))
+            out.append(pd.DataFrame({"row_id": ids[keep], "links": count[keep], "low": ids[near][keep]}))
         return pd.concat(out) if out else pd.DataFrame({"row_id": [], "links": [], "low": []}).astype("int64")
     return run
 
 
+def homes(reps: DataFrame, block_rows: int) -> DataFrame:
+    """``row_id, home, visits``: where each representative that has band mates lives, and the homes of its
+    mates that it goes to.
+
+    A document lives with its fullest bucket.  Homes hold ``block_rows`` documents on average (a document counts
+    once for every ``UNIT_GRAMS`` grams it has): buckets share homes by their hash, and a bucket that
+    fills a home is split over homes of its own.  Of two homes with band mates in each other, one (by the
+    parity of a hash of the two) receives the other's documents, so every pair of band mates meets
+    once.  A document goes at most to the homes of its mates, however those hang together with others."""
+    banded = reps.select("row_id", "weight", F.explode(F.array_distinct("bands")).alias("band"))
+    shared = banded.groupBy("band").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
+    mates = C.materialise(banded.join(shared, "band").select("row_id", "weight", "band", "n"), "band-mates")
+    top = F.max(F.struct("n", "band")).alias("top")
+    tops = C.materialise(mates.groupBy("row_id").agg(F.first("weight").alias("weight"), top).select("row_id", "weight", "top.band"), "tops")
+    living = C.materialise(tops.groupBy("band").agg(F.sum("weight").alias("w")), "living")
+    n_homes = max(1, -(-(living.agg(F.sum("w")).first()[0] or 0) // block_rows))
+    split = F.ceil(F.col("w") / F.lit(block_rows))
+    of_its_own = F.xxhash64("band", F.pmod(F.xxhash64("row_id", F.lit(7)), split))
+    lives = tops.join(living, "band").select("row_id", F.when(split > 1, of_its_own).otherwise(F.pmod(F.xxhash64("band"), F.lit(n_homes))).alias("home"))
+    lives = C.materialise(lives, "homes")
+    placed = C.materialise(mates.select("row_id", "band").join(lives, "row_id"), "placed")
+    in_band = placed.select("band", "home").distinct().groupBy("band").agg(F.collect_list("home").alias("homes"))
+    seen = placed.join(in_band, "band").groupBy("row_id", "home").agg(F.array_distinct(F.flatten(F.collect_list("homes"))).alias("homes"))
+
+    def goes(h):
+        even = F.pmod(F.xxhash64(F.least(F.col("home"), h), F.greatest(F.col("home"), h)), F.lit(2)) == 0
+        return (h != F.col("home")) & ((F.col("home") < h) == even)
+    return C.materialise(seen.select("row_id", "home", F.filter("homes", goes).alias("visits")), "visits")
+
+
+def places(reps: DataFrame, block_rows: int) -> DataFrame:
+    """``row_id, home, part, lives`` of every representative with band mates: the places where it is compared.
+    A home's guests are dealt into parts of about ``block_rows``; its own documents go to each part."""
+    where = homes(reps, block_rows).join(reps.select("row_id", "weight"), "row_id")
+    guests = where.select("row_id", "weight", F.explode("visits").alias("home"))
+    parts = guests.groupBy("home").agg(F.ceil(F.sum("weight") / F.lit(block_rows)).cast("int").alias("parts"))
+    parts = C.materialise(parts, "parts")
+    at = F.pmod(F.xxhash64("row_id", F.lit(11)), F.col("parts")).cast("int")
+    stays = where.select("row_id", "home").join(parts, "home", "left").select(
+        "row_id", "home", F.explode(F.sequence(F.lit(0), F.coalesce("parts", F.lit(1)) - 1)).alias("part"), F.lit(True).alias("lives"))
+    return stays.unionByName(guests.join(parts, "home").select("row_id", "home", at.alias("part"), F.lit(False).alias("lives")))
+
+
 def join(docs: DataFrame, threshold: float = THRESHOLD, recall: float = RECALL, block_rows: int = BLOCK_ROWS,
          row_id: str | None = None) -> DataFrame:
     """``row_id, doc_id, class_id, n_links, class_size, kept`` of every document."""
@@ -169,25 +216,24 @@ def join(docs: DataFrame, threshold: float = THRESHOLD, recall: float = RECALL,
         docs, row_id = C.numbered(docs.select("doc_id", "text"), "near-rows")
     signed = C.materialise(signatures(docs, row_id, threshold, recall), "signatures")
     sets = C.materialise(C.equal_groups(signed.drop("bands"), ["set_key"], "row_id", "doc_id"), "sets")
-    reps = C.materialise(sets.where("row_id = keep_row AND n_grams > 0").select("row_id", F.col("group_size").alias("copies"))
+    weight = F.ceil(F.col("n_grams") / F.lit(UNIT_GRAMS)).cast("long")
+    reps = C.materialise(sets.where("row_id = keep_row AND n_grams > 0").select("row_id", F.col("group_size").alias("copies"), weight.alias("weight"))
                          .join(signed.select("row_id", "bands"), "row_id"), "representatives")
-    banded = reps.select("row_id", F.explode("bands").alias("band"))
-    shared = C.materialise(banded.groupBy("band").agg(F.min("row_id").alias("first"), F.count(F.lit(1)).alias("n"))
-                           .where("n > 1").select("band", "first"), "bands")
-    star = banded.join(shared, "band").where("row_id <> first").select(F.col("row_id").alias("a"), F.col("first").alias("b"))
-    cluster = C.connected_components(star, "candidates")
-    sizes = C.materialise(cluster.groupBy("component").agg(F.count(F.lit(1)).alias("n")), "cluster-sizes")
-    members = C.materialise(cluster.join(sizes, "component").withColumnRenamed("node", "row_id")
-                            .join(reps.select("row_id", "copies"), "row_id"), "members")
+    dealt = places(reps, block_rows).groupBy("row_id").agg(
+        F.collect_list("home").alias("homes"), F.collect_list(F.when(F.col("lives"), F.col("part")).otherwise(-1 - F.col("part"))).alias("parts"))
+    dealt = C.materialise(dealt.join(reps.select("row_id", "copies"), "row_id"), "places")
 
     def gram_sets(part: pd.DataFrame) -> pd.DataFrame:
         return part.assign(grams=[grams(t).tobytes() for t in part["text"]]).drop(columns="text")
-    # One join at every size: the planner would broadcast the members of a small corpus only.
-    texts = docs.select(F.col(row_id).alias("row_id"), "text").join(members.hint("merge"), "row_id").select("row_id", "text", "component", "n", "copies")
-    full = texts.mapInPandas(C.per_batch(gram_sets), "row_id long, component long, n long, copies long, grams binary")
-    dealt = C.block_pairs(full, "component", "row_id", F.col("n"), block_rows).drop("n")
-    keys = ["component", "bi", "bj"]
-    checked = (dealt.repartition(*keys).sortWithinPartitions(*keys, "row_id")
+    # One join at every size: the planner would broadcast the places of a small corpus only.
+    texts = docs.select(F.col(row_id).alias("row_id"), "text").join(dealt.hint("merge"), "row_id")
+    full = texts.select("row_id", "text", "copies", "homes", "parts").mapInPandas(
+        C.per_batch(gram_sets), "row_id long, copies long, homes array<long>, parts array<int>, grams binary")
+    full = full.select("row_id", "copies", "grams", F.explode(F.arrays_zip("homes", "parts")).alias("at"))
+    part = F.col("at.parts")
+    full = full.select("row_id", "copies", "grams", F.col("at.homes").alias("home"), F.when(part < 0, -1 - part).otherwise(part).alias("part"), (part >= 0).alias("lives"))
+    keys = ["home", "part"]
+    checked = (full.repartition(*keys).sortWithinPartitions(*keys, "row_id")
                .mapInPandas(C.whole_groups(keys, _verify(threshold)), "row_id long, links long, low long"))
     checked = C.materialise(checked, "verified")
     classes = C.connected_components(checked.where("row_id <> low").select(F.col("row_id").alias("a"), F.col("low").alias("b")), "classes")

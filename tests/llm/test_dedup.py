@@ -5,13 +5,14 @@ import sys
 from collections import Counter
 
 import numpy as np
+import pandas as pd
 import pytest
 
 sys.path.insert(0, os.path.dirname(__file__))
 import brute  # noqa: E402
 from cases import edge_rows  # noqa: E402
 
-from tessera.llm import exact_dedup, near_dup, suffix_dedup, vector_dedup  # noqa: E402
+from tessera.llm import common, exact_dedup, near_dup, suffix_dedup, vector_dedup  # noqa: E402
 
 
 def tally(rows):
@@ -80,6 +81,47 @@ def test_ngram_join_large_near_group(spark):
     assert tally((r.doc_id, r.class_id, r.n_links, r.class_size) for r in got) == tally(brute.near_classes(rows))
 
 
+def boilerplate(n, words, own):
+    """``n`` texts that share a passage of ``words`` words and have ``own`` words of their own."""
+    shared = " ".join(f"s{k}" for k in range(words))
+    return [(i, shared + " " + " ".join(f"d{i}x{k}" for k in range(own))) for i in range(n)]
+
+
+def dealt_rows(spark, rows, block_rows):
+    docs, row_id = common.with_row_id(spark.createDataFrame(rows, "doc_id long, text string").coalesce(2))
+    signed = near_dup.signatures(docs, row_id, near_dup.THRESHOLD, near_dup.RECALL)
+    reps = common.materialise(signed.selectExpr("row_id", "1L AS copies", "1L AS weight", "bands"), "test-reps")
+    return near_dup.places(reps, block_rows).count()
+
+
+def test_ngram_join_shared_passages(spark):
+    """Documents that only share a passage (Jaccard 0.44) hang together over their band mates: nothing links, and no
+    more rows are dealt than there are bands."""
+    rows = boilerplate(400, 62, 38)
+    got = near_dup.join(spark.createDataFrame(rows, "doc_id long, text string"), block_rows=16).collect()
+    assert all(r.kept and r.n_links == 0 for r in got)
+    assert dealt_rows(spark, rows, 16) <= 400 * near_dup.bands_for()[0]
+
+
+def test_ngram_join_deals_a_large_group_in_block_pairs(spark):
+    """Near copies that all link: each home's documents meet each other home's once."""
+    rows = boilerplate(600, 190, 1)
+    blocks = 600 / 32
+    assert dealt_rows(spark, rows, 32) <= 600 * (blocks + 2)
+
+
+def test_least_mates_keep_components(spark):
+    rng = np.random.default_rng(4)
+    links = [(int(a), int(b)) for a, b in rng.integers(0, 300, (260, 2))] + [(i, m) for i in range(400, 700) for m in (400, 405, 410, 415)]
+    edges = spark.createDataFrame(links, "a long, b long")
+    few = [(r.a, r.b) for r in common.least_mates(edges).collect()]
+    assert brute.components(700, few) and len(few) < len(links)
+    name = lambda pairs: [min(k for k, c in enumerate(comp) if c == mine) for comp in [brute.components(700, pairs)] for mine in comp]
+    assert name(few) == name(links)
+    got = {r.node: r.component for r in common.connected_components(edges).collect()}
+    assert all(name(links)[n] == c for n, c in got.items())
+
+
 def ordered_edges():
     """The rows in the operator's order: null ids first, then ids, repeated rows as they come."""
     rows = edge_rows()
@@ -138,6 +180,40 @@ def test_vector_edges(spark):
     assert all(r.kept == (r.vec_id == r.component_id) for r in got if r.vec_id is not None)
 
 
+def test_vector_doubles_of_any_size(spark):
+    """Squares that over- or underflow a double do not keep vectors from linking; nothing else changes."""
+    big, tiny = 1e200, 1e-200
+    rows = [(1, [big, 2 * big], 1), (2, [tiny, 2 * tiny], 1), (3, [1.0, 2.0], 1), (4, [5e-324, 1e-323], 1), (5, [1.7e308, 1.7e308], 1),
+            (6, [1.0, 1.0], 1), (7, [0.0, 0.0], 1), (8, [big, -big], 2), (9, [1e-320, -1e-320], 2)]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>, label int")
+    got = {r.vec_id: (r.n_links, r.component_id) for r in vector_dedup.dedup(df).collect()}
+    assert got == {1: (3, 1), 2: (3, 1), 3: (3, 1), 4: (3, 1), 5: (1, 5), 6: (1, 5), 7: (0, 7), 8: (1, 8), 9: (1, 8)}
+
+
+def test_vector_keys_shared_by_chance():
+    """Equal keys of two labels or widths link nothing across them."""
+    vec = [np.array(v).tobytes() for v in ([1.0, 2.0], [1.0, 2.0], [1.0, 2.0], [1.0, 2.0, 0.0], [1.0, 2.0, 0.0])]
+    rows = pd.DataFrame({"row_id": range(5), "side": 0, "bi": 0, "bj": 0, "copies": 1, "vector": vec, "keys": [[7]] * 5, "key": 7,
+                         "tag": ["a/2", "b/2", "a/2", "a/3", "b/3"]})
+    got = vector_dedup._verify(0.98)(rows, np.array([0, 5]))
+    assert got["links"].tolist() == [1, 0, 1, 0, 0] and got["low"].tolist() == [0, 1, 0, 3, 4]
+
+
+@pytest.mark.parametrize("width,rows", [(16, 10**4), (16, 10**7), (64, 10**4), (64, 10**7), (64, 10**9), (384, 10**7), (384, 3 * 10**10)])
+def test_vector_recall_of_planted_pairs(width, rows):
+    """Pairs at the threshold share a key, with the settings for each size of corpus."""
+    tables, hashes, probes = vector_dedup.parameters_for(rows, width)
+    rng = np.random.default_rng(width + hashes)
+    unit = lambda x: x / np.sqrt((x * x).sum(1, keepdims=True))
+    a = unit(rng.normal(size=(300, width)))
+    side = rng.normal(size=a.shape)
+    side = unit(side - (side * a).sum(1, keepdims=True) * a)
+    b = 0.98 * a + np.sqrt(1 - 0.98**2) * side
+    ka, kb = (vector_dedup.probe_keys(x, tables, hashes, probes) for x in (a, b))
+    met = sum(bool(set(x) & set(y)) for x, y in zip(ka.tolist(), kb.tolist(), strict=True))
+    assert met >= 0.99 * len(a)
+
+
 def test_vector_clusters(spark):
     """Planted clusters around the threshold: links, counts and components as by all pairs; small blocks."""
     rng = np.random.default_rng(5)

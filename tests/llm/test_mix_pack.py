@@ -3,8 +3,10 @@
 import math
 import os
 import sys
+import time
 import zlib
 from collections import Counter, defaultdict
+from concurrent.futures import ThreadPoolExecutor
 
 import numpy as np
 import pytest
@@ -192,6 +194,49 @@ def test_pipeline_edges(spark, edges, nothing):
         assert stage(spark, nothing, SF).count() == 0
 
 
+def test_pipeline_stages_chained(spark, documents):
+    """A stage takes the result of the one before as it is, and what others run meanwhile does not touch its tables."""
+    import corpus_pipeline as P
+    stages = dict(P.STAGES)
+    exact = stages["exact_dedup"](spark, documents, SF)
+    near = stages["near_dup"](spark, exact, SF)
+    other = stages["near_dup"](spark, documents, SF)
+    first = [(r.doc_id, r.text) for r in exact.collect()]
+    want = {r: 1 for r, w in zip(first, brute.near_classes(first), strict=True) if w[0] == w[1]}
+    assert Counter((r.doc_id, r.text) for r in near.collect()) == Counter(want)
+    assert other.count() > 0
+
+
+def test_tables_go_when_nothing_reads_them(spark):
+    exists = lambda path: os.path.exists(path.removeprefix("file:"))
+
+    def settled(*want):
+        """The last plans that ran may be held a little longer."""
+        for _ in range(20):
+            spark.range(10).count()
+            common.delete_unused_tables(spark)
+            if [exists(p) for p in paths] == list(want):
+                return True
+            time.sleep(0.3)
+        return False
+    with common.recorded() as paths:
+        held = common.materialise(spark.range(5), "test-held")
+        derived = common.materialise(spark.range(7), "test-derived").where("id > 2")
+        common.materialise(spark.range(9), "test-loose").count()
+    assert settled(True, True, False)
+    assert held.count() == 5 and derived.count() == 4
+    del held, derived
+    assert settled(False, False, False)
+
+
+def test_pipeline_runs_side_by_side(spark):
+    import corpus_pipeline as P
+    count = lambda df: Counter((r.doc_id, r.start, r.ids_crc32) for r in df.collect())
+    with ThreadPoolExecutor(2) as pool:
+        a, b = [f.result() for f in [pool.submit(P.run, spark, SF) for _ in range(2)]]
+    assert count(a) == count(b) and a.count() > 0
+
+
 def test_packing_in_order(spark, documents, document_rows):
     """Shards are runs of the input's order, and every document is packed once."""
     df = common.materialise(documents.orderBy("doc_id").coalesce(1), "test-ordered")
