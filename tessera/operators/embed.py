@@ -27,7 +27,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tessera.functions.text import words
-from tessera.operators.models import built
+from tessera.operators.models import built, in_batches
 
 DEFAULT_DIM = 384
 EMBED_BATCH = 32
@@ -109,20 +109,21 @@ class PandasEmbedder:
     """Any ``texts -> (n, dim) matrix`` model as an Arrow-batched pandas UDF."""
 
     def __init__(self, factory: Callable[[], Callable[[list[str]], np.ndarray]], dim: int,
-                 batch_size: int = EMBED_BATCH):
-        self.factory, self.dim, self.batch_size = factory, dim, batch_size
+                 batch_size: int = EMBED_BATCH, budget: int | None = None):
+        """``budget``: words of a batch, texts sorted by length, instead of ``batch_size`` texts."""
+        self.factory, self.dim, self.batch_size, self.budget = factory, dim, batch_size, budget
         self.key = uuid.uuid4().hex
 
     def column(self, text) -> Column:
-        factory, dim, bs, key = self.factory, self.dim, self.batch_size, self.key
+        factory, dim, bs, key, budget = self.factory, self.dim, self.batch_size, self.key, self.budget
 
         @F.pandas_udf("array<float>")
         def enc(it: Iterator[pd.Series]) -> Iterator[pd.Series]:
             model = built(key, factory)
             for s in it:
                 texts = s.fillna("").tolist()
-                parts = [np.asarray(model(texts[i:i + bs]), dtype=np.float64) for i in range(0, len(texts), bs)]
-                m = np.vstack(parts) if parts else np.zeros((0, dim))
+                rows = in_batches(lambda part: np.asarray(model(part), dtype=np.float64), [texts], bs, budget)
+                m = np.vstack(rows) if rows else np.zeros((0, dim))
                 if m.shape[1] != dim:
                     raise ValueError(f"model returned width {m.shape[1]}, expected {dim}")
                 yield _series_of_rows(_normalise_f32(m))

@@ -26,7 +26,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tessera.functions.text import WS_CLASS, words
-from tessera.operators.models import PandasTextModel  # noqa: F401  (part of this module's surface)
+from tessera.operators.models import PandasTextModel, windows
 
 # The reference's summary limits (single text, batch over chunks) and its texts for
 # "nothing retrieved", "no such document" and "neither text (context) nor document given".
@@ -286,6 +286,51 @@ def resolve_text(requests: DataFrame, doc_text: DataFrame, key: str = "request_i
         .when(~has_doc, F.lit(no_input)).alias("error"))
 
 
+# Merge rules for models whose input is shorter than a text (``PandasTextModel(window=...)``).
+
+def best_answer(parts, call) -> dict:
+    """The answer with the highest confidence, the earliest on ties, with its offsets in the whole text."""
+    def place(part):
+        start, out = part
+        return -(out["confidence"] or 0.0), start + (out["start_position"] or 0)
+    start, out = min(parts, key=place)
+    shift = lambda at: None if at is None else at + start
+    return {**out, "start_position": shift(out["start_position"]), "end_position": shift(out["end_position"])}
+
+
+def joined_entities(parts, call) -> list[dict]:
+    """The entities of all windows with their offsets in the whole text.  One that two windows see counts once; of those of a
+    label that overlap across a seam, the longest stays (the others are what a window's edge left of it)."""
+    seen = {}
+    for start, found in parts:
+        for e in found:
+            seen.setdefault((e["label"], e["start_position"] + start, e["end_position"] + start), e)
+    out, reach = [], {}
+    for (label, a, b), e in sorted(seen.items(), key=lambda x: (x[0][0], x[0][1], -x[0][2])):   # by label and place
+        last = reach.get(label)
+        if last is None or a >= last["end_position"]:
+            reach[label] = {**e, "start_position": a, "end_position": b}
+            out.append(reach[label])
+        elif b - a > last["end_position"] - last["start_position"]:
+            last |= {**e, "start_position": a, "end_position": b}
+    return sorted(out, key=lambda e: (e["start_position"], e["label"]))
+
+
+def summary_of_summaries(size: int, overlap: int = 0):
+    """A merge rule: the windows' summaries, in order, are summarised again, by windows while they are longer than ``size`` words
+    (and as long as that makes them shorter)."""
+    def merge(parts, call) -> dict:
+        text = " ".join(out["summary"] for _, out in parts)
+        while len(text.split()) > size:
+            shorter = " ".join(out["summary"] for out in call([piece for _, piece in windows(text, size, overlap)]))
+            if len(shorter.split()) >= len(text.split()):
+                text = " ".join(text.split()[:size])
+                break
+            text = shorter
+        return call([text])[0]
+    return merge
+
+
 # Batch task registry over a chunks table (MD-8): task name -> operator.  An unknown task
 # raises before any job starts.
 def _task_embeddings(chunks: DataFrame) -> DataFrame:

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from tessera.functions.text import WS_CLASS, iso_timestamp
 from tessera.operators import chunking, embed as E, knn as K, nlp
 from tessera.plans import fixtures as fx
-from tessera.plans.catalog import register
+from tessera.plans.catalog import ORACLES, register
 from tessera.plans.fixtures import WORDS_SQL, _fmt, sql_with
 from tessera.plans.q_tables import hash_sql
 
@@ -199,6 +199,73 @@ def extract_entities(spark, sf_dir):
     return nlp.extract_entities(fx.doc(spark, sf_dir), "document_id", "text")
 
 
+# ------------------------------------------------------------------------------ models with a limited input
+
+WINDOW, OVERLAP, BUDGET = 200, 32, 4096   # words: the model's longest input, what windows share, a batch
+
+
+def _limited(rule):
+    """The default rule as a model that takes no more than ``WINDOW`` words."""
+    def factory():
+        def model(*inputs):
+            if any(len(t.split()) > WINDOW for t in inputs[-1]):
+                raise ValueError(f"more than {WINDOW} words")
+            return [rule(*row) for row in zip(*inputs, strict=True)]
+        return model
+    return factory
+
+
+@register("entities_windowed", ORACLES["extract_entities"])
+def entities_windowed(spark, sf_dir):
+    """Entities by a model that sees ``WINDOW`` words at a time: the same as over whole texts."""
+    def rule(text):
+        return [dict(zip(("text", "label", "confidence", "start_position", "end_position"), e, strict=True)) for e in nlp.entities_of(text)]
+    model = nlp.PandasTextModel(_limited(rule), nlp.ENTITY_SCHEMA.replace("key", "document_id", 1), many=True, window=WINDOW, overlap=OVERLAP,
+                                merge=nlp.joined_entities, budget=BUDGET)
+    return nlp.extract_entities(fx.doc(spark, sf_dir), "document_id", "text", model)
+
+
+@register("answer_windowed")
+def answer_windowed(spark, sf_dir):
+    """Each question asked of its document by a model that sees ``WINDOW`` words: the best answer of all windows, with its
+    offsets in the whole text."""
+    def rule(question, context):
+        return dict(zip(("answer", "confidence", "start_position", "end_position"), nlp.answer_of(question, context), strict=True))
+    model = nlp.PandasTextModel(_limited(rule), "question_id long, answer string, confidence double, start_position int, end_position int",
+                                window=WINDOW, overlap=OVERLAP, merge=nlp.best_answer, budget=BUDGET)
+    asked = fx.questions(spark, sf_dir).join(fx.accepted_text(spark, sf_dir), "document_id")
+    return nlp.answer(asked, "question_id", context="text", model=model)
+
+
+@register("summarize_windowed")
+def summarize_windowed(spark, sf_dir):
+    """Summaries of whole documents by a model that sees ``WINDOW`` words: summaries of the windows, summarised again."""
+    def rule(text):
+        return {"summary": nlp.summary_of(text, 60, 10)[0]}
+    model = nlp.PandasTextModel(_limited(rule), "document_id string, summary string", window=WINDOW, overlap=OVERLAP,
+                                merge=nlp.summary_of_summaries(WINDOW, OVERLAP), budget=BUDGET)
+    return _round_ratio(nlp.summarize(fx.accepted_text(spark, sf_dir), model=model))
+
+
+# ------------------------------------------------------------------------------ the batch method over chunks, by task
+
+@register("batch_task_summarization", ORACLES["summarize_chunks"])
+def batch_task_summarization(spark, sf_dir):
+    return _round_ratio(nlp.batch_process_chunks(fx.stored_chunks(spark, sf_dir), "summarization"))
+
+
+@register("batch_task_ner", sql_with("stored_chunks").rstrip() + "," + entities_sql("stored_chunks", "chunk_id", "content") + """
+SELECT k AS chunk_id, text, label, 1.0::DOUBLE AS confidence, start_position, end_position FROM ents""")
+def batch_task_ner(spark, sf_dir):
+    return nlp.batch_process_chunks(fx.stored_chunks(spark, sf_dir), "ner")
+
+
+@register("batch_task_embeddings", sql_with("stored_chunks").rstrip() + "," + hash_sql("stored_chunks") + """
+SELECT chunk_id, bucket, round(w, 6) AS weight FROM lf""")
+def batch_task_embeddings(spark, sf_dir):
+    return E.long_form(nlp.batch_process_chunks(fx.stored_chunks(spark, sf_dir), "embeddings"))
+
+
 @register("entity_mentions", sql_with("doc_raw", "doc") + "SELECT document_id, label, text, count(*) AS n FROM (" +
           "\n UNION ALL ".join(
               f"SELECT document_id, '{label}' AS label, unnest(regexp_extract_all(text, '{_sql_str(p)}')) AS text FROM doc"

@@ -1,10 +1,15 @@
 """Default text-model rules checked against plain-Python brute force on small inputs."""
 
+import random
 import re
+import sys
 
+import numpy as np
 import pytest
+from pyspark import cloudpickle
 
-from tessera.operators import nlp
+from tessera.operators import embed as E
+from tessera.operators import models, nlp
 
 TEXTS = [
     ("d1", "The cat sat. The cat ran! A dog barked?  Then the cat slept.\nNew line here"),
@@ -196,3 +201,104 @@ def test_hashing_udf_equals_jvm_rule(spark):
     for r in rows:
         c = np.bincount(np.asarray(r.b, dtype=np.int64), minlength=384).astype(np.float64)
         assert np.allclose(np.asarray(r.e), (c / np.linalg.norm(c)).astype(np.float32), atol=0)
+
+
+# ---- models with a limited input
+
+cloudpickle.register_pickle_by_value(sys.modules[__name__])   # workers cannot import this file
+
+def limited(rule, size):
+    """A model that refuses more words than its input holds."""
+    def model(*inputs):
+        assert all(len(t.split()) <= size for t in inputs[-1])
+        return [rule(*row) for row in zip(*inputs, strict=True)]
+    return lambda: model
+
+
+def _answer(q, c):
+    a, conf, s, e = nlp.answer_of(q, c)
+    return {"answer": a, "confidence": conf, "start_position": s, "end_position": e}
+
+
+def _entities(t):
+    return [dict(zip(("text", "label", "confidence", "start_position", "end_position"), e, strict=True)) for e in nlp.entities_of(t)]
+
+
+def _summary(t):
+    return {"summary": nlp.summary_of(t, 12, 3)[0]}
+
+
+def long_texts():
+    rng = random.Random(4)
+    some = ["alpha", "beta", "gamma", "delta", "mail me@b.org now", "call 555-123-4567", "at 10.0.0.7", "4111 1111 1111 1111", "end."]
+    return [" ".join(rng.choice(some) for _ in range(n)) for n in (0, 1, 5, 30, 39, 41, 80, 333, 2000)] + ["  spaced \n\n out  ", "x. " * 500]
+
+
+def test_windows_hold_every_short_run_of_words():
+    for text in long_texts():
+        for size, overlap in ((40, 8), (7, 0), (5, 4)):
+            got = models.windows(text, size, overlap)
+            assert all(text[s:s + len(p)] == p and len(p.split()) <= size or p == text for s, p in got)
+            words = [m.span() for m in re.finditer(r"\S+", text)]
+            for i in range(len(words) - max(overlap, 1) + 1):
+                a, b = words[i][0], words[i + max(overlap, 1) - 1][1]
+                assert any(s <= a and b <= s + len(p) for s, p in got)
+    with pytest.raises(ValueError):
+        models.windows("a b", 3, 3)
+
+
+def test_budget_batches_waste_little_padding():
+    rng = np.random.default_rng(1)
+    lengths = np.minimum(512, rng.lognormal(4.5, 0.9, 4000).astype(int) + 1).tolist()
+    cuts = models.budget_batches(lengths, 4096)
+    assert sorted(i for c in cuts for i in c) == list(range(4000))
+    assert all(len(c) * max(lengths[i] for i in c) <= 4096 for c in cuts)
+    padded = lambda groups: sum(len(c) * max(lengths[i] for i in c) for c in groups)
+    fixed = [range(a, min(a + 32, 4000)) for a in range(0, 4000, 32)]
+    assert 1 - sum(lengths) / padded(cuts) < 0.10 < 1 - sum(lengths) / padded(fixed)
+
+
+def test_budget_keeps_outputs_in_order(spark):
+    texts = [(i, "w " * (i * 7 % 23)) for i in range(60)] + [(60, None)]
+    df = spark.createDataFrame(texts, "id long, content string")
+    def factory():
+        return lambda ts: np.array([[len(t.split()) + 1.0, 1.0] for t in ts])
+    one, other = (E.PandasEmbedder(factory, 2, **kw).column("content") for kw in ({}, {"budget": 50}))
+    rows = df.select("id", one.alias("a"), other.alias("b")).collect()
+    assert len(rows) == 61 and all(r.a == r.b for r in rows)
+
+
+def test_limited_models_over_long_texts(spark):
+    """Texts that fit go in whole; longer ones give the best answer, each entity once and a summary of summaries."""
+    texts, size, overlap = long_texts(), 40, 8
+    df = spark.createDataFrame([(i, "where is gamma and delta now", t) for i, t in enumerate(texts)], "id long, question string, text string")
+    qa = nlp.PandasTextModel(limited(_answer, size), "id long, answer string, confidence double, start_position int, end_position int",
+                             window=size, overlap=overlap, merge=nlp.best_answer, budget=200)
+    ner = nlp.PandasTextModel(limited(_entities, size), "id long, text string, label string, confidence double, start_position int, end_position int",
+                              many=True, window=size, overlap=overlap, merge=nlp.joined_entities)
+    short = nlp.PandasTextModel(limited(_summary, size), "id long, summary string", window=size, overlap=overlap, merge=nlp.summary_of_summaries(size, overlap))
+    answers = {r.id: r for r in nlp.answer(df, "id", context="text", model=qa).collect()}
+    found = {}
+    for r in nlp.extract_entities(df, "id", model=ner).collect():
+        found.setdefault(r.id, []).append((r.text, r.label, r.confidence, r.start_position, r.end_position))
+    summaries = {r.id: r.summary for r in nlp.summarize(df, "id", model=short).collect()}
+    for i, t in enumerate(texts):
+        parts = models.windows(t, size, overlap)
+        scored = [(-a["confidence"], s + (a["start_position"] or 0), s, a) for s, p in parts for a in [_answer("where is gamma and delta now", p)]]
+        _, _, s, best = min(scored, key=lambda x: x[:2])
+        at = best["start_position"]
+        assert (answers[i].answer, answers[i].confidence, answers[i].start_position) == (best["answer"], best["confidence"], None if at is None else at + s)
+        if at is not None:
+            assert t[answers[i].start_position:answers[i].end_position] == answers[i].answer
+        assert sorted(found.get(i, []), key=lambda e: (e[3], e[1])) == sorted(nlp.entities_of(t), key=lambda e: (e[3], e[1]))
+        if len(parts) == 1:
+            assert summaries[i] == _summary(t)["summary"]
+        else:
+            text = " ".join(_summary(p)["summary"] for _, p in parts)
+            while len(text.split()) > size:
+                shorter = " ".join(_summary(p)["summary"] for _, p in models.windows(text, size, overlap))
+                if len(shorter.split()) >= len(text.split()):
+                    text = " ".join(text.split()[:size])
+                    break
+                text = shorter
+            assert summaries[i] == _summary(text)["summary"] and len(summaries[i].split()) <= size
