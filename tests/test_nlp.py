@@ -215,16 +215,16 @@ def limited(rule, size):
     return lambda: model
 
 
-def _answer(q, c):
+def limited_answer(q, c):
     a, conf, s, e = nlp.answer_of(q, c)
     return {"answer": a, "confidence": conf, "start_position": s, "end_position": e}
 
 
-def _entities(t):
+def limited_entities(t):
     return [dict(zip(("text", "label", "confidence", "start_position", "end_position"), e, strict=True)) for e in nlp.entities_of(t)]
 
 
-def _summary(t):
+def limited_summary(t):
     return {"summary": nlp.summary_of(t, 12, 3)[0]}
 
 
@@ -272,11 +272,11 @@ def test_limited_models_over_long_texts(spark):
     """Texts that fit go in whole; longer ones give the best answer, each entity once and a summary of summaries."""
     texts, size, overlap = long_texts(), 40, 8
     df = spark.createDataFrame([(i, "where is gamma and delta now", t) for i, t in enumerate(texts)], "id long, question string, text string")
-    qa = nlp.PandasTextModel(limited(_answer, size), "id long, answer string, confidence double, start_position int, end_position int",
+    qa = nlp.PandasTextModel(limited(limited_answer, size), "id long, answer string, confidence double, start_position int, end_position int",
                              window=size, overlap=overlap, merge=nlp.best_answer, budget=200)
-    ner = nlp.PandasTextModel(limited(_entities, size), "id long, text string, label string, confidence double, start_position int, end_position int",
+    ner = nlp.PandasTextModel(limited(limited_entities, size), "id long, text string, label string, confidence double, start_position int, end_position int",
                               many=True, window=size, overlap=overlap, merge=nlp.joined_entities)
-    short = nlp.PandasTextModel(limited(_summary, size), "id long, summary string", window=size, overlap=overlap, merge=nlp.summary_of_summaries(size, overlap))
+    short = nlp.PandasTextModel(limited(limited_summary, size), "id long, summary string", window=size, overlap=overlap, merge=nlp.summary_of_summaries(size, overlap))
     answers = {r.id: r for r in nlp.answer(df, "id", context="text", model=qa).collect()}
     found = {}
     for r in nlp.extract_entities(df, "id", model=ner).collect():
@@ -284,7 +284,7 @@ def test_limited_models_over_long_texts(spark):
     summaries = {r.id: r.summary for r in nlp.summarize(df, "id", model=short).collect()}
     for i, t in enumerate(texts):
         parts = models.windows(t, size, overlap)
-        scored = [(-a["confidence"], s + (a["start_position"] or 0), s, a) for s, p in parts for a in [_answer("where is gamma and delta now", p)]]
+        scored = [(-a["confidence"], s + (a["start_position"] or 0), s, a) for s, p in parts for a in [limited_answer("where is gamma and delta now", p)]]
         _, _, s, best = min(scored, key=lambda x: x[:2])
         at = best["start_position"]
         assert (answers[i].answer, answers[i].confidence, answers[i].start_position) == (best["answer"], best["confidence"], None if at is None else at + s)
@@ -292,13 +292,13 @@ def test_limited_models_over_long_texts(spark):
             assert t[answers[i].start_position:answers[i].end_position] == answers[i].answer
         assert sorted(found.get(i, []), key=lambda e: (e[3], e[1])) == sorted(nlp.entities_of(t), key=lambda e: (e[3], e[1]))
         if len(parts) == 1:
-            assert summaries[i] == _summary(t)["summary"]
+            assert summaries[i] == limited_summary(t)["summary"]
         else:
-            text = " ".join(_summary(p)["summary"] for _, p in parts)
+            text = " ".join(limited_summary(p)["summary"] for _, p in parts)
             while len(text.split()) > size:
-                shorter = " ".join(_summary(p)["summary"] for _, p in models.windows(text, size, overlap))
+                shorter = " ".join(limited_summary(p)["summary"] for _, p in models.windows(text, size, overlap))
                 if len(shorter.split()) >= len(text.split()):
                     text = " ".join(text.split()[:size])
                     break
                 text = shorter
-            assert summaries[i] == _summary(text)["summary"] and len(summaries[i].split()) <= size
+            assert summaries[i] == limited_summary(text)["summary"] and len(summaries[i].split()) <= size
