@@ -8,7 +8,8 @@ not, the chunk's rank among the different contents joins the identifier.  Docume
 compared by recipe alone, so each text moves once, as chunks, and never again.
 
 Defined cases: null text = empty text; empty texts equal each other; null doc_ids lose against any
-other and tie among themselves; of repeated rows one stays; other columns are ignored.
+other and tie among themselves; of repeated rows one stays; a text of any length is cut whole, and only its chunk
+names leave the scan; an empty table gives no rows; other columns are ignored.
 """
 
 from __future__ import annotations

@@ -16,7 +16,8 @@ each range, so a source with a third of all rows is many ranges.  A document cou
 least 1, so that empty texts advance too).
 
 Defined cases: null text = empty text; null source is a source of its own; null doc_id is kept; repeated
-rows take part each; one source or an empty table: alpha = 1 or no rows; other columns pass through
+rows take part each; a text longer than a block is one document of one block; one source or an empty table:
+alpha = 1 or no rows; other columns pass through
 ``mix`` untouched.
 """
 

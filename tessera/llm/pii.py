@@ -18,9 +18,10 @@ The sample is drawn from one half of the ids; thresholds come from score bins co
 Calibrating and searching each read whole texts in one narrow pass.
 
 Defined cases: null text = empty text; null doc_id is kept (never in the sample); repeated rows are
-searched each; a kind without base spans in the
-sample or the held-out half has nothing to learn from and none is added; digits without a prefix or separator are no phone; time is linear in a text's length (patterns
-are possessive or bounded); other columns are ignored.
+searched each; a kind without base spans in the sample or the held-out half has nothing to learn from and none is
+added; digits without a prefix or separator are no phone; whole texts are read, in time linear in their length
+(patterns are possessive or bounded; one text gives at most ``MOST_SPANS`` spans and ``MOST_ROWS`` rows to the fit); an
+address longer than one can be is no candidate; an empty table gives no rows; other columns are ignored.
 """
 
 from __future__ import annotations

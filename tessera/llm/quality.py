@@ -8,7 +8,8 @@ id); scoring reads every row and whole texts.  Inputs of a score come from the t
 Defined cases: a null text counts as empty and is scored like any other (all statistics 0); a null
 doc_id is held out (it has no remainder) and is scored; label rows that are null, or name a document
 twice with different labels, are left out of the fit; no usable label: every score is 0.5-like
-(the smoothed share of label 1 among none); repeated rows are scored each; other columns are ignored.
+(the smoothed share of label 1 among none); repeated rows are scored each; texts are read
+whole; an empty table gives no rows; other columns are ignored.
 """
 
 from __future__ import annotations

@@ -11,7 +11,8 @@ yields one row a part and never pairs.  A part that overlaps a strong span is no
 
 Defined cases: null text = empty text: counts 0, empty span list, hash of the empty string; null doc_id
 is kept; repeated rows are scanned each; whole texts are read, time is linear in their length (each
-pattern starts at a fixed string, at a bounded run or is possessive); other columns are ignored.
+pattern starts at a fixed string, at a bounded run or is possessive); an empty table gives no rows; other
+columns are ignored.
 """
 
 from __future__ import annotations

@@ -123,7 +123,7 @@ def check_pack(pieces, rows, sequence):
         assert at == sequence or (at < sequence and at & (at - 1) == 0)
 
 
-@pytest.mark.parametrize("options", [{}, {"shard_tokens": 5000, "sequence": 256, "window": 4}])
+@pytest.mark.parametrize("options", [{}, {"shard_tokens": 5000, "sequence": 256, "window": 4}, {"in_order": True, "shard_tokens": 3000}])
 def test_packing(edges, documents, document_rows, options):
     check_pack(packing.pack(edges, **options).collect(), edge_rows(), options.get("sequence", 2048))
     check_pack(packing.pack(documents, **options).collect(), document_rows, options.get("sequence", 2048))
@@ -237,6 +237,18 @@ def test_pipeline_runs_side_by_side(spark):
     assert count(a) == count(b) and a.count() > 0
 
 
+def test_pipeline_row_stages_on_edge_rows(spark, edges):
+    """Quality keeps or drops whole rows, mixing uses each at least once, packing packs all of them; columns pass through."""
+    import corpus_pipeline as P
+    stages, rows = dict(P.STAGES), Counter(edge_rows())
+    pair = lambda df: Counter((r.doc_id, r.text) for r in df.select("doc_id", "text").collect())
+    kept = stages["quality"](spark, edges, SF)
+    assert kept.columns == edges.columns and not pair(kept) - rows
+    mixed = common.materialise(stages["mixing"](spark, edges, SF), "test-edges")
+    assert mixed.columns == edges.columns and not rows - pair(mixed) and set(pair(mixed)) == set(rows)
+    check_pack(stages["packing"](spark, mixed, SF).collect(), list(pair(mixed).elements()), 2048)
+
+
 def test_packing_in_order(spark, documents, document_rows):
     """Shards are runs of the input's order, and every document is packed once."""
     df = common.materialise(documents.orderBy("doc_id").coalesce(1), "test-ordered")
