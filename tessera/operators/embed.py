@@ -145,9 +145,10 @@ def embed_chunks(chunks: DataFrame, embedder=None, text_col: str = "content") ->
 
 def long_form(df: DataFrame, key: str = "chunk_id") -> DataFrame:
     """``key, bucket, weight``: non-zero entries of the stored float32 vector, as double."""
-    x = df.select(key, F.posexplode("embedding").alias("bucket", "w")).where(F.col("w") != 0)
-    return x.select(key, F.col("bucket").cast("int").alias("bucket"),
-                    F.round(F.col("w").cast("double"), 6).alias("weight"))
+    pairs = F.transform("embedding", lambda w, i: F.struct(i.alias("bucket"), w.alias("w")))
+    x = df.select(key, F.explode(F.filter(pairs, lambda p: p["w"] != 0)).alias("p"))   # zeros never become rows
+    return x.select(key, F.col("p.bucket").cast("int").alias("bucket"),
+                    F.round(F.col("p.w").cast("double"), 6).alias("weight"))
 
 
 def vector_summary(df: DataFrame) -> DataFrame:
