@@ -25,13 +25,15 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tessera.sources.blocks import Blocks
+from tessera.session import bound_batches
+from tessera.sources.blocks import Blocks, estimated_bytes
 
 VECTOR_BLOCK_BYTES = 32 << 20
 
 KNN_SCHEMA = "query_id long, vector_index_id long, score double"
 SCORE_DECIMALS = 10
-SCORE_CELLS = 32_000_000
+SCORE_CELLS = 1_000_000    # scores of one product: 8 MB, whatever the sizes of block and batch
+SCORE_QUERIES = 512        # queries scored together
 BITMAP_BITS = 8 * 4096   # of one bitmap of Spark's bitmap functions
 
 
@@ -105,26 +107,33 @@ def _score_blocks(q_ids, q_mat, batches, k: int, allowed=None):
     ``allowed(first, last)``: optional mask (queries x vectors of this slice) of the pairs that count."""
     acc_q, acc_i, acc_s = [], [], []
     pending = 0
-    # Bound each score matrix to SCORE_CELLS entries (~256 MB of float64) by slicing the vectors.
+    floor = np.full(len(q_ids), -np.inf)   # the k-th best score so far: what is below cannot enter
+    # Bound each score matrix to SCORE_CELLS entries by slicing the vectors.
     step = max(1, SCORE_CELLS // max(1, len(q_ids)))
     for v_ids, v_mat in batches:
         for a in range(0, len(v_ids), step):
             part = v_ids[a:a + step]
             # Rounded to 1e-10 so equal vectors tie exactly whatever the summation order.
-            s = np.round(q_mat @ v_mat[a:a + step].T.astype(np.float64), SCORE_DECIMALS)
+            s = q_mat @ v_mat[a:a + step].T.astype(np.float64)
+            np.round(s, SCORE_DECIMALS, out=s)
             if allowed is not None:
-                s = np.where(allowed(a, a + step), s, -np.inf)
-            qi, ci = _batch_candidates(s, k)
+                s[~allowed(a, a + step)] = -np.inf
+            qi, ci = np.nonzero(s >= floor[:, None])
+            if len(qi) > 4 * k * len(q_ids):
+                qi, ci = _batch_candidates(s, k)
             sc = s[qi, ci]
             real = sc > -np.inf
             acc_q.append(qi[real])
             acc_i.append(part[ci[real]])
             acc_s.append(sc[real])
             pending += len(acc_q[-1])
-            if pending > 8 * k * len(q_ids) + 100_000:
+            if pending > 2 * k * len(q_ids):
                 m = _merge_topk(np.concatenate(acc_q), np.concatenate(acc_i), np.concatenate(acc_s), k)
                 acc_q, acc_i, acc_s = [m[0]], [m[1]], [m[2]]
                 pending = len(m[0])
+                full, last = np.bincount(m[0], minlength=len(q_ids)) == k, np.full(len(q_ids), -np.inf)
+                last[m[0]] = m[2]   # in order: a query's last one stays
+                floor = np.where(full, last, -np.inf)
     if not acc_q:
         return None
     qi, ids, sc = _merge_topk(np.concatenate(acc_q), np.concatenate(acc_i), np.concatenate(acc_s), k)
@@ -142,8 +151,8 @@ def _final_rank(cands: DataFrame, k) -> DataFrame:
 def _block_count(vectors: DataFrame, block_bytes: int) -> int:
     """Blocks for a vector table, from the planner's size estimate (no job runs)."""
     spark = vectors.sparkSession
-    size = int(vectors._jdf.queryExecution().optimizedPlan().stats().sizeInBytes())  # noqa: SLF001
-    if size > 1 << 60:   # no estimate: as many blocks as the cluster's shuffles have partitions
+    size = estimated_bytes(vectors)
+    if size is None:   # no estimate: as many blocks as the cluster's shuffles have partitions
         return int(spark.conf.get("spark.sql.shuffle.partitions"))
     return max(spark.sparkContext.defaultParallelism, math.ceil(size / block_bytes))
 
@@ -157,9 +166,11 @@ def _runs(pdf: pd.DataFrame):
 
 
 def _score_partition(dim: int | None):
-    """Scores a partition sorted by (vb, tag): vectors (tag 0) of a block, then its queries (tag 1)."""
+    """Scores a partition sorted by (vb, tag): vectors (tag 0) of a block, then its queries (tag 1); where vectors bear
+    documents, a filter's bitmaps (``bitmap`` not null) come before the queries of that filter (``filter``)."""
     def run(batches):
-        block, held, ids, mat, docs = None, [], None, None, None
+        block, held, ids, mat = None, [], None, None
+        column, names, masks = None, 0, {}
         for pdf in batches:
             if not len(pdf):
                 continue
@@ -167,58 +178,65 @@ def _score_partition(dim: int | None):
                 if tag == 0:
                     if vb != block:
                         block, held, mat = vb, [], None
-                    held.append((_matrix(rows["v"], np.arange(len(rows)), dim, np.float32), rows))
+                    at, m = _matrix(rows["v"], np.arange(len(rows)), dim, np.float32)
+                    docs = rows["doc"].to_numpy(object) if "doc" in rows else None
+                    held.append((rows["id"].to_numpy(np.int64)[at], m, docs, at))   # the rows themselves keep their whole batch
                     continue
                 if vb != block:
                     continue     # a block without vectors
                 if mat is None:
-                    widths = {m.shape[1] for (at, m), _ in held if len(at)}
+                    widths = {m.shape[1] for i, m, _, _ in held if len(i)}
                     if len(widths) > 1:
                         raise ValueError(f"stored vectors have widths {sorted(widths)}")
-                    ids = np.concatenate([r["id"].to_numpy(np.int64)[at] for (at, _), r in held])
-                    mat = np.concatenate([m for (at, m), _ in held if len(at)]) if len(ids) else np.zeros((0, 0), np.float32)
+                    ids = np.concatenate([i for i, _, _, _ in held])
+                    mat = np.concatenate([m for i, m, _, _ in held if len(i)]) if len(ids) else np.zeros((0, 0), np.float32)
                     if "doc" in rows:
-                        docs = np.concatenate([r["doc"].to_numpy(object)[at] for (at, _), r in held])
-                        names = sorted({d for _, r in held for d in r["doc"] if d is not None})
+                        code = {d: i for i, d in enumerate(sorted({d for _, _, docs, _ in held for d in docs if d is not None}))}
+                        column = np.array([code.get(d, -1) for _, _, docs, at in held for d in docs[at]], np.int64)
+                        names, masks = len(code), {}
                     held = []
                 if not len(ids):
                     continue
-                at, q = _matrix(rows["q"], np.arange(len(rows)), mat.shape[1], np.float64)
-                if not len(at):
-                    continue
-                k = rows["k"].to_numpy(np.int64)[at]
-                allowed = None
-                if docs is not None:
-                    code = {d: i for i, d in enumerate(names)}
-                    column = np.array([code.get(d, -1) for d in docs])
-                    may = _allowed_bits(rows["bits"].iloc[at], len(code))
-                    allowed = lambda a, b: may[:, column[a:b]]  # noqa: B023, E731
-                out = _score_blocks(rows["id"].to_numpy(np.int64)[at], _normalise_rows(q), [(ids, mat)], int(k.max()), allowed)
-                if out is not None:
-                    yield out
+                may, which = None, None
+                if column is not None:
+                    of = rows["filter"].to_numpy(np.int64)
+                    maps = rows["bitmap"].notna().to_numpy()
+                    _read_bitmaps(masks, of[maps], rows[maps], names)
+                    rows, of = rows[~maps], of[~maps]
+                    here, which = np.unique(of, return_inverse=True)
+                    may = [masks[f] for f in here.tolist()]
+                for a in range(0, len(rows), SCORE_QUERIES):
+                    part = rows.iloc[a:a + SCORE_QUERIES]
+                    at, q = _matrix(part["q"], np.arange(len(part)), mat.shape[1], np.float64)
+                    if not len(at):
+                        continue
+                    allowed = None
+                    if may is not None:
+                        own = np.stack([may[i] for i in which[a:a + SCORE_QUERIES][at]])
+                        allowed = lambda x, y: own[:, column[x:y]]  # noqa: B023, E731
+                    k = int(part["k"].to_numpy(np.int64)[at].max())
+                    out = _score_blocks(part["id"].to_numpy(np.int64)[at], _normalise_rows(q), [(ids, mat)], k, allowed)
+                    if out is not None:
+                        yield out
+                if masks:   # the last filter's rows may go on in the next batch
+                    last = max(masks)
+                    masks = {last: masks[last]}
     return run
 
 
-def _allowed_bits(bitmaps, n: int) -> np.ndarray:
-    """(queries, n + 1) bool: which of a block's ``n`` documents each query may match; the last column is for none.  Equal
-    bitmaps, as queries with one filter have, are read once."""
-    rows, known = [], {}
-    for parts in bitmaps:
-        key = tuple((p["number"], bytes(p["bitmap"])) for p in parts)
-        if key not in known:
-            may = np.zeros(n + 1, bool)
-            for number, bitmap in key:   # 32,768 documents each
-                first = (number - 1) * BITMAP_BITS
-                bits = np.unpackbits(np.frombuffer(bitmap, np.uint8), bitorder="little")[:max(0, n - first)]
-                may[first:first + len(bits)] = bits
-            known[key] = may
-        rows.append(known[key])
-    return np.stack(rows) if rows else np.zeros((0, n + 1), bool)
-
-
-def _block_plan(vrows: DataFrame, qrows: DataFrame, dim: int | None) -> DataFrame:
+def _read_bitmaps(masks: dict[int, np.ndarray], filters: np.ndarray, rows: pd.DataFrame, n: int) -> None:
+    """Put into ``masks`` per filter which of a block's ``n`` documents it lets through; a last place is for none."""
+    for f, number, bitmap in zip(filters.tolist(), rows["number"], rows["bitmap"], strict=True):
+        may = masks.setdefault(f, np.zeros(n + 1, bool))
+        first = (int(number) - 1) * BITMAP_BITS   # 32,768 documents each; what is cut off is zero
+        bits = np.unpackbits(np.frombuffer(bitmap, np.uint8), bitorder="little")[:max(0, n - first)]
+        may[first:first + len(bits)] = bits
+
+
+def _block_plan(vrows: DataFrame, qrows: DataFrame, dim: int | None, *order: Column) -> DataFrame:
+    bound_batches(vrows.sparkSession)
     rows = vrows.unionByName(qrows, allowMissingColumns=True)
-    return (rows.repartition("vb").sortWithinPartitions("vb", "tag", "id")
+    return (rows.repartition("vb").sortWithinPartitions("vb", "tag", *order, "id")
             .mapInPandas(_score_partition(dim), KNN_SCHEMA))
 
 
@@ -238,6 +256,7 @@ def _knn_in_place(queries: DataFrame, blocks: Blocks, k: int | str, query_id: st
     q = queries.select(F.explode(numbers).alias("vb"), F.lit(1).alias("tag"), F.col(query_id).cast("long").alias("id"),
                        F.lit(None).cast("array<float>").alias("v"), F.col("embedding").cast("array<double>").alias("q"), kk.alias("k"))
     rows = blocks.rows.union(q.repartition(len(blocks.numbers), "vb"))
+    bound_batches(queries.sparkSession)
     order = F.row_number().over(Window.partitionBy("vb").orderBy("tag", "id"))
     cands = rows.withColumn("at", order).mapInPandas(_score_partition(dim), KNN_SCHEMA)
     if isinstance(k, int):
@@ -355,28 +374,38 @@ def prefiltered_knn(queries: DataFrame, allowed: DataFrame, vectors: DataFrame,
 
     ``allowed``: ``query_id, document_id``; or, with ``sets`` (``set_id, document_id``), ``query_id, set_id``: the sets
     whose documents a query may match, so that queries with one filter share it.  Scored in blocks like ``knn``.  A block
-    numbers its documents; a set's documents of a block are a bitmap over those numbers, built with partial aggregates,
-    and a query's sets are or-ed.  A query goes to each block that holds one of its documents, once, with the bitmap that
-    masks its scores there: no row per (query, vector) pair exists, and with ``sets`` none per (query, document)."""
+    numbers its documents; a set's documents of a block are a bitmap over those numbers, cut behind its last one.  Queries
+    with the same sets have one filter, whose sets' bitmaps are or-ed and sent to each block that holds one of its documents,
+    once; its queries come behind it and bear its number only.  No row per (query, vector) pair exists, no bitmap per query
+    of a shared filter, and with ``sets`` no row per (query, document)."""
     blocks = vector_blocks or _block_count(vectors, block_bytes)
     if sets is None:
         allowed, sets = allowed.select("query_id", F.col("query_id").alias("set_id")).distinct(), allowed.withColumnRenamed("query_id", "set_id")
     placed = vectors.join(meta.select("vector_index_id", "document_id"), "vector_index_id")
-    vrows = _vector_rows(placed, "vector_index_id", "embedding", blocks, F.col("document_id").alias("doc"))
+    vrows = _vector_rows(placed, "vector_index_id", "embedding", blocks, F.col("document_id").alias("doc"), F.lit(0).cast("long").alias("filter"))
     held = vrows.select("vb", F.col("doc").alias("document_id")).where("document_id IS NOT NULL").distinct()
     # the numbers that the scoring task gives its block's documents: their place in order
-    held = held.withColumn("ordinal", F.row_number().over(Window.partitionBy("vb").orderBy("document_id")) - 1)
+    held = held.withColumn("ordinal", F.row_number().over(Window.partitionBy("vb").orderBy("document_id")))
     member = sets.select("set_id", "document_id").join(held, "document_id")
-    keys = ["set_id", "vb", "number"]
-    maps = (member.withColumn("number", F.bitmap_bucket_number(F.col("ordinal") + 1)).withColumn("bit", F.bitmap_bit_position(F.col("ordinal") + 1))
-            .groupBy(*keys).agg(F.bitmap_construct_agg("bit").alias("bitmap")))
-    own = allowed.select(F.col("query_id").cast("long").alias("query_id"), "set_id").distinct().join(maps, "set_id")
-    routed = (own.groupBy("query_id", "vb", "number").agg(F.bitmap_or_agg("bitmap").alias("bitmap"))
-              .groupBy("query_id", "vb").agg(F.collect_list(F.struct("number", "bitmap")).alias("bits")))
+    member = member.select("set_id", "vb", F.bitmap_bucket_number("ordinal").alias("number"), F.bitmap_bit_position("ordinal").alias("bit"))
+    used = F.expr("substring(bitmap, 1, CAST(last DIV 8 + 1 AS INT))")
+    # bits cross the shuffle, not bitmaps of 4 KB: the groups are whole before the aggregate
+    maps = (member.repartition("set_id", "vb", "number").groupBy("set_id", "vb", "number")
+            .agg(F.bitmap_construct_agg("bit").alias("bitmap"), F.max("bit").alias("last")).withColumn("bitmap", used))
+    own = (allowed.where("query_id IS NOT NULL AND set_id IS NOT NULL").groupBy(F.col("query_id").cast("long").alias("query_id"))
+           .agg(F.array_sort(F.collect_set("set_id")).alias("sets")))
+    filters = own.groupBy("sets").agg(F.min("query_id").alias("filter"))
+    own = own.join(filters, "sets").select("query_id", "filter")
+    maps = (filters.select("filter", F.explode("sets").alias("set_id")).join(maps, "set_id").groupBy("filter", "vb", "number")
+            .agg(F.bitmap_or_agg("bitmap").alias("bitmap"), F.max("last").alias("last")).withColumn("bitmap", used))
+    routed = maps.groupBy("filter").agg(F.collect_set("vb").alias("vbs"))
     q = queries.select(
         F.col("query_id").cast("long").alias("query_id"), F.col("embedding").cast("array<double>").alias("q"))
-    qrows = routed.join(q, "query_id").select("vb", F.lit(1).alias("tag"), F.col("query_id").alias("id"), "q", F.lit(k).alias("k"), "bits")
-    return _final_rank(_block_plan(vrows, qrows, vector_dim), k)
+    qrows = own.join(routed, "filter").join(q, "query_id").select(
+        F.explode("vbs").alias("vb"), F.lit(1).alias("tag"), F.col("query_id").alias("id"), "q", F.lit(k).alias("k"), "filter")
+    frows = maps.select("vb", F.lit(1).alias("tag"), "filter", "number", "bitmap")
+    rows = qrows.unionByName(frows, allowMissingColumns=True)
+    return _final_rank(_block_plan(vrows, rows, vector_dim, F.col("filter"), F.col("bitmap").isNull()), k)
 
 
 def attach_metadata(hits: DataFrame, documents: DataFrame, iso) -> DataFrame:

@@ -25,6 +25,16 @@ class Blocks:
     numbers: list[int]
 
 
+def estimated_bytes(df: DataFrame) -> int | None:
+    """The planner's size estimate, None where it has none.  It takes a join for the product of its sides; joined by their
+    keys they hold no more than all that is read, which bounds the estimate."""
+    plan = df._jdf.queryExecution().optimizedPlan()  # noqa: SLF001
+    leaves = plan.collectLeaves()
+    read = sum(int(str(leaves.apply(i).stats().sizeInBytes())) for i in range(leaves.size()))
+    size = min(int(str(plan.stats().sizeInBytes())), read)
+    return size if size <= 1 << 60 else None
+
+
 def block_numbers(spark: SparkSession, count: int) -> list[int]:
     """For each of ``count`` buckets the smallest number that Spark's hash puts there."""
     reach = 16 * count + 64
@@ -41,9 +51,9 @@ def write_blocks(vectors: DataFrame, path: str, count: int | None = None, *, vec
     """Deal ``vectors`` into ``count`` blocks (left out: by the planner's size estimate) under ``path``, in one shuffle."""
     spark = vectors.sparkSession
     if count is None:
-        size = int(vectors._jdf.queryExecution().optimizedPlan().stats().sizeInBytes())  # noqa: SLF001
+        size = estimated_bytes(vectors)
         usual = int(spark.conf.get("spark.sql.shuffle.partitions"))
-        count = usual if size > 1 << 60 else max(spark.sparkContext.defaultParallelism, math.ceil(size / block_bytes))
+        count = usual if size is None else max(spark.sparkContext.defaultParallelism, math.ceil(size / block_bytes))
     numbers = block_numbers(spark, count)
     vid = F.col(vec_id).cast("long")
     place = F.element_at(F.array(*[F.lit(n) for n in numbers]), (F.pmod(F.xxhash64(vid), F.lit(count)) + 1).cast("int"))
