@@ -2,6 +2,7 @@
 
 import datetime as dt
 
+import pyarrow as pa
 from pyspark.sql import functions as F
 
 from tessera.plans import fixtures as fx
@@ -101,6 +102,34 @@ def test_binary_file_source_roundtrip(spark):
     assert "content" not in plan.split("ReadSchema")[-1] if "ReadSchema" in plan else True
 
 
+def test_raw_files_lie_in_a_folder_per_task(spark):
+    """A file per row, whatever its id, in as many folders as tasks and copies: not one a document."""
+    rows = [(str(i), f"text {i}") for i in range(300)] + [("7", "again"), ("7", None), (None, "none"), (None, "one"), ("_x", "hidden"), ("a/b:c.d", "odd é")]
+    docs = spark.createDataFrame(rows, "document_id string, text string").repartition(3)
+    held = spark.conf.get("spark.sql.shuffle.partitions")
+    spark.conf.set("spark.sql.shuffle.partitions", "4")
+    try:
+        root = files.write_raw_files(docs, scratch_dir(spark, "raw"))
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", held)
+    raw = files.read_raw_files(spark, root, "*.txt", ids="stem")
+    got = sorted((r.document_id, bytes(r.content).decode()) for r in raw.collect())
+    name = {None: "__HIVE_DEFAULT_PARTITION__", "a/b:c.d": "a%2Fb%3Ac.d"}
+    assert got == sorted((name.get(i, i), (t or "") + "\n") for i, t in rows)
+    assert raw.select(F.regexp_extract("path", "^(.*)/", 1)).distinct().count() <= 4 * 3 + 3
+    assert files.read_raw_files(spark, files.write_raw_files(docs.limit(0), scratch_dir(spark, "raw")), "*.txt").count() == 0
+
+
+def test_raw_files_without_an_arrow_file_system(spark, monkeypatch):
+    """Where Arrow cannot reach the folder the files are written by Spark, under the same ids."""
+    def none(uri):
+        raise pa.ArrowInvalid(uri)
+    monkeypatch.setattr(files, "_file_system", none)
+    docs = spark.createDataFrame([("a", "alpha"), ("b", "beta")], "document_id string, text string")
+    raw = files.read_raw_files(spark, files.write_raw_files(docs, scratch_dir(spark, "raw")), "*.txt", ids="stem")
+    assert {r.document_id: bytes(r.content) for r in raw.collect()} == {"a": b"alpha\n", "b": b"beta\n"}
+
+
 def test_ingest_status_and_empty_text(spark):
     t = dt.datetime(2024, 1, 1)
     rows = [("1", "a.txt", 5, t, bytearray(b"the and of cat")), ("2", "b.html", 5, t, bytearray(b"x")),
