@@ -2,6 +2,7 @@
 
 import datetime as dt
 import random
+import threading
 
 import pytest
 from pyspark.sql import functions as F
@@ -223,3 +224,18 @@ def test_id_ranges_cover_all_keys(spark):
         assert str(where).count("AND") <= most + 1
         assert [r.id for r in df.where(where).orderBy("id").collect()] == ids
     assert df.where(tables.id_ranges(df.where("id IS NULL"), "id")).count() == 0
+
+
+def test_tables_of_a_batch_are_written_together(spark, monkeypatch):
+    """Chunks, documents, uploads and status of a batch don't wait for each other: small batches are bound by the making of files."""
+    write, met = store._write, threading.Barrier(4)
+
+    def meet(df, root, table, number):
+        if table != "embeddings":
+            met.wait(60)
+        write(df, root, table, number)
+    monkeypatch.setattr(store, "_write", meet)
+    root = scratch_dir(spark, "store")
+    store.append_batch(ups(spark, ("d", words(600)), ("e", "x y")), root)
+    assert [r[0] for r in rows(spark, root)] == ["d-0", "d-1", "e-0"]
+    assert spark.sparkContext._jsc.getPersistentRDDs().size() == 0
