@@ -36,12 +36,12 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tessera.llm import common as C
-from tessera.llm.packing import _LETTERS, vocabulary_path
+from tessera.llm.packing import _LETTERS, _pack_ids, vocabulary_path
 
 SEQUENCE = 2048
 CLOSING_ID = 0
 VOCABULARY = "byte_bpe_50k.json"
-_CACHE_WORDS = 400_000
+_CACHE_PARTS = 300_000
 
 # Characters below U+0250 and common typographic marks, by the classes that the vocabulary's splitter knows.
 _LETTER, _NUMBER, _SPACE = "A-Za-zªµºÀ-ÖØ-öø-ɏ", "0-9²³¹¼-¾", "\t-\r \x85\xa0"
@@ -51,16 +51,26 @@ _ODD = re.compile("[^\x00-ɏ‐-‧€]")
 _vocabularies: dict = {}
 
 
+_ASCII = dict(enumerate(_LETTERS[:128]))
+
+
 class _SplitIds(dict):
-    """Part of a text, as the splitter gives it -> its ids, merged when first asked for."""
+    """Part of a text, as the splitter gives it -> its ids, merged when first asked for.  Of the ``_CACHE_PARTS`` parts met
+    before these, those met again are taken over, so frequent parts are merged once."""
 
     def __init__(self, tok):
         super().__init__()
-        self.tok = tok
+        self.tok, self.before = tok, {}
 
     def __missing__(self, part: str) -> bytes:
-        letters = "".join([_LETTERS[b] for b in part.encode("utf-8")])
-        self[part] = ids = np.array([t.id for t in self.tok.model.tokenize(letters)], "<u4").tobytes()
+        ids = self.before.get(part)
+        if ids is None:
+            letters = part.translate(_ASCII) if part.isascii() else "".join([_LETTERS[b] for b in part.encode("utf-8")])
+            ids = _pack_ids([t.id for t in self.tok.model.tokenize(letters)])
+        if len(self) >= _CACHE_PARTS:
+            self.before = dict(self)
+            self.clear()
+        self[part] = ids
         return ids
 
 
@@ -78,9 +88,7 @@ def encode(texts: list[str], path: str) -> list[bytes]:
     """Ids of each text as unsigned 32-bit integers, without the closing id.  The vocabulary merges inside the parts of
     a text only, and parts recur; a text with a character beyond the classes above goes through the tokenizer whole."""
     ids = _parts_of(path)
-    if len(ids) > _CACHE_WORDS:
-        ids.clear()
-    return [np.array(ids.tok.encode(t, add_special_tokens=False).ids, "<u4").tobytes() if _ODD.search(t)
+    return [_pack_ids(ids.tok.encode(t, add_special_tokens=False).ids) if not t.isascii() and _ODD.search(t)
             else b"".join(map(ids.__getitem__, _SPLIT.findall(t))) for t in texts]
 
 
