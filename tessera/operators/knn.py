@@ -3,10 +3,11 @@
 Block top-k
 -----------
 One plan for every size.  Vectors are dealt at random into blocks of bounded bytes and cross the
-shuffle once; every query is sent to each block; rows are ordered so that a block's vectors come
-before its queries.  A task holds one vector block and scores each Arrow batch of queries as one
-matrix product ``Q @ V.T`` in float64, keeping the best k per query (ties at the cut kept, so the id
-tie-break stays exact).  A ``row_number`` window on ``query_id`` (``WindowGroupLimit`` partial + final)
+shuffle once; queries are sent to each block, packed many to a row; rows are ordered so that a block's
+vectors come before its queries.  A task holds one vector block and screens the queries of a row by a
+matrix product ``Q @ V.T`` in float32: only pairs that its rounding error lets reach the best k so far
+are scored, in float64, keeping the best k per query (ties at the cut kept, so the id tie-break stays
+exact).  A ``row_number`` window on ``query_id`` (``WindowGroupLimit`` partial + final)
 then picks the global top k.  Nothing is collected or broadcast and no job runs before the action;
 the number of blocks comes from the planner's size estimate.
 
@@ -22,18 +23,20 @@ import math
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tessera.session import bound_batches
-from tessera.sources.blocks import Blocks, estimated_bytes
+from tessera.sources.blocks import BLOCK_BYTES, Blocks, estimated_bytes
 
-VECTOR_BLOCK_BYTES = 32 << 20
+VECTOR_BLOCK_BYTES = BLOCK_BYTES
 
 KNN_SCHEMA = "query_id long, vector_index_id long, score double"
 SCORE_DECIMALS = 10
 SCORE_CELLS = 1_000_000    # scores of one product: 8 MB, whatever the sizes of block and batch
-SCORE_QUERIES = 512        # queries scored together
+SCORE_QUERIES = 512        # queries scored together, and packed in a row
 BITMAP_BITS = 8 * 4096   # of one bitmap of Spark's bitmap functions
 
 
@@ -65,6 +68,11 @@ def _normalise_rows(m: np.ndarray) -> np.ndarray:
 
 def _matrix(rows, ids: np.ndarray, dim: int | None, dtype) -> tuple[np.ndarray, np.ndarray]:
     """The usable rows' ids and their vectors as a matrix; one width only."""
+    rows = list(rows)
+    if rows and all(isinstance(v, np.ndarray) and v.dtype.kind == "f" for v in rows) and {len(v) for v in rows} == {dim or len(rows[0])}:
+        m = np.stack(rows)
+        good = np.isfinite(m).all(axis=1)
+        return np.asarray(ids)[good], m[good].astype(dtype, copy=False)
     ok, vecs = [], []
     for i, v in enumerate(rows):
         if v is None:
@@ -101,39 +109,89 @@ def _merge_topk(qi: np.ndarray, ids: np.ndarray, sc: np.ndarray, k: int):
     return qi[keep], ids[keep], sc[keep]
 
 
-def _score_blocks(q_ids, q_mat, batches, k: int, allowed=None):
-    """Exact top k of some queries over an iterator of (ids, matrix) blocks.
-
-    ``allowed(first, last)``: optional mask (queries x vectors of this slice) of the pairs that count."""
+def _norms(m: np.ndarray) -> np.ndarray:
+    return np.sqrt(np.einsum("ij,ij->i", m, m, dtype=np.float64))
+
+
+def _exact(q_mat: np.ndarray, v: np.ndarray, qi: np.ndarray, ci: np.ndarray) -> np.ndarray:
+    """Scores of single pairs, as many at a time as fill ``SCORE_CELLS``."""
+    out, step = np.empty(len(qi)), max(1, SCORE_CELLS // max(1, q_mat.shape[1]))
+    for a in range(0, len(qi), step):
+        at = slice(a, a + step)
+        out[at] = np.einsum("ij,ij->i", q_mat[qi[at]], v[ci[at]].astype(np.float64))
+    return np.round(out, SCORE_DECIMALS)
+
+
+def _places(mask: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """``np.nonzero`` of a matrix, several times as fast where little is set."""
+    return np.divmod(np.flatnonzero(mask), mask.shape[1])
+
+
+def _slice_candidates(q_mat, q32, v, reach: float, floor: np.ndarray, k: int, may):
+    """``(query, vector, score, many)`` of a slice: every pair that scores its query's ``floor`` or more and is among the
+    query's best k of the slice (further ones may be there too).
+
+    A float32 product tells which pairs may: it is off by (width + 4) x 2^-24 x the norms at most (``reach``: the largest
+    of the vectors'; a query's is 1).  Where its error would leave too many (equal or huge vectors), all are scored."""
+    limit, many = 4 * k * len(q_mat), False
+    slack = (q_mat.shape[1] + 16) * 2.0 ** -24 * reach + 1e-9
+    if slack < 1e12:
+        least = np.float32(np.finfo(np.float32).min)     # leaves out what is masked
+        below = lambda x: np.maximum(np.nextafter((x - slack).astype(np.float32), np.float32(-np.inf)), least)[:, None]
+        s = q32 @ v.T.astype(np.float32, copy=False)
+        if may is not None:
+            s[~may] = -np.inf
+        qi, ci = _places(s >= below(floor))
+        if len(qi) > limit:
+            many = True
+            if len(v) > k:
+                best = np.partition(s, len(v) - k, axis=1)[:, len(v) - k].astype(np.float64)
+                qi, ci = _places(s >= below(np.maximum(floor, best - slack)))
+        if len(qi) <= limit:
+            sc = _exact(q_mat, v, qi, ci)
+            real = sc >= floor[qi]
+            return qi[real], ci[real], sc[real], many
+    # Rounded to 1e-10 so equal vectors tie exactly whatever the summation order.
+    s = np.round(q_mat @ v.T.astype(np.float64), SCORE_DECIMALS)
+    if may is not None:
+        s[~may] = -np.inf
+    qi, ci = np.nonzero(s >= floor[:, None])
+    if len(qi) > limit:
+        qi, ci = _batch_candidates(s, k)
+    sc = s[qi, ci]
+    real = (sc > -np.inf) & (sc >= floor[qi])
+    return qi[real], ci[real], sc[real], many
+
+
+def _score_blocks(q_ids, q_mat, batches, k: int, allowed=None, least: float | None = None):
+    """Exact top k of some queries over an iterator of (ids, matrix) blocks, or (ids, matrix, norms of its rows).
+
+    ``allowed(first, last)``: optional mask (queries x vectors of this slice) of the pairs that count; ``least``: the
+    lowest score that counts."""
     acc_q, acc_i, acc_s = [], [], []
     pending = 0
-    floor = np.full(len(q_ids), -np.inf)   # the k-th best score so far: what is below cannot enter
+    lowest = np.full(len(q_ids), -np.inf if least is None else least)
+    floor = lowest   # the k-th best score so far: what is below cannot enter
+    q32 = q_mat.astype(np.float32)
     # Bound each score matrix to SCORE_CELLS entries by slicing the vectors.
     step = max(1, SCORE_CELLS // max(1, len(q_ids)))
-    for v_ids, v_mat in batches:
+    for v_ids, v_mat, *norms in batches:
+        norms = norms[0] if norms else _norms(v_mat)
         for a in range(0, len(v_ids), step):
-            part = v_ids[a:a + step]
-            # Rounded to 1e-10 so equal vectors tie exactly whatever the summation order.
-            s = q_mat @ v_mat[a:a + step].T.astype(np.float64)
-            np.round(s, SCORE_DECIMALS, out=s)
-            if allowed is not None:
-                s[~allowed(a, a + step)] = -np.inf
-            qi, ci = np.nonzero(s >= floor[:, None])
-            if len(qi) > 4 * k * len(q_ids):
-                qi, ci = _batch_candidates(s, k)
-            sc = s[qi, ci]
-            real = sc > -np.inf
-            acc_q.append(qi[real])
-            acc_i.append(part[ci[real]])
-            acc_s.append(sc[real])
-            pending += len(acc_q[-1])
-            if pending > 2 * k * len(q_ids):
+            part, v = v_ids[a:a + step], v_mat[a:a + step]
+            may = None if allowed is None else allowed(a, a + step)
+            qi, ci, sc, many = _slice_candidates(q_mat, q32, v, float(norms[a:a + step].max()), floor, k, may)
+            acc_q.append(qi)
+            acc_i.append(part[ci])
+            acc_s.append(sc)
+            pending += len(qi)
+            if pending > 2 * k * len(q_ids) or many:
                 m = _merge_topk(np.concatenate(acc_q), np.concatenate(acc_i), np.concatenate(acc_s), k)
                 acc_q, acc_i, acc_s = [m[0]], [m[1]], [m[2]]
                 pending = len(m[0])
                 full, last = np.bincount(m[0], minlength=len(q_ids)) == k, np.full(len(q_ids), -np.inf)
                 last[m[0]] = m[2]   # in order: a query's last one stays
-                floor = np.where(full, last, -np.inf)
+                floor = np.where(full, last, lowest)
     if not acc_q:
         return None
     qi, ids, sc = _merge_topk(np.concatenate(acc_q), np.concatenate(acc_i), np.concatenate(acc_s), k)
@@ -165,11 +223,11 @@ def _runs(pdf: pd.DataFrame):
         yield vb[a], tag[a], pdf.iloc[a:b]
 
 
-def _score_partition(dim: int | None):
-    """Scores a partition sorted by (vb, tag): vectors (tag 0) of a block, then its queries (tag 1); where vectors bear
+def _score_partition(dim: int | None, least: float | None = None):
+    """Scores a partition sorted by (vb, tag): vectors (tag 0) of a block, then its queries (tag 1), packed or one a row; where vectors bear
     documents, a filter's bitmaps (``bitmap`` not null) come before the queries of that filter (``filter``)."""
     def run(batches):
-        block, held, ids, mat = None, [], None, None
+        block, held, ids, mat, norms = None, [], None, None, None
         column, names, masks = None, 0, {}
         for pdf in batches:
             if not len(pdf):
@@ -189,14 +247,24 @@ def _score_partition(dim: int | None):
                     if len(widths) > 1:
                         raise ValueError(f"stored vectors have widths {sorted(widths)}")
                     ids = np.concatenate([i for i, _, _, _ in held])
-                    mat = np.concatenate([m for i, m, _, _ in held if len(i)]) if len(ids) else np.zeros((0, 0), np.float32)
+                    docs_at = [(docs, at) for _, _, docs, at in held]
+                    parts, held = [m for i, m, _, _ in held if len(i)], []
+                    mat = _emptied(parts)
+                    norms = _norms(mat)
                     if "doc" in rows:
-                        code = {d: i for i, d in enumerate(sorted({d for _, _, docs, _ in held for d in docs if d is not None}))}
-                        column = np.array([code.get(d, -1) for _, _, docs, at in held for d in docs[at]], np.int64)
+                        code = {d: i for i, d in enumerate(sorted({d for docs, _ in docs_at for d in docs if d is not None}))}
+                        column = np.array([code.get(d, -1) for docs, at in docs_at for d in docs[at]], np.int64)
                         names, masks = len(code), {}
-                    held = []
                 if not len(ids):
                     continue
+                if "ids" in rows:
+                    for pack in rows[["ids", "pack", "width", "k"]].itertuples(index=False):
+                        of, q = _unpacked(*pack[:3], mat.shape[1])
+                        if len(of):
+                            out = _score_blocks(of, _normalise_rows(q), [(ids, mat, norms)], int(pack.k), least=least)
+                            if out is not None:
+                                yield out
+                    continue
                 may, which = None, None
                 if column is not None:
                     of = rows["filter"].to_numpy(np.int64)
@@ -215,7 +283,7 @@ def _score_partition(dim: int | None):
                         own = np.stack([may[i] for i in which[a:a + SCORE_QUERIES][at]])
                         allowed = lambda x, y: own[:, column[x:y]]  # noqa: B023, E731
                     k = int(part["k"].to_numpy(np.int64)[at].max())
-                    out = _score_blocks(part["id"].to_numpy(np.int64)[at], _normalise_rows(q), [(ids, mat)], k, allowed)
+                    out = _score_blocks(part["id"].to_numpy(np.int64)[at], _normalise_rows(q), [(ids, mat, norms)], k, allowed, least)
                     if out is not None:
                         yield out
                 if masks:   # the last filter's rows may go on in the next batch
@@ -233,11 +301,69 @@ def _read_bitmaps(masks: dict[int, np.ndarray], filters: np.ndarray, rows: pd.Da
         may[first:first + len(bits)] = bits
 
 
-def _block_plan(vrows: DataFrame, qrows: DataFrame, dim: int | None, *order: Column) -> DataFrame:
+def _emptied(parts: list[np.ndarray]) -> np.ndarray:
+    """The parts as one matrix; each part goes as soon as it is copied, so that the block is not held twice."""
+    if not parts:
+        return np.zeros((0, 0), np.float32)
+    out = np.empty((sum(map(len, parts)), parts[0].shape[1]), np.float32)
+    end = len(out)
+    while parts:
+        m = parts.pop()
+        out[end - len(m):end] = m
+        end -= len(m)
+    return out
+
+
+PACK_SCHEMA = "id long, ids binary, pack binary, width int, k int"
+_NO_ID = np.iinfo(np.int64).min   # what a null id counts as
+
+
+def _pack(batches):
+    """Queries (``id, q, k``) of one width as rows of ``SCORE_QUERIES`` at most: their ids and vectors as bytes, float32
+    where that loses nothing.  Null vectors and such with null or non-finite components are left out."""
+    for batch in batches:
+        batch = batch.filter(pc.fill_null(pc.greater_equal(batch.column(2), 1), False))
+        ids = batch.column(0).fill_null(_NO_ID).to_numpy(zero_copy_only=False)
+        ks = batch.column(2).to_numpy(zero_copy_only=False)
+        lists = batch.column(1)
+        lens = pc.fill_null(pc.list_value_length(lists), -1).to_numpy(zero_copy_only=False)
+        values = lists.flatten().to_numpy(zero_copy_only=False).astype(np.float64, copy=False)   # of the rows that are not null
+        first = np.cumsum(np.maximum(lens, 0)) - np.maximum(lens, 0)
+        for width in np.unique(lens[lens >= 0]).tolist():
+            rows = np.flatnonzero(lens == width)
+            for a in range(0, len(rows), SCORE_QUERIES):
+                own = rows[a:a + SCORE_QUERIES]
+                m = values[first[own][:, None] + np.arange(width)]
+                good = np.isfinite(m).all(axis=1)
+                m, of = m[good], ids[own][good]
+                with np.errstate(over="ignore"):
+                    small = m.astype(np.float32)
+                m = small if (small == m).all() else m
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array([int(of.min()) if len(of) else None], pa.int64()), pa.array([of.tobytes()], pa.binary()), pa.array([m.tobytes()], pa.binary()),
+                     pa.array([width], pa.int32()), pa.array([int(ks[own].max())], pa.int32())], ["id", "ids", "pack", "width", "k"])
+
+
+def _unpacked(ids: bytes, q: bytes, width: float, dim: int) -> tuple[np.ndarray, np.ndarray]:
+    if width != dim:
+        raise ValueError(f"vector width {dim} differs from query width {int(width)}")
+    of = np.frombuffer(ids, np.int64)
+    kind = np.float32 if len(q) == 4 * len(of) * dim else np.float64
+    return of, np.frombuffer(q, kind).reshape(len(of), dim).astype(np.float64)
+
+
+def _packed(queries: DataFrame, query_id: str, emb: str, k: Column) -> DataFrame:
+    """A narrow pass: what a shuffle carries to every block is a row for some hundred queries."""
+    bound_batches(queries.sparkSession)
+    rows = queries.select(F.col(query_id).cast("long").alias("id"), F.col(emb).cast("array<double>").alias("q"), k.cast("int").alias("k"))
+    return rows.mapInArrow(_pack, PACK_SCHEMA)
+
+
+def _block_plan(vrows: DataFrame, qrows: DataFrame, dim: int | None, *order: Column, least: float | None = None) -> DataFrame:
     bound_batches(vrows.sparkSession)
     rows = vrows.unionByName(qrows, allowMissingColumns=True)
     return (rows.repartition("vb").sortWithinPartitions("vb", "tag", *order, "id")
-            .mapInPandas(_score_partition(dim), KNN_SCHEMA))
+            .mapInPandas(_score_partition(dim, least), KNN_SCHEMA))
 
 
 def _vector_rows(vectors: DataFrame, vec_id: str, emb: str, blocks: int, *extra: Column) -> DataFrame:
@@ -248,17 +374,18 @@ def _vector_rows(vectors: DataFrame, vec_id: str, emb: str, blocks: int, *extra:
         F.col(emb).cast("array<float>").alias("v"), *extra)
 
 
-def _knn_in_place(queries: DataFrame, blocks: Blocks, k: int | str, query_id: str, dim: int | None) -> DataFrame:
+def _knn_in_place(queries: DataFrame, blocks: Blocks, k: int | str, query_id: str, dim: int | None, least: float | None) -> DataFrame:
     """``knn`` over stored blocks: the queries cross a shuffle to the blocks, the vectors stay in their buckets.  The window
-    asks for rows by block, vectors first; the scan and the shuffle, united as they are, already are by block."""
+    asks for rows by block, vectors first; the scan and the shuffle, united as they are, already are by block.  Its parts
+    are single rows: it keeps no block and no queries a second time."""
     kk = F.lit(k) if isinstance(k, int) else F.col(k).cast("int")
-    numbers = F.array(*[F.lit(n) for n in blocks.numbers])
-    q = queries.select(F.explode(numbers).alias("vb"), F.lit(1).alias("tag"), F.col(query_id).cast("long").alias("id"),
-                       F.lit(None).cast("array<float>").alias("v"), F.col("embedding").cast("array<double>").alias("q"), kk.alias("k"))
+    q = _packed(queries, query_id, "embedding", kk).select(
+        F.explode(F.array(*[F.lit(n) for n in blocks.numbers])).alias("vb"), F.lit(1).alias("tag"), "id",
+        F.lit(None).cast("array<float>").alias("v"), "ids", "pack", "width", "k")
     rows = blocks.rows.union(q.repartition(len(blocks.numbers), "vb"))
     bound_batches(queries.sparkSession)
-    order = F.row_number().over(Window.partitionBy("vb").orderBy("tag", "id"))
-    cands = rows.withColumn("at", order).mapInPandas(_score_partition(dim), KNN_SCHEMA)
+    order = F.row_number().over(Window.partitionBy("vb", "tag", "id").orderBy("tag"))
+    cands = rows.withColumn("at", order).mapInPandas(_score_partition(dim, least), KNN_SCHEMA)
     if isinstance(k, int):
         return _final_rank(cands, k)
     own = queries.select(F.col(query_id).cast("long").alias("query_id"), kk.alias("_k"))
@@ -267,8 +394,9 @@ def _knn_in_place(queries: DataFrame, blocks: Blocks, k: int | str, query_id: st
 
 def knn(queries: DataFrame, vectors: DataFrame | Blocks, k: int | str, *, query_id: str = "query_id",
         vec_id: str = "vector_index_id", emb: str = "embedding", vector_dim: int | None = None,
-        vector_blocks: int | None = None, block_bytes: int = VECTOR_BLOCK_BYTES) -> DataFrame:
-    """Top ``k`` stored vectors per query: ``query_id, vector_index_id, score, rank``.
+        vector_blocks: int | None = None, block_bytes: int = VECTOR_BLOCK_BYTES, least: float | None = None) -> DataFrame:
+    """Top ``k`` stored vectors per query, of those that score ``least`` or more where given: ``query_id, vector_index_id,
+    score, rank``.
 
     ``vectors`` are rows, dealt into blocks by this plan, or ``Blocks`` that were dealt beforehand.
     ``queries`` has a LONG ``query_id`` and an array ``embedding``; ``k`` is a number, or the name of a
@@ -277,13 +405,12 @@ def knn(queries: DataFrame, vectors: DataFrame | Blocks, k: int | str, *, query_
     if isinstance(k, int) and k < 1:
         raise ValueError("k must be >= 1")
     if isinstance(vectors, Blocks):
-        return _knn_in_place(queries, vectors, k, query_id, vector_dim)
+        return _knn_in_place(queries, vectors, k, query_id, vector_dim, least)
     blocks = vector_blocks or _block_count(vectors, block_bytes)
     kk = F.lit(k) if isinstance(k, int) else F.col(k).cast("int")
-    q = queries.select(
-        F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))).alias("vb"), F.lit(1).alias("tag"),
-        F.col(query_id).cast("long").alias("id"), F.col(emb).cast("array<double>").alias("q"), kk.alias("k"))
-    cands = _block_plan(_vector_rows(vectors, vec_id, emb, blocks), q, vector_dim)
+    q = _packed(queries, query_id, emb, kk).select(
+        F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))).alias("vb"), F.lit(1).alias("tag"), "id", "ids", "pack", "width", "k")
+    cands = _block_plan(_vector_rows(vectors, vec_id, emb, blocks), q, vector_dim, least=least)
     if isinstance(k, int):
         return _final_rank(cands, k)
     own = queries.select(F.col(query_id).cast("long").alias("query_id"), kk.alias("_k"))
@@ -329,7 +456,7 @@ def semantic_search(queries: DataFrame, vectors: DataFrame | Blocks, chunks: Dat
     if per_query and filter_mode == "pre":
         cand = prefiltered_knn(queries, frame, vecs, meta, 2 * limit, sets=document_sets, vector_dim=vector_dim)
     else:
-        cand = knn(queries, vecs, 2 * limit, vector_dim=vector_dim)
+        cand = knn(queries, vecs, 2 * limit, vector_dim=vector_dim, least=threshold)
     hits = cand.where(F.col("score") >= F.lit(threshold)).join(meta, "vector_index_id", "inner")
     if filter_mode == "post":
         if ids:

@@ -13,14 +13,15 @@ from dataclasses import dataclass
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-BLOCK_BYTES = 32 << 20
-#: ``tag`` is 0, ``q`` and ``k`` are null: the columns of the queries that a search puts beside them.
-_COLUMNS = "vb INT, tag INT, id BIGINT, v ARRAY<FLOAT>, q ARRAY<DOUBLE>, k INT"
+#: Every query crosses a shuffle to every block, and each block returns its best of every query: few and large ones.
+BLOCK_BYTES = 64 << 20
+#: ``tag`` is 0, what follows ``v`` is null: the columns of the packed queries that a search puts beside them.
+_COLUMNS = "vb INT, tag INT, id BIGINT, v ARRAY<FLOAT>, ids BINARY, pack BINARY, width INT, k INT"
 
 
 @dataclass(frozen=True)
 class Blocks:
-    """``rows``: ``vb, tag, id, v, q, k``, bucketed by ``vb``; ``numbers``: the block numbers, one a bucket."""
+    """``rows``: ``vb, tag, id, v, ids, pack, width, k``, bucketed by ``vb``; ``numbers``: the block numbers, one a bucket."""
     rows: DataFrame
     numbers: list[int]
 
@@ -57,8 +58,8 @@ def write_blocks(vectors: DataFrame, path: str, count: int | None = None, *, vec
     numbers = block_numbers(spark, count)
     vid = F.col(vec_id).cast("long")
     place = F.element_at(F.array(*[F.lit(n) for n in numbers]), (F.pmod(F.xxhash64(vid), F.lit(count)) + 1).cast("int"))
-    rows = vectors.select(place.alias("vb"), F.lit(0).alias("tag"), vid.alias("id"), F.col(emb).cast("array<float>").alias("v"),
-                          F.lit(None).cast("array<double>").alias("q"), F.lit(None).cast("int").alias("k"))
+    null = [F.lit(None).cast(kind).alias(name) for name, kind in (("ids", "binary"), ("pack", "binary"), ("width", "int"), ("k", "int"))]
+    rows = vectors.select(place.alias("vb"), F.lit(0).alias("tag"), vid.alias("id"), F.col(emb).cast("array<float>").alias("v"), *null)
     name = f"blocks_{uuid.uuid4().hex}"
     folder = f"{path.rstrip('/')}/blocks={count}"
     (rows.repartition(count, "vb").write.format("parquet").bucketBy(count, "vb").sortBy("vb", "id")
